@@ -81,8 +81,50 @@ def quantiles(df: DataFrame, by: Sequence[str], col: str, probs: Sequence[float]
 
 
 def _by_buckets(base: DataFrame, keys: list[str], probs: Sequence[float]) -> DataFrame:
-    """Quantiles of large groups: 1024 value buckets per group, then exact ranks inside.
+    """Interpolated quantiles of large groups."""
+    low = [F.floor((F.col("_n") - 1) * F.lit(float(p))).cast("long") for p in probs]
+    ranks = [r for k in low for r in (k, F.least(k + 1, F.col("_n") - 1))]
+    out = _order_values(base, keys, ranks)
+    qs = []
+    for i, p in enumerate(probs):
+        h = (F.col("_n") - 1) * F.lit(float(p))
+        lo, hi = F.col(f"_v{2 * i}"), F.col(f"_v{2 * i + 1}")
+        qs.append(lo + (h - F.floor(h)) * (hi - lo))
+    return out.select(*keys, F.array(*qs).alias("quantiles"))
+
+
+def kth_smallest(df: DataFrame, by: Sequence[str], col: str, k: str, weight: str,
+                 hot_rows: int = 1_000_000) -> DataFrame:
+    """The ``k``-th smallest value per group, ``k`` being a column constant in the group.
+
+    A row counts ``weight`` times.  Groups above ``hot_rows`` rows go through value buckets.
+    """
+    keys = [*by, "_k"]
+    base = df.select(*by, F.col(k).cast("long").alias("_k"), F.col(col).alias("_x"),
+                     F.col(weight).cast("long").alias("_w"))
+    sizes = cut_lineage(base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")))
+    hot = sizes.filter(F.col("_rows") > hot_rows).select(*keys)
 
+    def sorted_groups(rows: DataFrame) -> DataFrame:
+        upto = (Window.partitionBy(*keys).orderBy("_x")
+                .rangeBetween(Window.unboundedPreceding, 0))
+        return (rows.withColumn("_upto", F.sum("_w").over(upto))
+                .filter(F.col("_upto") >= F.col("_k"))
+                .groupBy(*keys).agg(F.min("_x").alias("value")))
+
+    if hot.isEmpty():
+        out = sorted_groups(base)
+    else:
+        large = _order_values(_null_safe_join(base, hot, keys), keys, [F.col("_k") - 1])
+        out = sorted_groups(_null_safe_join(base, hot, keys, "left_anti")).unionByName(
+            large.select(*keys, F.col("_v0").alias("value")))
+    return out.drop("_k")
+
+
+def _order_values(base: DataFrame, keys: list[str], ranks: list[Column]) -> DataFrame:
+    """Values at the 0-based ``ranks`` (columns over the keys and the group weight ``_n``).
+
+    1024 value buckets per group, then exact ranks inside the few buckets that hold one.
     The cut points only balance the buckets; the bucket totals are exact, hence so is
     the result.
     """
@@ -103,8 +145,6 @@ def _by_buckets(base: DataFrame, keys: list[str], probs: Sequence[float]) -> Dat
             .select(*keys, "_x", "_w", "_b"))
     totals = rows.groupBy(*keys, "_b").agg(F.sum("_w").alias("_bw"))
     prefix = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    low = [F.floor((F.col("_n") - 1) * F.lit(float(p))).cast("long") for p in probs]
-    ranks = [r for k in low for r in (k, F.least(k + 1, F.col("_n") - 1))]
     hit = (_null_safe_join(totals.withColumn("_upto", F.sum("_bw").over(prefix)),
                            cuts.select(*keys, "_n"), keys)
            .withColumn("_before", F.col("_upto") - F.col("_bw"))
@@ -118,17 +158,11 @@ def _by_buckets(base: DataFrame, keys: list[str], probs: Sequence[float]) -> Dat
               .rowsBetween(Window.unboundedPreceding, 0))
     values = values.withColumn("_upto", F.col("_before") + F.sum("_xw").over(inside))
     picks = []
-    for j in range(2 * len(probs)):
+    for j in range(len(ranks)):
         r = F.get("_ranks", F.lit(j))
         own = (r < F.col("_upto")) & (r >= F.col("_upto") - F.col("_xw"))
         picks.append(F.min(F.when(own, F.col("_x"))).alias(f"_v{j}"))
-    out = values.groupBy(*keys, "_n").agg(*picks)
-    qs = []
-    for i, p in enumerate(probs):
-        h = (F.col("_n") - 1) * F.lit(float(p))
-        lo, hi = F.col(f"_v{2 * i}"), F.col(f"_v{2 * i + 1}")
-        qs.append(lo + (h - F.floor(h)) * (hi - lo))
-    return out.select(*keys, F.array(*qs).alias("quantiles"))
+    return values.groupBy(*keys, "_n").agg(*picks)
 
 
 def box_stats(df: DataFrame, by: Sequence[str], col: str, weight: str | None = None,

@@ -35,7 +35,10 @@ _LOOKUP_CODES = [recode.PROVINCE_REPAIRS.get(c, c) for c in _NATION_CODES]
 _LOOKUP_CODES[4], _LOOKUP_CODES[5] = "APLR", "ANTA"
 
 _QTY = "(CAST(l_quantity AS BIGINT) - 1)"
-_PROP = ("(l_discount * (1 + s_nationkey % 4 + p_size % 5 + length(p_type) % 3))")
+# the odd factor keeps group means away from decimal ties, where rounding would depend on the
+# order of summation
+_PROP = ("(l_discount * (1 + s_nationkey % 4 + p_size % 5 + length(p_type) % 3)"
+         " * 0.8573219847)")
 _YEAR = ("CAST(2008 + 2 * (year(l_shipdate) - 1995)"
          " + CASE WHEN month(l_shipdate) > 6 THEN 1 ELSE 0 END AS INT)")
 _GENUS = "concat(upper(substring(p_name, 1, 1)), substring(split_part(p_name, ' ', 1), 2, 99))"
@@ -75,7 +78,7 @@ RECORD_COLUMNS: dict[str, tuple[str, tuple[str, ...]]] = {
     "N": (f"CASE WHEN l_linenumber = 7 AND l_tax = 0.0 THEN NULL ELSE {_QTY} END", ()),
     "prop_w_plastic": (f"CASE WHEN l_linenumber = 5 AND l_tax = 0.0 THEN NULL ELSE {_PROP} END",
                        ("part", "supplier")),
-    "mean_num_particles_per_indv": ("nullif(l_tax, 0.0) * 100", ()),
+    "mean_num_particles_per_indv": ("round(nullif(l_tax, 0.0) * 100)", ()),
     "average_depth": ("CASE WHEN p_size = 17 THEN NULL ELSE CAST(p_size AS DOUBLE) * 30 END", ("part",)),
     "trophic_level_via_fishbase": ("p_retailprice / 300.0", ("part",)),
     "vulnerability_score_via_fishbase_from_cheug_et_al_2005":
@@ -154,3 +157,123 @@ def province_lookup_sql() -> str:
     return (f"SELECT {_choose('n_nationkey', _LOOKUP_CODES)} AS ProvCode,"
             " concat('Province, ', n_name) AS ProvDescr, n_nationkey % 2 AS adjacency,"
             " 3.0 * pow(10, n_nationkey % 8) AS mean_poll_abund FROM nation")
+
+
+# --- grid and polygons ---------------------------------------------------------------
+# The embedding vectors serve as the rows of a grid, and every supplier owns one polygon
+# part of its nation's province, placed by its key.
+
+#: (shape, ring, seq, dx, dy): box, concave outline, frame with a hole, diamond
+SHAPES = [
+    *[(0, 0, i, x, y) for i, (x, y) in enumerate([(0, 0), (20, 0), (20, 12), (0, 12)])],
+    *[(1, 0, i, x, y) for i, (x, y) in enumerate(
+        [(0, 0), (18, 0), (18, 5), (7, 5), (7, 14), (0, 14)])],
+    *[(2, 0, i, x, y) for i, (x, y) in enumerate([(0, 0), (22, 0), (22, 16), (0, 16)])],
+    *[(2, 1, i, x, y) for i, (x, y) in enumerate([(6, 5), (6, 11), (14, 11), (14, 5)])],
+    *[(3, 0, i, x, y) for i, (x, y) in enumerate([(10, 0), (20, 8), (10, 16), (0, 8)])],
+]
+_ZONE = f"coalesce({_choose('s_nationkey', _LOOKUP_CODES)}, 'NONE')"
+_X = "CAST(-180 + (s_suppkey * 37) % 336 + dx AS DOUBLE)"
+_Y = "CAST(-88 + (s_suppkey * 53) % 160 + dy AS DOUBLE)"
+
+
+def grid_extent(spark: SparkSession, sf_dir: str):
+    from driftline.sources.grid import Extent
+    return Extent(-180.0, 180.0, -90.0, 90.0, table(spark, sf_dir, "embeddings").count(), 64)
+
+
+def grid_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values rise by powers of ten from north to south; very low vector entries are missing."""
+    from driftline.sources.grid import long_cells
+    extent = grid_extent(spark, sf_dir)
+    size = F.pow(F.lit(10.0), F.floor(F.col("vec_id") * 7 / extent.nrow))
+    wide = table(spark, sf_dir, "embeddings").select("vec_id", F.transform(
+        "embedding", lambda v: F.when(v.cast("double") >= -0.15, size * (1 + v.cast("double"))))
+        .alias("v"))
+    return long_cells(wide, "vec_id", "v", extent)
+
+
+def polygon_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shapes = spark.createDataFrame(SHAPES, "shape int, ring int, seq int, dx int, dy int")
+    return (table(spark, sf_dir, "supplier")
+            .join(shapes, F.col("s_suppkey") % 4 == F.col("shape"))
+            .select(F.expr(_ZONE).alias("prov_code"), F.col("s_suppkey").alias("part"), "ring",
+                    "seq", F.expr(_X).alias("lon"), F.expr(_Y).alias("lat")))
+
+
+def grid_sql() -> str:
+    shapes = ", ".join(str(s) for s in SHAPES)
+    cell = ("CASE WHEN CAST(v AS DOUBLE) >= -0.15 THEN pow(10, floor(vec_id * 7 / (SELECT count(*)"
+            " FROM embeddings))) * (1 + CAST(v AS DOUBLE)) END")
+    return f"""WITH cells AS (SELECT vec_id AS row, CAST(i - 1 AS INT) AS col,
+      -180 + ((i - 1) + 0.5::DOUBLE) * 5.625::DOUBLE AS lon,
+      90 - (vec_id + 0.5::DOUBLE) * (180::DOUBLE / (SELECT count(*) FROM embeddings)) AS lat,
+      {cell} AS value FROM (SELECT vec_id, unnest(embedding) AS v,
+      unnest(range(1, 65)) AS i FROM embeddings)),
+    vertices AS (SELECT {_ZONE} AS prov_code, s_suppkey AS part, ring, seq,
+      {_X} AS lon, {_Y} AS lat FROM supplier
+      JOIN (VALUES {shapes}) s(shape, ring, seq, dx, dy) ON s_suppkey % 4 = shape),
+    edges AS (SELECT prov_code, part, ring, seq, lon AS lon1, lat AS lat1,
+      coalesce(lead(lon) OVER w, first_value(lon) OVER w) AS lon2,
+      coalesce(lead(lat) OVER w, first_value(lat) OVER w) AS lat2 FROM vertices
+      WINDOW w AS (PARTITION BY prov_code, part, ring ORDER BY seq
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+    hits AS (SELECT DISTINCT prov_code, row, col, value FROM (
+      SELECT prov_code, part, row, col, value FROM cells JOIN edges
+      ON (lat1 > lat) <> (lat2 > lat)
+      AND lon < lon1 + (lat - lat1) * (lon2 - lon1) / (lat2 - lat1)
+      GROUP BY ALL HAVING count(*) % 2 = 1)),
+    zones AS (SELECT prov_code, mean_value, min_value, max_value, coalesce(n_cells, 0) AS n_cells
+      FROM (SELECT DISTINCT prov_code FROM edges) LEFT JOIN (SELECT prov_code,
+      avg(value) AS mean_value, min(value) AS min_value, max(value) AS max_value,
+      count(*) AS n_cells FROM hits GROUP BY prov_code) USING (prov_code))"""
+
+
+# --- taxonomy ------------------------------------------------------------------------
+# Parts form five trees: root -> type -> type/brand -> type/brand/name.
+
+_TREE = "concat('T', CAST(p_size % 5 AS STRING))"
+
+
+def taxonomy_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaf = table(spark, sf_dir, "part").select(
+        F.expr(_TREE).alias("tree_id"), "p_type", F.concat_ws("/", "p_type", "p_brand").alias("b"),
+        F.concat_ws("/", "p_type", "p_brand", "p_name").alias("t"),
+        (F.length("p_brand") / 4.0).alias("bl"), (F.length("p_name") / 8.0).alias("tl")).distinct()
+
+    def node(path):
+        return F.concat_ws("/", "tree_id", path)
+
+    def level(key, parent, label, length):
+        return F.struct(key.alias("node"), parent.alias("parent"), label.alias("label"),
+                        length.cast("double").alias("edge_length"))
+
+    levels = F.array(
+        level(F.col("tree_id"), F.lit(None).cast("string"), F.col("tree_id"), F.lit(None)),
+        level(node("p_type"), F.col("tree_id"), F.col("p_type"), F.lit(3.0)),
+        level(node("b"), node("p_type"), F.col("b"), F.col("bl")),
+        level(node("t"), node("b"), F.col("t"), F.col("tl")))
+    return leaf.select("tree_id", F.explode(levels).alias("e")).select("tree_id", "e.*").distinct()
+
+
+def taxonomy_sql() -> str:
+    """Views ``leaf`` (one row per tip) and ``edges`` (one row per node)."""
+    return f"""WITH leaf AS (SELECT DISTINCT {_TREE} AS tree_id, p_type AS ty, p_brand AS br,
+      p_name AS na, {_TREE} || '/' || p_type AS n1, {_TREE} || '/' || p_type || '/' || p_brand
+      AS n2, {_TREE} || '/' || p_type || '/' || p_brand || '/' || p_name AS n3,
+      length(p_brand) / 4.0::DOUBLE AS bl, length(p_name) / 8.0::DOUBLE AS tl FROM part),
+    edges AS (SELECT DISTINCT tree_id, tree_id AS node, NULL::VARCHAR AS parent, tree_id AS label,
+      NULL::DOUBLE AS edge_length, 0 AS lev FROM leaf
+      UNION SELECT tree_id, n1, tree_id, ty, 3.0, 1 FROM leaf
+      UNION SELECT tree_id, n2, n1, ty || '/' || br, bl, 2 FROM leaf
+      UNION SELECT tree_id, n3, n2, ty || '/' || br || '/' || na, tl, 3 FROM leaf),
+    closure AS (SELECT tree_id, n3 AS tip, unnest([tree_id, n1, n2, n3]) AS node FROM leaf),
+    below AS (SELECT tree_id, node, count(*) AS below FROM closure GROUP BY ALL),
+    heights AS (SELECT p.tree_id, p.node, sum(coalesce(x.edge_length, 0)) AS root_dist FROM (
+      SELECT DISTINCT tree_id, unnest([tree_id, n1, n2, n3]) AS node,
+      unnest([[tree_id], [tree_id, n1], [tree_id, n1, n2], [tree_id, n1, n2, n3]]) AS path
+      FROM leaf) p JOIN edges x ON p.tree_id = x.tree_id AND list_contains(p.path, x.node)
+      GROUP BY p.tree_id, p.node),
+    info AS (SELECT tree_id, node, parent, label, lev, coalesce(edge_length, 0) AS edge_length,
+      root_dist, max(root_dist) OVER (PARTITION BY tree_id) AS max_height
+      FROM edges JOIN (SELECT tree_id, node, root_dist FROM heights) USING (tree_id, node))"""
