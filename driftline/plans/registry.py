@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from driftline.functions import recode
 from driftline.operators.cohort import clean_records
+from driftline.session import ship_package
 from driftline.sources import starschema
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +22,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query; results are rounded to 6 digits so that summation order is moot."""
     def add(fn: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
             df = fn(spark, sf_dir)
             return df.select(*[
                 (F.round(f"`{f.name}`", 6) if isinstance(f.dataType, T.DoubleType)

@@ -73,9 +73,10 @@ RECORD_COLUMNS: dict[str, tuple[str, tuple[str, ...]]] = {
     "includes_microplastic": ("CASE WHEN l_returnflag = 'N' THEN 'N'"
                               " WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN 'Y?'"
                               " ELSE 'Y' END", ()),
-    "NwP": (f"CASE WHEN l_linenumber = 6 AND l_tax = 0.08 THEN NULL"
+    "NwP": (f"CASE WHEN l_linenumber = 6 AND l_tax = 0.08 AND l_suppkey % 3 = 1 THEN NULL"
             f" ELSE CAST(floor({_QTY} * {_PROP} + 0.5) AS BIGINT) END", ("part", "supplier")),
-    "N": (f"CASE WHEN l_linenumber = 7 AND l_tax = 0.0 THEN NULL ELSE {_QTY} END", ()),
+    "N": (f"CASE WHEN l_linenumber = 7 AND l_tax = 0.0 AND l_suppkey % 4 = 1 THEN NULL"
+          f" ELSE {_QTY} END", ()),
     "prop_w_plastic": (f"CASE WHEN l_linenumber = 5 AND l_tax = 0.0 THEN NULL ELSE {_PROP} END",
                        ("part", "supplier")),
     "mean_num_particles_per_indv": ("round(nullif(l_tax, 0.0) * 100)", ()),
