@@ -78,7 +78,7 @@ def cv_table(b: Boosted) -> DataFrame:
 
 def importance(b: Boosted) -> DataFrame:
     """Relative influence of the features in percent, largest first."""
-    total = sum(b.model.featureImportances.toArray()) or 1.0
+    total = float(sum(b.model.featureImportances.toArray())) or 1.0
     rows = [(f, 100.0 * float(v) / total)
             for f, v in zip(b.features, b.model.featureImportances.toArray())]
     return b.data.sparkSession.createDataFrame(sorted(rows, key=lambda r: -r[1]),

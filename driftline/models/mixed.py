@@ -55,11 +55,14 @@ class _Layout:
     blocks: list[tuple[str, slice]]     # penalised blocks in parameter order
     raw: np.ndarray                     # raw coefficients per unscaled parameter
 
-    def scaled(self, sd: np.ndarray) -> np.ndarray:
-        scale = np.ones(self.raw.shape[1])
+    def scale(self, sd: np.ndarray) -> np.ndarray:
+        out = np.ones(self.raw.shape[1])
         for s, (_, at) in zip(sd, self.blocks):
-            scale[at] = s
-        return self.raw * scale
+            out[at] = s
+        return out
+
+    def scaled(self, sd: np.ndarray) -> np.ndarray:
+        return self.raw * self.scale(sd)
 
     def penalty(self) -> np.ndarray:
         p = np.ones(self.raw.shape[1])
@@ -88,47 +91,87 @@ def _layout(design: Design, terms: Sequence[str]) -> _Layout:
     return _Layout(columns, len(fixed), blocks, raw)
 
 
-def _search(size: int, start: float = 0.5, rounds: int = 12
-            ) -> Generator[list[np.ndarray], list[float], np.ndarray]:
-    """Minimise over standard deviations >= 0; each round asks for a batch of values.
+class _Approach:
+    """Joint first approach: each pass moves the coefficients and the deviations.
+
+    The coefficients take a Newton step; every variance becomes the squared length of its
+    effects over their effective number.  This lands near the Laplace optimum.
+    """
 
-    A quadratic is fitted to the batch and its minimum within a trust region taken next.
-    The criterion is even in every deviation, so trial points may be mirrored at 0.
+    def __init__(self, layout: _Layout):
+        self.layout, self.sd = layout, np.full(len(layout.blocks), 0.5)
+        self.theta = np.zeros(layout.raw.shape[1])
+        self.last, self.done, self.rounds = None, False, 0
+
+    def request(self) -> Request:
+        return Request(self.layout.columns, self.layout.raw @ self.theta)
+
+    def update(self, sums: Sums) -> None:
+        raw, p = self.layout.raw, self.layout.n_fixed
+        self.rounds += 1
+        if self.last is not None and sums.value < self.last[0] - 0.05 * abs(self.last[0]):
+            self.theta = 0.5 * (self.theta + self.last[1])
+            return
+        self.last = (sums.value, self.theta)
+        penalty = np.zeros(len(self.theta))
+        for s, (_, at) in zip(self.sd, self.layout.blocks):
+            penalty[at] = 1.0 / s ** 2
+        info = raw.T @ sums.info @ raw + np.diag(penalty)
+        info += 1e-10 * np.trace(info[:p, :p]) / p * np.eye(len(info))
+        step = np.linalg.solve(info, raw.T @ sums.score - penalty * self.theta)
+        self.theta = self.theta + step
+        before = self.sd.copy()
+        if self.rounds > 2 and len(info) > p:
+            cover = np.diag(np.linalg.inv(info[p:, p:]))
+            for k, (_, at) in enumerate(self.layout.blocks):
+                size = at.stop - at.start
+                effective = size - cover[at.start - p:at.stop - p].sum() / self.sd[k] ** 2
+                length = float(self.theta[at] @ self.theta[at])
+                self.sd[k] = min(max(math.sqrt(length / max(effective, 1e-12)), 1e-4), 1e3)
+        shift = np.max(np.abs(np.log(self.sd / before)) * (self.sd > 0.01), initial=0.0)
+        quiet = np.max(np.abs(raw @ step)) < 1e-3
+        self.done = (self.rounds > 3 and quiet and shift < 0.02) or self.rounds >= 30
+
+
+def _polish(sd: np.ndarray, rounds: int = 3) -> Generator[list[np.ndarray], list[float], None]:
+    """Refine the deviations on the log scale; each round asks for a batch of values.
+
+    A quadratic fitted to the batch gives the next centre.  Deviations that are almost 0
+    are compared with exactly 0 first.
     """
-    centre, step, radius = np.full(size, start), 0.2, 1.0
-    if size == 0:
+    centre = sd.copy()
+    small = centre < 0.02
+    if small.any():
+        zero = np.where(small, 0.0, centre)
+        value = yield [centre, zero]
+        if value[1] <= value[0] + 1e-3:
+            centre = zero
+    live = np.flatnonzero(centre > 0)
+    if not len(live):
         yield [centre]
-        return centre
+        return
+    step = 0.15
     for _ in range(rounds):
-        points = [centre]
-        for i in range(size):
-            for sign in (1, -1):
-                points.append(centre + sign * step * np.eye(size)[i])
-        for i, j in combinations(range(size), 2):
-            points.append(centre + step * (np.eye(size)[i] + np.eye(size)[j]))
-        value = yield [np.abs(p) for p in points]
-        f0, grad, hess = value[0], np.zeros(size), np.zeros((size, size))
-        for i in range(size):
-            up, down = value[1 + 2 * i], value[2 + 2 * i]
-            grad[i], hess[i, i] = (up - down) / (2 * step), (up - 2 * f0 + down) / step ** 2
-        for at, (i, j) in enumerate(combinations(range(size), 2), 1 + 2 * size):
-            hess[i, j] = hess[j, i] = (value[at] - value[1 + 2 * i] - value[1 + 2 * j]
-                                       + f0) / step ** 2
+        def at(move: np.ndarray) -> np.ndarray:
+            out = centre.copy()
+            out[live] *= np.exp(move)
+            return out
+        unit = np.eye(len(live)) * step
+        points = [centre] + [at(s * e) for e in unit for s in (1, -1)]
+        points += [at(unit[i] + unit[j]) for i, j in combinations(range(len(live)), 2)]
+        value = yield points
+        f0 = value[0]
+        up, down = np.array(value[1:1 + 2 * len(live):2]), np.array(value[2:2 + 2 * len(live):2])
+        grad, hess = (up - down) / (2 * step), np.diag((up - 2 * f0 + down) / step ** 2)
+        for v, (i, j) in zip(value[1 + 2 * len(live):], combinations(range(len(live)), 2)):
+            hess[i, j] = hess[j, i] = (v - up[i] - up[j] + f0) / step ** 2
         eig, vec = np.linalg.eigh(hess)
-        move = -vec @ ((vec.T @ grad) / np.maximum(np.abs(eig), 1e-3))
-        if np.max(np.abs(move)) > radius:
-            move *= radius / np.max(np.abs(move))
-        best = int(np.argmin(value))
-        target = np.maximum(centre + move, 0.0)
-        change = np.max(np.abs(target - centre))
-        if value[best] < f0 - 0.5 and not grad @ move < 0:
-            target = np.abs(points[best])
-        centre = target
-        step = min(step, max(0.02, 0.5 * change))
-        radius = max(0.2, 2 * change) if change < radius else radius
-        if change < 2e-3 and step <= 0.05:
+        move = -vec @ ((vec.T @ grad) / np.maximum(np.abs(eig), 1e-4))
+        move = np.clip(move, -1.0, 1.0)
+        centre = at(move)
+        if np.max(np.abs(move)) < 0.01:
             break
-    return centre
+    yield [centre]
 
 
 class _Mode:
@@ -181,32 +224,39 @@ def fit_binomial(design: Design, models: dict[str, Sequence[str]]) -> dict[str,
     found jointly for given standard deviations; those minimise the Laplace deviance.
     """
     layouts = {k: _layout(design, terms) for k, terms in models.items()}
-    searches = {k: _search(len(lay.blocks)) for k, lay in layouts.items()}
+    first = {k: _Approach(lay) for k, lay in layouts.items()}
+    while True:
+        active = {i: (k, m) for i, (k, m) in enumerate(first.items()) if not m.done}
+        if not active:
+            break
+        sums = evaluate(design, {i: m.request() for i, (_, m) in active.items()}, "binomial")
+        for i, (_, m) in active.items():
+            m.update(sums[i])
+    searches = {k: _polish(m.sd) for k, m in first.items()}
     asked = {k: next(s) for k, s in searches.items()}
-    start = {k: np.zeros(lay.raw.shape[1]) for k, lay in layouts.items()}
+    effects = {k: m.theta for k, m in first.items()}
     best: dict[str, tuple[np.ndarray, _Mode]] = {}
-    final: dict[str, np.ndarray] = {}
     while asked:
-        jobs = [(k, sd, _Mode(layouts[k], sd, start[k])) for k, sds in asked.items()
-                for sd in sds]
+        jobs = []
+        for k, sds in asked.items():
+            for sd in sds:
+                start = effects[k].copy()
+                for s, (_, at) in zip(sd, layouts[k].blocks):
+                    start[at] = start[at] / s if s > 0 else 0.0
+                jobs.append((k, sd, _Mode(layouts[k], sd, start)))
         _solve_modes(design, [m for _, _, m in jobs])
         following = {}
-        for k, sds in asked.items():
+        for k in asked:
             mine = [(sd, m) for key, sd, m in jobs if key == k]
             for sd, m in mine:
                 if k not in best or m.deviance < best[k][1].deviance:
                     best[k] = (sd, m)
-            start[k] = mine[0][1].theta
+                    effects[k] = m.theta * layouts[k].scale(sd)
             try:
                 following[k] = searches[k].send([m.deviance for _, m in mine])
-            except StopIteration as stop:
-                final[k] = stop.value
+            except StopIteration:
+                pass
         asked = following
-    last = {k: _Mode(layouts[k], sd, start[k]) for k, sd in final.items()}
-    _solve_modes(design, list(last.values()))
-    for k, m in last.items():
-        if m.deviance <= best[k][1].deviance + 1e-6:
-            best[k] = (final[k], m)
     moments = _row_moments(design)
     return {k: _finish(design, k, tuple(models[k]), layouts[k], sd, m.theta, m.info, 1.0,
                        -0.5 * m.deviance + design.log_constant,
@@ -330,7 +380,7 @@ def coefficients(spark: SparkSession, fits: Sequence[Fit], level: float = 0.95)
     z = normal_critical(level)
     out = []
     for f in fits:
-        for name, b, s in zip(f.names, f.beta, np.sqrt(np.diag(f.cov))):
+        for name, b, s in zip(f.names, f.beta, np.sqrt(np.maximum(np.diag(f.cov), 0.0))):
             value = float(b / s) if s > 0 else float("nan")
             out.append((f.model_id, name, float(b), float(s), value, normal_two_sided(value),
                         float(b - z * s), float(b + z * s)))
@@ -342,7 +392,7 @@ def coefficients(spark: SparkSession, fits: Sequence[Fit], level: float = 0.95)
 def model_table(spark: SparkSession, fits: Sequence[Fit]) -> DataFrame:
     """One row per model: input of the ranking by corrected AIC."""
     return spark.createDataFrame(
-        [(f.model_id, " + ".join(f.terms) or "1", f.loglik, f.k, f.n) for f in fits],
+        [(f.model_id, " + ".join(f.terms) or "1", float(f.loglik), f.k, f.n) for f in fits],
         "model_id string, terms string, loglik double, k int, n long")
 
 
@@ -357,7 +407,7 @@ def variance_components(spark: SparkSession, fits: Sequence[Fit]) -> DataFrame:
 
 def random_intercepts(spark: SparkSession, fit: Fit, design: Design, factor: str) -> DataFrame:
     """Conditional modes of one factor, as odds factors too, smallest first."""
-    rows = [(level, float(b), math.exp(b)) for level, b in
+    rows = [(level, float(b), float(math.exp(b))) for level, b in
             zip(design.levels[factor], fit.effects[factor])]
     return spark.createDataFrame(sorted(rows, key=lambda r: r[1]),
                                  "level string, intercept double, odds_factor double")
