@@ -104,14 +104,19 @@ class Design:
         return [0, *sorted(chain.from_iterable(self.term_columns[t] for t in terms))]
 
 
-def _log_choose(pairs: DataFrame) -> float:
-    """Sum of log binomial coefficients over rows ``(n, k, count)``."""
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            total = sum(c * (math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1))
-                        for n, k, c in zip(pdf["n"], pdf["k"], pdf["count"]))
-            yield pd.DataFrame({"v": [total]})
-    return pairs.mapInPandas(add, "v double").agg(F.sum("v")).first()[0] or 0.0
+def _log_factorial(x: Column) -> Column:
+    """log(x!) for x >= 0: Stirling's series at x + 8, walked back by the recurrence."""
+    z = x + 8.0
+    back = x + 1.0
+    for j in range(2, 8):
+        back = back * (x + float(j))
+    series = (1.0 / 12 - (1.0 / 360 - (1.0 / 1260 - 1.0 / (1680 * z * z)) / (z * z)) / (z * z)) / z
+    return ((z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + series) - F.log(back)
+
+
+def log_choose(n: Column, k: Column) -> Column:
+    """Log binomial coefficient."""
+    return _log_factorial(n) - _log_factorial(k) - _log_factorial(n - k)
 
 
 def _knot_basis(knots: np.ndarray) -> np.ndarray:
@@ -140,17 +145,16 @@ def build_design(df: DataFrame, fixed: Sequence[Term], random: Sequence[str] = (
     if response is None:
         df = df.filter(F.col(trials) > 0)
         a, n = F.col(positive).cast("double"), F.col(trials).cast("double")
-        yy = F.lit(0.0)
-        pairs = df.groupBy(F.col(trials).alias("n"), F.col(positive).alias("k")).count()
-        constant = _log_choose(pairs)
+        yy, constant = F.lit(0.0), log_choose(n, a)
     else:
         w = F.lit(1.0) if weight is None else weight.cast("double")
         y = response.cast("double")
         df = df.withColumns({"_y": y, "_wt": w}).dropna(subset=["_y", "_wt"]).filter("_wt > 0")
         a, n, yy = F.col("_wt") * F.col("_y"), F.col("_wt"), F.col("_wt") * F.col("_y") ** 2
-        constant = df.agg(F.sum(F.log("_wt"))).first()[0] or 0.0
+        constant = F.log("_wt")
     cells = cut_lineage(df.groupBy(*cols).agg(
         F.sum(a).alias("a"), F.sum(n).alias("n"), F.sum(yy).alias("yy"),
+        F.sum(constant).alias("constant"),
         F.count(F.lit(1)).alias("rows")))
 
     numeric = {t.col for t in _mains(fixed) if isinstance(t, Numeric)} | {
@@ -165,7 +169,8 @@ def build_design(df: DataFrame, fixed: Sequence[Term], random: Sequence[str] = (
                   F.max(x).alias(f"hi_{c}"),
                   F.sum(x * x * F.col("rows")).alias(f"s2_{c}")]
     stats += [F.count_distinct(c).alias(f"n_{c}") for c in factors]
-    moments = cells.agg(F.sum("rows").alias("rows"), *stats).first()
+    moments = cells.agg(F.sum("rows").alias("rows"), F.sum("constant").alias("constant"),
+                        *stats).first()
     n_obs = moments["rows"]
     if not n_obs:
         raise ValueError("the cohort has no complete rows")
@@ -233,7 +238,7 @@ def build_design(df: DataFrame, fixed: Sequence[Term], random: Sequence[str] = (
          else F.array().cast("array<int>")).alias("g"), "a", "n", "yy",
         F.col("rows").cast("double").alias("rows")))
     return Design(rows, [name for name, _ in dense], owner, {c: levels[c] for c in random},
-                  n_obs, constant, curves, n_fixed)
+                  n_obs, moments["constant"], curves, n_fixed)
 
 
 def _mains(fixed: Sequence[Term]) -> list[Numeric | Factor]:

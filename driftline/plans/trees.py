@@ -8,7 +8,7 @@ from driftline.functions import recode
 from driftline.operators import names, taxonomy
 from driftline.plans.registry import query, r
 from driftline.sources import starschema
-from driftline.sources.starschema import _choose
+from driftline.sources.starschema import _choose, for_check, for_spark
 
 _EDGES = starschema.taxonomy_edges
 
@@ -164,16 +164,17 @@ def tree_attach(spark, sf_dir):
 
 
 _TIPS = [*recode.FAMILY_TIP_NAMES, *recode.ORDER_TIP_NAMES, "Mugilidae", "Soleidae"]
+_RAW_LABEL = _choose(f"l_partkey % {len(_TIPS)}", _TIPS)
 _TIP_TABLE = {**recode.FAMILY_TIP_NAMES, **recode.ORDER_TIP_NAMES}
 
 
 @query("tip_relabel", f"""SELECT raw_label, CASE raw_label
     {" ".join(f"WHEN '{a}' THEN '{b}'" for a, b in _TIP_TABLE.items())} ELSE raw_label END AS label,
-    count(*) AS n_rows FROM (SELECT {_choose(f"l_partkey % {len(_TIPS)}", _TIPS)} AS raw_label
+    count(*) AS n_rows FROM (SELECT {for_check(_RAW_LABEL)} AS raw_label
     FROM lineitem) GROUP BY ALL""")
 def tip_relabel(spark, sf_dir):
     df = starschema.table(spark, sf_dir, "lineitem").select(
-        F.expr(_choose(f"l_partkey % {len(_TIPS)}", _TIPS)).alias("raw_label"))
+        F.expr(for_spark(_RAW_LABEL)).alias("raw_label"))
     out = taxonomy.relabel(df.withColumn("label", F.col("raw_label")), _TIP_TABLE)
     return out.groupBy("raw_label", "label").agg(F.count(F.lit(1)).alias("n_rows"))
 
@@ -186,9 +187,9 @@ _ASKED = f"""CASE p_partkey % 6 WHEN 0 THEN {_NAME} WHEN 1 THEN upper({_NAME})
 _FLAG = "CASE WHEN p_name LIKE 'old %' THEN 'INCERTAE_SEDIS_INHERITED' ELSE '' END"
 
 
-@query("name_resolve", f"""WITH tax AS (SELECT {_NAME} AS label, min({starschema._TREE}) AS node,
+@query("name_resolve", f"""WITH tax AS (SELECT {for_check(_NAME)} AS label, min({starschema._TREE}) AS node,
     min({_FLAG}) AS flags FROM part GROUP BY 1),
-    asked AS (SELECT DISTINCT {_ASKED} AS query FROM part),
+    asked AS (SELECT DISTINCT {for_check(_ASKED)} AS query FROM part),
     pairs AS (SELECT query, label, node, flags, CAST(levenshtein(replace(lower(query), '_', ' '),
       lower(label)) AS INT) AS distance FROM asked, tax
       WHERE abs(length(query) - length(label)) <= 1)
@@ -197,6 +198,6 @@ _FLAG = "CASE WHEN p_name LIKE 'old %' THEN 'INCERTAE_SEDIS_INHERITED' ELSE '' E
     WHERE rn = 1 AND flags <> 'INCERTAE_SEDIS_INHERITED'""")
 def name_resolve(spark, sf_dir):
     part = starschema.table(spark, sf_dir, "part")
-    known = part.groupBy(F.expr(_NAME).alias("label")).agg(
+    known = part.groupBy(F.expr(for_spark(_NAME)).alias("label")).agg(
         F.min(F.expr(starschema._TREE)).alias("node"), F.min(F.expr(_FLAG)).alias("flags"))
-    return names.resolve_names(part.select(F.expr(_ASKED).alias("query")), known)
+    return names.resolve_names(part.select(F.expr(for_spark(_ASKED)).alias("query")), known)

@@ -7,6 +7,7 @@ requested columns need.  The same expressions make up the SQL views used for che
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,9 +17,18 @@ from driftline.functions import recode
 
 
 def _choose(index: str, values: Sequence[str | None]) -> str:
-    arms = " ".join(
-        f"WHEN {i} THEN '{v}'" for i, v in enumerate(values) if v is not None)
-    return f"CASE {index} {arms} END"
+    """The value at a 0-based index, written for ``for_spark`` or ``for_check``."""
+    texts = ", ".join("NULL" if v is None else f"'{v}'" for v in values)
+    return f"@[{index}]({texts})@"
+
+
+def for_spark(expr: str) -> str:
+    """Lookups become indexes into a constant array, which keeps generated code short."""
+    return re.sub(r"@\[(.*?)\]\((.*?)\)@", r"element_at(array(\2), CAST(\1 AS INT) + 1)", expr)
+
+
+def for_check(expr: str) -> str:
+    return re.sub(r"@\[(.*?)\]\((.*?)\)@", r"list_extract([\2], CAST(\1 AS INT) + 1)", expr)
 
 
 _GEAR_TEXTS = [v for texts in recode.GEAR_GROUPS.values() for v in texts]
@@ -116,18 +126,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal a file out to all cores when it is too small to be split.
+
+    A table with at least half as many splits as there are cores is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if 2 * df.rdd.getNumPartitions() < cores else df
+
+
 def raw_records(spark: SparkSession, sf_dir: str, columns: Sequence[str],
                 row_id: bool = False) -> DataFrame:
     """The record table with the asked columns, before any cleaning.
 
     ``row_id`` adds the row order as one comparable struct.
     """
+    exprs = {c: for_spark(RECORD_COLUMNS[c][0]) for c in columns}
     needed = {t for c in columns for t in RECORD_COLUMNS[c][1]}
-    df = table(spark, sf_dir, "lineitem")
+    df, early = spread(table(spark, sf_dir, "lineitem"), "l_orderkey"), set()
     for name, (left, right) in _JOINS.items():
         if name in needed:
-            df = df.join(table(spark, sf_dir, name), F.col(left) == F.col(right))
-    out = [F.expr(RECORD_COLUMNS[c][0]).alias(c) for c in columns]
+            side = table(spark, sf_dir, name)
+            # a column of one dimension is computed there, once per dimension row
+            own = [c for c in columns
+                   if set(re.findall(r"\b([lpso])_\w+", exprs[c])) == {right[0]}]
+            side = side.select("*", *[F.expr(exprs[c]).alias(c) for c in own])
+            df = df.join(side, F.col(left) == F.col(right))
+            early.update(own)
+    out = [F.col(c) if c in early else F.expr(exprs[c]).alias(c) for c in columns]
     if row_id:
         out.append(F.struct(*_ROW_ID).alias("row_id"))
     return df.select(*out)
@@ -136,7 +162,7 @@ def raw_records(spark: SparkSession, sf_dir: str, columns: Sequence[str],
 def province_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lookup of adjacency and mean pollution per province, one row per nation."""
     return table(spark, sf_dir, "nation").select(
-        F.expr(_choose("n_nationkey", _LOOKUP_CODES)).alias("ProvCode"),
+        F.expr(for_spark(_choose("n_nationkey", _LOOKUP_CODES))).alias("ProvCode"),
         F.concat(F.lit("Province, "), F.col("n_name")).alias("ProvDescr"),
         (F.col("n_nationkey") % 2).alias("adjacency"),
         F.expr("3.0 * pow(10, n_nationkey % 8)").alias("mean_poll_abund"))
@@ -148,14 +174,14 @@ def quoted(name: str) -> str:
 
 def raw_records_sql() -> str:
     """The same record table as one SQL query (all columns and the row order)."""
-    cols = ", ".join(f"{e} AS {quoted(c)}" for c, (e, _) in RECORD_COLUMNS.items())
+    cols = ", ".join(f"{for_check(e)} AS {quoted(c)}" for c, (e, _) in RECORD_COLUMNS.items())
     return (f"SELECT {cols}, {', '.join(_ROW_ID)} FROM lineitem"
             " JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey"
             " JOIN orders ON l_orderkey = o_orderkey")
 
 
 def province_lookup_sql() -> str:
-    return (f"SELECT {_choose('n_nationkey', _LOOKUP_CODES)} AS ProvCode,"
+    return (f"SELECT {for_check(_choose('n_nationkey', _LOOKUP_CODES))} AS ProvCode,"
             " concat('Province, ', n_name) AS ProvDescr, n_nationkey % 2 AS adjacency,"
             " 3.0 * pow(10, n_nationkey % 8) AS mean_poll_abund FROM nation")
 
@@ -198,7 +224,7 @@ def polygon_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     shapes = spark.createDataFrame(SHAPES, "shape int, ring int, seq int, dx int, dy int")
     return (table(spark, sf_dir, "supplier")
             .join(shapes, F.col("s_suppkey") % 4 == F.col("shape"))
-            .select(F.expr(_ZONE).alias("prov_code"), F.col("s_suppkey").alias("part"), "ring",
+            .select(F.expr(for_spark(_ZONE)).alias("prov_code"), F.col("s_suppkey").alias("part"), "ring",
                     "seq", F.expr(_X).alias("lon"), F.expr(_Y).alias("lat")))
 
 
@@ -211,7 +237,7 @@ def grid_sql() -> str:
       90 - (vec_id + 0.5::DOUBLE) * (180::DOUBLE / (SELECT count(*) FROM embeddings)) AS lat,
       {cell} AS value FROM (SELECT vec_id, unnest(embedding) AS v,
       unnest(range(1, 65)) AS i FROM embeddings)),
-    vertices AS (SELECT {_ZONE} AS prov_code, s_suppkey AS part, ring, seq,
+    vertices AS (SELECT {for_check(_ZONE)} AS prov_code, s_suppkey AS part, ring, seq,
       {_X} AS lon, {_Y} AS lat FROM supplier
       JOIN (VALUES {shapes}) s(shape, ring, seq, dx, dy) ON s_suppkey % 4 = shape),
     edges AS (SELECT prov_code, part, ring, seq, lon AS lon1, lat AS lat1,
