@@ -24,7 +24,7 @@ def _choose(index: str, values: Sequence[str | None]) -> str:
 
 def for_spark(expr: str) -> str:
     """Lookups become indexes into a constant array, which keeps generated code short."""
-    return re.sub(r"@\[(.*?)\]\((.*?)\)@", r"element_at(array(\2), CAST(\1 AS INT) + 1)", expr)
+    return re.sub(r"@\[(.*?)\]\((.*?)\)@", r"get(array(\2), CAST(\1 AS INT))", expr)
 
 
 def for_check(expr: str) -> str:
