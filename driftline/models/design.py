@@ -86,7 +86,11 @@ class Curve:
 
 @dataclass
 class Design:
-    """Merged rows ``(x, g, a, n, yy, rows)`` and what the columns mean."""
+    """Merged rows ``(x, g, a, n, yy, rows)`` and what the columns mean.
+
+    ``absorbed`` names a random factor with too many levels for the driver; its level is
+    then kept in a column ``h`` by which the rows are sorted.
+    """
     rows: DataFrame
     names: list[str]               # dense columns, knot columns last
     term_columns: dict[str, list[int]]
@@ -95,6 +99,7 @@ class Design:
     log_constant: float
     curves: list[Curve] = field(default_factory=list)
     n_fixed: int = 0
+    absorbed: str | None = None
 
     @property
     def level_counts(self) -> list[int]:
@@ -135,9 +140,13 @@ def _knot_basis(knots: np.ndarray) -> np.ndarray:
 
 def build_design(df: DataFrame, fixed: Sequence[Term], random: Sequence[str] = (),
                  positive: str | None = "NwP", trials: str = "N",
-                 response: Column | None = None, weight: Column | None = None) -> Design:
+                 response: Column | None = None, weight: Column | None = None,
+                 max_levels: int = MAX_LEVELS) -> Design:
     """Design of a binomial model (``positive`` of ``trials``) or, with ``response``, a
-    Gaussian one.  The cohort must be complete in all model columns."""
+    Gaussian one.  The cohort must be complete in all model columns.
+
+    When the factors have more than ``max_levels`` levels together, the largest random
+    factor is absorbed: its effects stay distributed (see ``absorbed``)."""
     cols = list(dict.fromkeys(chain(
         (c for t in fixed for c in ([t.a.col, t.b.col] if isinstance(t, Interaction)
                                     else [t.col, *([t.by] if isinstance(t, Smooth) and t.by
@@ -174,9 +183,14 @@ def build_design(df: DataFrame, fixed: Sequence[Term], random: Sequence[str] = (
     n_obs = moments["rows"]
     if not n_obs:
         raise ValueError("the cohort has no complete rows")
-    if factors and sum(moments[f"n_{c}"] for c in factors) > MAX_LEVELS:
-        raise ValueError(f"more than {MAX_LEVELS} factor levels; their joint system would not be"
-                         " small")
+    absorbed, total = None, sum(moments[f"n_{c}"] for c in factors)
+    if total > max_levels and random:
+        absorbed = max(random, key=lambda c: moments[f"n_{c}"])
+        total -= moments[f"n_{absorbed}"]
+        random = [c for c in random if c != absorbed]
+        factors = [c for c in factors if c != absorbed]
+    if total > max_levels:
+        raise ValueError(f"more than {max_levels} factor levels besides the absorbed factor")
     levels = {}
     if factors:
         sets = cells.agg(*[F.sort_array(F.collect_set(F.col(c).cast("string"))).alias(c)
@@ -232,13 +246,19 @@ def build_design(df: DataFrame, fixed: Sequence[Term], random: Sequence[str] = (
         pairs = [F.lit(v) for i, level in enumerate(levels[c]) for v in (level, i)]
         return F.element_at(F.create_map(*pairs), F.col(c).cast("string"))
 
-    rows = cut_lineage(cells.select(
+    rows = cells.select(
         F.array(*[c for _, c in dense]).alias("x"),
         (F.array(*[index(c) for c in random]) if random
          else F.array().cast("array<int>")).alias("g"), "a", "n", "yy",
-        F.col("rows").cast("double").alias("rows")))
+        F.col("rows").cast("double").alias("rows"),
+        *([F.col(absorbed).cast("string").alias("h")] if absorbed else []))
+    if absorbed:
+        # range partitions split a frequent level, and equal levels lie together
+        rows = rows.orderBy("h", "a", "n")
+    rows = cut_lineage(rows)
     return Design(rows, [name for name, _ in dense], owner, {c: levels[c] for c in random},
-                  n_obs, moments["constant"], curves, n_fixed)
+                  n_obs, moments["constant"], curves, n_fixed,
+                  absorbed)
 
 
 def _mains(fixed: Sequence[Term]) -> list[Numeric | Factor]:

@@ -15,6 +15,7 @@ from itertools import combinations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from driftline.models import absorbed
 from driftline.models.design import Design, Interaction, Request, Sums, Term, evaluate
 from driftline.models.special import normal_critical, normal_two_sided
 
@@ -37,12 +38,13 @@ class Fit:
     curves: dict[str, np.ndarray]  # (x, fit, se) per curve
     edf: dict[str, float]
     var_fixed: float = float("nan")
+    absorbed_effects: DataFrame | None = None     # (level, effect) of an absorbed factor
 
     @property
     def r2(self) -> tuple[float, float]:
         """Marginal and conditional R2 (logit residual variance pi^2 / 3)."""
         noise = math.pi ** 2 / 3 if self.family == "binomial" else self.residual ** 2
-        shared = sum(s * s for name, s in self.spread.items() if name in self.effects)
+        shared = sum(s * s for name, s in self.spread.items() if name not in self.curves)
         total = self.var_fixed + shared + noise
         return self.var_fixed / total, (self.var_fixed + shared) / total
 
@@ -223,6 +225,8 @@ def fit_binomial(design: Design, models: dict[str, Sequence[str]]) -> dict[str,
     ``models`` names the fixed terms of each model.  Fixed effects and conditional modes are
     found jointly for given standard deviations; those minimise the Laplace deviance.
     """
+    if design.absorbed:
+        return {k: _fit_absorbed(design, k, terms) for k, terms in models.items()}
     layouts = {k: _layout(design, terms) for k, terms in models.items()}
     first = {k: _Approach(lay) for k, lay in layouts.items()}
     while True:
@@ -264,6 +268,96 @@ def fit_binomial(design: Design, models: dict[str, Sequence[str]]) -> dict[str,
             for k, (sd, m) in best.items()}
 
 
+def _fit_absorbed(design: Design, key: str, terms: Sequence[str]) -> Fit:
+    """As above for one model, with the effects of the absorbed factor kept on Spark.
+
+    Trial values are worked through one by one; everything is in unscaled effects.
+    """
+    layout, p = _layout(design, terms), len(design.fixed_columns(terms))
+    blocks = [at for _, at in layout.blocks]
+    sd = np.full(len(blocks) + 1, 0.5)
+    theta = np.zeros(layout.raw.shape[1])
+    effects = absorbed.start(design)
+
+    def newton(sd: np.ndarray, theta: np.ndarray, effects: DataFrame):
+        state = absorbed.level_sums(design, layout.columns, layout.raw @ theta, effects,
+                                    "binomial")
+        cut = absorbed.eliminate(state, sd[-1])
+        penalty = np.zeros(len(theta))
+        for s, at in zip(sd, blocks):
+            penalty[at] = 1.0 / s ** 2
+        info = layout.raw.T @ (state.info - cut.outer) @ layout.raw + np.diag(penalty)
+        score = layout.raw.T @ (state.score - cut.score) - penalty * theta
+        goal = state.value - 0.5 * (np.sum(penalty * theta ** 2) + cut.squares / sd[-1] ** 2)
+        return state, cut, info, score, goal, penalty
+
+    def step_of(info: np.ndarray, score: np.ndarray) -> np.ndarray:
+        ridge = 1e-10 * np.trace(info[:p, :p]) / p
+        return np.linalg.solve(info + ridge * np.eye(len(info)), score)
+
+    for rounds in range(30):
+        state, cut, info, score, _, _ = newton(sd, theta, effects)
+        move = step_of(info, score)
+        effects = absorbed.step(state, sd[-1], layout.raw @ move)
+        theta = theta + move
+        before = sd.copy()
+        if rounds > 1:
+            cover = np.diag(np.linalg.inv(info[p:, p:])) if len(info) > p else np.zeros(0)
+            for k, at in enumerate(blocks):
+                size = at.stop - at.start
+                left = size - cover[at.start - p:at.stop - p].sum() / sd[k] ** 2
+                sd[k] = min(max(math.sqrt(float(theta[at] @ theta[at]) / max(left, 1e-12)), 1e-4),
+                            1e3)
+            rest = layout.raw[:, p:] @ np.linalg.inv(info[p:, p:]) @ layout.raw[:, p:].T \
+                if len(info) > p else np.zeros_like(cut.outer2)
+            covered = cut.inverse + float(np.sum(rest * cut.outer2))
+            left = cut.count - covered / sd[-1] ** 2
+            squares = absorbed.squares(effects)
+            sd[-1] = min(max(math.sqrt(squares / max(left, 1e-12)), 1e-4), 1e3)
+        drift = np.max(np.abs(np.log(sd / before)) * (sd > 0.01))
+        if rounds > 2 and drift < 0.01 and np.max(np.abs(layout.raw @ move)) < 1e-3:
+            break
+
+    def settle(sd: np.ndarray, theta: np.ndarray, effects: DataFrame):
+        for _ in range(20):
+            state, cut, info, score, goal, _ = newton(sd, theta, effects)
+            move = step_of(info, score)
+            inner = info[p:, p:]
+            deviance = (-2.0 * goal + cut.log_det + 2 * cut.count * math.log(sd[-1])
+                        + (np.linalg.slogdet(inner)[1] if len(inner) else 0.0)
+                        + 2 * sum((at.stop - at.start) * math.log(s)
+                                  for s, at in zip(sd, blocks)))
+            if score @ move + cut.gain < 1e-6:
+                break
+            effects = absorbed.step(state, sd[-1], layout.raw @ move)
+            theta = theta + move
+        return deviance, theta, effects, info
+
+    search = _polish(np.maximum(sd, 0.02), rounds=2)
+    asked, best = next(search), None
+    while asked is not None:
+        values = []
+        for trial in asked:
+            done = settle(np.maximum(trial, 1e-4), theta, effects)
+            values.append(done[0])
+            if best is None or done[0] < best[1][0]:
+                best = (np.maximum(trial, 1e-4), done)
+        theta, effects = best[1][1], best[1][2]
+        try:
+            asked = search.send(values)
+        except StopIteration:
+            asked = None
+    sd, (deviance, theta, effects, info) = best
+    small = _Layout(layout.columns, layout.n_fixed, layout.blocks, layout.raw)
+    fit = _finish(design, key, tuple(terms), small, np.ones(len(blocks)), theta, info, 1.0,
+                  -0.5 * deviance + design.log_constant, p + len(sd), "binomial",
+                  _row_moments(design))
+    fit.spread = {**{name: float(s) for s, (name, _) in zip(sd, layout.blocks)},
+                  design.absorbed: float(sd[-1])}
+    fit.absorbed_effects = effects
+    return fit
+
+
 def _row_moments(design: Design) -> np.ndarray:
     """Sample covariance of the fixed columns over the original rows."""
     cols = np.arange(design.n_fixed)
@@ -343,34 +437,51 @@ def fit_gaussian(design: Design, terms: Sequence[str], model_id: str = "model",
     """
     layout = _layout(design, terms)
     zero = Request(layout.columns, np.zeros(layout.raw.shape[0]))
-    sums = evaluate(design, {0: zero}, "gaussian")[0]
+    if design.absorbed:
+        sums = absorbed.level_sums(design, layout.columns, zero.coef, absorbed.start(design),
+                                   "gaussian")
+    else:
+        sums = evaluate(design, {0: zero}, "gaussian")[0]
+    names = [name for name, _ in layout.blocks] + ([design.absorbed] if design.absorbed else [])
     p, n, penalty = layout.n_fixed, design.n_obs, layout.penalty()
     free = n - p if reml else n
 
     def solve(sd: np.ndarray):
-        m = layout.scaled(np.abs(sd))
-        info = m.T @ sums.info @ m + np.diag(penalty)
-        score = m.T @ sums.score
+        m = layout.scaled(np.abs(sd[:len(layout.blocks)]))
+        matrix, right, value, extra = sums.info, sums.score, sums.value, 0.0
+        if design.absorbed:
+            big = max(abs(sd[-1]), 1e-6)
+            cut = absorbed.eliminate(sums, big)
+            matrix, right, value = matrix - cut.outer, right - cut.score, value - cut.gain
+            extra = cut.log_det + 2 * cut.count * math.log(big)
+        info = m.T @ matrix @ m + np.diag(penalty)
+        score = m.T @ right
         theta = np.linalg.lstsq(info, score, rcond=1e-12)[0]
-        rss = max(sums.value - theta @ score, 1e-300)
-        return info, theta, rss
+        rss = max(value - theta @ score, 1e-300)
+        return info, theta, rss, extra
 
     def criterion(sd: np.ndarray) -> float:
-        info, _, rss = solve(sd)
+        info, _, rss, extra = solve(sd)
         inner = info[p:, p:]
-        log_u = np.linalg.slogdet(inner)[1] if len(inner) else 0.0
-        log_all = np.linalg.slogdet(info)[1]
+        log_u = (np.linalg.slogdet(inner)[1] if len(inner) else 0.0) + extra
+        log_all = np.linalg.slogdet(info)[1] + extra
         return ((log_all if reml else log_u)
                 + free * (1 + math.log(2 * math.pi * rss / free)) - design.log_constant)
 
     sd = np.zeros(0)
-    if layout.blocks:
-        sd = np.abs(min((_nelder_mead(criterion, np.full(len(layout.blocks), s))
-                         for s in (0.1, 1.0)), key=criterion))
-    info, theta, rss = solve(sd)
+    if names:
+        starts = (0.5,) if design.absorbed else (0.1, 1.0)     # a trial costs a pass if absorbed
+        tol = 1e-7 if design.absorbed else 1e-9
+        sd = np.abs(min((_nelder_mead(criterion, np.full(len(names), s), tol=tol)
+                         for s in starts), key=criterion))
+    info, theta, rss, _ = solve(sd)
     residual = math.sqrt(rss / free)
-    return _finish(design, model_id, tuple(terms), layout, sd, theta, info, residual,
-                   -0.5 * criterion(sd), p + len(sd) + 1, "gaussian", _row_moments(design))
+    fit = _finish(design, model_id, tuple(terms), layout, sd[:len(layout.blocks)], theta, info,
+                  residual, -0.5 * criterion(sd), p + len(sd) + 1, "gaussian",
+                  _row_moments(design))
+    if design.absorbed:
+        fit.spread[design.absorbed] = float(sd[-1] * residual)
+    return fit
 
 
 # --- results as DataFrames -----------------------------------------------------------

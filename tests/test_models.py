@@ -234,3 +234,36 @@ def test_response_filter(spark):
                                "g string, m double")
     design = build_design(df, [Factor("g")], response=rsem.log_or_null("m"))
     assert design.n_obs == 4
+
+
+def test_absorbed_factor_gives_the_same_fit(trials):
+    df, _ = trials
+    terms = [Numeric("x"), Factor("f")]
+    names = [t.name for t in terms]
+    plain = mixed.fit_binomial(build_design(df, terms, ("g", "h")), {"m": names})["m"]
+    design = build_design(df, terms, ("g", "h"), max_levels=8)
+    assert design.absorbed == "g"
+    fit = mixed.fit_binomial(design, {"m": names})["m"]
+    assert fit.loglik == pytest.approx(plain.loglik, abs=2e-3)
+    assert fit.beta == pytest.approx(plain.beta, abs=5e-3)
+    assert np.diag(fit.cov) == pytest.approx(np.diag(plain.cov), rel=0.05)
+    for k in ("g", "h"):
+        assert fit.spread[k] == pytest.approx(plain.spread[k], rel=0.05)
+    table = {r["h"]: r["b"] for r in fit.absorbed_effects.collect()}
+    wanted = dict(zip(build_design(df, terms, ("g", "h")).levels["g"], plain.effects["g"]))
+    assert table == pytest.approx(wanted, abs=2e-2)
+
+
+def test_absorbed_gaussian_factor(spark):
+    rng = np.random.default_rng(13)
+    g, x = rng.integers(0, 12, 120), rng.normal(size=120)
+    y = 1 + 0.5 * x + rng.normal(0, .7, 12)[g] + rng.normal(0, .5, 120)
+    df = spark.createDataFrame([(f"g{a}", float(b), float(c)) for a, b, c in zip(g, x, y)],
+                               "g string, x double, y double")
+    terms = [Numeric("x", scale=False)]
+    plain = mixed.fit_gaussian(build_design(df, terms, ("g",), response=F.col("y")), ["x"])
+    fit = mixed.fit_gaussian(build_design(df, terms, ("g",), response=F.col("y"), max_levels=4),
+                             ["x"])
+    assert fit.loglik == pytest.approx(plain.loglik, abs=1e-4)
+    assert fit.beta == pytest.approx(plain.beta, abs=1e-3)
+    assert fit.spread["g"] == pytest.approx(plain.spread["g"], rel=1e-2)
