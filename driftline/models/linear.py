@@ -66,25 +66,26 @@ def solve_moments(m: Sequence[float], p: int, n: int, shift: np.ndarray) -> dict
 
 
 def linear_fit(df: DataFrame, y: Column, xs: Mapping[str, Column], by: Sequence[str] = (),
-               weight: Column | None = None, origin: Mapping[str, float] | None = None
-               ) -> DataFrame:
+               weight: Column | None = None, origin: Mapping[str, float] | None = None,
+               models: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """Weighted least squares with intercept, one fit per group.
 
     One aggregation pass; rows with a missing value or weight 0 drop out.  ``origin`` is
     a typical value of a regressor that sits far from 0 (a year), taken off before
-    squaring.  Result: one row per group and term.  Groups with too few rows or
+    squaring.  ``models`` fits several subsets of the regressors to the same rows, still in
+    one pass.  Result: one row per group, model and term.  Groups with too few rows or
     collinear columns give no rows.
     """
     origin, names = dict(origin or {}), list(xs)
-    p, terms = len(names), ["(Intercept)", *names]
-    shift = np.array([float(origin.get(n, 0.0)) for n in names])
+    models = {k: list(v) for k, v in (models or {"all": names}).items()}
+    p = len(names)
     moments = _moments(_design(df, by, y, xs, weight, origin), by, p)
     schema = T.StructType(
         [moments.schema[b] for b in by]
-        + [T.StructField("term", T.StringType())]
+        + [T.StructField("model_id", T.StringType()), T.StructField("term", T.StringType())]
         + [T.StructField(c, T.DoubleType()) for c in ("estimate", "std_error", "t_value",
                                                       "p_value")]
-        + [T.StructField("n", T.LongType())]
+        + [T.StructField("n", T.LongType()), T.StructField("k", T.IntegerType())]
         + [T.StructField(c, T.DoubleType()) for c in ("sigma", "r_squared", "adj_r_squared",
                                                       "f_value", "rss")])
 
@@ -92,21 +93,35 @@ def linear_fit(df: DataFrame, y: Column, xs: Mapping[str, Column], by: Sequence[
         for pdf in batches:
             out = []
             for row in pdf.to_dict("records"):
-                fit = solve_moments(row["m"], p, row["n"], shift)
-                if fit is None:
-                    continue
-                se = np.sqrt(np.diag(fit["cov"]))
-                adj = 1.0 - (1.0 - fit["r2"]) * (row["n"] - 1) / fit["df"]
-                for term, est, s in zip(terms, fit["beta"], se):
-                    t = est / s if s > 0 else float("inf")
-                    out.append([*[row[b] for b in by], term, est, s, t,
-                                t_two_sided(t, fit["df"]), row["n"], fit["sigma"], fit["r2"],
-                                adj, fit["f"], fit["rss"]])
+                for model, terms in models.items():
+                    used = [names.index(t) for t in terms]
+                    m = pick_moments(row["m"], p, used)
+                    shift = np.array([float(origin.get(t, 0.0)) for t in terms])
+                    fit = solve_moments(m, len(used), row["n"], shift)
+                    if fit is None:
+                        continue
+                    se = np.sqrt(np.diag(fit["cov"]))
+                    adj = 1.0 - (1.0 - fit["r2"]) * (row["n"] - 1) / fit["df"]
+                    for term, est, s in zip(["(Intercept)", *terms], fit["beta"], se):
+                        t = est / s if s > 0 else float("inf")
+                        out.append([*[row[b] for b in by], model, term, est, s, t,
+                                    t_two_sided(t, fit["df"]), row["n"], len(used) + 2,
+                                    fit["sigma"], fit["r2"], adj, fit["f"], fit["rss"]])
             yield pd.DataFrame(out, columns=schema.names)
 
     return moments.mapInPandas(solve, schema)
 
 
+def pick_moments(m: Sequence[float], p: int, used: Sequence[int]) -> np.ndarray:
+    """Moment sums of a subset of the regressors."""
+    full = np.zeros((p + 2, p + 2))
+    full[np.triu_indices(p + 2)] = m
+    full = full + np.triu(full, 1).T
+    at = [0, *[j + 1 for j in used], p + 1]
+    part = full[np.ix_(at, at)]
+    return part[np.triu_indices(len(at))]
+
+
 def fit_band(df: DataFrame, y: Column, x: Column, degree: int = 1, by: Sequence[str] = (),
              weight: Column | None = None, origin: float = 0.0, level: float = 0.95,
              points: int = 80) -> DataFrame:

@@ -103,7 +103,8 @@ class _Approach:
     def __init__(self, layout: _Layout):
         self.layout, self.sd = layout, np.full(len(layout.blocks), 0.5)
         self.theta = np.zeros(layout.raw.shape[1])
-        self.last, self.done, self.rounds = None, False, 0
+        self.last, self.rounds = None, 0
+        self.done = not layout.blocks          # nothing to approach without deviations
 
     def request(self) -> Request:
         return Request(self.layout.columns, self.layout.raw @ self.theta)
@@ -557,19 +558,22 @@ def logistic_bands(df: DataFrame, group: str, x: str, y: str, level: float = 0.9
     from pyspark.sql import functions as F
 
     from driftline.models.design import Factor, Numeric, build_design
-    g, slope = Factor(group), Numeric(x)
+    from driftline.session import cut_lineage
+    g, slope = Factor(group), Numeric(x, scale=False)
     terms = [g, slope, Interaction(g, slope)]
-    data = df.select(F.col(group), F.col(x), F.col(y).alias("_k"), F.lit(1).alias("_one"))
-    edge = data.agg(F.min(x), F.max(x), F.avg(x), F.stddev_samp(x)).first()
+    data = cut_lineage(df.groupBy(group, x, F.col(y).alias("_k")).agg(
+        F.count(F.lit(1)).alias("_one"))
+        .withColumn("_k", F.col("_k") * F.col("_one")))
+    edge = data.agg(F.min(x), F.max(x)).first()
+    data = data.withColumn(x, F.col(x) - F.lit(edge[0]))
     design = build_design(data, terms, positive="_k", trials="_one")
     fit = fit_binomial(design, {"logistic": [t.name for t in terms]})["logistic"]
     groups = [r[0] for r in data.select(group).distinct().orderBy(group).collect()]
     z, out = normal_critical(level), []
     for name in groups:
         for v in range(int(edge[0]), int(edge[1]) + 1):
-            u = (v - edge[2]) / (edge[3] or 1.0)
-            row = np.array([{"(Intercept)": 1.0, f"{group}{name}": 1.0, slope.name: u,
-                             f"{group}{name}:{slope.name}": u}.get(c, 0.0) for c in fit.names])
+            row = np.array([{"(Intercept)": 1.0, f"{group}{name}": 1.0, slope.name: v - edge[0],
+                             f"{group}{name}:{slope.name}": v - edge[0]}.get(c, 0.0) for c in fit.names])
             eta, se = float(row @ fit.beta), math.sqrt(max(row @ fit.cov @ row, 0.0))
             out.append((name, v, *[1 / (1 + math.exp(-max(min(e, 700.0), -700.0)))
                                    for e in (eta, eta - z * se, eta + z * se)]))

@@ -9,8 +9,9 @@ from driftline.models import boost, linear, mixed
 from driftline.models.design import Factor, Interaction, Numeric, Smooth, build_design
 from driftline.operators import cohort, reshape, summarise
 from driftline.plans.prep import QUALITY_INPUTS
-from driftline.plans.registry import n_distinct_sql, over_records, query, r, records
+from driftline.plans.registry import over_records, query, r, records
 from driftline.plans.summaries import full, over_studies, study_table
+from driftline.session import cut_lineage
 
 YEARS = "Publication_year > 2009"
 LINE_COLUMNS = ["term", "estimate", "std_error", "t_value", "n", "sigma", "r_squared", "f_value"]
@@ -135,22 +136,21 @@ MODELS_SQL = """, d AS (SELECT "order" AS o, average_depth AS x, publication_yea
 
 
 def _order_models(spark, sf_dir):
-    """Coefficients and model table of the three models, fitted per order."""
+    """Coefficients and model table of the three models, fitted per order in one pass."""
     df = full(spark, sf_dir, "order", "average_depth", "publication_year", "prop_w_plastic")
     df = rsem.drop_na(df, "order", "average_depth", "publication_year", "prop_w_plastic")
-    depth, year = {"depth": F.col("average_depth")}, {"year": F.col("publication_year")}
-    fits = None
-    for name, xs in (("depth", depth), ("year", year), ("both", {**depth, **year})):
-        fit = linear.linear_fit(df, F.col("prop_w_plastic"), xs, by=["order"],
-                                origin={"depth": 750, "year": 2015})
-        fit = fit.select("order", F.lit(name).alias("model_id"), "term", "estimate", "std_error",
-                         "n", "rss", F.lit(len(xs) + 2).alias("k"))
-        fits = fit if fits is None else fits.unionByName(fit)
+    fits = linear.linear_fit(
+        df, F.col("prop_w_plastic"),
+        {"depth": F.col("average_depth"), "year": F.col("publication_year")}, by=["order"],
+        origin={"depth": 750, "year": 2015},
+        models={"depth": ["depth"], "year": ["year"], "both": ["depth", "year"]})
+    fits = cut_lineage(fits)
     n = F.col("n")
     loglik = -n / 2.0 * (F.log(2 * F.pi() * F.col("rss") / n) + 1)
     table = fits.filter("term = '(Intercept)'").select("order", "model_id", "k", "n",
                                                        loglik.alias("loglik"))
-    return fits.filter("term <> '(Intercept)'"), table
+    return fits.filter("term <> '(Intercept)'").select(
+        "order", "model_id", "term", "estimate", "std_error"), table
 
 
 @query("model_rank", over_records(f"""{MODELS_SQL} SELECT o AS "order", model_id, k, n,
