@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from driftline.functions import rsem
 from driftline.models import boost, linear, mixed
 from driftline.models.design import Factor, Interaction, Numeric, Smooth, build_design
-from driftline.operators import cohort, reshape, summarise
+from driftline.operators import cohort, reshape
 from driftline.plans.prep import QUALITY_INPUTS
-from driftline.plans.registry import over_records, query, r, records
+from driftline.plans.registry import n_distinct_sql, over_records, query, r, records
 from driftline.plans.summaries import full, over_studies, study_table
 from driftline.session import cut_lineage
 
@@ -174,7 +174,30 @@ def model_avg(spark, sf_dir):
 # --- local regression ------------------------------------------------------------------
 
 
-@query("loess_depth")
+def _loess_sql(source: str, key: str | None) -> str:
+    """Local quadratic fit on 80 grid points over rows (k, x, y, w) of ``source``."""
+    out = f"k AS {key}, " if key else ""
+    return f"""rows_ AS (SELECT k, x::DOUBLE AS x, y::DOUBLE AS y, w::DOUBLE AS w FROM ({source})
+      WHERE x IS NOT NULL AND y IS NOT NULL AND w > 0),
+    c AS (SELECT k, x, count(*) AS n, sum(w) AS w, sum(w * y) AS wy FROM rows_ GROUP BY k, x),
+    grid AS (SELECT k AS gk, i, lo + i * ((hi - lo) / 79) AS g, floor(n * 0.75 + 0.00001) AS q
+      FROM (SELECT k, min(x) AS lo, max(x) AS hi, count(*) AS n FROM rows_ GROUP BY k), range(80) t(i)),
+    near AS (SELECT *, abs(x - g) AS d, sum(n) OVER (PARTITION BY gk, i ORDER BY abs(x - g)) AS cum
+      FROM grid JOIN c ON k = gk),
+    wide AS (SELECT *, min(CASE WHEN cum >= q THEN d END) OVER (PARTITION BY gk, i) AS h FROM near),
+    sums AS (SELECT gk AS k, any_value(g) AS x, sum(t * w) AS s0, sum(t * w * u) AS s1,
+      sum(t * w * u ** 2) AS s2, sum(t * w * u ** 3) AS s3, sum(t * w * u ** 4) AS s4,
+      sum(t * wy) AS t0, sum(t * wy * u) AS t1, sum(t * wy * u ** 2) AS t2 FROM (
+      SELECT *, (1 - (d / h) ** 3) ** 3 AS t, (x - g) / h AS u FROM wide WHERE d < h)
+      GROUP BY gk, i)
+    SELECT {out}{r("x", "x")}, {r("""(t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2)
+      + s2 * (t1 * s3 - s2 * t2)) / (s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2)
+      + s2 * (s1 * s3 - s2 * s2))""", "fit")} FROM sums"""
+
+
+@query("loess_depth", over_records(", " + _loess_sql(
+    "SELECT Found AS k, average_depth AS x, prop_w_plastic AS y, N AS w FROM full_"
+    " WHERE Found IS NOT NULL AND average_depth BETWEEN 0 AND 350", "Found")))
 def loess_depth(spark, sf_dir):
     """Proportion against depth per habitat group, weighted by individuals."""
     df = full(spark, sf_dir, "habitat", "average_depth", "prop_w_plastic", "N")
@@ -183,11 +206,16 @@ def loess_depth(spark, sf_dir):
                         F.col("N"))
 
 
-@query("trend_studies")
+@query("trend_studies", over_records(", " + _loess_sql(
+    f"""SELECT 1 AS k, publication_year AS x, {n_distinct_sql("source")} AS y, 1 AS w FROM rec
+    WHERE includes_microplastic IS NOT NULL GROUP BY publication_year, method_type,
+    includes_microplastic""", None)))
 def trend_studies(spark, sf_dir):
-    """Smooth trend of the number of studies per year and method."""
-    df = summarise.studies_per_year(
-        records(spark, sf_dir, "source", "publication_year", "method_type"), "method_type")
+    """Smooth trend of the number of studies per year, method and kind."""
+    df = records(spark, sf_dir, "source", "publication_year", "method_type",
+                 "includes_microplastic").groupBy(
+        "publication_year", "method_type", "includes_microplastic").agg(
+        rsem.n_distinct("source").alias("n_studies"))
     return linear.loess(df, F.col("n_studies"), F.col("publication_year"))
 
 
