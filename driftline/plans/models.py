@@ -18,7 +18,10 @@ LINE_COLUMNS = ["term", "estimate", "std_error", "t_value", "n", "sigma", "r_squ
 
 
 def _line_sql(source: str) -> str:
-    """Weighted straight line over rows (x, y, w) of ``source``, as a coefficient table."""
+    """Weighted straight line over rows (x, y, w) of ``source``, as a coefficient table.
+
+    As in ``linear_fit``, too few rows or a constant x give no rows.
+    """
     return f"""d AS (SELECT x::DOUBLE AS x, y::DOUBLE AS y, w::DOUBLE AS w FROM ({source})
       WHERE x IS NOT NULL AND y IS NOT NULL AND w > 0),
     m AS (SELECT count(*) AS n, sum(w) AS sw, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my
@@ -26,7 +29,8 @@ def _line_sql(source: str) -> str:
     s AS (SELECT any_value(n) AS n, any_value(sw) AS sw, any_value(mx) AS mx, any_value(my) AS my,
       sum(w * (x - mx) * (x - mx)) AS sxx, sum(w * (x - mx) * (y - my)) AS sxy,
       sum(w * (y - my) * (y - my)) AS syy FROM d, m),
-    f AS (SELECT *, sxy / sxx AS b, (syy - sxy * sxy / sxx) / (n - 2) AS s2 FROM s),
+    f AS (SELECT *, sxy / sxx AS b, (syy - sxy * sxy / sxx) / (n - 2) AS s2 FROM s
+      WHERE n > 2 AND sxx > 0),
     c AS (SELECT 'x' AS term, b AS estimate, sqrt(s2 / sxx) AS std_error, * FROM f UNION ALL
       SELECT '(Intercept)', my - b * mx, sqrt(s2 * (1 / sw + mx * mx / sxx)), * FROM f)
     SELECT term, {r("estimate", "estimate")}, {r("std_error", "std_error")},
@@ -76,7 +80,7 @@ QUAD_SQL = f""", d AS (SELECT Smallest_detect_size AS x, Smallest_detect_size **
       sum(w * (z - mz) * (y - my)) AS szy FROM d, m),
     f AS (SELECT *, sxx * szz - sxz * sxz AS det, (sxy * szz - szy * sxz) / det AS bx,
       (szy * sxx - sxy * sxz) / det AS bz FROM s),
-    g AS (SELECT *, (syy - bx * sxy - bz * szy) / (n - 3) AS s2 FROM f)
+    g AS (SELECT *, (syy - bx * sxy - bz * szy) / (n - 3) AS s2 FROM f WHERE n > 3)
     SELECT term, round(estimate, 4) AS estimate, round(std_error, 4) AS std_error, n,
       {r("sqrt(s2)", "sigma")}, {r("(bx * sxy + bz * szy) / syy", "r_squared")} FROM (
       SELECT '(Intercept)' AS term, my - bx * mx - bz * mz AS estimate, NULL AS std_error, * FROM g
