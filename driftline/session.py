@@ -36,6 +36,7 @@ def build_session(app: str = "driftline", master: str | None = None, **conf: str
 
 
 _shipped: set[str] = set()
+_local_scratch: dict[str, str] = {}
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -59,8 +60,10 @@ def scratch_dir(spark: SparkSession) -> str:
     if not configured:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        configured = tempfile.mkdtemp(prefix="driftline-")
-        spark.conf.set("spark.checkpoint.dir", configured)
+        app = spark.sparkContext.applicationId
+        if app not in _local_scratch:
+            _local_scratch[app] = tempfile.mkdtemp(prefix="driftline-")
+        configured = _local_scratch[app]
     return configured.rstrip("/") + "/" + spark.sparkContext.applicationId
 
 

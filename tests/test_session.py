@@ -2,23 +2,43 @@
 
 import os
 
+import pytest
+
 from driftline import session
 
 
-def test_scratch_follows_the_setting(spark, tmp_path):
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        df = session.cut_lineage(spark.range(5).selectExpr("id", "id * 2 AS b"))
-        folder = session.scratch_dir(spark)
-        assert folder == f"{tmp_path}/{spark.sparkContext.applicationId}"
-        assert len(os.listdir(folder)) == 1 and df.count() == 5
-        assert session.release_scratch(spark) and not os.path.exists(folder)
-    finally:
-        if before:
-            spark.conf.set("spark.checkpoint.dir", before)
-        else:
-            spark.conf.unset("spark.checkpoint.dir")
+class Conf:
+    def __init__(self, folder):
+        self.folder = folder
+
+    def get(self, key, default=None):
+        assert key == "spark.checkpoint.dir"
+        return self.folder or default
+
+
+class Stub:
+    """A session as ``scratch_dir`` sees it."""
+
+    def __init__(self, folder, master):
+        self.conf = Conf(folder)
+        self.sparkContext = type("Context", (), {"applicationId": "app-1", "master": master})
+
+
+def test_scratch_follows_the_setting():
+    assert session.scratch_dir(Stub("hdfs:///shared/", "yarn")) == "hdfs:///shared/app-1"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.scratch_dir(Stub(None, "spark://host:7077"))
+    local = session.scratch_dir(Stub(None, "local[2]"))
+    assert local.endswith("/app-1") and local == session.scratch_dir(Stub(None, "local[2]"))
+
+
+def test_cut_lineage_writes_once_and_can_be_released(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "scratch")
+    monkeypatch.setattr(session, "scratch_dir", lambda _: folder)
+    df = session.cut_lineage(spark.range(5).selectExpr("id", "id * 2 AS b"))
+    assert len(os.listdir(folder)) == 1 and df.count() == 5
+    assert all("scratch" in f for f in df.inputFiles())
+    assert session.release_scratch(spark) and not os.path.exists(folder)
 
 
 def test_workers_can_import_the_package(spark):
