@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("mixing", "quality")
+MODULES = ("mixing", "quality", "urls", "zipwarc", "graph")
 
 
 def queries() -> dict[str, Query]:
