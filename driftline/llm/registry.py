@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("mixing", "quality", "urls", "zipwarc", "graph")
+MODULES = ("mixing", "quality", "urls", "zipwarc", "graph", "ngram")
 
 
 def queries() -> dict[str, Query]:
