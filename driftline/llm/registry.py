@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("mixing", "quality", "urls", "zipwarc", "graph", "ngram", "toxicity", "forest", "templates")
+MODULES = ("mixing", "quality", "urls", "zipwarc", "graph", "ngram", "toxicity", "forest", "templates", "repeats")
 
 
 def queries() -> dict[str, Query]:
