@@ -7,7 +7,8 @@ few that follow it: where a region is sparse these are all that share the shorte
 where it is crowded they are those of the longest common prefix, so depth adapts to the region
 and no group is paired off.  The two best candidates of each class are confirmed on full shingle
 sets.  A second pass over the classes that had candidates looks much further along each order,
-but only at neighbours in other components than the row's own, and confirms all it finds.  A pair
+but only at neighbours in other components than the row's own, and confirms all that could link:
+two sets share no shingle that only one class has, so those shingles bound their similarity.  A pair
 at the threshold of 0.8 shares four places in some tree with a chance of 1 - 5e-8.
 
 Defined cases: null, empty and blank texts have no shingles and are groups of their own; a text with
@@ -33,8 +34,9 @@ from driftline.session import cut_lineage
 TREES, DEPTH, KEY = 32, 4, 32
 PLACES = TREES * DEPTH
 #: Following neighbours in an order in the first and second pass, agreeing places of a key that a
-#: candidate needs, and candidates of each class confirmed in the first pass.
+#: candidate needs, and candidates of each class, then of each two parts, confirmed in the first pass.
 NEIGHBOURS, FAR_NEIGHBOURS, AGREE, BEST = 6, 256, 18, 2
+BITS = 23
 
 _MULTIPLIERS = counter(PLACES, 3)
 
@@ -76,28 +78,31 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def measure(rows: DataFrame, width: int) -> DataFrame:
-    """doc_id, size, h1, h2, sig of each row of ``rows`` (doc_id, text)."""
+    """doc_id, h (hash of the text), size, h1, h2, sig of each row of ``rows`` (doc_id, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, data, offs in byte_chunks(b.column(1)):
+            for lo, hi, data, offs in byte_chunks(b.column(2)):
                 size, h1, h2, sig = signatures(list(shingle_sets(data, offs, width)))
                 sig = pa.FixedSizeBinaryArray.from_buffers(pa.binary(PLACES), hi - lo, [None, pa.py_buffer(sig.tobytes())])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(size), pa.array(h1), pa.array(h2),
-                                                  sig.cast(pa.binary())], ["doc_id", "size", "h1", "h2", "sig"])
-    return rows.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
-        run, "doc_id long, size long, h1 long, h2 long, sig binary")
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(size),
+                                                  pa.array(h1), pa.array(h2), sig.cast(pa.binary())],
+                                                 ["doc_id", "h", "size", "h1", "h2", "sig"])
+    return rows.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
+        run, "doc_id long, h long, size long, h1 long, h2 long, sig binary")
 
 
-def candidates(classes: DataFrame, reach: int) -> DataFrame:
-    """(a, b, agree) with a < b: neighbours in the sorted orders of ``classes`` (uid, label, sig).
+def candidates(classes: DataFrame, reach: int, percent: int) -> DataFrame:
+    """(a, b, agree) with a < b: neighbours in the sorted orders of ``classes`` (uid, label, size, most, sig).
 
     A row meets up to ``reach`` following rows as long as they share its prefix; rows of
-    one label are not paired.
+    one label are not paired, nor sets that cannot meet the threshold, given their sizes and the
+    ``most`` shingles that each may share.
     """
-    keys = (classes.select("uid", "label", F.concat("sig", "sig").alias("twice"),
+    keys = (classes.select("uid", "label", "size", "most", F.concat("sig", "sig").alias("twice"),
                            F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
             .select(F.col("tree").cast("byte").alias("tree"),
-                    F.substring("twice", F.col("tree") * DEPTH + 1, F.lit(KEY)).alias("key"), "uid", "label"))
+                    F.substring("twice", F.col("tree") * DEPTH + 1, F.lit(KEY)).alias("key"), "uid", "label",
+                    F.col("size").cast("int").alias("size"), F.col("most").cast("int").alias("most")))
     # The class id is part of the order, so equal keys may span partitions.
     ordered = keys.repartitionByRange("tree", "key", "uid").sortWithinPartitions("tree", "key", "uid")
 
@@ -106,43 +111,37 @@ def candidates(classes: DataFrame, reach: int) -> DataFrame:
         for b in batches:
             if b.num_rows == 0:
                 continue
-            tree = np.asarray(b.column(0)).astype(np.int16)
             raw = b.column(1)
             key = np.frombuffer(raw.buffers()[2], np.uint8)
-            first = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset]
-            key = key[first:first + b.num_rows * KEY].reshape(-1, KEY)
-            uid, label = np.asarray(b.column(2)), np.asarray(b.column(3))
+            start = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset]
+            now = [key[start:start + b.num_rows * KEY].reshape(-1, KEY),
+                   *(np.asarray(b.column(k)).astype(np.int64) for k in (0, 2, 3, 4, 5))]
+            old = 0
             if held is not None:                                     # the last rows of the batch before
-                tree, key, uid, label = (np.concatenate(p) for p in zip(held, (tree, key, uid, label)))
-            old = 0 if held is None else held[2].size
+                old = held[1].size
+                now = [np.concatenate(p) for p in zip(held, now)]
+            key, tree, uid, label, size, most = now
             lo = np.arange(uid.size)
             for step in range(1, reach + 1):
                 lo = lo[lo < uid.size - step]
                 lo = lo[(tree[lo] == tree[lo + step]) & (key[lo, :DEPTH] == key[lo + step, :DEPTH]).all(1)]
                 if lo.size == 0:
                     break
-                fresh = lo[(lo + step >= old) & (label[lo] != label[lo + step])]
-                agree = (key[fresh] == key[fresh + step]).sum(1)
-                keep = agree >= AGREE
-                x, y = uid[fresh[keep]], uid[fresh[keep] + step]
+                x = lo[(lo + step >= old) & (label[lo] != label[lo + step])]
+                both = np.minimum(most[x], most[x + step])
+                x = x[100 * both >= percent * (size[x] + size[x + step] - both)]
+                agree = (key[x] == key[x + step]).sum(1)
+                x, agree = x[agree >= AGREE], agree[agree >= AGREE]
                 if x.size:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)),
-                                                      pa.array(agree[keep].astype(np.int32))], ["a", "b", "agree"])
-            held = (tree[-reach:], key[-reach:], uid[-reach:], label[-reach:])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.minimum(uid[x], uid[x + step])), pa.array(np.maximum(uid[x], uid[x + step])),
+                         pa.array(agree.astype(np.int32))], ["a", "b", "agree"])
+            held = [part[-reach:] for part in now]
 
     return (ordered.mapInArrow(run, "a long, b long, agree int")
             .groupBy("a", "b").agg(F.sum("agree").alias("agree")))
 
 
-def _fitting(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose set sizes can meet the threshold at all."""
-    sizes = classes.select("uid", "size")
-    return (pairs.join(sizes.select(F.col("uid").alias("a"), F.col("size").alias("na")), "a")
-            .join(sizes.select(F.col("uid").alias("b"), F.col("size").alias("nb")), "b")
-            .where((100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na")))
-            .select("a", "b", "agree"))
-
-
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The ``pairs`` (a, b) whose sets (uid, s) meet in ``percent`` % of their union."""
     left = sets.select(F.col("uid").alias("a"), F.col("s").alias("sa"))
@@ -166,17 +165,19 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each row of ``rows`` (doc_id, text).
+    """doc_id, h, n_shingles, component_id, kept and label of each row of ``rows`` (doc_id, text).
 
     Rows are linked whose sets of ``width``-word shingles have a Jaccard similarity of
-    ``percent`` % or more; a component is named by its smallest id, whose row is kept.
+    ``percent`` % or more; a component is named by its smallest id, whose row is kept.  ``h`` hashes the text, ``label`` is
+    one number per component and null without shingles.
     """
     measured = cut_lineage(measure(rows, width))
     classes = cut_lineage(measured.where("size > 0").groupBy("size", "h1", "h2")
                           .agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "sig")).alias("m"))
                           .select(F.monotonically_increasing_id().alias("uid"), "size", "h1", "h2",
                                   F.col("m.doc_id").alias("first"), F.col("m.sig").alias("sig")))
-    pairs = cut_lineage(_fitting(candidates(classes.withColumn("label", F.col("uid")), NEIGHBOURS), classes, percent))
+    alone = classes.select("uid", F.col("uid").alias("label"), "size", F.col("size").alias("most"), "sig")
+    pairs = cut_lineage(candidates(alone, NEIGHBOURS, percent))
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
     wanted = cut_lineage(nodes.join(classes, "uid"))
     sets = cut_lineage(_sets(rows, wanted, width))
@@ -187,48 +188,101 @@ def near_duplicates(rows: DataFrame, width: int, percent: int) -> DataFrame:
              .select("a", "b").distinct())
     first = cut_lineage(first)
     near = components(confirmed(first, sets, percent))
-    labelled = wanted.join(near, wanted["uid"] == near["node"], "left").select(
-        "uid", "sig", F.coalesce("label", "uid").alias("label"))
-    open_ = _fitting(candidates(labelled, FAR_NEIGHBOURS), wanted, percent).join(first, ["a", "b"], "left_anti")
-    open_ = cut_lineage(open_)
-    label = labelled.select("uid", "label")
-    more = (confirmed(open_, sets, percent)
-            .join(label.select(F.col("uid").alias("a"), F.col("label").alias("la")), "a")
-            .join(label.select(F.col("uid").alias("b"), F.col("label").alias("lb")), "b")
-            .select(F.col("la").alias("a"), F.col("lb").alias("b")))
-    far = components(more).select(F.col("node").alias("label"), F.col("label").alias("top"))
-    joined = near.join(far, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
-    alone = far.join(near, far["label"] == near["node"], "left_anti").select(F.col("label").alias("node"), F.col("top").alias("label"))
-    labels = joined.union(alone)
+    # Groups may still lie in parts: the best candidates of each two parts come next.
+    mates = cut_lineage(_between(pairs.join(first, ["a", "b"], "left_anti"), near))
+    by_parts = W.partitionBy("la", "lb").orderBy(F.desc("agree"), F.xxhash64("a", "b"))
+    some = cut_lineage(mates.withColumn("_r", F.row_number().over(by_parts)).where(F.col("_r") <= BEST))
+    near = _merge(near, confirmed(some, sets, percent).join(some.select("a", "b", "la", "lb"), ["a", "b"]))
+    own = (sets.select("uid", F.explode("s").alias("g")).groupBy("g").agg(F.count("*").alias("n"), F.min("uid").alias("uid"))
+           .where("n = 1").groupBy("uid").agg(F.count("*").alias("own")))
+    labelled = cut_lineage(
+        wanted.select("uid", "size", "sig").join(own, "uid", "left")
+        .join(near.select(F.col("node").alias("uid"), "label"), "uid", "left")
+        .select("uid", "sig", "size", F.coalesce("label", "uid").alias("label"),
+                (F.col("size") - F.coalesce("own", F.lit(0))).alias("most")))
+    open_ = cut_lineage(candidates(labelled, FAR_NEIGHBOURS, percent))
+    labels = _merge(near, _between(confirmed(open_, sets, percent), near))
     grouped = classes.join(labels, classes["uid"] == labels["node"], "left").select(
         "size", "h1", "h2", "first", F.coalesce("label", "uid").alias("label"))
     grouped = cut_lineage(grouped)
-    names = grouped.groupBy("label").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
-    named = grouped.join(names, "label").select("size", "h1", "h2", "component_id")
-    out = measured.select("doc_id", "size", "h1", "h2").join(named, ["size", "h1", "h2"], "left")
+    # Written before the join, so that Spark may split the rows of a large component.
+    names = grouped.groupBy("label").agg(F.min("first").alias("component_id"))
+    names = cut_lineage(names)
+    named = grouped.join(names, "label").select("size", "h1", "h2", "label", "component_id")
+    out = measured.select("doc_id", "h", "size", "h1", "h2").join(named, ["size", "h1", "h2"], "left")
     component = F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("size").alias("n_shingles"), component.alias("component_id"),
-                      F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    return out.select("doc_id", "h", F.col("size").alias("n_shingles"), component.alias("component_id"),
+                      F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), "label")
+
+
+def _between(pairs: DataFrame, near: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) whose ends have different labels la < lb in ``near`` (node, label)."""
+    a = near.select(F.col("node").alias("a"), F.col("label").alias("la"))
+    b = near.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+    ends = (pairs.join(a, "a", "left").join(b, "b", "left")
+            .withColumns({"la": F.coalesce("la", "a"), "lb": F.coalesce("lb", "b")}).where("la <> lb"))
+    return ends.withColumns({"la": F.least("la", "lb"), "lb": F.greatest("la", "lb")})
+
+
+def _merge(near: DataFrame, links: DataFrame) -> DataFrame:
+    """``near`` (node, label) after also joining the labels ``links`` (la, lb)."""
+    far = components(links.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    far = far.select(F.col("node").alias("part"), F.col("label").alias("top"))
+    moved = near.join(far, near["label"] == far["part"], "left").select("node", F.coalesce("top", "label").alias("label"))
+    # labels of classes that had no links before
+    new = far.join(near, far["part"] == near["node"], "left_anti").select(F.col("part").alias("node"), F.col("top").alias("label"))
+    return cut_lineage(moved.union(new))
+
+
+def without_near_copies(documents: DataFrame, width: int, percent: int) -> DataFrame:
+    """``documents`` with one row of each near-duplicate group, that of the smallest id.
+
+    Null ids come last; among texts of one id the one of least hash stays, and one of equal
+    rows.  Rows without words are groups of their own, so all of them stay.
+    """
+    groups = cut_lineage(near_duplicates(documents.select("doc_id", "text"), width, percent))
+    row = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "h")
+    worded = groups.where("n_shingles > 0").groupBy("label").agg(F.min(row).alias("m")).select("m.doc_id", "m.h")
+    times = groups.groupBy("doc_id", "h").agg(F.count("*").alias("n"), F.max("n_shingles").alias("words"))
+    kept = times.where("words = 0").select("doc_id", "h", F.lit(False).alias("one")).union(
+        times.where("words > 0").join(worded.withColumnsRenamed({"doc_id": "wi", "h": "wh"}),
+                                      F.col("doc_id").eqNullSafe(F.col("wi")) & (F.col("h") == F.col("wh")))
+        .select("doc_id", "h", (F.col("n") > 1).alias("one")))
+    kept = cut_lineage(kept.select(F.col("doc_id").alias("ki"), F.col("h").alias("kh"), "one"))
+    rows = documents.select(F.col("doc_id").cast("long").alias("k"), F.xxhash64("text").alias("h"), F.struct("*").alias("row"))
+    hit = rows.join(kept, F.col("k").eqNullSafe(F.col("ki")) & (F.col("h") == F.col("kh")))
+    again = hit.where("one").withColumn("r", F.row_number().over(W.partitionBy("k", "h").orderBy(F.lit(1)))).where("r = 1")
+    return hit.where("not one").select("row.*").union(again.select("row.*"))
 
 
 def _sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(uid, s): full shingle sets of the classes ``wanted``, from one row of each."""
+    """(uid, s): full shingle sets of the classes ``wanted``, from one row of each.
+
+    A bitmap of fixed size over the wanted ids keeps other texts from being shuffled; the join decides.
+    """
+    spot = F.shiftrightunsigned(F.xxhash64(F.coalesce("first", F.lit(-1))), 64 - BITS)
+    places = wanted.select(spot.alias("p")).distinct().toArrow()["p"].to_numpy()          # at most 2^23
+    bitmap = np.zeros(1 << BITS, bool)
+    bitmap[places] = True
+    shared = rows.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.unpackbits(shared.value).astype(bool)
         for b in batches:
+            b = b.filter(pa.array(marks[np.asarray(b.column(1))]))
             for lo, hi, data, offs in byte_chunks(b.column(2)):
                 sets = list(shingle_sets(data, offs, width))
                 size, h1 = _set_hashes(sets)
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)),
-                    pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)))
-                right = np.asarray(b.column(1).slice(lo, hi - lo)) == h1
-                batch = pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), lists], ["uid", "s"])
-                yield batch.filter(pa.array(right))
+                    pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(h1), lists], ["first", "h1", "s"])
 
-    texts = rows.select(F.col("doc_id").cast("long").alias("first"), F.coalesce("text", F.lit("")).alias("text"))
-    match = wanted.select("uid", "h1", "first")
-    hit = texts.join(match, texts["first"].eqNullSafe(match["first"])).select("uid", "h1", "text")
-    return hit.mapInArrow(run, "uid long, s array<long>").dropDuplicates(["uid"])
+    found = (rows.select(F.col("doc_id").cast("long").alias("first"), F.coalesce("text", F.lit("")).alias("text"))
+             .select("first", spot.alias("p"), "text").mapInArrow(run, "first long, h1 long, s array<long>"))
+    match = wanted.select("uid", F.col("h1").alias("wh"), F.col("first").alias("wf"))
+    return (found.join(match, (F.col("h1") == F.col("wh")) & F.col("first").eqNullSafe(F.col("wf")))
+            .select("uid", "s").dropDuplicates(["uid"]))
 
 
 def _set_hashes(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -243,7 +297,7 @@ def _set_hashes(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def op10_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose sets of two-word shingles are 80 % alike."""
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), 2, 80)
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), 2, 80).drop("h", "label")
 
 
 QUERIES = {"op10_forest": op10_forest}
