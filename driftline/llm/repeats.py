@@ -255,7 +255,8 @@ def repeated_spans(documents: DataFrame, group: int = GROUP) -> DataFrame:
     """(k1, k2, spans): byte ranges [a, z) of each row that repeat, unmerged; rows without are absent."""
     rows = _keyed(documents)
     every = cut_lineage(find_anchors(rows))
-    often = every.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
+    # Written first, so that the join deals both sides anew and Spark may split a frequent gram.
+    often = cut_lineage(every.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"))
     twice = cut_lineage(every.join(often, "g"))
     classes = cut_lineage(twice.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "at")).alias("one")))
     full = classes.where("n > 1").select("g", "c", F.lit(-BEFORE).alias("a"), F.lit(LENGTH).alias("z"))
@@ -299,21 +300,20 @@ def _cut(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
 
 
 def remove_repeats(documents: DataFrame, group: int = GROUP) -> DataFrame:
-    """``documents`` with ``_cut``: struct of the kept bytes, n_removed and n_spans of each row."""
+    """Each row of ``documents`` as struct ``row``, with ``cut``: its kept bytes, n_removed and n_spans."""
     spans = cut_lineage(repeated_spans(documents, group))
-    k1 = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))
-    keyed = documents.drop("_cut").withColumns({"_k1": k1, "_k2": F.xxhash64("text")})
-    joined = keyed.join(spans, (F.col("_k1") == spans["k1"]) & (F.col("_k2") == spans["k2"]), "left")
-    return joined.withColumn("_cut", _cut(F.coalesce("text", F.lit("")), "spans")).drop("_k1", "_k2", "k1", "k2", "spans")
+    rows = documents.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("k1"),
+                            F.xxhash64("text").alias("k2"))
+    return rows.join(spans, ["k1", "k2"], "left").select(
+        "row", _cut(F.coalesce("row.text", F.lit("")), "spans").alias("cut"))
 
 
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What remains of each document without its strings of 400 bytes that occur elsewhere."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeats(docs).select(
-        "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"),
-        F.col("_cut.n_removed").alias("n_removed"), F.col("_cut.n_spans").alias("n_spans"),
-        F.sha2(F.col("_cut.kept"), 256).alias("kept_sha256"))
+        "row.doc_id", F.octet_length(F.coalesce("row.text", F.lit(""))).cast("long").alias("n_bytes"),
+        "cut.n_removed", "cut.n_spans", F.sha2("cut.kept", 256).alias("kept_sha256"))
 
 
 QUERIES = {"op3_repeats": op3_repeats}
