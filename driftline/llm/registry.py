@@ -16,11 +16,12 @@ def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     for name in MODULES:
         out |= importlib.import_module(f"driftline.llm.{name}").QUERIES
-    return out
+    return out | {"pipeline": importlib.import_module("corpus_pipeline").run}
 
 
 def oracles() -> dict[str, str]:
     out: dict[str, str] = {}
     for name in MODULES:
         out |= getattr(importlib.import_module(f"driftline.llm.{name}"), "ORACLES", {})
-    return out
+    pipeline = importlib.import_module("corpus_pipeline").ORACLE_SQL
+    return out | ({"pipeline": pipeline} if pipeline else {})
