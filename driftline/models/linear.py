@@ -153,13 +153,13 @@ def fit_band(df: DataFrame, y: Column, x: Column, degree: int = 1, by: Sequence[
 
 
 def loess(df: DataFrame, y: Column, x: Column, by: Sequence[str] = (),
-          weight: Column | None = None, span: float = 0.75, points: int = 80,
-          hot_rows: int = 1_000_000) -> DataFrame:
+          weight: Column | None = None, span: float = 0.75, points: int = 80) -> DataFrame:
     """Locally weighted quadratic regression on an even grid over the x range.
 
     Equal x values are merged first.  The bandwidth of a grid point is the exact distance
     to its ``span * n``-th nearest row; tricube weights times the case weights then give
-    moment sums per grid point.
+    moment sums per grid point.  Where that distance is 0, the fit is the weighted mean of
+    the rows tied at the grid point.
     """
     from driftline.operators.ranking import kth_smallest
     keys = list(by) or ["_all"]
@@ -180,14 +180,16 @@ def loess(df: DataFrame, y: Column, x: Column, by: Sequence[str] = (),
         same = same & F.col(k).eqNullSafe(F.col(f"_g_{k}"))
     pairs = (cells.join(grid, same)
              .withColumn("d", F.abs(F.col("_x0") - F.col("g"))))
-    widths = kth_smallest(pairs, [*keys, "i"], "d", "q", "_n", hot_rows).withColumnsRenamed(
+    widths = kth_smallest(pairs, [*keys, "i"], "d", "q", "_n").withColumnsRenamed(
         {**{k: f"_h_{k}" for k in keys}, "i": "_h_i", "value": "h"})
     same = F.col("i") == F.col("_h_i")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_h_{k}"))
-    near = pairs.join(cut_lineage(widths), same).filter(F.col("d") < F.col("h"))
-    tri = F.pow(1 - F.pow(F.col("d") / F.col("h"), F.lit(3.0)), F.lit(3.0))
-    u = (F.col("_x0") - F.col("g")) / F.col("h")
+    near = pairs.join(cut_lineage(widths), same).filter(
+        (F.col("d") < F.col("h")) | (F.col("d") == 0))
+    part = F.coalesce(F.try_divide(F.col("d"), F.col("h")), F.lit(0.0))
+    tri = F.pow(1 - F.pow(part, F.lit(3.0)), F.lit(3.0))
+    u = F.coalesce(F.try_divide(F.col("_x0") - F.col("g"), F.col("h")), F.lit(0.0))
     k, ky = tri * F.col("_w"), tri * F.col("_wy")
     sums = near.groupBy(*keys, "i", "g").agg(
         F.count(F.lit(1)).alias("n_values"),

@@ -50,140 +50,91 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
     return out.drop(*[f"_r_{k}" for k in keys])
 
 
+def frequencies(df: DataFrame, by: Sequence[str], col: str,
+                weight: Column | None = None) -> DataFrame:
+    """Distinct values per group with their summed weight and its running total.
+
+    Columns: ``by``, ``_x``, ``_w``, ``_upto`` (weight of all values up to and with this one) and
+    ``_n`` (weight of the group).  Null values and weights of 0 drop out.  The source is read
+    once; the values are sorted over the whole cluster and totals run inside its partitions.
+    """
+    w = F.lit(1).cast("long") if weight is None else weight.cast("long")
+    folded = (df.select(*by, F.col(col).alias("_x"), w.alias("_w"))
+              .filter(F.col("_x").isNotNull() & (F.col("_w") > 0))
+              .groupBy(*by, "_x").agg(F.sum("_w").alias("_w")))
+    rows = cut_lineage(folded.orderBy(*by, "_x").withColumn("_mid", F.monotonically_increasing_id()))
+    pid = F.shiftright("_mid", _OFFSET_BITS)
+    inside = Window.partitionBy("_pid").orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_pid", pid).withColumn("_run", F.sum("_w").over(inside))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (rows.groupBy("_pid").agg(F.sum("_w").alias("_p"))         # one row per partition
+               .select("_pid", F.coalesce(F.sum("_p").over(before), F.lit(0)).alias("_off")))
+    rows = cut_lineage(rows.join(cut_lineage(offsets), "_pid").select(
+        *by, "_x", "_w", (F.col("_run") + F.col("_off")).alias("_sofar")))
+    groups = rows.groupBy(*by).agg(F.min(F.col("_sofar") - F.col("_w")).alias("_g0"),
+                                   F.sum("_w").alias("_n"))
+    return (_null_safe_join(rows, cut_lineage(groups), by)
+            .select(*by, "_x", "_w", (F.col("_sofar") - F.col("_g0")).alias("_upto"), "_n"))
+
+
+def _at_rank(rank: Column) -> Column:
+    """The value at a 0-based rank of its group, as an aggregate over ``frequencies``."""
+    own = (rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col("_w"))
+    return F.min(F.when(own, F.col("_x")))
+
+
+def _interpolated(probs: Sequence[float]) -> Column:
+    """Array of linear-interpolation quantiles, as an aggregate over ``frequencies``."""
+    out = []
+    for p in probs:
+        h = (F.col("_n") - 1) * F.lit(float(p))
+        low = F.floor(h).cast("long")
+        lo, hi = _at_rank(low), _at_rank(F.least(low + 1, F.col("_n") - 1))
+        share = F.max(h - F.floor(h))
+        out.append(lo + share * (hi - lo))
+    return F.array(*out)
+
+
 def quantiles(df: DataFrame, by: Sequence[str], col: str, probs: Sequence[float],
-              weight: str | None = None, hot_rows: int = 1_000_000) -> DataFrame:
+              weight: str | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles per group, as an array column ``quantiles``.
 
-    ``weight`` counts a row that many times.  Groups up to ``hot_rows`` rows use the
-    built-in exact percentile, whose memory grows with a group's distinct values; larger
-    groups go through value buckets and only the buckets that hold a wanted rank are
-    sorted.  Null values are skipped.
+    ``weight`` counts a row that many times.  Null values are skipped.
     """
-    w = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
-    keys = list(by) or ["_all"]
-    base = (df if by else df.withColumn("_all", F.lit(1)))
-    base = base.select(*keys, F.col(col).cast("double").alias("_x"), w.alias("_w"))
-    base = base.filter(F.col("_x").isNotNull() & (F.col("_w") > 0))
-
-    def builtin(rows: DataFrame) -> DataFrame:
-        freq = [] if weight is None else [F.col("_w")]
-        return rows.groupBy(*keys).agg(
-            F.percentile("_x", [float(p) for p in probs], *freq).alias("quantiles"))
-
-    sizes = cut_lineage(base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")))
-    hot = sizes.filter(F.col("_rows") > hot_rows).select(*keys)
-    if hot.isEmpty():
-        out = builtin(base)
-    else:
-        out = (builtin(_null_safe_join(base, hot, keys, "left_anti"))
-               .unionByName(_by_buckets(_null_safe_join(base, hot, keys), keys, probs)))
-    return out if by else out.drop("_all")
-
-
-def _by_buckets(base: DataFrame, keys: list[str], probs: Sequence[float]) -> DataFrame:
-    """Interpolated quantiles of large groups."""
-    low = [F.floor((F.col("_n") - 1) * F.lit(float(p))).cast("long") for p in probs]
-    ranks = [r for k in low for r in (k, F.least(k + 1, F.col("_n") - 1))]
-    out = _order_values(base, keys, ranks)
-    qs = []
-    for i, p in enumerate(probs):
-        h = (F.col("_n") - 1) * F.lit(float(p))
-        lo, hi = F.col(f"_v{2 * i}"), F.col(f"_v{2 * i + 1}")
-        qs.append(lo + (h - F.floor(h)) * (hi - lo))
-    return out.select(*keys, F.array(*qs).alias("quantiles"))
+    rows = df.withColumn(col, F.col(col).cast("double"))
+    table = frequencies(rows, by, col, None if weight is None else F.col(weight))
+    out = table.groupBy(*by).agg(_interpolated(probs).alias("quantiles"))
+    return out if by else out.filter(F.element_at("quantiles", 1).isNotNull())
 
 
-def kth_smallest(df: DataFrame, by: Sequence[str], col: str, k: str, weight: str,
-                 hot_rows: int = 1_000_000) -> DataFrame:
+def kth_smallest(df: DataFrame, by: Sequence[str], col: str, k: str, weight: str) -> DataFrame:
     """The ``k``-th smallest value per group, ``k`` being a column constant in the group.
 
-    A row counts ``weight`` times.  Groups above ``hot_rows`` rows go through value buckets.
+    A row counts ``weight`` times.
     """
-    keys = [*by, "_k"]
-    base = df.select(*by, F.col(k).cast("long").alias("_k"), F.col(col).alias("_x"),
-                     F.col(weight).cast("long").alias("_w"))
-    sizes = cut_lineage(base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")))
-    hot = sizes.filter(F.col("_rows") > hot_rows).select(*keys)
-
-    def sorted_groups(rows: DataFrame) -> DataFrame:
-        upto = (Window.partitionBy(*keys).orderBy("_x")
-                .rangeBetween(Window.unboundedPreceding, 0))
-        return (rows.withColumn("_upto", F.sum("_w").over(upto))
-                .filter(F.col("_upto") >= F.col("_k"))
-                .groupBy(*keys).agg(F.min("_x").alias("value")))
-
-    if hot.isEmpty():
-        out = sorted_groups(base)
-    else:
-        large = _order_values(_null_safe_join(base, hot, keys), keys, [F.col("_k") - 1])
-        out = sorted_groups(_null_safe_join(base, hot, keys, "left_anti")).unionByName(
-            large.select(*keys, F.col("_v0").alias("value")))
-    return out.drop("_k")
-
-
-def _order_values(base: DataFrame, keys: list[str], ranks: list[Column]) -> DataFrame:
-    """Values at the 0-based ``ranks`` (columns over the keys and the group weight ``_n``).
-
-    1024 value buckets per group, then exact ranks inside the few buckets that hold one.
-    The cut points only balance the buckets; the bucket totals are exact, hence so is
-    the result.
-    """
-    side = 32
-    points = [i / side ** 2 for i in range(1, side ** 2)]
-    cuts = base.groupBy(*keys).agg(F.percentile_approx("_x", points, 10_000).alias("_p"),
-                                   F.sum("_w").alias("_n"))
-    coarse = F.array(*[F.get("_p", F.lit(side * k - 1)) for k in range(1, side)])
-    fine = F.array(*[F.slice("_p", side * k + 1, side - 1) for k in range(side)])
-    cuts = cut_lineage(cuts.select(*keys, "_n", coarse.alias("_coarse"), fine.alias("_fine")))
-
-    def below(cut_points: Column) -> Column:
-        return F.size(F.filter(cut_points, lambda v: v < F.col("_x")))
-
-    rows = (_null_safe_join(base, cuts.drop("_n"), keys)
-            .withColumn("_c", below(F.col("_coarse")))
-            .withColumn("_b", side * F.col("_c") + below(F.get("_fine", F.col("_c"))))
-            .select(*keys, "_x", "_w", "_b"))
-    totals = rows.groupBy(*keys, "_b").agg(F.sum("_w").alias("_bw"))
-    prefix = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    hit = (_null_safe_join(totals.withColumn("_upto", F.sum("_bw").over(prefix)),
-                           cuts.select(*keys, "_n"), keys)
-           .withColumn("_before", F.col("_upto") - F.col("_bw"))
-           .withColumn("_ranks", F.array(*ranks))
-           .filter(F.exists("_ranks", lambda r: (r >= F.col("_before")) & (r < F.col("_upto"))))
-           .select(*keys, "_b", "_before", "_ranks", "_n"))
-    values = (_null_safe_join(rows, cut_lineage(hit), [*keys, "_b"])
-              .groupBy(*keys, "_b", "_before", "_ranks", "_n", "_x")
-              .agg(F.sum("_w").alias("_xw")))
-    inside = (Window.partitionBy(*keys, "_b").orderBy("_x")
-              .rowsBetween(Window.unboundedPreceding, 0))
-    values = values.withColumn("_upto", F.col("_before") + F.sum("_xw").over(inside))
-    picks = []
-    for j in range(len(ranks)):
-        r = F.get("_ranks", F.lit(j))
-        own = (r < F.col("_upto")) & (r >= F.col("_upto") - F.col("_xw"))
-        picks.append(F.min(F.when(own, F.col("_x"))).alias(f"_v{j}"))
-    return values.groupBy(*keys, "_n").agg(*picks)
-
-
-def box_stats(df: DataFrame, by: Sequence[str], col: str, weight: str | None = None,
-              hot_rows: int = 1_000_000) -> DataFrame:
+    rows = df.withColumn("_k", F.col(k).cast("long"))
+    table = frequencies(rows, [*by, "_k"], col, F.col(weight))
+    return (table.groupBy(*by, "_k").agg(_at_rank(F.col("_k") - 1).alias("value"))
+            .filter(F.col("value").isNotNull()).drop("_k"))
+
+
+def box_stats(df: DataFrame, by: Sequence[str], col: str,
+              weight: str | None = None) -> DataFrame:
     """Quartiles, 1.5 IQR whiskers and outlier count per group.
 
     ``weight`` gives the statistics of rows repeated that many times without
-    repeating them.
+    repeating them.  Everything comes from one frequency table.
     """
     if not by:
         raise ValueError("name at least one grouping column")
-    q = quantiles(df, by, col, [0.25, 0.5, 0.75], weight, hot_rows)
-    q = cut_lineage(q.select(*by, F.get("quantiles", F.lit(0)).alias("lower"),
-                             F.get("quantiles", F.lit(1)).alias("middle"),
-                             F.get("quantiles", F.lit(2)).alias("upper")))
-    x = F.col(col)
-    w = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
+    table = cut_lineage(frequencies(df, by, col, None if weight is None else F.col(weight)))
+    q = table.groupBy(*by).agg(_interpolated([0.25, 0.5, 0.75]).alias("_q"))
+    q = cut_lineage(q.select(*by, *[F.get("_q", F.lit(i)).alias(name)
+                                    for i, name in enumerate(("lower", "middle", "upper"))]))
+    x, w = F.col("_x"), F.col("_w")
     reach = 1.5 * (F.col("upper") - F.col("lower"))
     inside = (x >= F.col("lower") - reach) & (x <= F.col("upper") + reach)
-    rows = df.filter(x.isNotNull() & (w > 0))
-    return (_null_safe_join(rows, q, by).groupBy(*by, "lower", "middle", "upper")
+    return (_null_safe_join(table, q, by).groupBy(*by, "lower", "middle", "upper")
             .agg(F.min(F.when(inside, x)).alias("whisker_low"),
                  F.max(F.when(inside, x)).alias("whisker_high"),
                  F.sum(F.when(inside, 0).otherwise(w)).alias("n_outliers"),

@@ -64,8 +64,14 @@ def gold_studies(studies: DataFrame, require_min_size: bool = True) -> DataFrame
 
 
 def species_summary(df: DataFrame, having: Column | None = None, strict: bool = False,
-                    wide_status: bool = False) -> DataFrame:
-    """Mean proportion, sample size and study class per species."""
+                    wide_status: bool = False, collapse_first: bool = False) -> DataFrame:
+    """Mean proportion, sample size and study class per species.
+
+    ``collapse_first`` groups by the collapsed commercial status, so that one species does not
+    count once for each finer status.
+    """
+    if collapse_first:
+        df = df.withColumn("commercial", recode.commercial_status("commercial", wide_status))
     size = rsem.sum_strict("N") if strict else rsem.sum_skip_null("N")
     out = (df.filter(rsem.not_in("species", recode.UNNAMED_SPECIES))
            .dropna(subset=["binomial", "family"])
@@ -206,11 +212,11 @@ def histogram(df: DataFrame, col: str, width: float, low: float, high: float) ->
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-def column_profile(df: DataFrame, cols: Sequence[str], hot_rows: int = 1_000_000) -> DataFrame:
+def column_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Range, quartiles, mean and missing count of numeric columns, one row per column."""
     long = (df.select(*[F.col(c).cast("double").alias(c) for c in cols])
             .unpivot([], list(cols), "column_name", "value"))
-    q = ranking.quantiles(long, ["column_name"], "value", [0.25, 0.5, 0.75], hot_rows=hot_rows)
+    q = ranking.quantiles(long, ["column_name"], "value", [0.25, 0.5, 0.75])
     stats = long.groupBy("column_name").agg(
         F.min("value").alias("min"), F.avg("value").alias("mean"), F.max("value").alias("max"),
         F.count_if(F.col("value").isNull()).alias("n_null"))

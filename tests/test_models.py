@@ -55,17 +55,24 @@ def test_loess_matches_direct_fit(spark):
     y, w = np.sin(x) + rng.normal(0, .1, 120), rng.integers(1, 4, 120).astype(float)
     df = spark.createDataFrame(list(zip(x.tolist(), y.tolist(), w.tolist())),
                                "x double, y double, w double")
-    for hot in (10 ** 9, 0):
-        got = linear.loess(df, F.col("y"), F.col("x"), weight=F.col("w"), points=7,
-                           hot_rows=hot).orderBy("x").collect()
-        q = int(120 * 0.75 + 1e-5)
-        for row, g in zip(got, np.linspace(x.min(), x.max(), 7)):
-            d = np.abs(x - g)
-            h = np.sort(d)[q - 1]
-            k = w * np.where(d < h, (1 - (d / h) ** 3) ** 3, 0)
-            X = np.vander(x - g, 3, increasing=True)
-            fit = np.linalg.solve(X.T @ (k[:, None] * X), X.T @ (k * y))[0]
-            assert row["x"] == pytest.approx(g) and row["fit"] == pytest.approx(fit, rel=1e-6)
+    got = linear.loess(df, F.col("y"), F.col("x"), weight=F.col("w"), points=7).orderBy("x").collect()
+    q = int(120 * 0.75 + 1e-5)
+    for row, g in zip(got, np.linspace(x.min(), x.max(), 7)):
+        d = np.abs(x - g)
+        h = np.sort(d)[q - 1]
+        k = w * np.where(d < h, (1 - (d / h) ** 3) ** 3, 0)
+        X = np.vander(x - g, 3, increasing=True)
+        fit = np.linalg.solve(X.T @ (k[:, None] * X), X.T @ (k * y))[0]
+        assert row["x"] == pytest.approx(g) and row["fit"] == pytest.approx(fit, rel=1e-6)
+
+
+def test_loess_where_most_rows_share_one_x(spark):
+    rows = [(0.0, float(k % 3), 1.0 + k % 2) for k in range(90)] + [(float(k), 1.0, 1.0) for k in range(1, 11)]
+    df = spark.createDataFrame(rows, "x double, y double, w double")
+    got = linear.loess(df, F.col("y"), F.col("x"), weight=F.col("w"), points=11).orderBy("x").collect()
+    assert [r["x"] for r in got] == [float(k) for k in range(11)]
+    tied = [(y, w) for x, y, w in rows if x == 0]
+    assert got[0]["fit"] == pytest.approx(sum(y * w for y, w in tied) / sum(w for _, w in tied))
 
 
 def laplace(X, Zs, k, n, sd):

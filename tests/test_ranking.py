@@ -20,12 +20,11 @@ def values(spark):
 PROBS = [0.0, 0.025, 0.25, 0.5, 0.9, 1.0]
 
 
-@pytest.mark.parametrize("hot_rows", [10 ** 9, 500, 0])
 @pytest.mark.parametrize("weighted", [False, True])
-def test_quantiles(values, hot_rows, weighted):
+def test_quantiles(values, weighted):
     rows, df = values
     got = {r["g"]: r["quantiles"] for r in ranking.quantiles(
-        df, ["g"], "x", PROBS, "w" if weighted else None, hot_rows).collect()}
+        df, ["g"], "x", PROBS, "w" if weighted else None).collect()}
     for g in ("hot", None, "one"):
         x = [v for k, v, w in rows if k == g and v is not None
              for _ in range(w if weighted else 1)]
@@ -35,17 +34,15 @@ def test_quantiles(values, hot_rows, weighted):
 def test_quantiles_without_group(values):
     rows, df = values
     x = [v for _, v, _ in rows if v is not None]
-    for hot_rows in (10 ** 9, 0):
-        got = ranking.quantiles(df, [], "x", [0.3], hot_rows=hot_rows).first()["quantiles"][0]
-        assert got == pytest.approx(np.quantile(x, 0.3))
+    got = ranking.quantiles(df, [], "x", [0.3]).first()["quantiles"][0]
+    assert got == pytest.approx(np.quantile(x, 0.3))
 
 
-@pytest.mark.parametrize("hot_rows", [10 ** 9, 0])
-def test_kth_smallest(values, hot_rows):
+def test_kth_smallest(values):
     rows, df = values
     df = df.filter("x is not null and w > 0").withColumn("k", F.lit(25))
     got = {r["g"]: r["value"] for r in
-           ranking.kth_smallest(df, ["g"], "x", "k", "w", hot_rows).collect()}
+           ranking.kth_smallest(df, ["g"], "x", "k", "w").collect()}
     for g in ("hot", None):
         x = sorted(v for k, v, w in rows if k == g and v is not None for _ in range(w))
         assert got[g] == x[24]
