@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftline.functions.text import wrap_longitude
@@ -59,7 +59,7 @@ def read_grid(spark: SparkSession, values: str, latitudes: str, longitudes: str,
 
     ``values`` has a header and one line per latitude; ``latitudes`` has no header;
     ``longitudes`` keeps its values in the header line.  The axis limits are taken as
-    the outer edges of the grid.  Lines are numbered in file order.
+    the outer edges of the grid.  Lines are numbered in the order of file names and of lines in them.
     """
     header = read_table(spark, longitudes, header=False, na="").first()
     lons = [float(str(v).lstrip("X")) for v in header]
@@ -68,17 +68,17 @@ def read_grid(spark: SparkSession, values: str, latitudes: str, longitudes: str,
     low, high, n = lat.agg(F.min("y"), F.max("y"), F.count("y")).first()
     extent = Extent(wrapped[0], wrapped[-1], low, high, n, len(lons))
     wide = read_table(spark, values, header=True, na="NA")
-    wide = wide.withColumns({"_file": F.input_file_name(), "_mid": F.monotonically_increasing_id()})
-    parts = (wide.groupBy(F.shiftright("_mid", 33).alias("_pid")).agg(F.count("*").alias("_n"))
-             .orderBy("_pid").collect())     # one row per file split
-    offset, starts = 0, []
-    for part in parts:
-        starts += [F.lit(part["_pid"]), F.lit(offset)]
-        offset += part["_n"]
-    line = (F.element_at(F.create_map(*starts), F.shiftright("_mid", 33))
-            + F.col("_mid").bitwiseAND((1 << 33) - 1))
+    wide = wide.withColumns({"_file": F.input_file_name(), "_block": F.input_file_block_start(),
+                             "_mid": F.monotonically_increasing_id()})
+    # Splits in file order; how Spark packs them into tasks does not matter.
+    split = ["_file", "_block"]
+    before = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
+    starts = (wide.groupBy(*split).agg(F.count("*").alias("_n"), F.min("_mid").alias("_first"))
+              .select(*split, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")))
+    wide = wide.join(starts, split)
+    line = F.col("_off") + F.col("_mid") - F.col("_first")
     row = line if north_first else F.lit(n - 1) - line
-    names = [c for c in wide.columns if c not in ("_file", "_mid")]
+    names = [c for c in wide.columns if c not in ("_file", "_block", "_mid", "_first", "_off")]
     cells = F.array(*[F.col(f"`{names[i]}`").cast("double") for i in order])
     return long_cells(wide.select(row.alias("r"), cells.alias("v")), "r", "v", extent), extent
 

@@ -122,26 +122,9 @@ _JOINS = {
 }
 
 
-_known: dict[tuple[str, str], tuple] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table; its schema and split count are read from the files once."""
-    path = f"{sf_dir}/{name}.parquet"
-    key = (spark.sparkContext.applicationId, path)
-    if key not in _known:
-        df = spark.read.parquet(path)
-        _known[key] = (df.schema, df.rdd.getNumPartitions())
-    return spark.read.schema(_known[key][0]).parquet(path)
-
-
-def spread(df: DataFrame, key: str, splits: int) -> DataFrame:
-    """Deal a file out to all cores when it is too small to be split.
-
-    A table with at least half as many splits as there are cores is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if 2 * splits < cores else df
+    """A driver table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def raw_records(spark: SparkSession, sf_dir: str, columns: Sequence[str],
@@ -152,9 +135,7 @@ def raw_records(spark: SparkSession, sf_dir: str, columns: Sequence[str],
     """
     exprs = {c: for_spark(RECORD_COLUMNS[c][0]) for c in columns}
     needed = {t for c in columns for t in RECORD_COLUMNS[c][1]}
-    df, early = spread(table(spark, sf_dir, "lineitem"), "l_orderkey",
-                       _known[spark.sparkContext.applicationId, f"{sf_dir}/lineitem.parquet"][1]
-                       ), set()
+    df, early = table(spark, sf_dir, "lineitem"), set()
     for name, (left, right) in _JOINS.items():
         if name in needed:
             side = table(spark, sf_dir, name)

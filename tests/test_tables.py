@@ -59,3 +59,18 @@ def test_grid_from_files(spark, tmp_path):
     # wrapped longitudes are -179 (column 3), -0.5 (column 4), 0.5, 178.5
     assert rows == {(0, 0): 3.0, (0, 1): 4.0, (0, 2): 1.0, (0, 3): 2.0,
                     (1, 0): 7.0, (1, 1): 8.0, (1, 2): 5.0, (1, 3): None}
+
+
+def test_grid_of_several_files(spark, tmp_path):
+    """Lines follow file names, whatever the sizes of the files and the order of the splits."""
+    folder, line = tmp_path / "v", 0
+    folder.mkdir()
+    for part, lines in enumerate([2, 40, 1, 300, 5]):
+        rows = "".join(f"{line + k},{-(line + k)}\n" for k in range(lines))
+        (folder / f"part-{part}.csv").write_text("c1,c2\n" + rows)
+        line += lines
+    (tmp_path / "lat.csv").write_text("".join(f"{90 - k / 4}\n" for k in range(line)))
+    (tmp_path / "lon.csv").write_text("X1,X2\n")
+    cells, _ = grid.read_grid(spark, str(folder), str(tmp_path / "lat.csv"), str(tmp_path / "lon.csv"))
+    got = {(r["row"], r["col"]): r["value"] for r in cells.collect()}
+    assert got == {(k, c): float(-k if c else k) for k in range(line) for c in range(2)}
