@@ -9,6 +9,8 @@ grow beyond one row per node.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,21 @@ from driftline.session import cut_lineage
 KEY = ["tree_id", "node"]
 
 
+def _rounds(edges: DataFrame) -> int:
+    """Rounds that pointer doubling can take at most on a tree of these nodes."""
+    most = edges.groupBy("tree_id").count().agg(F.max("count")).first()[0] or 0
+    return int(most).bit_length() + 2
+
+
+def _still(open_rows: DataFrame, left: int) -> bool:
+    """Whether rows are left to follow; parents that form a cycle never end and raise."""
+    if open_rows.isEmpty():
+        return False
+    if left <= 0:
+        raise ValueError(f"parents form a cycle, for example at {open_rows.first()}")
+    return True
+
+
 def node_metrics(edges: DataFrame, count: Column | None = None) -> DataFrame:
     """Per node: ``depth`` (edges to the root), ``root_dist``, ``below``.
 
@@ -32,7 +49,9 @@ def node_metrics(edges: DataFrame, count: Column | None = None) -> DataFrame:
         F.when(has_parent, F.coalesce("edge_length", F.lit(0.0))).otherwise(0.0)
         .alias("root_dist"),
         own.cast("long").alias("below")))
-    while not state.filter(F.col("jump").isNotNull()).isEmpty():
+    left = _rounds(edges)
+    while _still(state.filter(F.col("jump").isNotNull()).select(*KEY), left):
+        left -= 1
         up = _looked_up(state, "jump", _jump="jump", _depth="depth", _dist="root_dist")
         gained = (state.filter(F.col("jump").isNotNull())
                   .groupBy("tree_id", F.col("jump").alias("node"))
@@ -90,7 +109,9 @@ def induced_subtree(edges: DataFrame, tips: DataFrame) -> DataFrame:
     marked = cut_lineage(edges.join(wanted, KEY, "left").select(
         *KEY, "parent", "label", "edge_length", F.col("parent").alias("jump"),
         F.coalesce("_want", F.lit(False)).alias("keep")))
-    while not marked.filter(F.col("jump").isNotNull()).isEmpty():
+    left = _rounds(edges)
+    while _still(marked.filter(F.col("jump").isNotNull()).select(*KEY), left):
+        left -= 1
         up = _looked_up(marked, "jump", _jump="jump")
         reached = (marked.filter(F.col("keep") & F.col("jump").isNotNull())
                    .select("tree_id", F.col("jump").alias("node")).distinct()
@@ -107,7 +128,9 @@ def induced_subtree(edges: DataFrame, tips: DataFrame) -> DataFrame:
     state = cut_lineage(forks.select(*KEY, "label", "stays", F.col("parent").alias("up"),
                                      F.coalesce("edge_length", F.lit(0.0)).alias("edge_length"))
                         .withColumn("open", F.col("up").isNotNull()))
-    while not state.filter("open").isEmpty():
+    left = _rounds(edges)
+    while _still(state.filter("open").select(*KEY), left):
+        left -= 1
         above = _looked_up(state, "up", _stays="stays", _up="up", _len="edge_length")
         # a node that stays ends the walk of those below it; others pass their own target on
         step = F.col("open") & ~F.col("_stays")
@@ -198,13 +221,15 @@ def attach(edges: DataFrame, summary: DataFrame, key: str) -> DataFrame:
 
 
 def add_tips(edges: DataFrame, anchors: DataFrame,
-             prefix: str = "NeWNodEPhylO") -> DataFrame:
+             prefix: str = "fork", start: int = 1) -> DataFrame:
     """Graft new tips at anchors ``(tree_id, anchor, new_tip, edge_length, seq)``.
 
     An anchor is the label of a tip or inner node.  The first new tip at a tip anchor
     splits its edge, at ``edge_length`` above the tip or half way; more tips at the same anchor
     hang from the same new node.  At an inner node the new tip reaches down to the tip
-    level.  Node keys must be strings: new nodes are keyed by their labels.
+    level, whatever length is asked.  Node keys must be strings: new nodes are keyed by their labels,
+    ``prefix`` and a number from ``start`` on; a later call on the result starts at ``next_fork``.
+    A new key that the tree already has is an error.
     """
     info = cut_lineage(node_info(edges))
     base = edges.select(*KEY, "parent", "label")
@@ -215,7 +240,8 @@ def add_tips(edges: DataFrame, anchors: DataFrame,
     asked = cut_lineage(anchors.join(labels, ["tree_id", "anchor"], "left"))
     problems = asked.groupBy("tree_id", "anchor").agg(
         F.min("_n").alias("n"),
-        F.count_distinct(F.coalesce(F.col("edge_length"), F.lit(-1.0))).alias("lengths"),
+        F.count_distinct(F.when(F.col("_type") == "tip", F.coalesce(F.col("edge_length"), F.lit(-1.0))))
+        .alias("lengths"),
         F.max(F.when(F.col("_type") == "tip", F.col("edge_length") > F.col("_len")))
         .alias("too_long"))
     message = (F.when(F.col("n").isNull(), "anchor not in tree")
@@ -231,7 +257,7 @@ def add_tips(edges: DataFrame, anchors: DataFrame,
         F.min("seq").alias("seq"),
         F.coalesce(F.max("edge_length"), F.max("_len") / 2).alias("_cut"))
     splits = cut_lineage(ranking.rank_within(splits, ["tree_id"], ["seq"], "_m").select(
-        *KEY, "_cut", F.concat(F.lit(prefix), F.col("_m")).alias("_new")))
+        *KEY, "_cut", F.concat(F.lit(prefix), F.col("_m") + (start - 1)).alias("_new")))
     whole = base.join(info.select(*KEY, "edge_length"), KEY).join(splits, KEY, "left")
     old = whole.select(*KEY, F.coalesce("_new", "parent").alias("parent"), "label",
                        F.coalesce("_cut", "edge_length").alias("edge_length"))
@@ -243,4 +269,16 @@ def add_tips(edges: DataFrame, anchors: DataFrame,
                       F.coalesce("_new", "_node").alias("parent"),
                       F.col("new_tip").alias("label"),
                       F.coalesce("_cut", "_height").alias("edge_length")))
+    added = forks.select(*KEY).unionByName(grafts.select(*KEY))
+    clash = (added.groupBy(*KEY).count().filter("count > 1").select(*KEY)
+             .unionByName(added.join(base, KEY, "left_semi"))).head(1)
+    if clash:
+        raise ValueError(f"key already in use: {clash[0]['node']} (tree {clash[0]['tree_id']})")
     return old.unionByName(forks).unionByName(grafts)
+
+
+def next_fork(edges: DataFrame, prefix: str = "fork") -> int:
+    """First fork number that no node of ``edges`` bears: ``start`` of the next ``add_tips``."""
+    number = F.regexp_extract("node", f"^{re.escape(prefix)}([0-9]+)$", 1)
+    last = edges.filter(number != "").agg(F.max(number.cast("long"))).first()[0]
+    return (last or 0) + 1

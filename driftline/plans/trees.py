@@ -118,7 +118,7 @@ def tree_mrca(spark, sf_dir):
 
 ANCHORS_SQL = """, anchors AS (SELECT tree_id, ty || '/' || br || '/' || na AS anchor, n3 AS node,
       2 AS lev FROM leaf WHERE na LIKE 'hot %'),
-    cuts AS (SELECT a.tree_id, a.anchor, a.node, e.edge_length / 2 AS cut, 'NeWNodEPhylO' ||
+    cuts AS (SELECT a.tree_id, a.anchor, a.node, e.edge_length / 2 AS cut, 'fork' ||
       row_number() OVER (PARTITION BY a.tree_id ORDER BY a.anchor) AS fork
       FROM anchors a JOIN edges e USING (tree_id, node))"""
 

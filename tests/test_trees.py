@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftline.operators import names, taxonomy
+from driftline.session import cut_lineage
 
 SCHEMA = "tree_id string, node string, parent string, label string, edge_length double"
 
@@ -180,3 +181,27 @@ def test_names_match_brute_force(spark):
         if best[0] <= 1 and best[2] % 7:
             expected[a.upper()] = (best[1], best[0])
     assert got == expected
+
+
+def test_add_tips_twice_numbers_on(spark):
+    tree = spark.createDataFrame(SMALL, SCHEMA)
+    tip = taxonomy.node_info(tree).filter("type = 'tip'").orderBy("label").select("label", "tree_id").first()
+    ask = "tree_id string, anchor string, new_tip string, edge_length double, seq long"
+    def one(name):
+        return spark.createDataFrame([(tip["tree_id"], tip["label"], name, None, 1)], ask)
+    once = cut_lineage(taxonomy.add_tips(tree, one("x1")))
+    assert taxonomy.next_fork(tree) == 1 and taxonomy.next_fork(once) == 2
+    with pytest.raises(ValueError, match="already in use"):
+        taxonomy.add_tips(once, one("x2"))
+    with pytest.raises(ValueError, match="already in use"):
+        taxonomy.add_tips(once, one("x1"), start=2)
+    twice = taxonomy.add_tips(once, one("x2"), start=2)
+    keys = [(r["tree_id"], r["node"]) for r in twice.collect()]
+    assert len(set(keys)) == len(keys) == tree.count() + 4
+
+
+def test_a_cycle_of_parents_is_an_error(spark):
+    rows = [("t", str(k), str((k + 1) % 5), str(k), 1.0) for k in range(5)]
+    tree = spark.createDataFrame(rows, "tree_id string, node string, parent string, label string, edge_length double")
+    with pytest.raises(ValueError, match="cycle"):
+        taxonomy.node_metrics(tree)
