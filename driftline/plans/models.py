@@ -64,7 +64,6 @@ def fit_detect_year(spark, sf_dir):
     " WHERE Smallest_detect_size > 0.15")))
 def fit_large_size(spark, sf_dir):
     df = study_table(spark, sf_dir).filter("Smallest_detect_size > 0.15")
-    df = df.withColumn("Overall_FO", F.round("Overall_FO", 6))
     return linear.linear_fit(df, F.col("Overall_FO"), {"x": F.col("Smallest_detect_size")},
                              weight=F.col("N")).select(*LINE_COLUMNS)
 
@@ -74,23 +73,23 @@ QUAD_SQL = f""", d AS (SELECT Smallest_detect_size AS x, Smallest_detect_size **
       AND Overall_FO IS NOT NULL AND N > 0),
     m AS (SELECT count(*) AS n, sum(w) AS sw, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my,
       sum(w * z) / sum(w) AS mz FROM d),
-    s AS (SELECT any_value(n) AS n, any_value(mx) AS mx, any_value(my) AS my, any_value(mz) AS mz,
+    s AS (SELECT any_value(n) AS n, any_value(sw) AS sw, any_value(mx) AS mx, any_value(my) AS my, any_value(mz) AS mz,
       sum(w * (x - mx) ** 2) AS sxx, sum(w * (z - mz) ** 2) AS szz, sum(w * (y - my) ** 2) AS syy,
       sum(w * (x - mx) * (z - mz)) AS sxz, sum(w * (x - mx) * (y - my)) AS sxy,
       sum(w * (z - mz) * (y - my)) AS szy FROM d, m),
     f AS (SELECT *, sxx * szz - sxz * sxz AS det, (sxy * szz - szy * sxz) / det AS bx,
       (szy * sxx - sxy * sxz) / det AS bz FROM s),
     g AS (SELECT *, (syy - bx * sxy - bz * szy) / (n - 3) AS s2 FROM f WHERE n > 3)
-    SELECT term, round(estimate, 4) AS estimate, round(std_error, 4) AS std_error, n,
+    SELECT term, {r("estimate", "estimate")}, {r("std_error", "std_error")}, n,
       {r("sqrt(s2)", "sigma")}, {r("(bx * sxy + bz * szy) / syy", "r_squared")} FROM (
-      SELECT '(Intercept)' AS term, my - bx * mx - bz * mz AS estimate, NULL AS std_error, * FROM g
+      SELECT '(Intercept)' AS term, my - bx * mx - bz * mz AS estimate,
+        sqrt(s2 * (1 / sw + (mx * mx * szz - 2 * mx * mz * sxz + mz * mz * sxx) / det)) AS std_error, * FROM g
       UNION ALL SELECT 'x', bx, sqrt(s2 * szz / det), * FROM g
       UNION ALL SELECT 'x2', bz, sqrt(s2 * sxx / det), * FROM g)"""
 
 
 def _small_sizes(spark, sf_dir):
-    df = study_table(spark, sf_dir).filter("Smallest_detect_size < 0.25")
-    return df.withColumn("Overall_FO", F.round("Overall_FO", 6))
+    return study_table(spark, sf_dir).filter("Smallest_detect_size < 0.25")
 
 
 @query("fit_quad_size", over_studies(QUAD_SQL))
@@ -98,9 +97,7 @@ def fit_quad_size(spark, sf_dir):
     x = F.col("Smallest_detect_size")
     fit = linear.linear_fit(_small_sizes(spark, sf_dir), F.col("Overall_FO"),
                             {"x": x, "x2": F.pow(x, F.lit(2.0))}, weight=F.col("N"))
-    return fit.select("term", F.round("estimate", 4).alias("estimate"),
-                      F.when(F.col("term") != "(Intercept)", F.round("std_error", 4))
-                      .alias("std_error"), "n", "sigma", "r_squared")
+    return fit.select("term", "estimate", "std_error", "n", "sigma", "r_squared")
 
 
 @query("band_quad_size")

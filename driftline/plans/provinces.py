@@ -106,9 +106,9 @@ def _fo_case(top: str) -> str:
 
 
 # bins are tried on many small groups, so that every class occurs
-CELLS_SQL = f""", cell AS (SELECT ProvCode, binomial, family, {r(FO, "aveplast")},
+CELLS_SQL = f""", cell AS (SELECT ProvCode, binomial, family, {FO} AS aveplast,
     {SUM_N} AS numfish, {n_distinct_sql("source")} AS numstudies,
-    {r(f"({FO}) * coalesce(sum(N), 0)", "normalized")} FROM full_
+    ({FO}) * coalesce(sum(N), 0) AS normalized FROM full_
     GROUP BY ProvCode, binomial, family)"""
 
 
@@ -116,10 +116,10 @@ def _bin_query(name: str, sql: str, make) -> None:
     def run(spark, sf_dir):
         df = full(spark, sf_dir, "family", *PROV_INPUTS)
         cells = df.groupBy("ProvCode", "binomial", "family").agg(
-            F.round(rsem.frequency(), 6).alias("aveplast"),
+            rsem.frequency().alias("aveplast"),
             rsem.sum_skip_null("N").alias("numfish"),
             rsem.n_distinct("source").alias("numstudies"),
-            F.round(rsem.frequency() * rsem.sum_skip_null("N"), 6).alias("normalized"))
+            (rsem.frequency() * rsem.sum_skip_null("N")).alias("normalized"))
         return cells.groupBy(make().alias("bin")).agg(
             F.count(F.lit(1)).alias("n_groups"), F.sum("numfish").alias("n_total"))
     query(name, over_records(f"""{CELLS_SQL} SELECT {sql} AS bin, count(*) AS n_groups,

@@ -71,7 +71,7 @@ def n_studies(spark, sf_dir):
 
 
 STUDY_INPUTS = ("NwP", "N", "publication_year", *QUALITY_INPUTS)
-STUDY_SQL = f"""firsts AS (SELECT source, {r(FO, "Overall_FO")}, {STRICT_N} AS N,
+STUDY_SQL = f"""firsts AS (SELECT source, {FO} AS Overall_FO, {STRICT_N} AS N,
     first(meth_3_YN ORDER BY {ROW_ORDER}) AS f_method, first(publication_year ORDER BY {ROW_ORDER})
     AS f_year, first(poly_conf_YN ORDER BY {ROW_ORDER}) AS f_poly,
     first(blanks_used_YN ORDER BY {ROW_ORDER}) AS f_blanks,
@@ -93,7 +93,7 @@ def over_studies(body: str) -> str:
     return over_records(f", {STUDY_SQL} {body}")
 
 
-@query("by_study", over_studies("SELECT * FROM study"))
+@query("by_study", over_studies("SELECT * REPLACE (round(Overall_FO, 6) AS Overall_FO) FROM study"))
 def by_study(spark, sf_dir):
     return study_table(spark, sf_dir)
 
@@ -107,7 +107,7 @@ GOLD = """Polymer_confirmation = 1 AND Blanks_used = 1 AND Clean_lab = 1 AND Met
     WHERE {GOLD}"""))
 def gold_studies(spark, sf_dir):
     studies = study_table(spark, sf_dir)
-    high = F.count_if(F.round("Overall_FO", 6) > 0.25)
+    high = F.count_if(F.col("Overall_FO") > 0.25)
     parts = [summarise.gold_studies(studies, flag).agg(
         F.lit(label).alias("rule"), F.count(F.lit(1)).alias("n_studies"), high.alias("n_high"))
         for label, flag in (("with size", True), ("any size", False))]
@@ -151,27 +151,32 @@ def family_rollup(spark, sf_dir):
                                   "family")
 
 
-SPECIES_SQL = f"""species_sum AS (SELECT binomial, family, "order",
-    {_groups("commercial", recode.COMMERCIAL_GROUPS_WIDE, "commercial")} AS status, iucn_status,
-    {r("avg(prop_w_plastic)", "Sp_mean")}, {SUM_N} AS Sample_size,
+def _species_sql(source: str, status: str, size: str) -> str:
+    """Species table over ``source``, grouped by the expression ``status``; nothing is rounded."""
+    return f"""species_sum AS (SELECT binomial, family, "order", {status} AS status, iucn_status,
+    avg(prop_w_plastic) AS Sp_mean, {size} AS Sample_size,
     {n_distinct_sql("source")} AS num_studies, {study_class_sql("num_studies")} AS studies_cat
-    FROM {{source}} WHERE (species IS NULL OR species NOT IN ('sp.', 'spp.', 'spp'))
+    FROM {source} WHERE (species IS NULL OR species NOT IN ('sp.', 'spp.', 'spp'))
     AND binomial IS NOT NULL AND family IS NOT NULL
-    GROUP BY binomial, family, "order", commercial, iucn_status)"""
+    GROUP BY binomial, family, "order", {status}, iucn_status)"""
+
+
 SPECIES_INPUTS = ("binomial", "family", "order", "commercial", "iucn_status", "prop_w_plastic",
                   "N")
 
 
-@query("species_summary", over_records(f""", {SPECIES_SQL.format(source="rec")}
-    SELECT * EXCLUDE (status), status AS commercial FROM species_sum
+@query("species_summary", over_records(f""", {_species_sql("rec", "commercial", SUM_N)}
+    SELECT binomial, family, "order", {_groups("status", recode.COMMERCIAL_GROUPS, "status")} AS commercial,
+    iucn_status, round(Sp_mean, 6) AS Sp_mean, Sample_size, num_studies, studies_cat FROM species_sum
     WHERE Sample_size > 10 AND Sp_mean < 0.25"""))
 def species_summary(spark, sf_dir):
     return summarise.species_summary(
-        records(spark, sf_dir, "source", *SPECIES_INPUTS), wide_status=True,
-        having=(F.col("Sample_size") > 10) & (F.round("Sp_mean", 6) < 0.25))
+        records(spark, sf_dir, "source", *SPECIES_INPUTS),
+        having=(F.col("Sample_size") > 10) & (F.col("Sp_mean") < 0.25))
 
 
-@query("risk_quadrant", over_records(f""", {SPECIES_SQL.format(source="full_")}
+@query("risk_quadrant", over_records(f""", {_species_sql("full_", _groups("commercial",
+    recode.COMMERCIAL_GROUPS_WIDE, "commercial"), STRICT_N)}
     SELECT CASE WHEN Sp_mean >= 0.25 AND Sample_size >= 10 THEN 'high incidence, data rich'
     WHEN Sp_mean >= 0.25 THEN 'high incidence, data poor'
     WHEN Sample_size >= 10 THEN 'low incidence, data rich'
@@ -180,11 +185,12 @@ def species_summary(spark, sf_dir):
     WHERE status IS NOT NULL AND Sample_size > 0 AND log10(Sample_size) BETWEEN 0 AND 4
     GROUP BY ALL"""))
 def risk_quadrant(spark, sf_dir):
-    df = summarise.species_summary(full(spark, sf_dir, *SPECIES_INPUTS), wide_status=True)
+    df = summarise.species_summary(full(spark, sf_dir, *SPECIES_INPUTS), strict=True,
+                                   wide_status=True, collapse_first=True)
     shown = df.dropna(subset=["commercial"]).filter(
         rsem.log_or_null("Sample_size", base10=True).between(0, 4))
     return shown.groupBy(
-        binning.risk_quadrant(F.round("Sp_mean", 6), "Sample_size").alias("quadrant"),
+        binning.risk_quadrant("Sp_mean", "Sample_size").alias("quadrant"),
         "studies_cat").agg(F.count(F.lit(1)).alias("n_species"))
 
 
@@ -249,6 +255,22 @@ def geo_summary(spark, sf_dir):
         ["NASE", "NECS", "MEDI"])
 
 
+GEO_SQL = f"""{n_distinct_sql("source")} AS num_studies,
+    {n_distinct_sql("binomial")} AS num_sp,
+    CAST(coalesce(sum(NwP), 0) AS BIGINT) AS num_w_plast, {SUM_N} AS num_ind_studied,
+    {r(FO, "prop_by_region")},
+    {r(WMEAN_STRICT, "wgt_mean_plast_num")}, {r(f"stddev_samp({P}) / sqrt(count({P}))", "se_plast_num")}
+    FROM rec WHERE ProvCode IN ('NASE', 'NECS', 'MEDI')"""
+
+
+@query("geo_overall", over_records(f"SELECT {GEO_SQL}"))
+def geo_overall(spark, sf_dir):
+    """The chosen provinces taken together."""
+    return summarise.geographic(
+        records(spark, sf_dir, "source", "ProvCode", "binomial", "NwP", "N", P),
+        ["NASE", "NECS", "MEDI"], by_province=False)
+
+
 def _per_year(name: str, by: str, needs: tuple[str, ...], lookup: bool = False) -> None:
     def run(spark, sf_dir):
         df = records(spark, sf_dir, "source", "publication_year", *needs, lookup=lookup)

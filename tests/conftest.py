@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -11,6 +12,7 @@ from driftline.session import build_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = build_session("tests", "local[4]", **{
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="driftline-tests-"),
         "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g",
         "spark.ui.showConsoleProgress": "false"})
     session.sparkContext.setLogLevel("ERROR")
