@@ -521,8 +521,8 @@ def random_intercepts(spark: SparkSession, fit: Fit, design: Design, factor: str
     """Conditional modes of one factor, as odds factors too, smallest first."""
     if factor not in fit.effects and fit.absorbed_effects is not None:
         return fit.absorbed_effects.select(
-            F.col("level").cast("string").alias("level"), F.col("effect").cast("double").alias("intercept"),
-            F.exp("effect").alias("odds_factor")).orderBy("intercept", "level")
+            F.col("h").cast("string").alias("level"), F.col("b").cast("double").alias("intercept"),
+            F.exp("b").alias("odds_factor")).orderBy("intercept", "level")
     rows = [(level, float(b), float(math.exp(b))) for level, b in
             zip(design.levels[factor], fit.effects[factor])]
     return spark.createDataFrame(sorted(rows, key=lambda r: r[1]),

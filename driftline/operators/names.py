@@ -14,19 +14,24 @@ def normal_form(name: Column) -> Column:
     return F.trim(F.regexp_replace(spaced, " +", " "))
 
 
-def _shortened(key: Column) -> Column:
-    """The key itself and every key with one letter left out."""
-    drops = F.transform(F.sequence(F.lit(1), F.length(key)), lambda i: F.concat(
-        F.substring(key, F.lit(1), i - 1), F.substring(key, i + 1, F.length(key))))
-    return F.array_distinct(F.concat(F.array(key), drops))
+def _shortened(key: Column, edits: int = 1) -> Column:
+    """The key itself and every key with up to ``edits`` letters left out."""
+    def drops(text: Column) -> Column:
+        return F.when(F.length(text) > 0, F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.concat(
+            F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text))))).otherwise(F.array(text))
+    forms = F.array(key)
+    for _ in range(edits):
+        forms = F.array_distinct(F.concat(forms, F.flatten(F.transform(forms, drops))))
+    return forms
 
 
 def resolve_names(queries: DataFrame, taxonomy: DataFrame, name: str = "query",
-                  drop_flags: tuple[str, ...] = ("INCERTAE_SEDIS_INHERITED",)) -> DataFrame:
-    """Best taxonomy row of each distinct query: exact, else within one edit.
+                  drop_flags: tuple[str, ...] = ("INCERTAE_SEDIS_INHERITED",),
+                  edits: int = 1) -> DataFrame:
+    """Best taxonomy row of each distinct query: exact, else the nearest within ``edits`` edits.
 
-    ``taxonomy`` has ``label, node, flags``.  Two names within one edit share a form with
-    at most one letter left out, so near names meet in an equality join on those forms;
+    ``taxonomy`` has ``label, node, flags``.  Two names within k edits share a form with
+    at most k letters left out of each, so near names meet in an equality join on those forms;
     no block of names is ever paired off.  Ties go to the smaller label, then node.
     Unresolved queries and flagged rows are dropped.
     """
@@ -39,10 +44,10 @@ def resolve_names(queries: DataFrame, taxonomy: DataFrame, name: str = "query",
              .select("query", "label", "node", "flags", F.lit(0).alias("distance")))
     exact = cut_lineage(exact)
     rest = asked.join(exact.select("query").distinct(), "query", "left_anti")
-    near = (rest.withColumn("form", F.explode(_shortened(F.col("key"))))
-            .join(known.withColumn("form", F.explode(_shortened(F.col("known")))), "form")
+    near = (rest.withColumn("form", F.explode(_shortened(F.col("key"), edits)))
+            .join(known.withColumn("form", F.explode(_shortened(F.col("known"), edits))), "form")
             .withColumn("distance", F.levenshtein("key", "known"))
-            .filter(F.col("distance") <= 1)
+            .filter(F.col("distance") <= edits)
             .select("query", "label", "node", "flags", "distance").distinct())
     best = (exact.unionByName(near).groupBy("query")
             .agg(F.min(F.struct("distance", "label", "node", "flags")).alias("b"))

@@ -9,7 +9,7 @@ from driftline.models import boost, linear, mixed
 from driftline.models.design import Factor, Interaction, Numeric, Smooth, build_design
 from driftline.operators import cohort, reshape
 from driftline.plans.prep import QUALITY_INPUTS
-from driftline.plans.registry import n_distinct_sql, over_records, query, r, records
+from driftline.plans.registry import FO, n_distinct_sql, over_records, query, r, records
 from driftline.plans.summaries import full, over_studies, study_table
 from driftline.session import cut_lineage
 
@@ -68,6 +68,18 @@ def fit_large_size(spark, sf_dir):
                              weight=F.col("N")).select(*LINE_COLUMNS)
 
 
+@query("fit_geo_pollution", over_records(", " + _line_sql(
+    f"SELECT any_value(mean_poll_abund) AS x, {FO} AS y, 1 AS w FROM rec WHERE ProvCode IS NOT NULL"
+    " GROUP BY ProvCode")))
+def fit_geo_pollution(spark, sf_dir):
+    """Share of positive individuals per province against its mean pollution."""
+    df = records(spark, sf_dir, "source", "ProvCode", "NwP", "N", lookup=True)
+    provinces = df.filter("ProvCode is not null").groupBy("ProvCode").agg(
+        rsem.frequency().alias("prop_by_region"), F.max("mean_poll_abund").alias("mean_poll_abund"))
+    return linear.linear_fit(provinces, F.col("prop_by_region"),
+                             {"x": F.col("mean_poll_abund")}).select(*LINE_COLUMNS)
+
+
 QUAD_SQL = f""", d AS (SELECT Smallest_detect_size AS x, Smallest_detect_size ** 2 AS z,
       Overall_FO AS y, N::DOUBLE AS w FROM study WHERE Smallest_detect_size < 0.25
       AND Overall_FO IS NOT NULL AND N > 0),
@@ -372,8 +384,8 @@ def gam_depth(spark, sf_dir):
 @query("gamm_depth")
 def gamm_depth(spark, sf_dir):
     """Binomial curves of trophic level and of depth per water type, with two intercepts."""
-    terms = [Smooth("trophic_level_via_fishbase", knots=6),
-             Smooth("average_depth", by="adjacency_water", knots=6), FOUND]
+    terms = [Smooth("trophic_level_via_fishbase"),
+             Smooth("average_depth", by="adjacency_water"), FOUND]
     random = ("order", "source")
     df = model_data(spark, sf_dir, "trophic", terms, random).filter("average_depth < 1501")
     design = build_design(df, terms, random)

@@ -283,3 +283,18 @@ def study_backfill(spark, sf_dir):
               .select("doc_id", "quality", F.col("doc_id").alias("hit")))
     return docs.join(labels, "doc_id", "left").groupBy("lang", "quality").agg(
         n_rows(), F.count("hit").alias("n_matched"), F.count_distinct("source").alias("n_sources"))
+
+
+@query("study_list_records", over_records("""SELECT s.method_type, count(*) AS n_joined,
+    count(rec.source) AS n_matched, count(DISTINCT s.source) AS n_studies,
+    CAST(sum(rec.N) AS BIGINT) AS n_total
+    FROM (SELECT DISTINCT source, method_type FROM rec) s LEFT JOIN rec ON s.source = rec.source
+    GROUP BY s.method_type"""))
+def study_list_records(spark, sf_dir):
+    """The list of studies and methods, joined to the records of each study."""
+    df = records(spark, sf_dir, "source", "method_type", "N")
+    studies = df.select("source", "method_type").distinct()
+    found = df.select(F.col("source").alias("hit"), "N")
+    return studies.join(found, F.col("source") == F.col("hit"), "left").groupBy("method_type").agg(
+        F.count(F.lit(1)).alias("n_joined"), F.count("hit").alias("n_matched"),
+        F.count_distinct("source").alias("n_studies"), F.sum("N").alias("n_total"))

@@ -236,6 +236,19 @@ def test_boosted_trees(spark):
     assert boost.cv_table(b).count() == 4
 
 
+def test_boosting_keeps_rows_with_gaps(spark):
+    rng = np.random.default_rng(8)
+    x, f = rng.uniform(0, 1, 300), rng.integers(0, 2, 300)
+    rows = [(None if k % 3 == 0 else float(a), None if k % 5 == 0 else "ab"[b], 9.0 if k % 3 == 0 else float(a))
+            for k, (a, b) in enumerate(zip(x, f))]
+    df = spark.createDataFrame(rows, "x double, f string, y double")
+    b = boost.fit_boosted(df, F.col("y"), ["x"], ["f"], trees=6, rate=0.5, folds=2)
+    assert b.data.agg(F.sum("weight")).first()[0] == 300
+    assert b.features == ["x", "x_missing", "f"]
+    seen = {r["value"]: r["prediction"] for r in boost.partial_dependence(b, "x", 3).collect()}
+    assert max(seen) <= 1 and max(seen.values()) < 3      # as if known, not as the rows with gaps
+
+
 def test_response_filter(spark):
     df = spark.createDataFrame([("a", 0.0), ("a", 2.0), ("b", 3.0), ("b", 5.0), ("a", 1.0)],
                                "g string, m double")
@@ -257,6 +270,9 @@ def test_absorbed_factor_gives_the_same_fit(trials):
     for k in ("g", "h"):
         assert fit.spread[k] == pytest.approx(plain.spread[k], rel=0.05)
     table = {r["h"]: r["b"] for r in fit.absorbed_effects.collect()}
+    rows = mixed.random_intercepts(df.sparkSession, fit, design, "g").collect()
+    assert {r["level"]: r["intercept"] for r in rows} == pytest.approx(table)
+    assert [r["intercept"] for r in rows] == sorted(table.values())
     wanted = dict(zip(build_design(df, terms, ("g", "h")).levels["g"], plain.effects["g"]))
     assert table == pytest.approx(wanted, abs=2e-2)
 

@@ -183,6 +183,17 @@ def test_names_match_brute_force(spark):
     assert got == expected
 
 
+def test_names_within_two_edits(spark):
+    tax = spark.createDataFrame([("Gadus morhua", "n1", None), ("Salmo trutta", "n2", None)],
+                                "label string, node string, flags string")
+    asked = ["gadus_morhva", "gads morhu", "slamo trutta", "salmo tru", "gadus", "ga"]
+    q = spark.createDataFrame([(a,) for a in asked], "query string")
+    got = {k: {r["query"]: (r["node"], r["distance"]) for r in names.resolve_names(q, tax, edits=k).collect()}
+           for k in (1, 2)}
+    assert got[1] == {"gadus_morhva": ("n1", 1)}
+    assert got[2] == {"gadus_morhva": ("n1", 1), "gads morhu": ("n1", 2), "slamo trutta": ("n2", 2)}
+
+
 def test_add_tips_twice_numbers_on(spark):
     tree = spark.createDataFrame(SMALL, SCHEMA)
     tip = taxonomy.node_info(tree).filter("type = 'tip'").orderBy("label").select("label", "tree_id").first()
