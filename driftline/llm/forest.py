@@ -8,8 +8,8 @@ where it is crowded they are those of the longest common prefix, so depth adapts
 and no group is paired off.  The two best candidates of each class are confirmed on full shingle
 sets.  A second pass over the classes that had candidates looks much further along each order,
 but only at neighbours in other components than the row's own, and confirms all that could link:
-two sets share no shingle that only one class has, so those shingles bound their similarity.  A pair
-at the threshold of 0.8 shares four places in some tree with a chance of 1 - 5e-8.
+two sets share no shingle that only one class has, and no more of the others than the smaller
+count in each of 256 buckets, which bounds their similarity closely.  A pair at the threshold of 0.8 shares four places in some tree with a chance of 1 - 5e-8.
 
 Defined cases: null, empty and blank texts have no shingles and are groups of their own; a text with
 fewer words than a shingle is one shingle; repeated rows are one class; a null id never names
@@ -36,7 +36,7 @@ PLACES = TREES * DEPTH
 #: Following neighbours in an order in the first and second pass, agreeing places of a key that a
 #: candidate needs, and candidates of each class, then of each two parts, confirmed in the first pass.
 NEIGHBOURS, FAR_NEIGHBOURS, AGREE, BEST = 6, 256, 18, 2
-BITS = 23
+BITS, BUCKETS = 23, 256
 
 _MULTIPLIERS = counter(PLACES, 3)
 
@@ -92,17 +92,17 @@ def measure(rows: DataFrame, width: int) -> DataFrame:
 
 
 def candidates(classes: DataFrame, reach: int, percent: int) -> DataFrame:
-    """(a, b, agree) with a < b: neighbours in the sorted orders of ``classes`` (uid, label, size, most, sig).
+    """(a, b, agree) with a < b: neighbours in the sorted orders of ``classes`` (uid, label, size, hist, sig).
 
     A row meets up to ``reach`` following rows as long as they share its prefix; rows of
-    one label are not paired, nor sets that cannot meet the threshold, given their sizes and the
-    ``most`` shingles that each may share.
+    one label are not paired, nor sets that cannot meet the threshold, given their sizes and their
+    ``hist`` (counts, in buckets, of the shingles that others may have; empty for unknown).
     """
-    keys = (classes.select("uid", "label", "size", "most", F.concat("sig", "sig").alias("twice"),
+    keys = (classes.select("uid", "label", "size", "hist", F.concat("sig", "sig").alias("twice"),
                            F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
             .select(F.col("tree").cast("byte").alias("tree"),
                     F.substring("twice", F.col("tree") * DEPTH + 1, F.lit(KEY)).alias("key"), "uid", "label",
-                    F.col("size").cast("int").alias("size"), F.col("most").cast("int").alias("most")))
+                    F.col("size").cast("int").alias("size"), "hist"))
     # The class id is part of the order, so equal keys may span partitions.
     ordered = keys.repartitionByRange("tree", "key", "uid").sortWithinPartitions("tree", "key", "uid")
 
@@ -115,12 +115,12 @@ def candidates(classes: DataFrame, reach: int, percent: int) -> DataFrame:
             key = np.frombuffer(raw.buffers()[2], np.uint8)
             start = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset]
             now = [key[start:start + b.num_rows * KEY].reshape(-1, KEY),
-                   *(np.asarray(b.column(k)).astype(np.int64) for k in (0, 2, 3, 4, 5))]
+                   *(np.asarray(b.column(k)).astype(np.int64) for k in (0, 2, 3, 4)), _histogram(b.column(5))]
             old = 0
             if held is not None:                                     # the last rows of the batch before
                 old = held[1].size
                 now = [np.concatenate(p) for p in zip(held, now)]
-            key, tree, uid, label, size, most = now
+            key, tree, uid, label, size, hist = now
             lo = np.arange(uid.size)
             for step in range(1, reach + 1):
                 lo = lo[lo < uid.size - step]
@@ -128,10 +128,15 @@ def candidates(classes: DataFrame, reach: int, percent: int) -> DataFrame:
                 if lo.size == 0:
                     break
                 x = lo[(lo + step >= old) & (label[lo] != label[lo + step])]
-                both = np.minimum(most[x], most[x + step])
+                both = np.minimum(size[x], size[x + step])
                 x = x[100 * both >= percent * (size[x] + size[x + step] - both)]
                 agree = (key[x] == key[x + step]).sum(1)
                 x, agree = x[agree >= AGREE], agree[agree >= AGREE]
+                if hist.shape[1]:
+                    each = np.minimum(hist[x], hist[x + step])
+                    both = np.where((each == 255).any(1), np.minimum(size[x], size[x + step]), each.sum(1, dtype=np.int64))
+                    could = 100 * both >= percent * (size[x] + size[x + step] - both)
+                    x, agree = x[could], agree[could]
                 if x.size:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.minimum(uid[x], uid[x + step])), pa.array(np.maximum(uid[x], uid[x + step])),
@@ -142,6 +147,37 @@ def candidates(classes: DataFrame, reach: int, percent: int) -> DataFrame:
             .groupBy("a", "b").agg(F.sum("agree").alias("agree")))
 
 
+def _histogram(column: pa.Array) -> np.ndarray:
+    """Bucket counts of each row; no columns where the rows are empty.  255 stands for any larger count."""
+    raw = b"".join(column.to_pylist())
+    return np.frombuffer(raw, np.uint8).reshape(len(column), -1) if raw else np.zeros((len(column), 0), np.uint8)
+
+
+def _bucket_counts(sets: list[np.ndarray]) -> np.ndarray:
+    row = np.repeat(np.arange(len(sets)), [s.size for s in sets])
+    every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    flat = row * BUCKETS + (every & np.uint64(BUCKETS - 1)).astype(np.int64)
+    return np.bincount(flat, minlength=len(sets) * BUCKETS).reshape(len(sets), BUCKETS).astype(np.uint32)
+
+
+def _shareable(classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(uid, hist): bucket counts of each set without the shingles that no other set has."""
+    own = (sets.select("uid", F.explode("s").alias("g")).groupBy("g").agg(F.count("*").alias("n"), F.min("uid").alias("uid"))
+           .where("n = 1").groupBy("uid").agg(F.collect_list(F.col("g").bitwiseAND(BUCKETS - 1).cast("short")).alias("own")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hist = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(-1, BUCKETS).copy()
+            for i in range(b.num_rows):
+                if b.column(2)[i].is_valid:
+                    hist[i] -= np.bincount(np.asarray(b.column(2)[i].values), minlength=BUCKETS).astype(np.uint32)
+            hist = np.minimum(hist, 255).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([h.tobytes() for h in hist], pa.binary())], ["uid", "hist"])
+
+    return (classes.select("uid").join(sets.select("uid", "hist"), "uid").join(own, "uid", "left")
+            .select("uid", "hist", "own").mapInArrow(run, "uid long, hist binary"))
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The ``pairs`` (a, b) whose sets (uid, s) meet in ``percent`` % of their union."""
     left = sets.select(F.col("uid").alias("a"), F.col("s").alias("sa"))
@@ -176,7 +212,7 @@ def near_duplicates(rows: DataFrame, width: int, percent: int) -> DataFrame:
                           .agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "sig")).alias("m"))
                           .select(F.monotonically_increasing_id().alias("uid"), "size", "h1", "h2",
                                   F.col("m.doc_id").alias("first"), F.col("m.sig").alias("sig")))
-    alone = classes.select("uid", F.col("uid").alias("label"), "size", F.col("size").alias("most"), "sig")
+    alone = classes.select("uid", F.col("uid").alias("label"), "size", F.lit(b"").alias("hist"), "sig")
     pairs = cut_lineage(candidates(alone, NEIGHBOURS, percent))
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
     wanted = cut_lineage(nodes.join(classes, "uid"))
@@ -188,19 +224,21 @@ def near_duplicates(rows: DataFrame, width: int, percent: int) -> DataFrame:
              .select("a", "b").distinct())
     first = cut_lineage(first)
     near = components(confirmed(first, sets, percent))
+    hist = cut_lineage(_shareable(wanted, sets))
+
+    def across(near: DataFrame, reach: int) -> DataFrame:
+        """Candidates between different labels of ``near`` that could link."""
+        labels = near.select(F.col("node").alias("uid"), "label")
+        rows = wanted.select("uid", "size", "sig").join(hist, "uid").join(labels, "uid", "left")
+        rows = rows.withColumn("label", F.coalesce("label", "uid"))
+        return cut_lineage(candidates(cut_lineage(rows), reach, percent))
+
     # Groups may still lie in parts: the best candidates of each two parts come next.
-    mates = cut_lineage(_between(pairs.join(first, ["a", "b"], "left_anti"), near))
+    mates = _between(across(near, NEIGHBOURS).join(first, ["a", "b"], "left_anti"), near)
     by_parts = W.partitionBy("la", "lb").orderBy(F.desc("agree"), F.xxhash64("a", "b"))
     some = cut_lineage(mates.withColumn("_r", F.row_number().over(by_parts)).where(F.col("_r") <= BEST))
     near = _merge(near, confirmed(some, sets, percent).join(some.select("a", "b", "la", "lb"), ["a", "b"]))
-    own = (sets.select("uid", F.explode("s").alias("g")).groupBy("g").agg(F.count("*").alias("n"), F.min("uid").alias("uid"))
-           .where("n = 1").groupBy("uid").agg(F.count("*").alias("own")))
-    labelled = cut_lineage(
-        wanted.select("uid", "size", "sig").join(own, "uid", "left")
-        .join(near.select(F.col("node").alias("uid"), "label"), "uid", "left")
-        .select("uid", "sig", "size", F.coalesce("label", "uid").alias("label"),
-                (F.col("size") - F.coalesce("own", F.lit(0))).alias("most")))
-    open_ = cut_lineage(candidates(labelled, FAR_NEIGHBOURS, percent))
+    open_ = across(near, FAR_NEIGHBOURS)
     labels = _merge(near, _between(confirmed(open_, sets, percent), near))
     grouped = classes.join(labels, classes["uid"] == labels["node"], "left").select(
         "size", "h1", "h2", "first", F.coalesce("label", "uid").alias("label"))
@@ -256,7 +294,7 @@ def without_near_copies(documents: DataFrame, width: int, percent: int) -> DataF
 
 
 def _sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(uid, s): full shingle sets of the classes ``wanted``, from one row of each.
+    """(uid, s, hist): full shingle sets of the classes ``wanted`` and their counts in buckets.
 
     A bitmap of fixed size over the wanted ids keeps other texts from being shuffled; the join decides.
     """
@@ -276,13 +314,15 @@ def _sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)),
                     pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(h1), lists], ["first", "h1", "s"])
+                hist = pa.array([h.tobytes() for h in _bucket_counts(sets)], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(h1), lists, hist],
+                                                 ["first", "h1", "s", "hist"])
 
     found = (rows.select(F.col("doc_id").cast("long").alias("first"), F.coalesce("text", F.lit("")).alias("text"))
-             .select("first", spot.alias("p"), "text").mapInArrow(run, "first long, h1 long, s array<long>"))
+             .select("first", spot.alias("p"), "text").mapInArrow(run, "first long, h1 long, s array<long>, hist binary"))
     match = wanted.select("uid", F.col("h1").alias("wh"), F.col("first").alias("wf"))
     return (found.join(match, (F.col("h1") == F.col("wh")) & F.col("first").eqNullSafe(F.col("wf")))
-            .select("uid", "s").dropDuplicates(["uid"]))
+            .select("uid", "s", "hist").dropDuplicates(["uid"]))
 
 
 def _set_hashes(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
