@@ -229,7 +229,9 @@ def halving_repeats(around: DataFrame) -> DataFrame:
                        F.expr(f"substring(right, 1, {LENGTH} - hi)")).alias("core")))
         alls = (keyed.where("all is not null").groupBy("g", "lo", "hi", "all")
                 .agg(F.count("*").alias("n"), F.min("c").alias("witness")).where("n > 1").drop("n"))
-        cores = keyed.groupBy("g", "lo", "hi", "core").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+        # Written before the joins, so that Spark may split the rows of a frequent block.
+        alls = cut_lineage(alls)
+        cores = cut_lineage(keyed.groupBy("g", "lo", "hi", "core").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
         state = cut_lineage(keyed.join(cores, ["g", "lo", "hi", "core"]).join(alls, ["g", "lo", "hi", "all"], "left")
                             .select("g", "c", "lo", "hi", "witness"))
         hit = state.where("witness is not null").select(
