@@ -186,6 +186,12 @@ def digests(pages: DataFrame) -> DataFrame:
             .withColumn("length", F.length("payload").cast("long")).withColumn("sha1", F.sha1("payload")))
 
 
+def _rows(batch: pa.RecordBatch, step: int = 128) -> Iterator[tuple]:
+    """Rows of a batch as Python values, made a few at a time."""
+    for lo in range(0, batch.num_rows, step):
+        yield from zip(*[c.to_pylist() for c in batch.slice(lo, step).columns])
+
+
 def write_archives(pages: DataFrame, folder: str, min_payload: int = MIN_PAYLOAD, force64: bool = False) -> DataFrame:
     """Write all rows as WARC records; returns (archive, records) of the archives written.
 
@@ -217,7 +223,7 @@ def write_archives(pages: DataFrame, folder: str, min_payload: int = MIN_PAYLOAD
             done.append((f"{folder}/{name}", len(index)))
 
         for b in batches:
-            for page_id, url, payload, length, refers_to in zip(*[c.to_pylist() for c in b.columns]):
+            for page_id, url, payload, length, refers_to in _rows(b):
                 if out is None:
                     name, index = f"part-{part:05d}-{serial:04d}.wacz", []
                     temp = f"_{name}-{uuid.uuid4().hex}"
