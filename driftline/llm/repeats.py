@@ -158,6 +158,7 @@ def repeats_of(lefts: list[bytes], rights: list[bytes]) -> list[tuple[int, int,
     rank = np.empty(m, np.int64)
     rank[order] = np.arange(m)
     most = int(agree.max(initial=0))
+    best = np.full(m, -1)
     out = []
     for v, first, last in intervals(prefix):
         need = LENGTH - v
@@ -168,10 +169,10 @@ def repeats_of(lefts: list[bytes], rights: list[bytes]) -> list[tuple[int, int,
         # the last segment of reduceat runs to the end of the array
         between[-1] = agree[places[-2]:places[-1]].min()
         longest = np.maximum(np.concatenate([[-1], between]), np.concatenate([between, [-1]]))
-        # members alike on the left as far as texts are kept have no left diversity: still repeats
-        for p, u in zip(places, longest):
-            if u >= need:
-                out.append((order[p], -int(u), v))
+        # Inner intervals come first: an outer one adds something only to a longer left extension.
+        wider = (longest >= need) & (longest > best[places])
+        best[places[wider]] = longest[wider]
+        out.extend((order[p], -int(u), v) for p, u in zip(places[wider].tolist(), longest[wider]))
     return out
 
 
@@ -194,6 +195,9 @@ def tree_repeats(around: DataFrame) -> DataFrame:
                 if held and held[-1][0] != r[0]:
                     out.extend(solve(held))
                     held = []
+                    if len(out) > 20_000:
+                        yield _spans(out)
+                        out = []
                 held.append(r)
             yield _spans(out)
         yield _spans(list(solve(held)) if held else [])
