@@ -1,18 +1,20 @@
 """Language-model scores from a weighted backoff automaton over smoothed n-grams.
 
-Word counts cover every training text.  Words that hold at least 1/2^12 (1/2^9) of all tokens may
-stand in bigrams (trigrams), and an n-gram with at least 1/2^21 of all tokens becomes an arc; these
-shares bound the automaton by 2^21 arcs an order whatever the corpus size, so it can be sent to
-every task.  States are histories of at most two words.  A state lacking an arc for the next word
-follows its failure arc, which multiplies by the backoff weight that makes the state's
-probabilities sum to one, to the state of the shorter history; the state without history gives every
-word, seen or not, its add-one probability.
-
-An n-gram state is named by the last two words only, so the states along a text, and the arcs taken
-from them left to right, are looked up for all positions of a text at once.
-
-Counts of words too rare for the automaton's word table (under 1/2^22 of all tokens) are joined to
-their occurrences; by definition no such word is frequent.
+Every bigram and trigram seen at least twice is an arc, whatever the size of the corpus: arcs are a
+partitioned table that grows with the input.  States are histories of at most two words.  A state
+lacking an arc for the next word follows its failure arc, which multiplies by the backoff weight that
+makes the state's probabilities sum to one, to the state of the shorter history; the state without
+history gives every word, seen or not, its add-one probability.
+
+Along a text the log-probabilities of such a walk are a sum over its n-grams: a word adds its floor and
+its failure weight, a bigram what its arc has over floor and failure plus the failure weight of the state it
+leads to, a trigram what its arc has over that weight and the bigram's arc.  So scoring is one equality
+join between n-grams and arcs.  Discounts and weights come from grouped joins.
+
+N-grams travel as packed arrays, each to the part its 64-bit hash names; the number of parts grows with
+the corpus.  Tasks sum equal n-grams first, and look up those of at least 1/2^20 of all tokens in a small
+table, so none is hot in a part.  A bitmap of fixed size keeps n-grams without an arc from travelling;
+the join decides.
 
 Defined cases: a null text is empty and has the end token alone; a null id is taught, not held out;
 repeated rows each count and are each scored; without training rows every token has
@@ -21,40 +23,38 @@ probability 1.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm.common import byte_chunks, held_out, mix, table, word_hashes
+from driftline.llm.common import byte_chunks, held_out, mix, pair_hash, table, word_hashes
 from driftline.session import cut_lineage
 
-WORD_SHARE, BIGRAM_SHARE, TRIGRAM_SHARE, ARC_SHARE = 2 ** 22, 2 ** 12, 2 ** 9, 2 ** 21
+#: No n-gram is left out for its share of the tokens.
+BIGRAM_SHARE = TRIGRAM_SHARE = ARC_SHARE = math.inf
 LEAST, DISCOUNT = 2, 0.75
+#: N-grams (histories in a join) of at least one in so many tokens are looked up, not shuffled.
+HOT_SHARE, HOT_JOIN = 2 ** 20, 2 ** 16
+#: Tokens of a part, bits of the bitmap, n-grams of a packed row.
+PART, MARK_BITS, PACK = 2 ** 21, 27, 512
 #: Distinct keys a counting task holds before it emits them.
 FLUSH = 1 << 20
 END = mix(np.array([0xE2D], np.uint64))[0]
+_PIECE = 1 << 16
 
 
 @dataclass
-class Automaton:
-    """Sorted tables: words with counts, and the arcs and failure weights of each order."""
+class Model:
+    """Sums over the training texts and the terms that n-grams add to a score."""
     tokens: int
     kinds: int
-    words: np.ndarray       # hashes of frequent words, as int64
-    counts: np.ndarray
-    ids: np.ndarray         # rank by count among words that stand in bigrams, else -1
-    n_tri: int              # ids below it may stand in trigrams
-    width: int
-    arcs2: np.ndarray       # id * width + id
-    log2: np.ndarray
-    fail1: np.ndarray       # log10 backoff weight by id
-    arcs3: np.ndarray       # state * width + id, a state being a place in arcs2
-    log3: np.ndarray
-    fail2: np.ndarray       # log10 backoff weight by place in arcs2
+    parts: int              # log2 of the number of parts
+    terms: DataFrame        # p, keys, base, more: packed terms by part, those of hot n-grams with p < 0
 
 
 def token_stream(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -117,146 +117,303 @@ def _find(table_: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(table_[at] == keys, at, -1)
 
 
-def _ids(m: Automaton, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    place = _find(m.words, tokens)
-    return place, np.where(place >= 0, m.ids[place] if m.ids.size else -1, -1)
+def _grams(tokens: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Words before the tokens, bigram hashes, places that end a trigram, and trigram hashes."""
+    before = np.empty_like(tokens)
+    before[1:] = tokens[:-1]
+    before[offs[:-1]] = END                                            # a text begins after an end token
+    two = pair_hash(before, tokens)
+    inner = np.ones(tokens.size, bool)
+    inner[offs[:-1]] = False
+    third = np.flatnonzero(inner)
+    return before, two, third, pair_hash(two[third - 1], two[third])
+
+
+def _packed(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """One binary value for each stretch of ``values`` between ``bounds``."""
+    values = np.ascontiguousarray(values)
+    offsets = pa.py_buffer((bounds * values.itemsize).astype(np.int32).tobytes())
+    return pa.Array.from_buffers(pa.binary(), bounds.size - 1, [None, offsets, pa.py_buffer(values.tobytes())])
+
+
+def _stretches(p: np.ndarray) -> np.ndarray:
+    """Bounds of the runs of equal values of a sorted array, none longer than a packed row."""
+    starts = np.flatnonzero(np.diff(p, prepend=-1)) if p.size else np.zeros(0, np.int64)
+    place = np.arange(p.size) - np.repeat(starts, np.diff(np.append(starts, p.size)))
+    return np.append(np.flatnonzero(place % PACK == 0), p.size)
 
 
-def _history(ids: np.ndarray, offs: np.ndarray, end_id: int) -> np.ndarray:
-    """Id of the word before each token; a text begins after an end token."""
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    before[offs[:-1]] = end_id
-    return before
+def _joined(column: pa.Array, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
-def count_arcs(texts: DataFrame, m: Automaton, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and counts of the n-grams seen ``least`` times: bigrams, then trigrams as codes below 0."""
-    shared = texts.sparkSession.sparkContext.broadcast(m)
-    end_id = int(_ids(m, np.array([END]).view(np.int64))[1][0])
+def _parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The batches cut where their first column, by which rows are sorted, changes."""
+    for b in batches:
+        p = np.asarray(b.column(0))
+        starts = np.flatnonzero(np.diff(p, prepend=p[:1] - 1))
+        for lo, hi in zip(starts, np.append(starts[1:], p.size)):
+            yield int(p[lo]), b.slice(lo, hi - lo)
+
+
+def count_arcs(texts: DataFrame, order: int, parts: int, marks: np.ndarray | None = None) -> DataFrame:
+    """(k, a, b, n) of the n-grams seen LEAST times: words a and b, or for trigrams the hashes of their bigrams.
+
+    ``marks`` has the bigrams seen LEAST times; no other is part of such a trigram.
+    """
+    shared = None if marks is None else texts.sparkSession.sparkContext.broadcast(marks)
+
+    def summed(held):
+        a, b, n = (np.concatenate(x) for x in zip(*held))
+        k, first, inverse = np.unique(pair_hash(a, b), return_index=True, return_inverse=True)
+        return k, a[first], b[first], np.bincount(inverse, n, k.size).astype(np.int64)
+
+    def emit(held):
+        k, a, b, n = summed(held)
+        p = (k >> np.uint64(64 - parts)).astype(np.int32)
+        bounds = _stretches(p)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(p[bounds[:-1]]), _packed(a, bounds), _packed(b, bounds), _packed(n, bounds)], ["p", "a", "b", "n"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = None if shared is None else np.unpackbits(shared.value).view(bool)
+        held, size = [], 0
+        for batch in batches:
+            for _, _, tokens, offs in token_stream(batch.column(0)):
+                tokens = tokens.view(np.uint64)
+                before, two, third, _ = _grams(tokens, offs)
+                a, b = before, tokens
+                if order == 3:
+                    good = seen[two >> np.uint64(64 - MARK_BITS)]
+                    third = third[good[third - 1] & good[third]]
+                    a, b = two[third - 1], two[third]
+                held.append((a, b, np.ones(a.size, np.int64)))
+                size += a.size
+                if size > 2 * FLUSH:
+                    yield emit(held)
+                    held, size = [], 0
+        if size:
+            yield emit(held)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out():
+            k, a, b, n = summed(held)
+            keep = np.flatnonzero(n >= LEAST)
+            for lo in range(0, keep.size, 1 << 16):
+                x = keep[lo:lo + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(k[x].view(np.int64)), pa.array(a[x].view(np.int64)),
+                                                  pa.array(b[x].view(np.int64)), pa.array(n[x])], ["k", "a", "b", "n"])
+        held, part = [], None
+        for p, rows in _parts_of(batches):
+            if p != part and held:
+                yield from out()
+                held = []
+            part = p
+            held.append((_joined(rows.column(1), np.uint64), _joined(rows.column(2), np.uint64), _joined(rows.column(3), np.int64)))
+        if held:
+            yield from out()
+
+    return cut_lineage(texts.select("text").mapInArrow(read, "p int, a binary, b binary, n binary")
+                       .repartition("p").sortWithinPartitions("p").mapInArrow(add, "k long, a long, b long, n long"))
+
+
+def marked(keys: DataFrame, packed: bool) -> np.ndarray:
+    """Packed bitmap of the leading bits of ``keys`` (one column), which lie together in few tasks."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << MARK_BITS, bool)
+        for b in batches:
+            k = _joined(b.column(0), np.uint64) if packed else np.asarray(b.column(0)).view(np.uint64)
+            seen[k >> np.uint64(64 - MARK_BITS)] = True
+        pieces = np.packbits(seen).reshape(-1, _PIECE >> 3)
+        for i in np.flatnonzero(pieces.any(1)):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([pieces[i].tobytes()])], ["i", "bits"])
+
+    out = np.zeros((1 << MARK_BITS - 3) // (_PIECE >> 3) * (_PIECE >> 3), np.uint8).reshape(-1, _PIECE >> 3)
+    for i, bits in keys.mapInArrow(run, "i int, bits binary").toLocalIterator():
+        out[i] |= np.frombuffer(bits, np.uint8)
+    return out.ravel()
 
-    def keys(column):
-        m = shared.value
-        for _, _, tokens, offs in token_stream(column):
-            ids = _ids(m, tokens)[1]
-            v = _history(ids, offs, end_id)
-            two = v * m.width + ids
-            both = (v >= 0) & (ids >= 0)
-            yield two[both]
-            u = np.empty_like(v)
-            u[1:] = v[:-1]
-            u[offs[:-1]] = -1
-            three = both & (u >= 0) & (u < m.n_tri) & (v < m.n_tri) & (ids < m.n_tri)
-            yield -1 - ((u * m.width + v) * m.width + ids)[three]
 
-    rows = (texts.select("text").mapInArrow(lambda b: _counted(b, keys, "code"), "code long, n long")
-            .groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow())
-    return rows["code"].to_numpy(), rows["n"].to_numpy()
+def _lookup(big: DataFrame, key: str, small: DataFrame, hot: Column) -> DataFrame:
+    """``big`` with the columns of ``small`` for its ``key``; keys that are ``hot`` in the few rows of a small table."""
+    often = F.broadcast(small.where(hot))                              # at most HOT_JOIN rows
+    return big.join(often, key).unionByName(
+        big.join(F.broadcast(small.where(hot).select(key)), key, "left_anti").join(small.where(~hot), key))
 
 
-def train(texts: DataFrame) -> tuple[Automaton, DataFrame]:
-    """Automaton and word counts (w, n) from all rows of ``texts``."""
+def _failure(left: Column, free: Column) -> Column:
+    return F.log10(F.greatest(1 - left, F.lit(1e-12)) / F.greatest(1 - free, F.lit(1e-12)))
+
+
+def train(texts: DataFrame) -> tuple[Model, DataFrame]:
+    """Model and word counts (w, n) from all rows of ``texts``."""
     counts = cut_lineage(count_words(texts))
     total = counts.agg(F.sum("n"), F.count("*")).first()
     n, kinds = int(total[0] or 0), int(total[1])
-    top = counts.where(F.col("n") * WORD_SHARE >= n).toArrow()       # at most WORD_SHARE words
-    order = np.argsort(top["w"].to_numpy())
-    words, freq = top["w"].to_numpy()[order], top["n"].to_numpy()[order]
-    rank = np.empty(words.size, np.int64)
-    rank[np.lexsort((words, -freq))] = np.arange(words.size)
-    ids = np.where(freq * BIGRAM_SHARE >= n, rank, -1)
-    width = max(1, int((ids >= 0).sum()))
-    none = np.zeros(0)
-    m = Automaton(n, kinds, words, freq, ids, int((freq * TRIGRAM_SHARE >= n).sum()), width,
-                  np.zeros(0, np.int64), none, np.zeros(width), np.zeros(0, np.int64), none, none)
-    least = max(LEAST, -(-n // ARC_SHARE))
-    codes, seen = count_arcs(texts, m, least)
-    by_id = np.zeros(width)
-    by_id[ids[ids >= 0]] = freq[ids >= 0]
-    floor = (by_id + 1) / (n + kinds + 1)                             # add-one probabilities
-    two = codes >= 0
-    order = np.argsort(codes[two])
-    m.arcs2, c2 = codes[two][order], seen[two][order].astype(float)
-    v, w = np.divmod(m.arcs2, width)
-    p2 = (c2 - DISCOUNT) / by_id[v]
-    left = 1 - np.bincount(v, p2, width)
-    free = 1 - np.bincount(v, floor[w], width)
-    m.log2, m.fail1 = np.log10(p2), np.log10(np.maximum(left, 1e-12) / np.maximum(free, 1e-12))
-    uvw = -1 - codes[~two]
-    uv, w = np.divmod(uvw, width)
-    state = _find(m.arcs2, uv)                                        # kept, as it is seen at least as often
-    key = state * width + w
-    order = np.argsort(key)
-    m.arcs3, c3 = key[order], seen[~two][order].astype(float)
-    state, w = np.divmod(m.arcs3, width)
-    p3 = (c3 - DISCOUNT) / c2[state] if state.size else none
-    lower = p2[_find(m.arcs2, (m.arcs2[state] % width) * width + w)] if state.size else none
-    left = 1 - np.bincount(state, p3, m.arcs2.size) if state.size else np.ones(m.arcs2.size)
-    free = 1 - np.bincount(state, lower, m.arcs2.size) if state.size else np.ones(m.arcs2.size)
-    m.log3, m.fail2 = np.log10(p3), np.log10(np.maximum(left, 1e-12) / np.maximum(free, 1e-12))
-    return m, counts
-
-
-def walk(m: Automaton, tokens: np.ndarray, offs: np.ndarray, end_id: int) -> tuple[np.ndarray, ...]:
-    """Per token: its place in the word table, its log10 probability without the share that
-    depends on an untabled word's count, and whether the add-one floor is still to be added."""
-    place, ids = _ids(m, tokens)
-    v = _history(ids, offs, end_id)
-    code = np.where((v >= 0) & (ids >= 0), v * m.width + ids, -1)
-    arc2 = _find(m.arcs2, code)                                        # the arc of a one-word state
-    state = np.empty_like(arc2)                                        # two-word state before the token
-    state[1:] = arc2[:-1]
-    state[offs[:-1]] = -1
-    arc3 = _find(m.arcs3, np.where((state >= 0) & (ids >= 0), state * m.width + ids, -1))
-    out = np.zeros(tokens.size)
-    hit3 = arc3 >= 0
-    out[hit3] = m.log3[arc3[hit3]]
-    fell = ~hit3 & (state >= 0)
-    out[fell] += m.fail2[state[fell]]
-    hit2 = ~hit3 & (arc2 >= 0)
-    out[hit2] += m.log2[arc2[hit2]]
-    low = ~hit3 & ~hit2
-    from1 = low & (v >= 0)
-    out[from1] += m.fail1[v[from1]]
-    return place, out, low
-
-
-def score(rows: DataFrame, m: Automaton, counts: DataFrame) -> DataFrame:
+    parts = max(4, (n // PART).bit_length())
+    bigrams = count_arcs(texts, 2, parts)
+    trigrams = count_arcs(texts, 3, parts, marked(bigrams.select("k"), False))
+    hot = F.col("m") * HOT_JOIN >= n
+    kept = F.col("n") - DISCOUNT
+
+    floors = counts.select(F.col("w").alias("b"), F.col("n").alias("m"), ((F.col("n") + 1) / F.lit(float(n + kinds + 1))).alias("floor"))
+    two = cut_lineage(_lookup(bigrams, "b", floors, hot).select("k", "a", "n", "floor"))
+    sums = two.groupBy("a").agg(F.sum(kept).alias("s"), F.sum("floor").alias("f"))
+    words = cut_lineage(counts.join(sums, counts["w"] == sums["a"], "left").select(
+        "w", "n", F.coalesce(_failure(F.col("s") / F.col("n"), F.col("f")), F.lit(0.0)).alias("fail")))
+    histories = words.select(F.col("w").alias("a"), F.col("n").alias("m"), "fail")
+    two = cut_lineage(_lookup(two, "a", histories, hot).withColumn("p2", kept / F.col("m")).select(
+        "k", "n", "p2", (F.log10("p2") - F.col("fail") - F.log10("floor")).alias("more")))
+
+    three = _lookup(trigrams, "a", two.select(F.col("k").alias("a"), F.col("n").alias("m")), hot).select("k", "a", "b", "n", F.col("m").alias("c2"))
+    three = cut_lineage(_lookup(three, "b", two.select(F.col("k").alias("b"), F.col("n").alias("m"), "p2"), hot)
+                        .select("k", "a", "n", "c2", "p2"))
+    states = cut_lineage(three.groupBy("a").agg(F.max("c2").alias("m"), F.sum(kept / F.col("c2")).alias("s"), F.sum("p2").alias("f"))
+                         .select("a", "m", _failure(F.col("s"), F.col("f")).alias("fail")))
+    three = _lookup(three, "a", states, hot).select(
+        "k", "n", F.lit(0.0).alias("base"), (F.log10(kept / F.col("c2")) - F.col("fail") - F.log10("p2")).alias("more"))
+    two = two.join(states.select(F.col("a").alias("k"), "fail"), "k", "left").select(
+        "k", "n", F.lit(0.0).alias("base"), (F.col("more") + F.coalesce("fail", F.lit(0.0))).alias("more"))
+    one = words.select(F.col("w").alias("k"), "n", F.log10(F.col("n") + 1.0).alias("base"), F.col("fail").alias("more"))
+    terms = one.union(two).union(three).select(
+        F.shiftrightunsigned("k", 64 - parts).cast("int").alias("p"), "k", "base", "more", (F.col("n") * HOT_SHARE >= n).alias("hot"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p, k, base, more, hot = (x.to_numpy(zero_copy_only=False) for x in b.columns)
+            p = np.where(hot, -2, p).astype(np.int32)
+            order = np.lexsort((k, p))
+            bounds = _stretches(p[order])
+            yield pa.RecordBatch.from_arrays([pa.array(p[order][bounds[:-1]]), *(_packed(x[order], bounds) for x in (k, base, more))],
+                                             ["p", "keys", "base", "more"])
+
+    terms = cut_lineage(terms.repartition("p").sortWithinPartitions("p").mapInArrow(pack, "p int, keys binary, base binary, more binary"))
+    return Model(n, kinds, parts, terms), counts
+
+
+def _hot_terms(terms: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rows = terms.where("p < 0").select("keys", "base", "more").toArrow().combine_chunks()        # at most 3 x 2^20 n-grams
+    keys, base, more = (_joined(rows[c], t) for c, t in (("keys", np.uint64), ("base", float), ("more", float)))
+    order = np.argsort(keys)
+    return keys[order], base[order], more[order]
+
+
+def score(rows: DataFrame, m: Model, counts: DataFrame) -> DataFrame:
     """``rows`` (doc_id, held_out, text) with n_tokens, n_known, train_tokens, base_score, score."""
-    shared = rows.sparkSession.sparkContext.broadcast(m)
-    end_id = int(_ids(m, np.array([END]).view(np.int64))[1][0])
+    context = rows.sparkSession.sparkContext
+    rest = m.terms.where("p >= 0")
+    hot, marks = context.broadcast(_hot_terms(m.terms)), context.broadcast(marked(rest.select("keys"), True))
     size = float(np.log10(m.tokens + m.kinds + 1))
-    schema = ("uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, "
-              "path double, rare array<long>")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = m.parts
+    fields = ["ids", "nulls", "held", "tokens", "known", "base", "more"]
+    kinds = [np.int64, np.uint8, np.uint8, np.int64, np.int64, np.float64, np.float64]
+    schema = "p int, chunk long, x binary, y binary, " + ", ".join(f"{f} binary" for f in fields)
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Chunks of texts with what hot n-grams add (p -1), and their other n-grams by part."""
         from pyspark import TaskContext
-        m, uid = shared.value, TaskContext.get().partitionId() << 40
+        (often, base, more), chunk = hot.value, TaskContext.get().partitionId() << 40
+        seen = np.unpackbits(marks.value).view(bool)
         for b in batches:
             for lo, hi, tokens, offs in token_stream(b.column(2)):
-                place, path, low = walk(m, tokens, offs, end_id)
-                tabled = place >= 0
-                floor = np.where(tabled, np.log10((m.counts[place] if m.counts.size else 0) + 1.0), 0.0)
-                sums = lambda x: np.add.reduceat(x, offs[:-1])         # noqa: E731  no text is without tokens
-                rare = np.flatnonzero(~tabled)
-                n = hi - lo
-                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, offs).astype(np.int32)), pa.array(tokens[rare]))
+                n, tokens = hi - lo, tokens.view(np.uint64)
+                _, two, third, three = _grams(tokens, offs)
+                doc = np.repeat(np.arange(n), np.diff(offs))
+                sums = [np.zeros(n), np.zeros(n), np.zeros(n)]
+                keys, docs = [], []
+                for k, d in ((tokens, doc), (two, doc), (three, doc[third])):
+                    at = _find(often, k)
+                    hit = at >= 0
+                    for s, x in zip(sums, ((base[at[hit]] > 0).astype(float), base[at[hit]], more[at[hit]])):
+                        s += np.bincount(d[hit], x, n)
+                    other = ~hit & seen[k >> np.uint64(64 - MARK_BITS)]
+                    keys.append(k[other])
+                    docs.append(d[other])
+                ids = b.column(0).slice(lo, n)
+                held = np.asarray(b.column(1).slice(lo, n).to_numpy(zero_copy_only=False)).astype(np.uint8)
+                whole = [ids.fill_null(0).to_numpy(), np.asarray(ids.is_null().to_numpy(zero_copy_only=False)).astype(np.uint8), held,
+                         np.diff(offs), sums[0], sums[1] - size * np.diff(offs), sums[2]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(uid + np.arange(n)), b.column(0).slice(lo, n), b.column(1).slice(lo, n),
-                     pa.array(np.diff(offs)), pa.array(sums(tabled.astype(np.int64))),
-                     pa.array(sums(floor - size)), pa.array(sums(path + np.where(low, floor - size, 0.0))), lists],
-                    [f.split()[0] for f in schema.split(", ")])
-                uid += n
-
-    done = cut_lineage(rows.select(F.col("doc_id").cast("long"), "held_out", "text").mapInArrow(run, schema))
-    # A rare word never ends an arc, so its floor belongs to both scores.
-    rare = (done.select("uid", F.explode("rare").alias("w")).join(counts, "w").groupBy("uid")
-            .agg(F.sum(F.log10(F.col("n") + 1.0)).alias("more"), F.count("*").alias("known")))
-    return done.join(rare, "uid", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(m.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        (F.col("path") + F.coalesce("more", F.lit(0.0))).alias("score"))
+                    [pa.array([-1], pa.int32()), pa.array([chunk]), *[pa.array([b""])] * 2,
+                     *(pa.array([x.astype(t).tobytes()]) for x, t in zip(whole, kinds))], names)
+                keys, docs = np.concatenate(keys), np.concatenate(docs).astype(np.uint32)
+                p = (keys >> np.uint64(64 - parts)).astype(np.int32)
+                order = np.argsort(p, kind="stable")
+                bounds = _stretches(p[order])
+                if keys.size:
+                    none = pa.nulls(bounds.size - 1, pa.binary())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(p[order][bounds[:-1]]), pa.array(np.full(bounds.size - 1, chunk)),
+                         _packed(keys[order], bounds), _packed(docs[order], bounds), *[none] * len(fields)], names)
+                chunk += 1
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What the other n-grams add to the texts of each chunk."""
+        part, held, own = None, [], None
+        for p, b in _parts_of(batches):
+            if p != part:
+                part, held, own = p, [], None
+            kind = np.asarray(b.column(1))
+            split = int(np.searchsorted(kind, 1))
+            if split:
+                t = b.slice(0, split)
+                held.append([_joined(t.column(c), k) for c, k in ((3, np.uint64), (4, float), (5, float))])
+            b = b.slice(split)
+            if b.num_rows == 0 or not held:
+                continue
+            if own is None:
+                own = [np.concatenate(x) for x in zip(*held)]
+                order = np.argsort(own[0])
+                own = [x[order] for x in own]
+            rows = [[], [], [], []]
+            for chunk, x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()):
+                at = _find(own[0], np.frombuffer(x, np.uint64))
+                docs, inverse = np.unique(np.frombuffer(y, np.uint32)[at >= 0], return_inverse=True)
+                at = at[at >= 0]
+                if at.size:
+                    sums = [np.bincount(inverse, v) for v in ((own[1][at] > 0).astype(float), own[1][at], own[2][at])]
+                    for out, v in zip(rows, (chunk, docs.tobytes(), np.concatenate(sums).tobytes())):
+                        out.append(v)
+            if rows[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())],
+                                                 ["chunk", "x", "y"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out():
+            ids, nulls, held, tokens, known, base, more = whole
+            return pa.RecordBatch.from_arrays(
+                [pa.array(ids, mask=nulls.astype(bool)), pa.array(held.astype(bool)), pa.array(tokens), pa.array(known),
+                 pa.array(base), pa.array(base + more)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+        whole = now = None
+        for chunk, b in _parts_of(batches):
+            if chunk != now:
+                if whole is not None:
+                    yield out()
+                now, whole = chunk, None
+            for i in range(b.num_rows):
+                if whole is None:                                      # the texts come first
+                    whole = [np.frombuffer(b.column(4 + k)[i].as_py(), t).copy() for k, t in enumerate(kinds)]
+                    continue
+                docs = np.frombuffer(b.column(2)[i].as_py(), np.uint32)
+                known, base, more = np.frombuffer(b.column(3)[i].as_py(), float).reshape(3, -1)
+                whole[4][docs] += known.astype(np.int64)
+                whole[5][docs] += base
+                whole[6][docs] += more
+        if whole is not None:
+            yield out()
+
+    done = cut_lineage(rows.select(F.col("doc_id").cast("long"), "held_out", "text").mapInArrow(read, schema))
+    sides = (rest.select("p", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("chunk"), F.col("keys").alias("x"), F.col("base").alias("y"), F.col("more").alias("z"))
+             .union(done.where("p >= 0").select("p", F.lit(1), "chunk", "x", "y", F.lit(None).cast("binary"))))
+    found = sides.repartition("p").sortWithinPartitions("p", "kind").mapInArrow(meet, "chunk long, x binary, y binary")
+    none = [F.lit(None).cast("binary").alias(f) for f in fields]
+    whole = (done.where("p < 0").select("chunk", F.lit(0).alias("kind"), "x", "y", *fields)
+             .union(found.select("chunk", F.lit(1), "x", "y", *none)))
+    out = (whole.repartition("chunk").sortWithinPartitions("chunk", "kind")
+           .mapInArrow(add, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(m.tokens).cast("long").alias("train_tokens"),
+                      "base_score", "score")
 
 
 def op2_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,3 +85,18 @@ def test_no_training_rows(spark, no_docs):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     _, got = scored(frame(spark, [(held, "only held out"), (held, None)]))
     assert sorted((r.n_tokens, r.n_known, r.base_score, r.score) for r in got) == [(1, 0, 0, 0), (4, 0, 0, 0)]
+
+
+def test_rare_arcs_stay_in_a_large_corpus(spark, monkeypatch):
+    """A pair seen twice among many tokens is an arc, on one part or many and with no n-gram hot."""
+    monkeypatch.setattr(ngram, "PART", 64)
+    monkeypatch.setattr(ngram, "HOT_SHARE", 50)
+    rows = [(i, " ".join(f"w{(i * 31 + k * k * 7) % 211}" for k in range(300))) for i in range(100)]
+    taught = [i for i in range(1000, 1020) if zlib.crc32(str(i).encode()) % 7 != 2][:2]
+    rows += [(i, "seldom paired words follow here") for i in taught]
+    m, got = scored(frame(spark, rows))
+    _, expected = None, plain(rows)[0]
+    got, expected = ({r[0]: r[5:7] for r in x} for x in (map(tuple, got), expected))
+    for i in expected:
+        np.testing.assert_allclose(got[i], expected[i], rtol=0, atol=1e-6)
+    assert got[taught[0]][1] > got[taught[0]][0] + 10
