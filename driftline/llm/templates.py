@@ -1,10 +1,12 @@
 """Benchmark decontamination by templates, which also finds questions with other parameters.
 
 Words become template tokens: numbers, names (capitalised inside a sentence) and units (after a
-number) turn into typed placeholders, others are lower-cased without marks.  Windows of eight
+number) turn into typed placeholders, others are lower-cased without marks.  A run of names is one
+placeholder, and so is a number with its unit, joined or apart.  Windows of eight
 tokens, three of them words at least, are hash-joined between texts and benchmark items.  Windows that
-match at one offset count together: a text leaks an item if they are a large enough part of the item's
-windows and the slots agree, that is, each value that the item repeats has one counterpart in the text.
+match at one offset, or in one narrow band of offsets (so nearly in order), count together: a text leaks an item if they are a
+large enough part of the item's windows and the slots agree, that is, each value that the item repeats has one
+counterpart in the text.
 
 Only windows whose hash is marked in a bitmap of fixed size, filled from the benchmark, leave a
 reading task; the join then decides.  The benchmark may have any size.
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.llm.common import byte_chunks, counter, mix, table
@@ -31,6 +33,8 @@ from driftline.session import cut_lineage
 
 #: Tokens of a window, words among them, share of an item's windows, share of repeated values that agree.
 WINDOW, LEAST_WORDS, COVER, AGREE = 8, 3, 0.3, 0.75
+#: Width of a band of offsets that count together; any two that are half of it apart or less share one.
+DRIFT = 32
 BITS = 22
 CACHE = 300_000
 
@@ -47,10 +51,16 @@ NUMBER_WORDS = frozenset("""zero one two three four five six seven eight nine te
 _MARKS = re.compile(r"^[^\w%°$€£+-]+|[^\w%°$€£]+$")
 _NUMBER = re.compile(r"[+\-$€£]*\d[\d.,:/]*")
 _POWERS = counter(64, 9)
-NUM, NAME, UNIT = (mix(np.array([k], np.uint64))[0] for k in (101, 102, 103))
+NUM, NAME, UNIT, LITERAL = (mix(np.array([k], np.uint64))[0] for k in (101, 102, 103, 104))
 ENDS, CAPITAL, NUMERIC, UNITWORD, NUMUNIT = 1, 2, 4, 8, 16
 
 
+def _run(words: np.ndarray) -> np.uint64:
+    """Hash of several words as one value."""
+    with np.errstate(over="ignore"):
+        return (words * _POWERS[np.arange(words.size) % _POWERS.size]).sum(dtype=np.uint64)
+
+
 class Tokens(dict):
     """Raw token -> place in the arrays of word hashes and flags; filled on first sight."""
 
@@ -80,6 +90,8 @@ class Tokens(dict):
         if place == self.flags.size:
             self.hashes, self.flags = np.resize(self.hashes, 2 * place), np.resize(self.flags, 2 * place)
         self.hashes[place] = xxhash.xxh3_64_intdigest(word)
+        if flag & NUMUNIT:                                             # as the number and the unit apart
+            self.hashes[place] = _run(np.array([xxhash.xxh3_64_intdigest(x) for x in (word[:lead.end()], rest)], np.uint64))
         self.flags[place] = flag
         self[raw] = place
         return place
@@ -100,7 +112,8 @@ def template(text: bytes, seen: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndar
     both = (flags & NUMUNIT) > 0
     unit = np.zeros(at.size, bool)
     unit[1:] = number[:-1] & ((flags[1:] & UNITWORD) > 0)
-    name = inside & ((flags & CAPITAL) > 0) & ~number & ~both
+    capital = (flags & CAPITAL) > 0
+    name = inside & capital & ~number & ~both
     out = words.copy()
     out[name], out[number], out[unit] = NAME, NUM, UNIT
     out[both] = NUM ^ UNIT
@@ -118,34 +131,60 @@ def window_hashes(tokens: np.ndarray, size: int) -> np.ndarray:
         return mix(total + np.uint64(size))
 
 
-def _windows(text: bytes, seen: Tokens, sizes: tuple[int, ...]) -> Iterator[tuple]:
-    """(size, hashes, slot flags, words, windows worth matching) of one text."""
+def collapsed(tokens: np.ndarray, slot: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A ``template`` with runs of names, and numbers with their units, as one token each."""
+    more = np.zeros(tokens.size, bool)
+    name, unit = slot & (tokens == NAME), slot & (tokens == UNIT)
+    more[1:] = name[1:] & name[:-1] | unit[1:] & ~unit[:-1]
+    if not more.any():
+        return tokens, slot, words
+    heads = np.flatnonzero(~more)
+    out, values = tokens[heads], words[heads]
+    ends = np.append(heads[1:], tokens.size)
+    for k in np.flatnonzero(ends - heads > 1):
+        values[k] = _run(words[heads[k]:ends[k]])
+        if out[k] == NUM:
+            out[k] = NUM ^ UNIT
+    return out, slot[heads], values
+
+
+def _windows(text: bytes, seen: Tokens, sizes: tuple[tuple[int, int], ...]) -> Iterator[tuple]:
+    """(kind, size, hashes, slot flags, words, windows worth matching) of one text.
+
+    ``sizes`` are pairs of a kind, 0 for templates and 1 for words as they stand, and a size.
+    """
     tokens, slot, words = template(text, seen)
-    sums = np.concatenate([[0], np.cumsum(~slot)])
-    for size in sizes:
-        hashes = window_hashes(tokens, size)
+    whole = words, np.zeros(words.size, bool), words
+    kinds = collapsed(tokens, slot, words), whole
+    for kind, size in sizes:
+        tokens, slot, words = kinds[kind]
+        size = size or min(WINDOW, tokens.size)
+        hashes = window_hashes(tokens, size) if size else tokens
         if hashes.size:
-            yield size, hashes, slot, words, sums[size:] - sums[:-size] >= min(LEAST_WORDS, size)
+            if kind:
+                hashes, good = mix(hashes + LITERAL), np.ones(hashes.size, bool)
+            else:
+                sums = np.concatenate([[0], np.cumsum(~slot)])
+                good = sums[size:] - sums[:-size] >= min(LEAST_WORDS, size)
+            yield kind, size, hashes, slot, words, good
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """(item_id, w, at, windows, size, offsets, vals) of every window of ``items`` (item_id, text)."""
-    schema = "item_id long, w long, at int, windows int, size int, offsets array<int>, vals array<long>"
+    """(item_id, kind, w, at, windows, size, offsets, vals) of every window of ``items`` (item_id, text)."""
+    schema = "item_id long, kind int, w long, at int, windows int, size int, offsets array<int>, vals array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Tokens()
         for b in batches:
             rows = []
             for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                text = text.encode()
-                size = min(WINDOW, len(text.split()))
-                for size, hashes, slot, words, good in _windows(text, seen, (size,) if size else ()):
+                for kind, size, hashes, slot, words, good in _windows(text.encode(), seen, ((0, 0),)):
                     for i in np.flatnonzero(good):
                         offs = np.flatnonzero(slot[i:i + size])
-                        rows.append((item, int(hashes.view(np.int64)[i]), int(i), int(good.sum()), size,
+                        rows.append((item, kind, int(hashes.view(np.int64)[i]), int(i), int(good.sum()), size,
                                      offs.tolist(), words.view(np.int64)[i + offs].tolist()))
-            cols = zip(*rows) if rows else [[]] * 7
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+            cols = zip(*rows) if rows else [[]] * 8
+            types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)],
                                              [f.split()[0] for f in schema.split(", ")])
 
@@ -155,10 +194,10 @@ def item_windows(items: DataFrame) -> DataFrame:
 
 def _by_item():
     from pyspark.sql import Window
-    return Window.partitionBy("item_id")
+    return Window.partitionBy("item_id", "kind")
 
 
-def text_windows(rows: DataFrame, bitmap: np.ndarray, sizes: tuple[int, ...]) -> DataFrame:
+def text_windows(rows: DataFrame, bitmap: np.ndarray, sizes: tuple[tuple[int, int], ...]) -> DataFrame:
     """(doc_id, h, at, w, vals) of the windows of ``rows`` (doc_id, h, text) marked in ``bitmap``."""
     shared = rows.sparkSession.sparkContext.broadcast(bitmap)          # 2^22 bits
 
@@ -169,7 +208,7 @@ def text_windows(rows: DataFrame, bitmap: np.ndarray, sizes: tuple[int, ...]) ->
             for lo, hi, data, offs in byte_chunks(b.column(2)):
                 whole = data.tobytes()
                 for i in range(hi - lo):
-                    for size, hashes, slot, words, good in _windows(whole[offs[i]:offs[i + 1]], seen, sizes):
+                    for _, size, hashes, slot, words, good in _windows(whole[offs[i]:offs[i + 1]], seen, sizes):
                         hit = np.flatnonzero(marks[hashes >> np.uint64(64 - BITS)] & good)
                         for k in hit:
                             row.append(lo + i)
@@ -184,6 +223,12 @@ def text_windows(rows: DataFrame, bitmap: np.ndarray, sizes: tuple[int, ...]) ->
     return rows.mapInArrow(run, "doc_id long, h long, at int, w long, vals array<long>")
 
 
+def _alignments(shift: Column) -> Column:
+    """What a match counts towards: its offset, and two bands that overlap by half."""
+    bands = [F.struct(F.lit(k).alias("way"), F.floor((shift + k * DRIFT / 2 - DRIFT / 2) / DRIFT).cast("int").alias("place")) for k in (1, 2)]
+    return F.array(F.struct(F.lit(0).alias("way"), shift.cast("int").alias("place")), *bands)
+
+
 def leaks(documents: DataFrame, items: DataFrame, cover: float = COVER, agree: float = AGREE) -> DataFrame:
     """Leaked items by text: doc_id, h, item_id, windows, item_windows, cover, slots_agree, changed.
 
@@ -194,12 +239,12 @@ def leaks(documents: DataFrame, items: DataFrame, cover: float = COVER, agree: f
     places = bench.select(F.shiftrightunsigned("w", 64 - BITS).alias("p")).distinct().toArrow()["p"].to_numpy()
     bitmap = np.zeros(1 << BITS, bool)                                 # at most 2^22 rows came
     bitmap[places] = True
-    sizes = tuple(sorted(r["size"] for r in bench.select("size").distinct().collect()))     # 8 at most
+    sizes = tuple(sorted((r["kind"], r["size"]) for r in bench.select("kind", "size").distinct().collect()))     # 16 at most
     texts = documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), F.coalesce("text", F.lit("")).alias("text"))
     found = text_windows(texts, np.packbits(bitmap), sizes).distinct()
-    key = ["doc_id", "h", "item_id", "shift"]
+    key = ["doc_id", "h", "item_id", "kind", "shift"]
     pairs = cut_lineage(found.join(bench.withColumnRenamed("at", "item_at").withColumnRenamed("vals", "item_vals"), "w")
-                        .withColumn("shift", F.col("at") - F.col("item_at")))
+                        .withColumn("shift", F.explode(_alignments(F.col("at") - F.col("item_at")))))
     aligned = (pairs.groupBy(*key).agg(F.countDistinct("item_at").alias("windows"), F.max("windows").alias("item_windows"))
                .where(F.col("windows") >= F.greatest(F.lit(1.0), cover * F.col("item_windows"))))
     slots = (pairs.select(*key, "item_at", F.explode(F.arrays_zip("offsets", "item_vals", "vals")).alias("s"))

@@ -49,3 +49,28 @@ def test_placeholders():
     b, _, _ = templates.template("It costs 1,200 in Bern and weighs 40 lb. Then 88% left, 12km too".encode(), seen)
     assert a.tolist() == b.tolist() and slots.sum() == 6
     assert templates.template(b"", seen)[0].size == 0
+
+
+def test_slots_of_other_word_counts(spark):
+    """Names of several words, joined units and spelled-out numbers move the rest of a question."""
+    item = ("a train leaves the old station with Anna inside it and travels 120 km before it stops in Paris where she waits for "
+            "more than 200 long minutes until the very last bus takes everyone back home")
+    first = item.replace("Anna", "Mary Ann Smith").replace("120 km", "75km").replace("Paris", "New York")
+    second = first.replace("200", "two hundred and ten")
+    short = "please tell me how many apples did Alice buy today if each apple costs ten cents and she paid with one note"
+    rows = [(1, words(1, 40) + ". " + first + " " + words(2, 30)), (2, second), (3, short.replace("Alice", "Mary Ann")), (4, words(9, 90))]
+    got = found(frame(spark, rows), items(spark, [(10, item), (11, short)]))
+    assert set(got) == {(1, 10), (2, 10), (3, 11)} and all(r.changed for r in got.values())
+    assert got[1, 10].cover == 1.0
+    seen = templates.Tokens()
+    a, b = (templates.collapsed(*templates.template(t.encode(), seen)) for t in ("it has 120 km left", "it has 120km left"))
+    assert [x.tolist() for x in a] == [x.tolist() for x in b]
+
+
+def test_bands_join_segments(spark):
+    """Half of the windows on each side of a longer slot, none of the halves enough alone."""
+    text = words(70, 30).split()
+    item = " ".join(text)
+    cut = text[:11] + ["so", "to", "say"] + text[11:20] + ["as", "it", "were"] + text[20:]
+    rows = [(1, " ".join(cut)), (2, " ".join(text[:11]))]
+    assert set(found(frame(spark, rows), items(spark, [(10, item)]))) == {(1, 10)}
