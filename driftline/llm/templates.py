@@ -6,13 +6,15 @@ placeholder, and so is a number with its unit, joined or apart.  Windows of eigh
 tokens, three of them words at least, are hash-joined between texts and benchmark items.  Windows that
 match at one offset, or in one narrow band of offsets (so nearly in order), count together: a text leaks an item if they are a
 large enough part of the item's windows and the slots agree, that is, each value that the item repeats has one
-counterpart in the text.
+counterpart in the text.  Windows of eight words as they stand are joined and counted in the same way, so that
+copies of items that are mostly slots are found too.
 
 Only windows whose hash is marked in a bitmap of fixed size, filled from the benchmark, leave a
 reading task; the join then decides.  The benchmark may have any size.
 
 Defined cases: null and empty texts or items match nothing; an item of fewer than eight tokens is
-one window over all of it and matches when the text has it in one window of that length; null
+one window over all of it and matches when the text has it in one window of that length; a sentence
+of four or more words that are all capitalised has no names; null
 item ids are ignored, repeated ones are one item of the longest of their texts' windows; rows that
 repeat id and text are one; extra columns are ignored.
 """
@@ -52,7 +54,8 @@ _MARKS = re.compile(r"^[^\w%°$€£+-]+|[^\w%°$€£]+$")
 _NUMBER = re.compile(r"[+\-$€£]*\d[\d.,:/]*")
 _POWERS = counter(64, 9)
 NUM, NAME, UNIT, LITERAL = (mix(np.array([k], np.uint64))[0] for k in (101, 102, 103, 104))
-ENDS, CAPITAL, NUMERIC, UNITWORD, NUMUNIT = 1, 2, 4, 8, 16
+ENDS, CAPITAL, NUMERIC, UNITWORD, NUMUNIT, LETTERS = 1, 2, 4, 8, 16, 32
+TITLE_WORDS = 4
 
 
 def _run(words: np.ndarray) -> np.uint64:
@@ -86,6 +89,8 @@ class Tokens(dict):
                 flag |= NUMERIC
         if word in UNITS:
             flag |= UNITWORD
+        if word[:1].isalpha():
+            flag |= LETTERS
         place = len(self)
         if place == self.flags.size:
             self.hashes, self.flags = np.resize(self.hashes, 2 * place), np.resize(self.flags, 2 * place)
@@ -112,8 +117,10 @@ def template(text: bytes, seen: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndar
     both = (flags & NUMUNIT) > 0
     unit = np.zeros(at.size, bool)
     unit[1:] = number[:-1] & ((flags[1:] & UNITWORD) > 0)
-    capital = (flags & CAPITAL) > 0
-    name = inside & capital & ~number & ~both
+    sentence = np.cumsum(~inside) - 1
+    letters, capital = (flags & LETTERS) > 0, (flags & CAPITAL) > 0
+    title = (np.bincount(sentence, letters & ~capital) == 0) & (np.bincount(sentence, letters) >= TITLE_WORDS)
+    name = inside & capital & ~number & ~both & ~title[sentence]
     out = words.copy()
     out[name], out[number], out[unit] = NAME, NUM, UNIT
     out[both] = NUM ^ UNIT
@@ -178,7 +185,7 @@ def item_windows(items: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for kind, size, hashes, slot, words, good in _windows(text.encode(), seen, ((0, 0),)):
+                for kind, size, hashes, slot, words, good in _windows(text.encode(), seen, ((0, 0), (1, 0))):
                     for i in np.flatnonzero(good):
                         offs = np.flatnonzero(slot[i:i + size])
                         rows.append((item, kind, int(hashes.view(np.int64)[i]), int(i), int(good.sum()), size,

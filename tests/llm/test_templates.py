@@ -74,3 +74,14 @@ def test_bands_join_segments(spark):
     cut = text[:11] + ["so", "to", "say"] + text[11:20] + ["as", "it", "were"] + text[20:]
     rows = [(1, " ".join(cut)), (2, " ".join(text[:11]))]
     assert set(found(frame(spark, rows), items(spark, [(10, item)]))) == {(1, 10)}
+
+
+def test_copies_of_items_that_are_mostly_slots(spark):
+    """Capitals, number lists and lists of names are found as they stand, also inside other sentences."""
+    bench = [(1, "WHO WROTE THE PLAY ABOUT THE PRINCE OF DENMARK AND WHEN"), (2, "12 13 14"), (3, "3 7 15 31 63 127 255 511 1023 2047"),
+             (4, "Alice Bob Carla Dora Emil Fritz Gerda Hans Ida"), (5, "Which Large River Flows Through The Old City Of Vienna")]
+    rows = [(i, f"{words(i, 20)} {text} {words(-i, 20)}") for i, text in bench]
+    rows += [(15, "Which Large River Flows Through The Old City Of Cairo?"), (16, "5 8 13 21 34 55 89 144 233"), (17, words(17, 60))]
+    got = found(frame(spark, rows), items(spark, bench))
+    assert {(i, i) for i, _ in bench} <= set(got) and {d for d, _ in got} <= {1, 2, 3, 4, 5, 15}
+    assert not any(got[i, i].changed for i, _ in bench)
