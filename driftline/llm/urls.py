@@ -7,8 +7,10 @@ the log-likelihood difference per symbol against a threshold that balances the t
 the ruled URLs.  Symbols come from an alphabet of 40, so a model has at most 40^4 counts,
 whatever the number of URLs.
 
-Defined cases: a null URL, or one without ``://``, has empty host and path and is scored as an
-empty string; repeated rows are judged alike; without URLs of both verdicts the score is 0 and
+The models read the whole URL after its scheme, query and fragment included; rules and output have host and path.
+
+Defined cases: a URL without ``://`` has empty host and path and is scored on all of its text; a null URL is
+scored as an empty string; repeated rows are judged alike; without URLs of both verdicts the score is 0 and
 the threshold 0, so that all others are allowed.
 """
 
@@ -153,9 +155,11 @@ def threshold(scored: DataFrame) -> float:
 def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict and score of every row of ``pages`` (page_id, url)."""
     host, path = host_path(F.col("url"))
-    rows = pages.select("page_id", host.alias("host"), path.alias("path"))
+    at = F.instr("url", "://")
+    text = F.coalesce(F.when(at > 0, F.substring(F.col("url"), at + 3, F.length("url"))).otherwise(F.col("url")), F.lit(""))
+    rows = pages.select("page_id", host.alias("host"), path.alias("path"), text.alias("text"))
     rule, ruled = longest_rule(F.col("host"), F.col("path"), rules)
-    rows = rows.select("*", rule.alias("rule"), ruled.alias("ruled"), F.concat("host", "path").alias("text"))
+    rows = rows.select("*", rule.alias("rule"), ruled.alias("ruled"))
     taught = (rows.where("ruled is not null")
               .select("text", (F.col("ruled") == "allow").cast("int").alias("kind")))
     model = _model(count_grams(taught).collect())                    # at most 2 x 40^4 rows

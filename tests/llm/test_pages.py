@@ -101,3 +101,11 @@ def test_foreign_archives_and_damage(tmp_path):
     (tmp_path / "y").write_bytes(b"not an archive")
     with open(tmp_path / "y", "rb") as f, pytest.raises(ValueError):
         zipwarc.directory(f, 14)
+
+
+def test_models_read_query_and_schemeless_urls(spark):
+    rows = [(i, f"http://a{i % 7}.com/p?topic=news{i}") for i in range(60)] + [(100 + i, f"http://a{i % 7}.net/es/p?casino=win{i}") for i in range(60)]
+    rows += [(300, "http://b.org/p?topic=news5"), (301, "http://b.org/p?casino=win7"), (302, "a3.com/p?topic=news8"), (303, "a3.net/es/p?casino=win8")]
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert [got[i].verdict for i in (300, 301, 302, 303)] == ["allow", "block", "allow", "block"]
+    assert (got[302].host, got[302].path, got[301].path) == ("", "", "/p")
