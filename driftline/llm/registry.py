@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("mixing", "quality", "urls", "zipwarc", "graph", "ngram", "toxicity", "forest", "templates", "repeats")
+MODULES = ("mixing", "quality", "urls", "zipwarc", "graph", "ngram", "toxicity", "forest", "templates", "repeats",
+           "langid")
 
 
 def queries() -> dict[str, Query]:
