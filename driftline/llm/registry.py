@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 MODULES = ("mixing", "quality", "urls", "zipwarc", "graph", "ngram", "toxicity", "forest", "templates", "repeats",
-           "langid", "whitening")
+           "langid", "whitening", "trie")
 
 
 def queries() -> dict[str, Query]:
