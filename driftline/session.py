@@ -76,7 +76,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(scratch_dir(spark), uuid.uuid4().hex)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch_path = path
+    return table
+
+
+def drop_tables(*tables: DataFrame) -> None:
+    """Delete tables that ``cut_lineage`` wrote, once all that is made of them has been written too."""
+    for table in tables:
+        path = vars(table).get("_scratch_path")
+        if path is None:
+            raise ValueError("not a table of cut_lineage")
+        where = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def release_scratch(spark: SparkSession) -> bool:

@@ -41,6 +41,17 @@ def test_cut_lineage_writes_once_and_can_be_released(spark, tmp_path, monkeypatc
     assert session.release_scratch(spark) and not os.path.exists(folder)
 
 
+def test_a_replaced_table_can_be_dropped(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "scratch")
+    monkeypatch.setattr(session, "scratch_dir", lambda _: folder)
+    first = session.cut_lineage(spark.range(5))
+    second = session.cut_lineage(first.selectExpr("id + 1 AS id"))
+    session.drop_tables(first)
+    assert len(os.listdir(folder)) == 1 and second.count() == 5
+    with pytest.raises(ValueError):
+        session.drop_tables(spark.range(3))
+
+
 def test_workers_can_import_the_package(spark):
     def module(batches):
         import pandas as pd
