@@ -35,8 +35,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeat_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without their strings of 400 bytes that occur elsewhere; a character cut in two goes."""
-    cut = repeats.remove_repeats(docs)
+    """Texts without their passages of over 50 words that occur elsewhere; a character cut in two goes."""
+    cut = repeats.remove_repeats(docs, repeats.PASSAGE, repeats.PASSAGE_WORDS)
     text = (F.when(F.col("cut.n_removed") > 0, F.regexp_replace(F.col("cut.kept").cast("string"), "\uFFFD", ""))
             .otherwise(F.col("row.text")))
     new = {"text": text, "n_chars": F.coalesce(F.char_length(text), F.lit(0)).cast("long")}
