@@ -10,8 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftline.models.special import t_critical, t_two_sided
-from driftline.session import cut_lineage
+from driftline.models.special import normal_critical, t_critical, t_two_sided
 
 
 def _design(df: DataFrame, by: Sequence[str], y: Column, xs: Mapping[str, Column],
@@ -42,27 +41,43 @@ def solve_moments(m: Sequence[float], p: int, n: int, shift: np.ndarray) -> dict
     w = s[0, 0]
     centre = s[0, 1:] / w
     c = s[1:, 1:] - w * np.outer(centre, centre)       # centred sums of (x1..xp, y)
-    sxx, sxy, syy = c[:p, :p], c[:p, p], c[p, p]
-    scale = np.sqrt(np.diag(sxx))
-    if n <= p + 1 or np.any(scale <= 0):
-        return None
-    corr = sxx / np.outer(scale, scale)
-    if np.linalg.cond(corr) > 1e12:
+    kept = estimable(c[:p, :p], np.diag(s)[1:-1])
+    df = n - len(kept) - 1
+    if df <= 0:
         return None
-    inv = np.linalg.inv(corr) / np.outer(scale, scale)
+    sxx, sxy, syy = c[np.ix_(kept, kept)], c[kept, p], c[p, p]
+    scale = np.sqrt(np.diag(sxx))
+    inv = np.linalg.inv(sxx / np.outer(scale, scale)) / np.outer(scale, scale)
     b = inv @ sxy
     rss = max(syy - b @ sxy, 0.0)
-    df = n - p - 1
     sigma2 = rss / df
-    mean = centre[:p] + shift
-    cov = np.zeros((p + 1, p + 1))
-    cov[1:, 1:] = inv
-    cov[0, 1:] = cov[1:, 0] = -inv @ mean
-    cov[0, 0] = 1.0 / w + mean @ inv @ mean
-    beta = np.concatenate([[centre[p] - b @ mean], b])
-    return {"beta": beta, "cov": sigma2 * cov, "df": df, "sigma": np.sqrt(sigma2),
+    mean = centre[kept] + shift[kept]
+    at = np.array([0, *[j + 1 for j in kept]])
+    beta, cov = np.full(p + 1, np.nan), np.full((p + 1, p + 1), np.nan)
+    beta[at] = np.concatenate([[centre[p] - b @ mean], b])
+    part = np.zeros((len(at), len(at)))
+    part[1:, 1:] = inv
+    part[0, 1:] = part[1:, 0] = -inv @ mean
+    part[0, 0] = 1.0 / w + mean @ inv @ mean
+    cov[np.ix_(at, at)] = sigma2 * part
+    used = len(kept)
+    return {"beta": beta, "cov": cov, "df": df, "sigma": np.sqrt(sigma2), "rank": used + 1,
             "r2": 1.0 - rss / syy if syy > 0 else float("nan"), "rss": rss,
-            "f": ((syy - rss) / p) / sigma2 if sigma2 > 0 else float("nan")}
+            "f": ((syy - rss) / used) / sigma2 if sigma2 > 0 and used else float("nan")}
+
+
+def estimable(c: np.ndarray, squares: np.ndarray) -> list[int]:
+    """Regressors that are no combination of the intercept and those before them.
+
+    ``c`` holds their centred moments and ``squares`` their plain ones.  Each pivot is what the regressors
+    before it leave of a regressor's square; below 1e-10 of it, it is aliased.
+    """
+    left, kept = c.copy(), []
+    for j in range(len(c)):
+        if left[j, j] > 1e-10 * max(c[j, j], 0.0) and c[j, j] > 1e-14 * squares[j]:
+            left = left - np.outer(left[:, j], left[j]) / left[j, j]
+            kept.append(j)
+    return kept
 
 
 def linear_fit(df: DataFrame, y: Column, xs: Mapping[str, Column], by: Sequence[str] = (),
@@ -73,8 +88,9 @@ def linear_fit(df: DataFrame, y: Column, xs: Mapping[str, Column], by: Sequence[
     One aggregation pass; rows with a missing value or weight 0 drop out.  ``origin`` is
     a typical value of a regressor that sits far from 0 (a year), taken off before
     squaring.  ``models`` fits several subsets of the regressors to the same rows, still in
-    one pass.  Result: one row per group, model and term.  Groups with too few rows or
-    collinear columns give no rows.
+    one pass.  Result: one row per group, model and term.  A term that is a combination of
+    those before it (a constant one, too) is aliased: its row has null numbers, and the others are
+    fitted without it.  Groups without residual freedom give no rows.
     """
     origin, names = dict(origin or {}), list(xs)
     models = {k: list(v) for k, v in (models or {"all": names}).items()}
@@ -104,8 +120,8 @@ def linear_fit(df: DataFrame, y: Column, xs: Mapping[str, Column], by: Sequence[
                     adj = 1.0 - (1.0 - fit["r2"]) * (row["n"] - 1) / fit["df"]
                     for term, est, s in zip(["(Intercept)", *terms], fit["beta"], se):
                         t = est / s if s > 0 else float("inf")
-                        out.append([*[row[b] for b in by], model, term, est, s, t,
-                                    t_two_sided(t, fit["df"]), row["n"], len(used) + 2,
+                        numbers = [est, s, t, t_two_sided(t, fit["df"])] if est == est else [None] * 4
+                        out.append([*[row[b] for b in by], model, term, *numbers, row["n"], fit["rank"] + 1,
                                     fit["sigma"], fit["r2"], adj, fit["f"], fit["rss"]])
             yield pd.DataFrame(out, columns=schema.names)
 
@@ -139,6 +155,7 @@ def fit_band(df: DataFrame, y: Column, x: Column, degree: int = 1, by: Sequence[
                 fit = solve_moments(row["m"], degree, row["n"], np.zeros(degree))
                 if fit is None:
                     continue
+                fit["beta"], fit["cov"] = np.nan_to_num(fit["beta"]), np.nan_to_num(fit["cov"])    # aliased: 0
                 grid = np.linspace(row["lo"][0], row["hi"][0], points)
                 basis = np.vander(grid, degree + 1, increasing=True)
                 centre = basis @ fit["beta"]
@@ -152,65 +169,6 @@ def fit_band(df: DataFrame, y: Column, x: Column, degree: int = 1, by: Sequence[
     return moments.mapInPandas(solve, schema)
 
 
-def loess(df: DataFrame, y: Column, x: Column, by: Sequence[str] = (),
-          weight: Column | None = None, span: float = 0.75, points: int = 80) -> DataFrame:
-    """Locally weighted quadratic regression on an even grid over the x range.
-
-    Equal x values are merged first.  The bandwidth of a grid point is the exact distance
-    to its ``span * n``-th nearest row; tricube weights times the case weights then give
-    moment sums per grid point.  Where that distance is 0, the fit is the weighted mean of
-    the rows tied at the grid point.
-    """
-    from driftline.operators.ranking import kth_smallest
-    keys = list(by) or ["_all"]
-    rows = _design(df if by else df.withColumn("_all", F.lit(1)), keys, y, {"x": x}, weight, {})
-    cells = cut_lineage(rows.groupBy(*keys, "_x0").agg(
-        F.count(F.lit(1)).alias("_n"), F.sum("_w").alias("_w"),
-        F.sum(F.col("_w") * F.col("_y")).alias("_wy")))
-    span_of = cells.groupBy(*keys).agg(F.min("_x0").alias("lo"), F.max("_x0").alias("hi"),
-                                       F.sum("_n").alias("n"))
-    step = (F.col("hi") - F.col("lo")) / (points - 1)
-    grid = cut_lineage(
-        span_of.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-        .select(*[F.col(k).alias(f"_g_{k}") for k in keys], "i",
-                (F.col("lo") + F.col("i") * step).alias("g"),
-                F.floor(F.col("n") * F.lit(span) + 1e-5).cast("long").alias("q")))
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_g_{k}"))
-    pairs = (cells.join(grid, same)
-             .withColumn("d", F.abs(F.col("_x0") - F.col("g"))))
-    widths = kth_smallest(pairs, [*keys, "i"], "d", "q", "_n").withColumnsRenamed(
-        {**{k: f"_h_{k}" for k in keys}, "i": "_h_i", "value": "h"})
-    same = F.col("i") == F.col("_h_i")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_h_{k}"))
-    near = pairs.join(cut_lineage(widths), same).filter(
-        (F.col("d") < F.col("h")) | (F.col("d") == 0))
-    part = F.coalesce(F.try_divide(F.col("d"), F.col("h")), F.lit(0.0))
-    tri = F.pow(1 - F.pow(part, F.lit(3.0)), F.lit(3.0))
-    u = F.coalesce(F.try_divide(F.col("_x0") - F.col("g"), F.col("h")), F.lit(0.0))
-    k, ky = tri * F.col("_w"), tri * F.col("_wy")
-    sums = near.groupBy(*keys, "i", "g").agg(
-        F.count(F.lit(1)).alias("n_values"),
-        F.array(*[F.sum(k * F.pow(u, F.lit(float(j)))) for j in range(5)]).alias("s"),
-        F.array(*[F.sum(ky * F.pow(u, F.lit(float(j)))) for j in range(3)]).alias("t"))
-    schema = T.StructType([sums.schema[b] for b in by] + [
-        T.StructField("x", T.DoubleType()), T.StructField("fit", T.DoubleType())])
-
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for row in pdf.to_dict("records"):
-                s, t = row["s"], row["t"]
-                normal = np.array([[s[i + j] for j in range(3)] for i in range(3)])
-                beta = np.linalg.lstsq(normal, np.array(t), rcond=1e-10)[0]
-                out.append([*[row[b] for b in by], row["g"], beta[0]])
-            yield pd.DataFrame(out, columns=schema.names)
-
-    return sums.mapInPandas(solve, schema)
-
-
 def weights_of(table: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Rank models by corrected AIC: differences and Akaike weights per table.
 
@@ -226,19 +184,26 @@ def weights_of(table: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def average_coefficients(coefs: DataFrame, weights: DataFrame,
-                         by: Sequence[str] = ()) -> DataFrame:
-    """Model-averaged coefficients.
+                         by: Sequence[str] = (), level: float = 0.95) -> DataFrame:
+    """Model-averaged coefficients with their intervals.
 
     ``conditional`` averages over the models that hold the term, ``full`` counts the term
-    as 0 in the others.  The standard error adds the spread between models.
+    as 0, without error, in the others.  The standard errors add the spread between models; the
+    intervals are normal ones about each average.
     """
     joined = coefs.join(weights.select(*by, "model_id", "weight"), [*by, "model_id"])
     means = joined.groupBy(*by, "term").agg(
         F.sum("weight").alias("importance"),
         F.sum(F.col("weight") * F.col("estimate")).alias("full"))
     means = means.withColumn("conditional", F.col("full") / F.col("importance"))
-    spread = F.sqrt(F.pow("std_error", F.lit(2.0))
-                    + F.pow(F.col("estimate") - F.col("conditional"), F.lit(2.0)))
-    return (joined.join(means, [*by, "term"]).groupBy(*by, "term", "importance", "full",
-                                                      "conditional")
-            .agg((F.sum(F.col("weight") * spread) / F.first("importance")).alias("std_error")))
+
+    def spread(about: str) -> Column:
+        return F.sum(F.col("weight") * F.sqrt(F.pow("std_error", F.lit(2.0))
+                                              + F.pow(F.col("estimate") - F.col(about), F.lit(2.0))))
+    half = F.lit(normal_critical(level))
+    out = joined.join(means, [*by, "term"]).groupBy(*by, "term", "importance", "full", "conditional").agg(
+        (spread("conditional") / F.first("importance")).alias("std_error"),
+        (spread("full") + F.greatest(1 - F.first("importance"), F.lit(0.0)) * F.abs(F.first("full"))).alias("full_error"))
+    return out.withColumns({
+        "lower": F.col("conditional") - half * F.col("std_error"), "upper": F.col("conditional") + half * F.col("std_error"),
+        "full_lower": F.col("full") - half * F.col("full_error"), "full_upper": F.col("full") + half * F.col("full_error")})

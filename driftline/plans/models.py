@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driftline.functions import rsem
-from driftline.models import boost, linear, mixed
+from driftline.models import boost, linear, local, mixed
 from driftline.models.design import Factor, Interaction, Numeric, Smooth, build_design
 from driftline.operators import cohort, reshape
 from driftline.plans.prep import QUALITY_INPUTS
@@ -14,7 +14,7 @@ from driftline.plans.summaries import full, over_studies, study_table
 from driftline.session import cut_lineage
 
 YEARS = "Publication_year > 2009"
-LINE_COLUMNS = ["term", "estimate", "std_error", "t_value", "n", "sigma", "r_squared", "f_value"]
+LINE_COLUMNS = ["term", "estimate", "std_error", "t_value", "p_value", "n", "sigma", "r_squared", "f_value"]
 
 
 def _line_sql(source: str) -> str:
@@ -34,11 +34,19 @@ def _line_sql(source: str) -> str:
     c AS (SELECT 'x' AS term, b AS estimate, sqrt(s2 / sxx) AS std_error, * FROM f UNION ALL
       SELECT '(Intercept)', my - b * mx, sqrt(s2 * (1 / sw + mx * mx / sxx)), * FROM f)
     SELECT term, {r("estimate", "estimate")}, {r("std_error", "std_error")},
-      {r("estimate / std_error", "t_value")}, n, {r("sqrt(s2)", "sigma")},
-      {r("sxy * sxy / sxx / syy", "r_squared")},
+      {r("estimate / std_error", "t_value")}, {r(_t_tail_sql("estimate / std_error", "n - 2"), "p_value")}, n,
+      {r("sqrt(s2)", "sigma")}, {r("sxy * sxy / sxx / syy", "r_squared")},
       {r("(sxy * sxy / sxx) / s2", "f_value")} FROM c"""
 
 
+def _t_tail_sql(t: str, df: str) -> str:
+    """Two-sided tail of the t distribution: Simpson's rule for the angle atan(t / sqrt(df))."""
+    return f"""(SELECT greatest(0, 1 - 2 * exp(lgamma((v + 1) / 2) - lgamma(v / 2)) / sqrt(pi()) * h / 3 * sum(
+      CASE WHEN i IN (0, 20000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * cos(i * h) ** (v - 1)))
+      FROM (SELECT i, v, atan(abs(t) / sqrt(v)) / 20000 AS h FROM (SELECT ({t})::DOUBLE AS t, ({df})::DOUBLE AS v),
+      range(20001) s(i)) GROUP BY v, h)"""
+
+
 @query("fit_fo_year", over_records(", " + _line_sql(
     "SELECT publication_year AS x, prop_w_plastic AS y, N AS w FROM full_"
     " WHERE publication_year > 2009")))
@@ -176,9 +184,13 @@ def model_rank(spark, sf_dir):
 @query("model_avg", over_records(f"""{MODELS_SQL}, j AS (SELECT * FROM coefs JOIN ranked
     USING (o, model_id)), a AS (SELECT o, term, sum(weight) AS imp, sum(weight * estimate) AS f
     FROM j GROUP BY o, term) SELECT o AS "order", term, {r("imp", "importance")},
-    {r("any_value(f)", "full")}, {r("any_value(f) / any_value(imp)", "conditional")},
-    {r("sum(weight * sqrt(se ** 2 + (estimate - f / imp) ** 2)) / any_value(imp)", "std_error")}
-    FROM j JOIN a USING (o, term) GROUP BY o, term, imp"""))
+    {r("f", "full")}, {r("f / imp", "conditional")},
+    {r("e", "std_error")}, {r("fe", "full_error")}, {r("f / imp - z * e", "lower")}, {r("f / imp + z * e", "upper")},
+    {r("f - z * fe", "full_lower")}, {r("f + z * fe", "full_upper")} FROM (
+      SELECT o, term, imp, any_value(f) AS f, 1.959963984540054::DOUBLE AS z,
+        sum(weight * sqrt(se ** 2 + (estimate - f / imp) ** 2)) / any_value(imp) AS e,
+        sum(weight * sqrt(se ** 2 + (estimate - f) ** 2)) + greatest(1 - imp, 0) * abs(any_value(f)) AS fe
+      FROM j JOIN a USING (o, term) GROUP BY o, term, imp)"""))
 def model_avg(spark, sf_dir):
     coefs, table = _order_models(spark, sf_dir)
     return linear.average_coefficients(coefs, linear.weights_of(table, by=["order"]), ["order"])
@@ -187,36 +199,72 @@ def model_avg(spark, sf_dir):
 # --- local regression ------------------------------------------------------------------
 
 
-def _loess_sql(source: str, key: str | None) -> str:
-    """Local quadratic fit on 80 grid points over rows (k, x, y, w) of ``source``."""
+def _loess_sql(source: str, key: str | None, band: bool = False) -> str:
+    """Local quadratic fit on 80 grid points over rows (k, x, y, w) of ``source``, with its error band.
+
+    Matrix products are joins on (k, row, column).  The quantile of the t distribution is its series in
+    1 / df at 0.975.
+    """
     out = f"k AS {key}, " if key else ""
-    return f"""rows_ AS (SELECT k, x::DOUBLE AS x, y::DOUBLE AS y, w::DOUBLE AS w FROM ({source})
+    det = "(s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2))"
+    fit = f"""rows_ AS (SELECT k, x::DOUBLE AS x, y::DOUBLE AS y, w::DOUBLE AS w FROM ({source})
       WHERE x IS NOT NULL AND y IS NOT NULL AND w > 0),
-    c AS (SELECT k, x, count(*) AS n, sum(w) AS w, sum(w * y) AS wy FROM rows_ GROUP BY k, x),
-    grid AS (SELECT k AS gk, i, lo + i * ((hi - lo) / 79) AS g, floor(n * 0.75 + 0.00001) AS q
-      FROM (SELECT k, min(x) AS lo, max(x) AS hi, count(*) AS n FROM rows_ GROUP BY k), range(80) t(i)),
+    c AS (SELECT k, x, count(*) AS n, sum(w) AS w, sum(w * w) AS w2, sum(w * y) AS wy, sum(w * y * y) AS wyy
+      FROM rows_ GROUP BY k, x),
+    range_ AS (SELECT k AS gk, min(x) AS lo, max(x) AS hi, count(*) AS n FROM rows_ GROUP BY k),
+    grid AS (SELECT gk, i, lo + i * ((hi - lo) / 79) AS g, floor(n * 0.75 + 0.00001) AS q FROM range_, range(80) t(i)),
     near AS (SELECT *, abs(x - g) AS d, sum(n) OVER (PARTITION BY gk, i ORDER BY abs(x - g)) AS cum
       FROM grid JOIN c ON k = gk),
     wide AS (SELECT *, min(CASE WHEN cum >= q THEN d END) OVER (PARTITION BY gk, i) AS h FROM near),
-    sums AS (SELECT gk AS k, any_value(g) AS x, sum(t * w) AS s0, sum(t * w * u) AS s1,
+    tri AS (SELECT *, (1 - (d / h) ** 3) ** 3 AS t, (x - g) / h AS u FROM wide WHERE d < h),
+    sums AS (SELECT gk AS k, i, any_value(g) AS x, sum(t * w) AS s0, sum(t * w * u) AS s1,
       sum(t * w * u ** 2) AS s2, sum(t * w * u ** 3) AS s3, sum(t * w * u ** 4) AS s4,
-      sum(t * wy) AS t0, sum(t * wy * u) AS t1, sum(t * wy * u ** 2) AS t2 FROM (
-      SELECT *, (1 - (d / h) ** 3) ** 3 AS t, (x - g) / h AS u FROM wide WHERE d < h)
-      GROUP BY gk, i)
-    SELECT {out}{r("x", "x")}, {r("""(t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2)
-      + s2 * (t1 * s3 - s2 * t2)) / (s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2)
-      + s2 * (s1 * s3 - s2 * s2))""", "fit")} FROM sums"""
+      sum(t * wy) AS t0, sum(t * wy * u) AS t1, sum(t * wy * u ** 2) AS t2 FROM tri GROUP BY gk, i),
+    fit AS (SELECT k, i, x, (s2 * s4 - s3 * s3) / {det} AS c0, (s2 * s3 - s1 * s4) / {det} AS c1,
+      (s1 * s3 - s2 * s2) / {det} AS c2, c0 * t0 + c1 * t1 + c2 * t2 AS fit FROM sums)"""
+    if not band:
+        return fit + f""" SELECT {out}{r("x", "x")}, {r("fit", "fit")} FROM fit"""
+    return fit + f""",
+    op AS (SELECT f.k, f.i, t.x, t.t * (c0 + c1 * t.u + c2 * t.u ** 2) AS l, t.w, t.w2
+      FROM tri t JOIN fit f ON f.k = t.gk AND f.i = t.i),
+    place AS (SELECT *, least(floor((x - lo) / ((hi - lo) / 79)), 78)::INT AS p, (x - lo) / ((hi - lo) / 79) - p AS s
+      FROM c JOIN (SELECT gk, lo, hi FROM range_) ON k = gk),
+    line AS (SELECT k, x, w, w2, n, wy, wyy, unnest([p, p + 1]) AS j, unnest([1 - s, s]) AS b FROM place),
+    a AS (SELECT u.k, u.j AS i, v.j, sum(u.n * u.b * v.b) AS v FROM line u JOIN line v ON u.k = v.k AND u.x = v.x GROUP BY ALL),
+    cc AS (SELECT u.k, u.i, v.i AS j, sum(u.l * v.l * u.w2) AS v FROM op u JOIN op v ON u.k = v.k AND u.x = v.x GROUP BY ALL),
+    dd AS (SELECT u.k, u.i, v.j, sum(u.l * u.w * v.b) AS v FROM op u JOIN line v ON u.k = v.k AND u.x = v.x GROUP BY ALL),
+    ac AS (SELECT u.k, u.i, v.j, sum(u.v * v.v) AS v FROM a u JOIN cc v ON u.k = v.k AND u.j = v.i GROUP BY ALL),
+    ad AS (SELECT u.k, u.i, v.j, sum(u.v * v.v) AS v FROM a u JOIN dd v ON u.k = v.k AND u.j = v.i GROUP BY ALL),
+    td AS (SELECT k, sum(v) AS v FROM dd WHERE i = j GROUP BY k),
+    tac AS (SELECT k, sum(v) AS v FROM ac WHERE i = j GROUP BY k),
+    tdd AS (SELECT u.k, sum(u.v * v.v) AS v FROM dd u JOIN dd v ON u.k = v.k AND u.i = v.j AND u.j = v.i GROUP BY u.k),
+    tadc AS (SELECT u.k, sum(u.v * v.v) AS v FROM ad u JOIN cc v ON u.k = v.k AND u.i = v.j AND u.j = v.i GROUP BY u.k),
+    tacac AS (SELECT u.k, sum(u.v * v.v) AS v FROM ac u JOIN ac v ON u.k = v.k AND u.i = v.j AND u.j = v.i GROUP BY u.k),
+    rss AS (SELECT k, sum(wyy - 2 * wy * y + w * y * y) AS v FROM (
+      SELECT l.k, l.x, any_value(wyy) AS wyy, any_value(wy) AS wy, any_value(w) AS w, sum(b * fit) AS y
+      FROM line l JOIN fit f ON f.k = l.k AND f.i = l.j GROUP BY l.k, l.x) GROUP BY k),
+    free AS (SELECT g.gk AS k, g.n - 2 * td.v + tac.v AS one,
+      g.n - 4 * td.v + 4 * tac.v + 2 * tdd.v - 4 * tadc.v + tacac.v AS two, sqrt(rss.v / one) AS sigma, one * one / two AS df
+      FROM range_ g JOIN td ON td.k = g.gk JOIN tac ON tac.k = g.gk JOIN tdd ON tdd.k = g.gk JOIN tadc ON tadc.k = g.gk
+      JOIN tacac ON tacac.k = g.gk JOIN rss ON rss.k = g.gk),
+    norm AS (SELECT k, i, sqrt(sum(l * l * w)) AS v FROM op GROUP BY k, i),
+    z AS (SELECT 1.959963984540054::DOUBLE AS z),
+    quant AS (SELECT *, z + (z ** 3 + z) / (4 * df) + (5 * z ** 5 + 16 * z ** 3 + 3 * z) / (96 * df ** 2)
+      + (3 * z ** 7 + 19 * z ** 5 + 17 * z ** 3 - 15 * z) / (384 * df ** 3)
+      + (79 * z ** 9 + 776 * z ** 7 + 1482 * z ** 5 - 1920 * z ** 3 - 945 * z) / (92160 * df ** 4) AS t FROM free, z)
+    SELECT {"f.k AS " + key + ", " if key else ""}{r("x", "x")}, {r("fit", "fit")}, {r("sigma * v", "std_error")},
+      {r("fit - t * sigma * v", "lower")}, {r("fit + t * sigma * v", "upper")}, {r("sigma", "sigma")}, {r("df", "df")}
+    FROM fit f JOIN norm m ON m.k = f.k AND m.i = f.i JOIN quant q ON q.k = f.k"""
 
 
 @query("loess_depth", over_records(", " + _loess_sql(
     "SELECT Found AS k, average_depth AS x, prop_w_plastic AS y, N AS w FROM full_"
-    " WHERE Found IS NOT NULL AND average_depth BETWEEN 0 AND 350", "Found")))
+    " WHERE Found IS NOT NULL AND average_depth BETWEEN 0 AND 350", "Found", band=True)))
 def loess_depth(spark, sf_dir):
-    """Proportion against depth per habitat group, weighted by individuals."""
+    """Proportion against depth per habitat group, weighted by individuals, with its 95 % band."""
     df = full(spark, sf_dir, "habitat", "average_depth", "prop_w_plastic", "N")
     df = df.filter(F.col("Found").isNotNull() & F.col("average_depth").between(0, 350))
-    return linear.loess(df, F.col("prop_w_plastic"), F.col("average_depth"), ["Found"],
-                        F.col("N"))
+    return local.local_regression(df, F.col("prop_w_plastic"), F.col("average_depth"), ["Found"], F.col("N"))
 
 
 @query("trend_studies", over_records(", " + _loess_sql(
@@ -229,7 +277,36 @@ def trend_studies(spark, sf_dir):
                  "includes_microplastic").groupBy(
         "publication_year", "method_type", "includes_microplastic").agg(
         rsem.n_distinct("source").alias("n_studies"))
-    return linear.loess(df, F.col("n_studies"), F.col("publication_year"))
+    return local.local_regression(df, F.col("n_studies"), F.col("publication_year")).select("x", "fit")
+
+
+def _studies_sql(kind: str) -> str:
+    return over_records(", " + _loess_sql(
+        f"""SELECT 1 AS k, publication_year AS x, {n_distinct_sql("source")} AS y, 1 AS w FROM rec
+        GROUP BY publication_year, {kind}""", None))
+
+
+def _trend_of_studies(spark, sf_dir, kind, inputs=None, **kw):
+    """Smooth trend over the number of studies per year and ``kind``, all kinds as one series of points."""
+    rec = records(spark, sf_dir, "source", "publication_year", *(inputs or [kind]), **kw)
+    counts = rec.groupBy("publication_year", kind).agg(
+        rsem.n_distinct("source").alias("n_studies"))
+    return local.local_regression(counts, F.col("n_studies"), F.col("publication_year")).select("x", "fit")
+
+
+@query("trend_studies_kind", _studies_sql("includes_microplastic"))
+def trend_studies_kind(spark, sf_dir):
+    return _trend_of_studies(spark, sf_dir, "includes_microplastic")
+
+
+@query("trend_studies_method", _studies_sql("method_type"))
+def trend_studies_method(spark, sf_dir):
+    return _trend_of_studies(spark, sf_dir, "method_type")
+
+
+@query("trend_studies_region", _studies_sql("adjacency_water"))
+def trend_studies_region(spark, sf_dir):
+    return _trend_of_studies(spark, sf_dir, "adjacency_water", ["ProvCode", "water_type"], lookup=True)
 
 
 # --- logistic, mixed and additive models ---------------------------------------------------
@@ -359,6 +436,18 @@ def dredge_avg(spark, sf_dir):
                                        linear.weights_of(mixed.model_table(spark, fits)))
 
 
+@query("dredge_full")
+def dredge_full(spark, sf_dir):
+    """All admissible submodels of the full model's nine terms, with its three intercepts, ranked."""
+    return linear.weights_of(mixed.model_table(spark, _full_dredge(spark, sf_dir)))
+
+
+def _full_dredge(spark, sf_dir):
+    cohort_name, terms, random = SPECS["full"]
+    df = model_data(spark, sf_dir, cohort_name, terms, random)
+    return mixed.dredge(build_design(df, terms, random), terms)
+
+
 @query("lmm_particles")
 def lmm_particles(spark, sf_dir):
     """Log mean particles by water type, with intercepts per order and study."""

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftline.functions import rsem
-from driftline.models import boost, linear, mixed, special
+from driftline.models import boost, linear, local, mixed, special
 from driftline.models.design import (Factor, Interaction, Numeric, Smooth, build_design,
                                      log_choose)
 
@@ -46,7 +46,26 @@ def test_linear_fit(spark):
         assert got[term]["std_error"] == pytest.approx(se[i], rel=1e-7)
     assert got["x"]["n"] == keep.sum()
     flat = spark.createDataFrame([(1.0, 2.0), (1.0, 3.0), (1.0, 4.0)], "x double, y double")
-    assert linear.linear_fit(flat, F.col("y"), {"x": F.col("x")}).count() == 0
+    got = {r["term"]: r for r in linear.linear_fit(flat, F.col("y"), {"x": F.col("x")}).collect()}
+    assert got["(Intercept)"]["estimate"] == pytest.approx(3.0) and got["x"]["estimate"] is None
+
+
+def test_aliased_terms_are_left_out_in_order(spark):
+    """A doubled column, a sum of two and a constant: later ones are null, the others as without them."""
+    rng = np.random.default_rng(21)
+    x, z = rng.normal(2000, 5, 80), rng.normal(size=80)
+    y = 3 + 0.2 * x - z + rng.normal(0, .3, 80)
+    rows = [tuple(map(float, r)) for r in zip(x, 2 * x - 7, z, x + z, np.full(80, 4.0), rng.normal(size=80), y)]
+    df = spark.createDataFrame(rows, "x double, twice double, z double, sum double, flat double, u double, y double")
+    names = ["x", "twice", "z", "sum", "flat", "u"]
+    got = {r["term"]: r for r in linear.linear_fit(df, F.col("y"), {n: F.col(n) for n in names}, origin={"x": 2000, "twice": 4000}).collect()}
+    want = {r["term"]: r for r in linear.linear_fit(df, F.col("y"), {n: F.col(n) for n in ("x", "z", "u")}, origin={"x": 2000}).collect()}
+    assert {n for n in names if got[n]["estimate"] is None} == {"twice", "sum", "flat"}
+    for term, row in want.items():
+        for c in ("estimate", "std_error", "t_value", "p_value", "sigma", "r_squared", "f_value", "k"):
+            assert got[term][c] == pytest.approx(row[c], rel=1e-6)
+    band = linear.fit_band(df, F.col("y"), F.col("flat"), 1, points=3).collect()
+    assert all(r["fit"] == pytest.approx(y.mean()) for r in band)
 
 
 def test_loess_matches_direct_fit(spark):
@@ -55,7 +74,7 @@ def test_loess_matches_direct_fit(spark):
     y, w = np.sin(x) + rng.normal(0, .1, 120), rng.integers(1, 4, 120).astype(float)
     df = spark.createDataFrame(list(zip(x.tolist(), y.tolist(), w.tolist())),
                                "x double, y double, w double")
-    got = linear.loess(df, F.col("y"), F.col("x"), weight=F.col("w"), points=7).orderBy("x").collect()
+    got = local.local_regression(df, F.col("y"), F.col("x"), weight=F.col("w"), points=7).orderBy("x").collect()
     q = int(120 * 0.75 + 1e-5)
     for row, g in zip(got, np.linspace(x.min(), x.max(), 7)):
         d = np.abs(x - g)
@@ -69,12 +88,78 @@ def test_loess_matches_direct_fit(spark):
 def test_loess_where_most_rows_share_one_x(spark):
     rows = [(0.0, float(k % 3), 1.0 + k % 2) for k in range(90)] + [(float(k), 1.0, 1.0) for k in range(1, 11)]
     df = spark.createDataFrame(rows, "x double, y double, w double")
-    got = linear.loess(df, F.col("y"), F.col("x"), weight=F.col("w"), points=11).orderBy("x").collect()
+    got = local.local_regression(df, F.col("y"), F.col("x"), weight=F.col("w"), points=11).orderBy("x").collect()
     assert [r["x"] for r in got] == [float(k) for k in range(11)]
     tied = [(y, w) for x, y, w in rows if x == 0]
     assert got[0]["fit"] == pytest.approx(sum(y * w for y, w in tied) / sum(w for _, w in tied))
 
 
+def dense_band(x, y, w, points, span=0.75):
+    """Fit and band of the operator 'local quadratic at the grid, straight between', as whole matrices."""
+    n, grid = len(x), np.linspace(x.min(), x.max(), points)
+    K = np.zeros((points, n))
+    for i, g in enumerate(grid):
+        d = np.abs(x - g)
+        h = np.sort(d)[int(n * span + 1e-5) - 1]
+        k = w * np.where(d < h, (1 - (d / h) ** 3) ** 3, 0)
+        X = np.vander((x - g) / h, 3, increasing=True)
+        K[i] = (np.linalg.pinv(X.T @ (k[:, None] * X)) @ (X * k[:, None]).T)[0]
+    B = np.array([[np.interp(v, grid, e) for e in np.eye(points)] for v in x])
+    M = np.eye(n) - B @ K
+    one, two = np.trace(M @ M.T), np.trace(M @ M.T @ M @ M.T)
+    sigma = np.sqrt(np.sum(w * (y - B @ K @ y) ** 2) / one)
+    return K @ y, sigma * np.sqrt((K ** 2 / w).sum(1)), sigma, one ** 2 / two
+
+
+def test_band_of_local_regression_equals_the_dense_one(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for g, n in (("a", 150), ("b", 90), (None, 60)):
+        x = np.round(rng.gamma(2.0, 3.0, n), 1)
+        rows += [(g, float(v), float(np.sin(v) + rng.normal(0, .2)), float(rng.integers(1, 9))) for v in x]
+    df = spark.createDataFrame([*rows, ("a", None, 1.0, 1.0), ("a", 1.0, 1.0, 0.0)], "g string, x double, y double, w double")
+    out = local.local_regression(df.repartition(7), F.col("y"), F.col("x"), ["g"], F.col("w"), points=25).collect()
+    assert len(out) == 75
+    for g in ("a", "b", None):
+        x, y, w = np.array([r[1:] for r in rows if r[0] == g]).T
+        fit, error, sigma, df_ = dense_band(x, y, w, 25)
+        got = sorted((r for r in out if r.g == g), key=lambda r: r.x)
+        assert np.allclose([r.fit for r in got], fit, rtol=1e-7, atol=1e-9)
+        assert np.allclose([r.std_error for r in got], error, rtol=1e-6)
+        assert np.allclose([[r.sigma, r.df] for r in got], [sigma, df_], rtol=1e-6)
+        half = special.t_critical(0.95, df_)
+        assert np.allclose([[r.lower, r.upper] for r in got], np.c_[fit - half * error, fit + half * error], rtol=1e-6)
+
+
+def test_band_is_close_to_that_of_a_fit_at_every_row(spark):
+    """With 80 grid points, straight lines between them change the band by little."""
+    rng = np.random.default_rng(13)
+    x = np.sort(rng.uniform(0, 10, 200))
+    y, w = np.cos(x / 2) + rng.normal(0, .1, 200), rng.integers(1, 4, 200).astype(float)
+    L = np.zeros((200, 200))
+    for i, g in enumerate(x):
+        d = np.abs(x - g)
+        h = np.sort(d)[149]
+        k = w * np.where(d < h, (1 - (d / h) ** 3) ** 3, 0)
+        X = np.vander((x - g) / h, 3, increasing=True)
+        L[i] = (np.linalg.pinv(X.T @ (k[:, None] * X)) @ (X * k[:, None]).T)[0]
+    M = np.eye(200) - L
+    one = np.trace(M @ M.T)
+    df = spark.createDataFrame(list(zip(x.tolist(), y.tolist(), w.tolist())), "x double, y double, w double")
+    got = local.local_regression(df, F.col("y"), F.col("x"), weight=F.col("w")).head()
+    assert got.sigma == pytest.approx(np.sqrt(np.sum(w * (y - L @ y) ** 2) / one), rel=1e-3)
+    assert got.df == pytest.approx(one ** 2 / np.trace(M @ M.T @ M @ M.T), rel=1e-3)
+
+
+def test_band_without_freedom_and_of_one_value(spark):
+    df = spark.createDataFrame([("a", 1.0, 2.0), ("a", 1.0, 4.0), ("b", 0.0, 1.0), ("b", 1.0, 2.0), ("b", 2.0, 5.0)],
+                               "g string, x double, y double")
+    out = {(r.g, round(r.x, 6)): r for r in local.local_regression(df, F.col("y"), F.col("x"), ["g"], points=5).collect()}
+    assert out["a", 1.0].fit == pytest.approx(3.0) and out["a", 1.0].df == pytest.approx(1.0)
+    assert out["b", 1.0].fit == pytest.approx(2.0) and out["b", 0.0].upper is None
+    assert local.local_regression(df.where("false"), F.col("y"), F.col("x"), ["g"]).count() == 0
+
+
 def laplace(X, Zs, k, n, sd):
     """Penalised mode and Laplace deviance, dense."""
     Z = np.hstack([s * z for s, z in zip(sd, Zs)])
@@ -220,6 +305,11 @@ def test_averages(spark):
     got = {r["term"]: r for r in linear.average_coefficients(coefs, weights).collect()}
     assert got["x"]["full"] == got["x"]["conditional"] == 1.25
     assert got["z"]["full"] == 1.25 and got["z"]["conditional"] == 5.0
+    z, error = special.normal_critical(0.95), 0.25 * math.hypot(0.2, 3.75) + 0.75 * 1.25
+    assert (got["z"]["lower"], got["z"]["upper"]) == pytest.approx((5 - z * 0.2, 5 + z * 0.2))
+    assert (got["z"]["full_lower"], got["z"]["full_upper"]) == pytest.approx((1.25 - z * error, 1.25 + z * error))
+    spread = 0.75 * math.hypot(0.1, 0.25) + 0.25 * math.hypot(0.1, 0.75)
+    assert got["x"]["full_error"] == pytest.approx(got["x"]["std_error"]) == pytest.approx(spread)
 
 
 def test_boosted_trees(spark):
