@@ -211,7 +211,7 @@ def _spectra(batches, d, centre):
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["part", "n", "mean", "vals", "vecs"])
 
 
-def _combine(key, frame: pd.DataFrame) -> pd.DataFrame:
+def _combine(key, frame):
     frame = frame.sort_values("part")
     merged = None
     for r in frame.itertuples():
