@@ -283,7 +283,24 @@ class Sums:
     value: float
 
 
+#: Bytes of sums that a task may hold in one pass.
+PASS_BYTES = 1 << 28
+
+
 def evaluate(design: Design, requests: dict[int, Request], family: str) -> dict[int, Sums]:
+    """As few passes over the design as the memory for the requests' sums allows."""
+    levels, out, batch, held = sum(design.level_counts), {}, {}, 0
+    for key, req in requests.items():
+        size = 8 * (len(req.columns) + levels + 1) ** 2
+        if batch and held + size > PASS_BYTES:
+            out |= _one_pass(design, batch, family)
+            batch, held = {}, 0
+        batch[key] = req
+        held += size
+    return out | (_one_pass(design, batch, family) if batch else {})
+
+
+def _one_pass(design: Design, requests: dict[int, Request], family: str) -> dict[int, Sums]:
     """One pass over the design for all requests together.
 
     Each task adds up the sums of its rows per request; Spark adds the tasks' sums by

@@ -442,6 +442,14 @@ def dredge_full(spark, sf_dir):
     return linear.weights_of(mixed.model_table(spark, _full_dredge(spark, sf_dir)))
 
 
+@query("dredge_full_avg")
+def dredge_full_avg(spark, sf_dir):
+    """Coefficients averaged over all submodels of the full model, with their intervals."""
+    fits = _full_dredge(spark, sf_dir)
+    return linear.average_coefficients(mixed.coefficients(spark, fits),
+                                       linear.weights_of(mixed.model_table(spark, fits)))
+
+
 def _full_dredge(spark, sf_dir):
     cohort_name, terms, random = SPECS["full"]
     df = model_data(spark, sf_dir, cohort_name, terms, random)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions import rsem
 from driftline.models import boost, linear, local, mixed, special
-from driftline.models.design import (Factor, Interaction, Numeric, Smooth, build_design,
+from driftline.models.design import (Factor, Interaction, Numeric, Request, Smooth, build_design, evaluate,
                                      log_choose)
 
 
@@ -297,6 +297,18 @@ def test_logistic_bands(trials, spark):
     assert len(out) == 12 and all(r["lower"] < r["fit"] < r["upper"] for r in out)
 
 
+def test_requests_are_split_by_memory(trials, monkeypatch):
+    """The sums do not depend on how many requests share a pass."""
+    from driftline.models import design as designs
+    built = build_design(trials[0], [Numeric("x")], ("g", "h"))
+    width = 2 + sum(built.level_counts)
+    asked = {i: Request(np.array([0, 1]), np.linspace(-.1, .1, width) * i) for i in range(5)}
+    whole = evaluate(built, asked, "binomial")
+    monkeypatch.setattr(designs, "PASS_BYTES", 1)
+    for i, sums in evaluate(built, asked, "binomial").items():
+        assert np.allclose(sums.info, whole[i].info) and np.allclose(sums.score, whole[i].score)
+
+
 def test_averages(spark):
     coefs = spark.createDataFrame([("m1", "x", 1.0, 0.1), ("m2", "x", 2.0, 0.1),
                                    ("m2", "z", 5.0, 0.2)],
