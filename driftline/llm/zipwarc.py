@@ -6,8 +6,9 @@ reader fetches the end of a file, follows the central directory (ZIP64 records a
 included), locates the members, reads the index, and then fetches each record by its byte range;
 nothing is extracted.
 
-Archives are named by their partition and written under a temporary name that is then renamed,
-so that a repeated task replaces its own file with equal bytes.
+Each attempt of a task writes archives of its own names, first under temporary ones.  Spark commits
+the manifest of one attempt for each partition, and readers open only what it lists; so an attempt that
+meets its rows in another order, and cuts them elsewhere, loses and doubles nothing.
 
 Defined cases: a null payload is empty; a null id is the smallest and is written without
 a name; rows that repeat both id and payload are responses together when that id is the
@@ -225,8 +226,9 @@ def write_archives(pages: DataFrame, folder: str, min_payload: int = MIN_PAYLOAD
         for b in batches:
             for page_id, url, payload, length, refers_to in _rows(b):
                 if out is None:
-                    name, index = f"part-{part:05d}-{serial:04d}.wacz", []
-                    temp = f"_{name}-{uuid.uuid4().hex}"
+                    # an own name for each attempt: only the manifest of the attempt that Spark commits lists it
+                    name, index = f"part-{part:05d}-{serial:04d}-{uuid.uuid4().hex}.wacz", []
+                    temp = f"_{name}"
                     out = where.open_output_stream(f"{base}/{temp}")
                     zipped = StoredZip(out, force64)
                     zipped.begin(DATA)

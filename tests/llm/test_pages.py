@@ -86,6 +86,19 @@ def test_round_trip(spark, force64, monkeypatch):
                 assert z.testzip() is None and z.namelist() == [zipwarc.DATA, zipwarc.INDEX]
 
 
+def test_a_second_attempt_in_another_order_changes_nothing(spark, monkeypatch):
+    """A lost executor's partition is written again, cut elsewhere: the committed manifest still reads each page once."""
+    monkeypatch.setattr(zipwarc, "ARCHIVE_BYTES", 600)
+    folder = f"{scratch_dir(spark)}/attempts"
+    schema = "page_id long, url string, html string"
+    rows = [(i, f"http://h/{i}", f"text {i} " * (i % 7)) for i in range(40)]
+    first = zipwarc.write_archives(spark.createDataFrame(rows, schema).coalesce(1), folder)
+    committed = spark.createDataFrame(first.collect(), first.schema)
+    zipwarc.write_archives(spark.createDataFrame(rows[::-1], schema).coalesce(1), folder).collect()
+    assert sorted(r.page_id for r in zipwarc.read_records(committed).collect()) == list(range(40))
+    assert committed.count() > 3
+
+
 def test_foreign_archives_and_damage(tmp_path):
     path = tmp_path / "x.zip"
     with zipfile.ZipFile(path, "w") as z:
