@@ -23,7 +23,6 @@ probability 1.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,10 +32,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.llm.common import byte_chunks, held_out, mix, pair_hash, table, word_hashes
-from driftline.session import cut_lineage
+from driftline.session import cut_lineage, drop_tables
 
-#: No n-gram is left out for its share of the tokens.
-BIGRAM_SHARE = TRIGRAM_SHARE = ARC_SHARE = math.inf
 LEAST, DISCOUNT = 2, 0.75
 #: N-grams (histories in a join) of at least one in so many tokens are looked up, not shuffled.
 HOT_SHARE, HOT_JOIN = 2 ** 20, 2 ** 16
@@ -129,6 +126,12 @@ def _grams(tokens: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     return before, two, third, pair_hash(two[third - 1], two[third])
 
 
+def _flagged(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the leading bits of each key are marked in a packed bitmap."""
+    place = (keys >> np.uint64(64 - MARK_BITS)).astype(np.int64)
+    return (bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)
+
+
 def _packed(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     """One binary value for each stretch of ``values`` between ``bounds``."""
     values = np.ascontiguousarray(values)
@@ -176,7 +179,6 @@ def count_arcs(texts: DataFrame, order: int, parts: int, marks: np.ndarray | Non
             [pa.array(p[bounds[:-1]]), _packed(a, bounds), _packed(b, bounds), _packed(n, bounds)], ["p", "a", "b", "n"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = None if shared is None else np.unpackbits(shared.value).view(bool)
         held, size = [], 0
         for batch in batches:
             for _, _, tokens, offs in token_stream(batch.column(0)):
@@ -184,7 +186,7 @@ def count_arcs(texts: DataFrame, order: int, parts: int, marks: np.ndarray | Non
                 before, two, third, _ = _grams(tokens, offs)
                 a, b = before, tokens
                 if order == 3:
-                    good = seen[two >> np.uint64(64 - MARK_BITS)]
+                    good = _flagged(shared.value, two)
                     third = third[good[third - 1] & good[third]]
                     a, b = two[third - 1], two[third]
                 held.append((a, b, np.ones(a.size, np.int64)))
@@ -220,11 +222,12 @@ def count_arcs(texts: DataFrame, order: int, parts: int, marks: np.ndarray | Non
 def marked(keys: DataFrame, packed: bool) -> np.ndarray:
     """Packed bitmap of the leading bits of ``keys`` (one column), which lie together in few tasks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << MARK_BITS, bool)
+        seen = np.zeros(1 << MARK_BITS - 3, np.uint8)
         for b in batches:
             k = _joined(b.column(0), np.uint64) if packed else np.asarray(b.column(0)).view(np.uint64)
-            seen[k >> np.uint64(64 - MARK_BITS)] = True
-        pieces = np.packbits(seen).reshape(-1, _PIECE >> 3)
+            place = np.unique(k >> np.uint64(64 - MARK_BITS)).astype(np.int64)
+            np.bitwise_or.at(seen, place >> 3, (128 >> (place & 7)).astype(np.uint8))
+        pieces = seen.reshape(-1, _PIECE >> 3)
         for i in np.flatnonzero(pieces.any(1)):
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([pieces[i].tobytes()])], ["i", "bits"])
 
@@ -245,8 +248,8 @@ def _failure(left: Column, free: Column) -> Column:
     return F.log10(F.greatest(1 - left, F.lit(1e-12)) / F.greatest(1 - free, F.lit(1e-12)))
 
 
-def train(texts: DataFrame) -> tuple[Model, DataFrame]:
-    """Model and word counts (w, n) from all rows of ``texts``."""
+def train(texts: DataFrame) -> Model:
+    """Model of all rows of ``texts``.  Tables go as soon as their successors are written."""
     counts = cut_lineage(count_words(texts))
     total = counts.agg(F.sum("n"), F.count("*")).first()
     n, kinds = int(total[0] or 0), int(total[1])
@@ -257,21 +260,25 @@ def train(texts: DataFrame) -> tuple[Model, DataFrame]:
     kept = F.col("n") - DISCOUNT
 
     floors = counts.select(F.col("w").alias("b"), F.col("n").alias("m"), ((F.col("n") + 1) / F.lit(float(n + kinds + 1))).alias("floor"))
-    two = cut_lineage(_lookup(bigrams, "b", floors, hot).select("k", "a", "n", "floor"))
-    sums = two.groupBy("a").agg(F.sum(kept).alias("s"), F.sum("floor").alias("f"))
+    seen = cut_lineage(_lookup(bigrams, "b", floors, hot).select("k", "a", "n", "floor"))
+    drop_tables(bigrams)
+    sums = seen.groupBy("a").agg(F.sum(kept).alias("s"), F.sum("floor").alias("f"))
     words = cut_lineage(counts.join(sums, counts["w"] == sums["a"], "left").select(
         "w", "n", F.coalesce(_failure(F.col("s") / F.col("n"), F.col("f")), F.lit(0.0)).alias("fail")))
     histories = words.select(F.col("w").alias("a"), F.col("n").alias("m"), "fail")
-    two = cut_lineage(_lookup(two, "a", histories, hot).withColumn("p2", kept / F.col("m")).select(
+    two = cut_lineage(_lookup(seen, "a", histories, hot).withColumn("p2", kept / F.col("m")).select(
         "k", "n", "p2", (F.log10("p2") - F.col("fail") - F.log10("floor")).alias("more")))
+    drop_tables(seen, counts)
 
     three = _lookup(trigrams, "a", two.select(F.col("k").alias("a"), F.col("n").alias("m")), hot).select("k", "a", "b", "n", F.col("m").alias("c2"))
-    three = cut_lineage(_lookup(three, "b", two.select(F.col("k").alias("b"), F.col("n").alias("m"), "p2"), hot)
-                        .select("k", "a", "n", "c2", "p2"))
+    three = met = cut_lineage(_lookup(three, "b", two.select(F.col("k").alias("b"), F.col("n").alias("m"), "p2"), hot)
+                              .select("k", "a", "n", "c2", "p2"))
+    drop_tables(trigrams)
     states = cut_lineage(three.groupBy("a").agg(F.max("c2").alias("m"), F.sum(kept / F.col("c2")).alias("s"), F.sum("p2").alias("f"))
                          .select("a", "m", _failure(F.col("s"), F.col("f")).alias("fail")))
     three = _lookup(three, "a", states, hot).select(
         "k", "n", F.lit(0.0).alias("base"), (F.log10(kept / F.col("c2")) - F.col("fail") - F.log10("p2")).alias("more"))
+    kept_two = two
     two = two.join(states.select(F.col("a").alias("k"), "fail"), "k", "left").select(
         "k", "n", F.lit(0.0).alias("base"), (F.col("more") + F.coalesce("fail", F.lit(0.0))).alias("more"))
     one = words.select(F.col("w").alias("k"), "n", F.log10(F.col("n") + 1.0).alias("base"), F.col("fail").alias("more"))
@@ -288,7 +295,8 @@ def train(texts: DataFrame) -> tuple[Model, DataFrame]:
                                              ["p", "keys", "base", "more"])
 
     terms = cut_lineage(terms.repartition("p").sortWithinPartitions("p").mapInArrow(pack, "p int, keys binary, base binary, more binary"))
-    return Model(n, kinds, parts, terms), counts
+    drop_tables(met, states, kept_two, words)
+    return Model(n, kinds, parts, terms)
 
 
 def _hot_terms(terms: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -298,7 +306,7 @@ def _hot_terms(terms: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys[order], base[order], more[order]
 
 
-def score(rows: DataFrame, m: Model, counts: DataFrame) -> DataFrame:
+def score(rows: DataFrame, m: Model) -> DataFrame:
     """``rows`` (doc_id, held_out, text) with n_tokens, n_known, train_tokens, base_score, score."""
     context = rows.sparkSession.sparkContext
     rest = m.terms.where("p >= 0")
@@ -314,7 +322,6 @@ def score(rows: DataFrame, m: Model, counts: DataFrame) -> DataFrame:
         """Chunks of texts with what hot n-grams add (p -1), and their other n-grams by part."""
         from pyspark import TaskContext
         (often, base, more), chunk = hot.value, TaskContext.get().partitionId() << 40
-        seen = np.unpackbits(marks.value).view(bool)
         for b in batches:
             for lo, hi, tokens, offs in token_stream(b.column(2)):
                 n, tokens = hi - lo, tokens.view(np.uint64)
@@ -327,7 +334,7 @@ def score(rows: DataFrame, m: Model, counts: DataFrame) -> DataFrame:
                     hit = at >= 0
                     for s, x in zip(sums, ((base[at[hit]] > 0).astype(float), base[at[hit]], more[at[hit]])):
                         s += np.bincount(d[hit], x, n)
-                    other = ~hit & seen[k >> np.uint64(64 - MARK_BITS)]
+                    other = ~hit & _flagged(marks.value, k)
                     keys.append(k[other])
                     docs.append(d[other])
                 ids = b.column(0).slice(lo, n)
@@ -410,8 +417,9 @@ def score(rows: DataFrame, m: Model, counts: DataFrame) -> DataFrame:
     none = [F.lit(None).cast("binary").alias(f) for f in fields]
     whole = (done.where("p < 0").select("chunk", F.lit(0).alias("kind"), "x", "y", *fields)
              .union(found.select("chunk", F.lit(1), "x", "y", *none)))
-    out = (whole.repartition("chunk").sortWithinPartitions("chunk", "kind")
-           .mapInArrow(add, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"))
+    out = cut_lineage(whole.repartition("chunk").sortWithinPartitions("chunk", "kind")
+                      .mapInArrow(add, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"))
+    drop_tables(done)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(m.tokens).cast("long").alias("train_tokens"),
                       "base_score", "score")
 
@@ -420,8 +428,7 @@ def op2_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model and add-one scores of every document, learned from those not held out."""
     rows = table(spark, sf_dir, "documents").select(
         "doc_id", held_out(F.col("doc_id"), 7, 2).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    m, counts = train(rows.where(~F.col("held_out")))
-    return score(rows, m, counts)
+    return score(rows, train(rows.where(~F.col("held_out"))))
 
 
 QUERIES = {"op2_ngram": op2_ngram}

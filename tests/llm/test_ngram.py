@@ -12,8 +12,8 @@ from driftline.llm.common import held_out
 def scored(df):
     from pyspark.sql import functions as F
     rows = df.select("doc_id", held_out(F.col("doc_id"), 7, 2).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    m, counts = ngram.train(rows.where(~F.col("held_out")))
-    return m, ngram.score(rows, m, counts).collect()
+    m = ngram.train(rows.where(~F.col("held_out")))
+    return m, ngram.score(rows, m).collect()
 
 
 def plain(rows):
@@ -25,10 +25,8 @@ def plain(rows):
     n, v = sum(c.values()), len(c)
     two = Counter((a, b) for t in taught for a, b in zip([None, *t], t))
     three = Counter((a, b, w) for t in taught for a, b, w in zip([None, *t], t, t[1:]))
-    least = max(ngram.LEAST, -(-n // ngram.ARC_SHARE))
-    small, tiny = {w for w in c if c[w] * ngram.BIGRAM_SHARE >= n}, {w for w in c if c[w] * ngram.TRIGRAM_SHARE >= n}
-    two = {k: x for k, x in two.items() if x >= least and set(k) <= small}
-    three = {k: x for k, x in three.items() if x >= least and set(k) <= tiny}
+    two = {k: x for k, x in two.items() if x >= ngram.LEAST}
+    three = {k: x for k, x in three.items() if x >= ngram.LEAST}
     floor = lambda w: (c[w] + 1) / (n + v + 1)
     p2 = {k: (x - ngram.DISCOUNT) / c[k[0]] for k, x in two.items()}
     p3 = {k: (x - ngram.DISCOUNT) / two[k[:2]] for k, x in three.items()}
