@@ -67,15 +67,25 @@ def scratch_dir(spark: SparkSession) -> str:
     return configured.rstrip("/") + "/" + spark.sparkContext.applicationId
 
 
+#: Lets Spark delete a query's shuffle files when the query ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the scratch folder and read it back.
 
     The plan computes once, later stages restart from files when executors are lost,
-    and the optimizer sees the true size.
+    and the optimizer sees the true size.  The shuffle files behind the table go at once: nothing
+    refers to them any more.
     """
     spark = df.sparkSession
     path = os.path.join(scratch_dir(spark), uuid.uuid4().hex)
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
     table = spark.read.schema(df.schema).parquet(path)
     table._scratch_path = path
     return table

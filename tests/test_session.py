@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from driftline import session
 
@@ -41,6 +42,14 @@ def test_cut_lineage_writes_once_and_can_be_released(spark, tmp_path, monkeypatc
     assert session.release_scratch(spark) and not os.path.exists(folder)
 
 
+def test_shuffle_files_go_with_the_query(spark):
+    """Only while a table is written: the session's own setting comes back."""
+    assert spark.conf.get(session.SHUFFLE_CLEANUP, None) in (None, "false")
+    before = spark.conf.get(session.SHUFFLE_CLEANUP, None)
+    df = session.cut_lineage(spark.range(1000).repartition("id").groupBy((F.col("id") % 7).alias("k")).count())
+    assert df.count() == 7 and spark.conf.get(session.SHUFFLE_CLEANUP, None) == before
+
+
 def test_a_replaced_table_can_be_dropped(spark, tmp_path, monkeypatch):
     folder = str(tmp_path / "scratch")
     monkeypatch.setattr(session, "scratch_dir", lambda _: folder)
