@@ -231,43 +231,44 @@ def tree_repeats(around: DataFrame, needs: tuple[int, ...]) -> DataFrame:
 
 # --- grams of many classes ------------------------------------------------------------------------
 
-def halving_repeats(around: DataFrame, need: int) -> DataFrame:
-    """(g, c, a, z): repeated bytes of ``need`` and more, for grams of any number of classes.
+def halving_repeats(around: DataFrame, needs: tuple[int, ...]) -> DataFrame:
+    """(need, g, c, a, z): repeated bytes of each length of ``needs`` and more, for grams of any number of classes.
 
     ``around`` holds each class once.  A block [lo, hi] stands for the windows that begin lo to hi bytes
-    before the anchor.
+    before the anchor; all lengths share the rounds.
     """
     sized = around.select("g", "c", "left", "right", F.length("left").alias("nl"), F.length("right").alias("nr"))
-    blocks = sized.select("g", "c", F.lit(0).alias("lo"), F.lit(need - GRAM).alias("hi"))
+    key = ["need", "g", "lo", "hi"]
+    blocks = sized.select("g", "c", F.explode(F.array(*map(F.lit, needs))).alias("need")).select(
+        "need", "g", "c", F.lit(0).alias("lo"), (F.col("need") - GRAM).alias("hi"))
     found = None
     while True:
         fit = (blocks.join(sized, ["g", "c"])
-               .where((F.col("lo") <= F.col("nl")) & (need - F.col("hi") <= F.col("nr"))))
-        whole = (F.col("hi") <= F.col("nl")) & (need - F.col("lo") <= F.col("nr"))
+               .where((F.col("lo") <= F.col("nl")) & (F.col("need") - F.col("hi") <= F.col("nr"))))
+        whole = (F.col("hi") <= F.col("nl")) & (F.col("need") - F.col("lo") <= F.col("nr"))
         keyed = cut_lineage(fit.select(
-            "g", "c", "lo", "hi",
-            F.when(whole, F.xxhash64("g", "lo", "hi", F.expr("substring(left, 1, hi)"),
-                                     F.expr(f"substring(right, 1, {need} - lo)"))).alias("all"),
+            *key, "c", F.when(whole, F.xxhash64("g", "lo", "hi", F.expr("substring(left, 1, hi)"),
+                                                F.expr("substring(right, 1, need - lo)"))).alias("all"),
             F.xxhash64("g", "lo", "hi", F.expr("substring(left, 1, lo)"),
-                       F.expr(f"substring(right, 1, {need} - hi)")).alias("core")))
-        alls = (keyed.where("all is not null").groupBy("g", "lo", "hi", "all")
+                       F.expr("substring(right, 1, need - hi)")).alias("core")))
+        alls = (keyed.where("all is not null").groupBy(*key, "all")
                 .agg(F.count("*").alias("n"), F.min("c").alias("witness")).where("n > 1").drop("n"))
         # Written before the joins, so that Spark may split the rows of a frequent block.
         alls = cut_lineage(alls)
-        cores = cut_lineage(keyed.groupBy("g", "lo", "hi", "core").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
-        state = cut_lineage(keyed.join(cores, ["g", "lo", "hi", "core"]).join(alls, ["g", "lo", "hi", "all"], "left")
-                            .select("g", "c", "lo", "hi", "witness"))
+        cores = cut_lineage(keyed.groupBy(*key, "core").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+        state = cut_lineage(keyed.join(cores, [*key, "core"]).join(alls, [*key, "all"], "left")
+                            .select(*key, "c", "witness"))
         drop_tables(keyed, alls, cores)
         hit = state.where("witness is not null").select(
-            "g", "c", (-F.col("hi")).alias("a"), (need - F.col("lo")).alias("z"))
+            "need", "g", "c", (-F.col("hi")).alias("a"), (F.col("need") - F.col("lo")).alias("z"))
         found = hit if found is None else found.union(hit)
         open_ = state.where("lo < hi and (witness is null or witness = c)")
         if open_.limit(1).count() == 0:
             return found
         mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
-        blocks = open_.select("g", "c", F.explode(F.array(
+        blocks = open_.select("need", "g", "c", F.explode(F.array(
             F.struct(F.col("lo").alias("lo"), mid.alias("hi")),
-            F.struct((mid + 1).alias("lo"), F.col("hi").alias("hi")))).alias("b")).select("g", "c", "b.lo", "b.hi")
+            F.struct((mid + 1).alias("lo"), F.col("hi").alias("hi")))).alias("b")).select("need", "g", "c", "b.lo", "b.hi")
 
 
 # --- rows -----------------------------------------------------------------------------------------
@@ -296,11 +297,9 @@ def repeated_spans(documents: DataFrame, needs: tuple[int, ...] = (LENGTH,), gro
     part = cut_lineage(full.union(tree_repeats(around.where(F.col("kinds") <= group).select("g", "c", "left", "right"), needs)))
     large = around.where(F.col("kinds") > group)
     if large.limit(1).count():
-        large, none = large.dropDuplicates(["g", "c"]), F.lit(None).cast("int")
-        for k, need in enumerate(needs):
-            found = halving_repeats(large, need)
-            part = part.union(found.select("g", "c", *[
-                F.col(n[0]) if n[1:] == str(k) else none.alias(n) for n in names]))
+        found = halving_repeats(large.dropDuplicates(["g", "c"]), needs)
+        part = part.union(found.select("g", "c", *[
+            F.when(F.col("need") == needs[int(n[1:])], F.col(n[0])).alias(n) for n in names]))
     # Each class's repeats contain its anchor: one run, so the join makes a row per occurrence.
     spans = cut_lineage(part.groupBy("g", "c").agg(*[(F.min if n[0] == "a" else F.max)(n).alias(n) for n in names]))
     drop_tables(around, classes, kinds)
