@@ -251,14 +251,18 @@ def halving_repeats(around: DataFrame, needs: tuple[int, ...]) -> DataFrame:
                                                 F.expr("substring(right, 1, need - lo)"))).alias("all"),
             F.xxhash64("g", "lo", "hi", F.expr("substring(left, 1, lo)"),
                        F.expr("substring(right, 1, need - hi)")).alias("core")))
-        alls = (keyed.where("all is not null").groupBy(*key, "all")
-                .agg(F.count("*").alias("n"), F.min("c").alias("witness")).where("n > 1").drop("n"))
-        # Written before the joins, so that Spark may split the rows of a frequent block.
-        alls = cut_lineage(alls)
-        cores = cut_lineage(keyed.groupBy(*key, "core").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+        # Both kinds of key are counted in one job, and written before the joins, so that Spark may split
+        # the rows of a frequent block.
+        kinds = keyed.select(*key, "c", F.explode(F.array(
+            F.struct(F.lit(0).alias("kind"), F.col("all").alias("h")),
+            F.struct(F.lit(1).alias("kind"), F.col("core").alias("h")))).alias("x")).where("x.h is not null")
+        often = cut_lineage(kinds.groupBy(*key, "x.kind", "x.h").agg(
+            F.count("*").alias("n"), F.min("c").alias("witness")).where("n > 1").drop("n"))
+        alls = often.where("kind = 0").select(*key, F.col("h").alias("all"), "witness")
+        cores = often.where("kind = 1").select(*key, F.col("h").alias("core"))
         state = cut_lineage(keyed.join(cores, [*key, "core"]).join(alls, [*key, "all"], "left")
                             .select(*key, "c", "witness"))
-        drop_tables(keyed, alls, cores)
+        drop_tables(keyed, often)
         hit = state.where("witness is not null").select(
             "need", "g", "c", (-F.col("hi")).alias("a"), (F.col("need") - F.col("lo")).alias("z"))
         found = hit if found is None else found.union(hit)
