@@ -9,7 +9,10 @@ and no group is paired off.  The two best candidates of each class are confirmed
 sets.  A second pass over the classes that had candidates looks much further along each order,
 but only at neighbours in other components than the row's own, and confirms all that could link:
 two sets share no shingle that only one class has, and no more of the others than the smaller
-count in each of 256 buckets, which bounds their similarity closely.  A pair at the threshold of 0.8 shares four places in some tree with a chance of 1 - 5e-8.
+count in each of 256 buckets, which bounds their similarity closely.  Both passes name the classes
+that share a prefix with rows they did not meet, for lack of reach or because two tasks share the region.  The
+second pass takes in those of the first, and those of the second meet in an exact join on the
+rarest shingles (``beyond_reach``), so no reach loses a link.  A pair at the threshold of 0.8 shares four places in some tree with a chance of 1 - 5e-8.
 
 Defined cases: null, empty and blank texts have no shingles and are groups of their own; a text with
 fewer words than a shingle is one shingle; repeated rows are one class; a null id never names
@@ -37,6 +40,8 @@ PLACES = TREES * DEPTH
 #: candidate needs, and candidates of each class, then of each two parts, confirmed in the first pass.
 NEIGHBOURS, FAR_NEIGHBOURS, AGREE, BEST = 6, 256, 18, 2
 BITS, BUCKETS = 23, 256
+#: In place of a candidate: the class did not meet all rows of its prefix.  Rows of a shingle that meet in one block.
+UNSEEN, BLOCK = -1, 1024
 
 _MULTIPLIERS = counter(PLACES, 3)
 
@@ -97,6 +102,8 @@ def candidates(classes: DataFrame, reach: int, percent: int) -> DataFrame:
     A row meets up to ``reach`` following rows as long as they share its prefix; rows of
     one label are not paired, nor sets that cannot meet the threshold, given their sizes and their
     ``hist`` (counts, in buckets, of the shingles that others may have; empty for unknown).
+    A class ``a`` that shares a prefix with rows it did not meet has a row with b = UNSEEN: those further
+    off than the reach, and the first and last region of a task, which may go on in another.
     """
     keys = (classes.select("uid", "label", "size", "hist", F.concat("sig", "sig").alias("twice"),
                            F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
@@ -107,7 +114,13 @@ def candidates(classes: DataFrame, reach: int, percent: int) -> DataFrame:
     ordered = keys.repartitionByRange("tree", "key", "uid").sortWithinPartitions("tree", "key", "uid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, lead = None, None
+
+        def unseen(uids: np.ndarray) -> pa.RecordBatch:
+            uids = np.unique(uids)
+            return pa.RecordBatch.from_arrays([pa.array(uids), pa.array(np.full(uids.size, UNSEEN)),
+                                               pa.array(np.zeros(uids.size, np.int32))], ["a", "b", "agree"])
+
         for b in batches:
             if b.num_rows == 0:
                 continue
@@ -116,17 +129,26 @@ def candidates(classes: DataFrame, reach: int, percent: int) -> DataFrame:
             start = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset]
             now = [key[start:start + b.num_rows * KEY].reshape(-1, KEY),
                    *(np.asarray(b.column(k)).astype(np.int64) for k in (0, 2, 3, 4)), _histogram(b.column(5))]
+            if held is None:
+                lead = now[1][0], now[0][0, :DEPTH]
+            if lead is not None:                                     # the region the task starts with
+                same = (now[1] == lead[0]) & (now[0][:, :DEPTH] == lead[1]).all(1)
+                yield unseen(now[2][same])
+                lead = lead if same.all() else None
             old = 0
             if held is not None:                                     # the last rows of the batch before
                 old = held[1].size
                 now = [np.concatenate(p) for p in zip(held, now)]
             key, tree, uid, label, size, hist = now
             lo = np.arange(uid.size)
-            for step in range(1, reach + 1):
+            for step in range(1, reach + 2):
                 lo = lo[lo < uid.size - step]
                 lo = lo[(tree[lo] == tree[lo + step]) & (key[lo, :DEPTH] == key[lo + step, :DEPTH]).all(1)]
                 if lo.size == 0:
                     break
+                if step > reach:
+                    yield unseen(np.concatenate([uid[lo], uid[lo + step]]))
+                    break
                 x = lo[(lo + step >= old) & (label[lo] != label[lo + step])]
                 both = np.minimum(size[x], size[x + step])
                 x = x[100 * both >= percent * (size[x] + size[x + step] - both)]
@@ -141,7 +163,10 @@ def candidates(classes: DataFrame, reach: int, percent: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.minimum(uid[x], uid[x + step])), pa.array(np.maximum(uid[x], uid[x + step])),
                          pa.array(agree.astype(np.int32))], ["a", "b", "agree"])
-            held = [part[-reach:] for part in now]
+            held = [part[-reach - 1:] for part in now]
+        if held is not None:                                         # the region the task ends with
+            same = (held[1] == held[1][-1]) & (held[0][:, :DEPTH] == held[0][-1, :DEPTH]).all(1)
+            yield unseen(held[2][same])
 
     return (ordered.mapInArrow(run, "a long, b long, agree int")
             .groupBy("a", "b").agg(F.sum("agree").alias("agree")))
@@ -200,12 +225,46 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .mapInArrow(run, "a long, b long"))
 
 
-def near_duplicates(rows: DataFrame, width: int, percent: int) -> DataFrame:
+def beyond_reach(classes: DataFrame, sets: DataFrame, near: DataFrame, percent: int) -> DataFrame:
+    """(a, b, agree): all pairs of ``classes`` (uid) between labels of ``near`` that could link; agree bounds what they share.
+
+    Two linked sets share more than ``percent`` % of each, so they share one of the rarest shingles of
+    each, and only shingles that several labels have can be shared.  With c shared, u and v shingles
+    not shareable, c (100 - percent) >= percent (u + v); so of two partners one has few such, and only
+    those classes look for the others.  Frequent shingles are split into blocks of rows.
+    """
+    labels = near.select(F.col("node").alias("uid"), "label")
+    rows = cut_lineage(classes.join(sets.select("uid", "s"), "uid").join(labels, "uid", "left")
+                       .select("uid", F.coalesce("label", "uid").alias("label"), F.size("s").alias("size"), "s"))
+    held = rows.select("uid", "label", "size", F.explode("s").alias("g"))
+    common = (held.groupBy("g").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+              .where("lo < hi").select("g", "n"))
+    shared = (held.join(common, "g").groupBy("uid", "label", "size")
+              .agg(F.sort_array(F.collect_list(F.struct("n", "g"))).alias("s")).withColumn("v", F.size("s")))
+    least = F.ceil(F.col("size") * percent / 100).cast("int")
+    rare = cut_lineage(shared.where(F.col("v") >= least)
+                       .select("uid", "label", "size", "v", F.posexplode(F.slice("s", 1, F.col("v") - least + 1)).alias("at", "t"))
+                       .select("uid", "label", "size", "v", "at", "t.g", "t.n",
+                               (2 * percent * (F.col("size") - F.col("v")) <= (100 - percent) * F.col("v")).alias("few")))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    left = rare.where("few").select(F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "g", F.col("uid").alias("x"),
+                                    F.col("label").alias("lx"), F.col("size").alias("sx"), F.col("v").alias("vx"),
+                                    F.col("at").alias("ax"))
+    right = rare.select(F.pmod(F.xxhash64("uid"), blocks).cast("int").alias("block"), "g", "uid", "label", "size", "v", "at", "few")
+    # shared shingles before and from this one on, in the common order of rarity
+    most = F.least("ax", "at") + F.least(F.col("vx") - F.col("ax"), F.col("v") - F.col("at"))
+    return (left.join(right, ["g", "block"]).where(F.col("lx") != F.col("label")).where(~F.col("few") | (F.col("x") < F.col("uid")))
+            .where((100 + percent) * most >= percent * (F.col("sx") + F.col("size")))
+            .groupBy(F.least("x", "uid").alias("a"), F.greatest("x", "uid").alias("b")).agg(F.min(most).alias("agree")))
+
+
+def near_duplicates(rows: DataFrame, width: int, percent: int, reach: int = FAR_NEIGHBOURS) -> DataFrame:
     """doc_id, h, n_shingles, component_id, kept and label of each row of ``rows`` (doc_id, text).
 
     Rows are linked whose sets of ``width``-word shingles have a Jaccard similarity of
     ``percent`` % or more; a component is named by its smallest id, whose row is kept.  ``h`` hashes the text, ``label`` is
-    one number per component and null without shingles.
+    one number per component and null without shingles.  ``reach`` parts the work between the forest's
+    second pass and the exact join; it does not bear on the rows.
     """
     measured = cut_lineage(measure(rows, width))
     classes = cut_lineage(measured.where("size > 0").groupBy("size", "h1", "h2")
@@ -213,8 +272,9 @@ def near_duplicates(rows: DataFrame, width: int, percent: int) -> DataFrame:
                           .select(F.monotonically_increasing_id().alias("uid"), "size", "h1", "h2",
                                   F.col("m.doc_id").alias("first"), F.col("m.sig").alias("sig")))
     alone = classes.select("uid", F.col("uid").alias("label"), "size", F.lit(b"").alias("hist"), "sig")
-    pairs = cut_lineage(candidates(alone, NEIGHBOURS, percent))
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
+    met = cut_lineage(candidates(alone, NEIGHBOURS, percent))
+    pairs = _met(met)
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("uid")).union(_unseen(met)).distinct()
     wanted = cut_lineage(nodes.join(classes, "uid"))
     sets = cut_lineage(_sets(rows, wanted, width))
 
@@ -233,13 +293,20 @@ def near_duplicates(rows: DataFrame, width: int, percent: int) -> DataFrame:
         rows = rows.withColumn("label", F.coalesce("label", "uid"))
         return cut_lineage(candidates(cut_lineage(rows), reach, percent))
 
-    # Groups may still lie in parts: the best candidates of each two parts come next.
-    mates = _between(across(near, NEIGHBOURS).join(first, ["a", "b"], "left_anti"), near)
     by_parts = W.partitionBy("la", "lb").orderBy(F.desc("agree"), F.xxhash64("a", "b"))
-    some = cut_lineage(mates.withColumn("_r", F.row_number().over(by_parts)).where(F.col("_r") <= BEST))
-    near = _merge(near, confirmed(some, sets, percent).join(some.select("a", "b", "la", "lb"), ["a", "b"]))
-    open_ = across(near, FAR_NEIGHBOURS)
-    labels = _merge(near, _between(confirmed(open_, sets, percent), near))
+
+    def by_best(mates: DataFrame, near: DataFrame) -> DataFrame:
+        """``near`` after the best of the candidates ``mates`` between each two of its parts."""
+        some = cut_lineage(_between(mates, near).withColumn("_r", F.row_number().over(by_parts)).where(F.col("_r") <= BEST))
+        return _merge(near, confirmed(some, sets, percent).join(some.select("a", "b", "la", "lb"), ["a", "b"]))
+
+    # Groups may still lie in parts: the best candidates of each two parts come next.
+    near = by_best(_met(across(near, NEIGHBOURS)).join(first, ["a", "b"], "left_anti"), near)
+    open_ = across(near, reach)
+    near = _merge(near, _between(confirmed(_met(open_), sets, percent), near))
+    rest = cut_lineage(beyond_reach(_unseen(open_), sets, near, percent))
+    near = by_best(rest, near)
+    labels = _merge(near, _between(confirmed(_between(rest, near), sets, percent), near))
     grouped = classes.join(labels, classes["uid"] == labels["node"], "left").select(
         "size", "h1", "h2", "first", F.coalesce("label", "uid").alias("label"))
     grouped = cut_lineage(grouped)
@@ -253,6 +320,14 @@ def near_duplicates(rows: DataFrame, width: int, percent: int) -> DataFrame:
                       F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), "label")
 
 
+def _met(found: DataFrame) -> DataFrame:
+    return found.where(F.col("b") != UNSEEN)
+
+
+def _unseen(found: DataFrame) -> DataFrame:
+    return found.where(F.col("b") == UNSEEN).select(F.col("a").alias("uid"))
+
+
 def _between(pairs: DataFrame, near: DataFrame) -> DataFrame:
     """The ``pairs`` (a, b) whose ends have different labels la < lb in ``near`` (node, label)."""
     a = near.select(F.col("node").alias("a"), F.col("label").alias("la"))

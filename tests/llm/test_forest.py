@@ -30,8 +30,8 @@ def plain(rows, width, percent):
     return sorted(out, key=repr)
 
 
-def found(df, width, percent):
-    out = forest.near_duplicates(df.select("doc_id", "text"), width, percent)
+def found(df, width, percent, **options):
+    out = forest.near_duplicates(df.select("doc_id", "text"), width, percent, **options)
     return sorted(map(tuple, out.select("doc_id", "n_shingles", "component_id", "kept").collect()), key=repr)
 
 
@@ -51,6 +51,37 @@ def test_chain_and_crowd(spark):
     assert found(frame(spark, rows), 2, 80) == plain(rows, 2, 80)
 
 
+@pytest.mark.parametrize("tasks", ["3", "40"])
+def test_crowd_larger_than_the_reach(spark, tasks):
+    """One template, hardly any links, and a reach of one row; regions are cut between many tasks."""
+    base = words(5, 120)
+    rows = [(k, edited(base, 3000 + k, 9 + k % 5)) for k in range(300)]
+    rows += [(1000 + k, edited(rows[k * 7][1], 9000 + k, 3 + k % 9)) for k in range(40)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", tasks)
+    try:
+        assert found(frame(spark, rows), 2, 80, reach=1) == plain(rows, 2, 80)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_join_beyond_the_reach_is_exact(spark):
+    """The exact join alone finds all links between labels, and no group of one label."""
+    base = words(6, 100)
+    rows = [(k, edited(base, 500 + k, k % 14)) for k in range(150)]
+    sets = [sorted({hash(g) for g in zip(t.split(), t.split()[1:])}) for _, t in rows]
+    data = spark.createDataFrame([(k, s) for k, s in enumerate(sets)], "uid long, s array<long>")
+    near = spark.createDataFrame([(k, k % 3) for k in range(0, 150, 2)], "node long, label long")
+    label = {k: k % 3 for k in range(0, 150, 2)}
+    want = {(a, b) for b in range(150) for a in range(b) if label.get(a, a) != label.get(b, b)
+            and 100 * len(set(sets[a]) & set(sets[b])) >= 80 * len(set(sets[a]) | set(sets[b]))}
+    got = forest.beyond_reach(data.select("uid"), data, near, 80)
+    exact = forest.confirmed(got, data, 80)
+    assert want == {(r.a, r.b) for r in exact.collect()}
+    one = near.select("node").union(data.select("uid")).distinct().selectExpr("node", "1L AS label")
+    assert forest.beyond_reach(data.select("uid"), data, one, 80).count() == 0
+
+
 def test_empty_table(no_docs):
     assert found(no_docs, 2, 80) == []
 
