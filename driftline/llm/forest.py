@@ -253,9 +253,13 @@ def beyond_reach(classes: DataFrame, sets: DataFrame, near: DataFrame, percent:
     right = rare.select(F.pmod(F.xxhash64("uid"), blocks).cast("int").alias("block"), "g", "uid", "label", "size", "v", "at", "few")
     # shared shingles before and from this one on, in the common order of rarity
     most = F.least("ax", "at") + F.least(F.col("vx") - F.col("ax"), F.col("v") - F.col("at"))
+    # All but the rare shingles of a set are fewer than it must share, so the rest is to be found among the rare.
+    rest = F.ceil(F.greatest("sx", "size") * percent / 100).cast("int") - 1
     return (left.join(right, ["g", "block"]).where(F.col("lx") != F.col("label")).where(~F.col("few") | (F.col("x") < F.col("uid")))
             .where((100 + percent) * most >= percent * (F.col("sx") + F.col("size")))
-            .groupBy(F.least("x", "uid").alias("a"), F.greatest("x", "uid").alias("b")).agg(F.min(most).alias("agree")))
+            .groupBy(F.least("x", "uid").alias("a"), F.greatest("x", "uid").alias("b"), (F.col("sx") + F.col("size")).alias("both"))
+            .agg(F.least(F.min(most), F.count("*") + F.max(rest)).alias("agree"))
+            .where((100 + percent) * F.col("agree") >= percent * F.col("both")).select("a", "b", F.col("agree").cast("int").alias("agree")))
 
 
 def near_duplicates(rows: DataFrame, width: int, percent: int, reach: int = FAR_NEIGHBOURS) -> DataFrame:
