@@ -141,6 +141,33 @@ def src_records(spark, sf_dir):
         F.count("NwP").alias("n_known"), F.max("publication_year").alias("last_year"))
 
 
+@query("src_blanks", over_records(f"""SELECT 'kept' AS reader, CASE blanks_used WHEN 'no' THEN '' ELSE blanks_used
+    END AS blanks_used, {COUNT} FROM raw GROUP BY ALL UNION ALL SELECT 'null', nullif(blanks_used, 'no') AS blanks_used,
+    {COUNT} FROM raw GROUP BY ALL"""))
+def src_blanks(spark, sf_dir):
+    """One CSV with blanks and NA, read with both missing-value conventions."""
+    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+    raw = starschema.raw_records(spark, sf_dir, ["blanks_used", "family"])
+    blank = F.when(F.col("blanks_used") == "no", "").otherwise(F.col("blanks_used")).alias("blanks_used")
+    tables.write_table(raw.select(blank, "family"), path)
+    kept, null = (tables.read_table(spark, path, raw.schema, blank_is_null=b).groupBy("blanks_used").agg(n_rows())
+                  for b in (False, True))
+    return (kept.withColumn("reader", F.lit("kept")).unionByName(null.withColumn("reader", F.lit("null")))
+            .select("reader", "blanks_used", "n_rows"))
+
+
+@query("src_lookup", over_records(f"""SELECT nullif(ProvCode, '') AS ProvCode, ProvDescr, CAST(adjacency AS INT) AS adjacency,
+    {r("mean_poll_abund", "mean_poll_abund")}, CASE WHEN mean_poll_abund > 1000 THEN '>1000' END AS plasticbin
+    FROM poll"""))
+def src_lookup(spark, sf_dir):
+    """The province lookup out to CSV with row names in an unnamed first column, and back; its blanks are nulls."""
+    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+    lookup = starschema.province_lookup(spark, sf_dir).withColumn("plasticbin", F.when(F.col("mean_poll_abund") > 1000, ">1000"))
+    named = lookup.select(F.monotonically_increasing_id().alias("row"), *lookup.columns)
+    tables.write_table(named.toDF("", *lookup.columns), path)
+    return tables.read_lookup(spark, path)
+
+
 @query("clean_names", over_records(f"""SELECT method_type, CAST(sum(NwP) AS BIGINT) AS nw_p,
     CAST(sum(N) AS BIGINT) AS n, {r("avg(prop_w_plastic)", "prop_w_plastic")},
     {COUNT} FROM raw GROUP BY ALL"""))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from driftline.functions import binning, recode, rsem, text
@@ -9,6 +11,7 @@ from driftline.operators import cohort, summarise, zonal
 from driftline.plans.prep import QUALITY_INPUTS
 from driftline.plans.registry import (FO, SUM_N, n_distinct_sql, over_records, query, r, records)
 from driftline.plans.summaries import full
+from driftline.session import scratch_dir
 from driftline.sources import grid, starschema
 
 PROV_INPUTS = ("ProvCode", "NwP", "N", "binomial")
@@ -169,6 +172,23 @@ def grid_long(spark, sf_dir):
     return starschema.grid_cells(spark, sf_dir)
 
 
+@query("grid_csv", over_grid(f"""SELECT row, CAST((col + 32) % 64 AS INT) AS col,
+    {r("-180 + ((col + 32) % 64 + 0.5::DOUBLE) * 354.375::DOUBLE / 64", "lon")},
+    {r("(90 - 90 / n) - (row + 0.5::DOUBLE) * ((180 - 180 / n) / n)", "lat")}, {r("value", "value")}
+    FROM cells, (SELECT count(*)::DOUBLE AS n FROM embeddings)"""))
+def grid_csv(spark, sf_dir):
+    """The grid out to CSV with one file per axis, longitudes from 0 to 360 in a header, and back."""
+    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+    cells, extent = starschema.grid_cells(spark, sf_dir), starschema.grid_extent(spark, sf_dir)
+    wide = cells.groupBy("row").pivot("col", list(range(extent.ncol))).agg(F.first("value"))
+    values, lats, lons = (f"{path}/{part}" for part in ("values", "lats", "lons"))
+    (wide.orderBy("row").select(*[F.col(f"`{c}`").alias(f"X{c}") for c in range(extent.ncol)])
+     .write.option("header", True).option("nullValue", "NA").csv(values))
+    wide.select(extent.lat(F.col("row"))).write.csv(lats)
+    spark.range(1).select(*[F.lit(f"X{c * extent.dx}").alias(f"c{c}") for c in range(extent.ncol)]).write.csv(lons)
+    return grid.read_grid(spark, values, lats, lons)[0]
+
+
 @query("lon_wrap", over_records("""SELECT CASE WHEN lon > 179 THEN lon - 360 ELSE lon END AS lon,
     count(*) AS n_rows FROM (SELECT l_partkey % 720 / 2.0::DOUBLE AS lon FROM raw) GROUP BY ALL"""))
 def lon_wrap(spark, sf_dir):
