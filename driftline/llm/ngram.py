@@ -6,10 +6,11 @@ lacking an arc for the next word follows its failure arc, which multiplies by th
 makes the state's probabilities sum to one, to the state of the shorter history; the state without
 history gives every word, seen or not, its add-one probability.
 
-Along a text the log-probabilities of such a walk are a sum over its n-grams: a word adds its floor and
-its failure weight, a bigram what its arc has over floor and failure plus the failure weight of the state it
-leads to, a trigram what its arc has over that weight and the bigram's arc.  So scoring is one equality
-join between n-grams and arcs.  Discounts and weights come from grouped joins.
+Training counts the n-grams and finds the failure weights by grouped joins.  An arc is stored as the count of its
+n-gram with the failure weight of the state it leads to; its probability is that count, discounted, over the
+count of the history, which the walk has just passed.  Scoring cuts the texts into chunks.  Each chunk asks for
+the arcs of its distinct n-grams in one equality join, and then walks its texts from left to right: the state is
+carried from token to token, failure arcs are followed where an arc is lacking, log-probabilities add up.
 
 N-grams travel as packed arrays, each to the part its 64-bit hash names; the number of parts grows with
 the corpus.  Tasks sum equal n-grams first, and look up those of at least 1/2^20 of all tokens in a small
@@ -18,7 +19,8 @@ the join decides.
 
 Defined cases: a null text is empty and has the end token alone; a null id is taught, not held out;
 repeated rows each count and are each scored; without training rows every token has
-probability 1.
+probability 1; an empty table gives no rows; a very long text is one chunk, walked block by block; nothing
+depends on the order of rows, so ties need no rule; only doc_id and text are read, other columns may have any name.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +42,8 @@ LEAST, DISCOUNT = 2, 0.75
 HOT_SHARE, HOT_JOIN = 2 ** 20, 2 ** 16
 #: Tokens of a part, bits of the bitmap, n-grams of a packed row.
 PART, MARK_BITS, PACK = 2 ** 21, 27, 512
+#: Bytes of text in a chunk (one text at least), tokens that a walk turns into Python values at once.
+CHUNK, BLOCK = 1 << 21, 1 << 16
 #: Distinct keys a counting task holds before it emits them.
 FLUSH = 1 << 20
 END = mix(np.array([0xE2D], np.uint64))[0]
@@ -47,24 +52,27 @@ _PIECE = 1 << 16
 
 @dataclass
 class Model:
-    """Sums over the training texts and the terms that n-grams add to a score."""
+    """Sums over the training texts and the arcs of the automaton."""
     tokens: int
     kinds: int
     parts: int              # log2 of the number of parts
-    terms: DataFrame        # p, keys, base, more: packed terms by part, those of hot n-grams with p < 0
+    arcs: DataFrame         # p, keys, n, fail: packed arcs by part, those of hot n-grams with p < 0
 
 
-def token_stream(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """First row, end row, word hashes with an end token after each text, and row offsets."""
-    for lo, hi, data, offs in byte_chunks(column):
-        hashes, at = word_hashes(data, offs)
-        n = hi - lo
-        ends = at[1:] + np.arange(n)
-        out = np.empty(hashes.size + n, np.uint64)
-        word = np.ones(out.size, bool)
-        word[ends] = False
-        out[word], out[ends] = hashes, END
-        yield lo, hi, out.view(np.int64), np.concatenate([[0], ends + 1])
+def _tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of some texts with an end token after each, and the texts' offsets."""
+    hashes, at = word_hashes(data, offs)
+    ends = at[1:] + np.arange(offs.size - 1)
+    out = np.empty(hashes.size + ends.size, np.uint64)
+    word = np.ones(out.size, bool)
+    word[ends] = False
+    out[word], out[ends] = hashes, END
+    return out, np.concatenate([[0], ends + 1])
+
+
+def token_stream(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Tokens and offsets of runs of texts."""
+    return (_tokens(data, offs) for _, _, data, offs in byte_chunks(column))
 
 
 def _counted(batches: Iterator[pa.RecordBatch], keys, name: str) -> Iterator[pa.RecordBatch]:
@@ -101,7 +109,7 @@ def _counted(batches: Iterator[pa.RecordBatch], keys, name: str) -> Iterator[pa.
 def count_words(texts: DataFrame) -> DataFrame:
     """(w, n): count of each word hash over all rows of ``texts``, end tokens included."""
     def run(batches):
-        return _counted(batches, lambda c: (t for _, _, t, _ in token_stream(c)), "w")
+        return _counted(batches, lambda c: (t.view(np.int64) for t, _ in token_stream(c)), "w")
     return texts.select("text").mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
 
@@ -181,8 +189,7 @@ def count_arcs(texts: DataFrame, order: int, parts: int, marks: np.ndarray | Non
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for _, _, tokens, offs in token_stream(batch.column(0)):
-                tokens = tokens.view(np.uint64)
+            for tokens, offs in token_stream(batch.column(0)):
                 before, two, third, _ = _grams(tokens, offs)
                 a, b = before, tokens
                 if order == 3:
@@ -265,161 +272,175 @@ def train(texts: DataFrame) -> Model:
     sums = seen.groupBy("a").agg(F.sum(kept).alias("s"), F.sum("floor").alias("f"))
     words = cut_lineage(counts.join(sums, counts["w"] == sums["a"], "left").select(
         "w", "n", F.coalesce(_failure(F.col("s") / F.col("n"), F.col("f")), F.lit(0.0)).alias("fail")))
-    histories = words.select(F.col("w").alias("a"), F.col("n").alias("m"), "fail")
-    two = cut_lineage(_lookup(seen, "a", histories, hot).withColumn("p2", kept / F.col("m")).select(
-        "k", "n", "p2", (F.log10("p2") - F.col("fail") - F.log10("floor")).alias("more")))
+    two = cut_lineage(_lookup(seen, "a", counts.select(F.col("w").alias("a"), F.col("n").alias("m")), hot)
+                      .select("k", "n", (kept / F.col("m")).alias("p2")))
     drop_tables(seen, counts)
 
-    three = _lookup(trigrams, "a", two.select(F.col("k").alias("a"), F.col("n").alias("m")), hot).select("k", "a", "b", "n", F.col("m").alias("c2"))
-    three = met = cut_lineage(_lookup(three, "b", two.select(F.col("k").alias("b"), F.col("n").alias("m"), "p2"), hot)
-                              .select("k", "a", "n", "c2", "p2"))
-    drop_tables(trigrams)
-    states = cut_lineage(three.groupBy("a").agg(F.max("c2").alias("m"), F.sum(kept / F.col("c2")).alias("s"), F.sum("p2").alias("f"))
-                         .select("a", "m", _failure(F.col("s"), F.col("f")).alias("fail")))
-    three = _lookup(three, "a", states, hot).select(
-        "k", "n", F.lit(0.0).alias("base"), (F.log10(kept / F.col("c2")) - F.col("fail") - F.log10("p2")).alias("more"))
-    kept_two = two
-    two = two.join(states.select(F.col("a").alias("k"), "fail"), "k", "left").select(
-        "k", "n", F.lit(0.0).alias("base"), (F.col("more") + F.coalesce("fail", F.lit(0.0))).alias("more"))
-    one = words.select(F.col("w").alias("k"), "n", F.log10(F.col("n") + 1.0).alias("base"), F.col("fail").alias("more"))
-    terms = one.union(two).union(three).select(
-        F.shiftrightunsigned("k", 64 - parts).cast("int").alias("p"), "k", "base", "more", (F.col("n") * HOT_SHARE >= n).alias("hot"))
+    three = _lookup(trigrams.select("a", "b", "n"), "a", two.select(F.col("k").alias("a"), F.col("n").alias("m")), hot)
+    three = _lookup(three.withColumnRenamed("m", "c2"), "b", two.select(F.col("k").alias("b"), F.col("n").alias("m"), "p2"), hot)
+    states = cut_lineage(three.groupBy("a").agg(F.sum(kept / F.col("c2")).alias("s"), F.sum("p2").alias("f"))
+                         .select(F.col("a").alias("k"), _failure(F.col("s"), F.col("f")).alias("fail")))
+    arcs = (words.withColumnRenamed("w", "k")
+            .union(two.join(states, "k", "left").select("k", "n", F.coalesce("fail", F.lit(0.0))))
+            .union(trigrams.select("k", "n", F.lit(0.0))))
+    arcs = arcs.select(F.when(F.col("n") * HOT_SHARE >= n, -2).otherwise(F.shiftrightunsigned("k", 64 - parts)).cast("int").alias("p"),
+                       "k", "n", "fail")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p, k, base, more, hot = (x.to_numpy(zero_copy_only=False) for x in b.columns)
-            p = np.where(hot, -2, p).astype(np.int32)
-            order = np.lexsort((k, p))
-            bounds = _stretches(p[order])
-            yield pa.RecordBatch.from_arrays([pa.array(p[order][bounds[:-1]]), *(_packed(x[order], bounds) for x in (k, base, more))],
-                                             ["p", "keys", "base", "more"])
+            p, k, n, fail = (x.to_numpy() for x in b.columns)
+            bounds = _stretches(p)
+            yield pa.RecordBatch.from_arrays([pa.array(p[bounds[:-1]]), *(_packed(x, bounds) for x in (k, n, fail))],
+                                             ["p", "keys", "n", "fail"])
 
-    terms = cut_lineage(terms.repartition("p").sortWithinPartitions("p").mapInArrow(pack, "p int, keys binary, base binary, more binary"))
-    drop_tables(met, states, kept_two, words)
-    return Model(n, kinds, parts, terms)
+    # hot n-grams are dealt by their key: they are one part of the table, not one task
+    arcs = cut_lineage(arcs.repartition("p", F.when(F.col("p") < 0, F.col("k") % 64)).sortWithinPartitions("p")
+                       .mapInArrow(pack, "p int, keys binary, n binary, fail binary"))
+    drop_tables(trigrams, states, two, words)
+    return Model(n, kinds, parts, arcs)
 
 
-def _hot_terms(terms: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    rows = terms.where("p < 0").select("keys", "base", "more").toArrow().combine_chunks()        # at most 3 x 2^20 n-grams
-    keys, base, more = (_joined(rows[c], t) for c, t in (("keys", np.uint64), ("base", float), ("more", float)))
+def _hot_arcs(arcs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rows = arcs.where("p < 0").select("keys", "n", "fail").toArrow().combine_chunks()        # at most 3 x 2^20 n-grams
+    keys, n, fail = (_joined(rows[c], t) for c, t in (("keys", np.uint64), ("n", np.int64), ("fail", float)))
     order = np.argsort(keys)
-    return keys[order], base[order], more[order]
+    return keys[order], n[order], fail[order]
+
+
+def walk(start: float, floor: np.ndarray, two: np.ndarray, three: np.ndarray, low: np.ndarray, high: np.ndarray) -> float:
+    """Log-probability of one text, token by token from the state of the end token.
+
+    For each token: what it has without history, the arcs from the states of one and of two words (0 where there is
+    none), and the failure weights of the states that it and its bigram name.
+    """
+    total, short, long = 0.0, start, None                              # failure weights of the state and of its suffix
+    for lo in range(0, floor.size, BLOCK):
+        for word, arc2, arc3, next_short, next_long in zip(*(x[lo:lo + BLOCK].tolist() for x in (floor, two, three, low, high))):
+            if long is not None and arc3:
+                total += arc3
+            else:
+                if long is not None:
+                    total += long                                      # to the state of one word
+                total += arc2 if arc2 else short + word                # or on to the state without history
+            short, long = next_short, next_long if arc2 else None
+    return total
 
 
 def score(rows: DataFrame, m: Model) -> DataFrame:
     """``rows`` (doc_id, held_out, text) with n_tokens, n_known, train_tokens, base_score, score."""
     context = rows.sparkSession.sparkContext
-    rest = m.terms.where("p >= 0")
-    hot, marks = context.broadcast(_hot_terms(m.terms)), context.broadcast(marked(rest.select("keys"), True))
-    size = float(np.log10(m.tokens + m.kinds + 1))
-    parts = m.parts
-    fields = ["ids", "nulls", "held", "tokens", "known", "base", "more"]
-    kinds = [np.int64, np.uint8, np.uint8, np.int64, np.int64, np.float64, np.float64]
-    schema = "p int, chunk long, x binary, y binary, " + ", ".join(f"{f} binary" for f in fields)
-    names = [f.split()[0] for f in schema.split(", ")]
+    rest = m.arcs.where("p >= 0")
+    hot, marks = context.broadcast(_hot_arcs(m.arcs)), context.broadcast(marked(rest.select("keys"), True))
+    size, parts = float(np.log10(m.tokens + m.kinds + 1)), m.parts
+    fields = ["ids", "nulls", "held", "data", "offs"]
+    names = ["p", "chunk", "seq", "keys", *fields]
+
+    def grams(tokens: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Distinct n-grams, the place of each token's n-grams among them, and where trigrams end."""
+        _, two, third, three = _grams(tokens, offs)
+        u, at = np.unique(np.concatenate([tokens, two, three]), return_inverse=True)
+        place = _find(hot.value[0], u)
+        return u, at, third, place, (place < 0) & _flagged(marks.value, u)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Chunks of texts with what hot n-grams add (p -1), and their other n-grams by part."""
+        """Chunks of texts (p -1), and the n-grams whose arcs each asks for, in ascending order, by part."""
         from pyspark import TaskContext
-        (often, base, more), chunk = hot.value, TaskContext.get().partitionId() << 40
+        chunk = TaskContext.get().partitionId() << 40
         for b in batches:
-            for lo, hi, tokens, offs in token_stream(b.column(2)):
-                n, tokens = hi - lo, tokens.view(np.uint64)
-                _, two, third, three = _grams(tokens, offs)
-                doc = np.repeat(np.arange(n), np.diff(offs))
-                sums = [np.zeros(n), np.zeros(n), np.zeros(n)]
-                keys, docs = [], []
-                for k, d in ((tokens, doc), (two, doc), (three, doc[third])):
-                    at = _find(often, k)
-                    hit = at >= 0
-                    for s, x in zip(sums, ((base[at[hit]] > 0).astype(float), base[at[hit]], more[at[hit]])):
-                        s += np.bincount(d[hit], x, n)
-                    other = ~hit & _flagged(marks.value, k)
-                    keys.append(k[other])
-                    docs.append(d[other])
-                ids = b.column(0).slice(lo, n)
-                held = np.asarray(b.column(1).slice(lo, n).to_numpy(zero_copy_only=False)).astype(np.uint8)
-                whole = [ids.fill_null(0).to_numpy(), np.asarray(ids.is_null().to_numpy(zero_copy_only=False)).astype(np.uint8), held,
-                         np.diff(offs), sums[0], sums[1] - size * np.diff(offs), sums[2]]
+            for lo, hi, data, offs in byte_chunks(b.column(2), CHUNK):
+                ids, held = b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo)
+                whole = [ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8),
+                         held.to_numpy(zero_copy_only=False).astype(np.uint8), data, offs]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([-1], pa.int32()), pa.array([chunk]), *[pa.array([b""])] * 2,
-                     *(pa.array([x.astype(t).tobytes()]) for x, t in zip(whole, kinds))], names)
-                keys, docs = np.concatenate(keys), np.concatenate(docs).astype(np.uint32)
-                p = (keys >> np.uint64(64 - parts)).astype(np.int32)
-                order = np.argsort(p, kind="stable")
-                bounds = _stretches(p[order])
+                    [pa.array([-1], pa.int32()), pa.array([chunk]), pa.array([-1], pa.int32()), pa.array([b""]),
+                     *(pa.array([x.tobytes()]) for x in whole)], names)
+                u, *_, wanted = grams(*_tokens(data, offs))
+                keys = u[wanted]
+                bounds = _stretches((keys >> np.uint64(64 - parts)).astype(np.int32))
+                k = bounds.size - 1
                 if keys.size:
-                    none = pa.nulls(bounds.size - 1, pa.binary())
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(p[order][bounds[:-1]]), pa.array(np.full(bounds.size - 1, chunk)),
-                         _packed(keys[order], bounds), _packed(docs[order], bounds), *[none] * len(fields)], names)
+                        [pa.array((keys[bounds[:-1]] >> np.uint64(64 - parts)).astype(np.int32)), pa.array(np.full(k, chunk)),
+                         pa.array(np.arange(k, dtype=np.int32)), _packed(keys, bounds), *[pa.nulls(k, pa.binary())] * len(fields)], names)
                 chunk += 1
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """What the other n-grams add to the texts of each chunk."""
+        """Counts (0: no arc) and failure weights of the n-grams asked for, in their order."""
         part, held, own = None, [], None
         for p, b in _parts_of(batches):
             if p != part:
                 part, held, own = p, [], None
-            kind = np.asarray(b.column(1))
-            split = int(np.searchsorted(kind, 1))
+            split = int(np.searchsorted(np.asarray(b.column(1)), 0))       # arcs come first
             if split:
                 t = b.slice(0, split)
-                held.append([_joined(t.column(c), k) for c, k in ((3, np.uint64), (4, float), (5, float))])
+                held.append([_joined(t.column(c), k) for c, k in ((3, np.uint64), (4, np.int64), (5, float))])
             b = b.slice(split)
-            if b.num_rows == 0 or not held:
+            if b.num_rows == 0:
                 continue
             if own is None:
-                own = [np.concatenate(x) for x in zip(*held)]
+                own = [np.concatenate(x) for x in zip(*held)] or [np.zeros(0, t) for t in (np.uint64, np.int64, float)]
                 order = np.argsort(own[0])
-                own = [x[order] for x in own]
-            rows = [[], [], [], []]
-            for chunk, x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()):
-                at = _find(own[0], np.frombuffer(x, np.uint64))
-                docs, inverse = np.unique(np.frombuffer(y, np.uint32)[at >= 0], return_inverse=True)
-                at = at[at >= 0]
-                if at.size:
-                    sums = [np.bincount(inverse, v) for v in ((own[1][at] > 0).astype(float), own[1][at], own[2][at])]
-                    for out, v in zip(rows, (chunk, docs.tobytes(), np.concatenate(sums).tobytes())):
-                        out.append(v)
-            if rows[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())],
-                                                 ["chunk", "x", "y"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out():
-            ids, nulls, held, tokens, known, base, more = whole
-            return pa.RecordBatch.from_arrays(
-                [pa.array(ids, mask=nulls.astype(bool)), pa.array(held.astype(bool)), pa.array(tokens), pa.array(known),
-                 pa.array(base), pa.array(base + more)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
-        whole = now = None
+                own = [np.append(x[order], x.dtype.type(0)) for x in own]    # the last one stands for none
+            sizes = pc.binary_length(b.column(3)).to_numpy() >> 3
+            at = _find(own[0][:-1], _joined(b.column(3), np.uint64))
+            bounds = np.append(0, np.cumsum(sizes))
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), _packed(own[1][at], bounds), _packed(own[2][at], bounds)],
+                                             ["chunk", "seq", "n", "fail"])
+
+    def scored(whole: list[np.ndarray], answers: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        ids, nulls, held, data, offs = whole
+        tokens, offs = _tokens(data, offs)
+        u, at, third, place, wanted = grams(tokens, offs)
+        n, fail = (np.where(place >= 0, x[place], x.dtype.type(0)) if x.size else np.zeros(u.size, x.dtype) for x in hot.value[1:])
+        n[wanted] = np.frombuffer(b"".join(x for x, _ in answers), np.int64)
+        fail[wanted] = np.frombuffer(b"".join(x for _, x in answers), float)
+        t, begin = tokens.size, offs[:-1]
+        one, two, low, high = n[at[:t]], n[at[t:2 * t]], fail[at[:t]], fail[at[t:2 * t]]
+        three = np.zeros(t, np.int64)
+        three[third] = n[at[2 * t:]]
+        end = offs[1] - 1                                              # the end token's own place
+        floor = np.log10(one + 1.0) - size
+
+        def arc(count, history):
+            out, x = np.zeros(t), np.flatnonzero(count)
+            out[x] = np.log10(count[x] - DISCOUNT) - np.log10(history[x])
+            return out
+        before = np.append(one[end], one[:-1])
+        before[begin] = one[end]
+        arcs = floor, arc(two, before), arc(three, np.append(0, two[:-1])), low, high
+        total = [walk(low[end], *(x[lo:hi] for x in arcs)) for lo, hi in zip(begin, offs[1:])]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ids, mask=nulls.astype(bool)), pa.array(held.astype(bool)), pa.array(np.diff(offs)),
+             pa.array(np.add.reduceat((one > 0).astype(np.int64), begin)), pa.array(np.add.reduceat(floor, begin)), pa.array(total, pa.float64())],
+            ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Walks of the texts of each chunk, once the answers that follow them are there."""
+        kinds = [np.int64, np.uint8, np.uint8, np.uint8, np.int64]
+        now, whole, answers = None, None, []
         for chunk, b in _parts_of(batches):
             if chunk != now:
                 if whole is not None:
-                    yield out()
-                now, whole = chunk, None
-            for i in range(b.num_rows):
-                if whole is None:                                      # the texts come first
-                    whole = [np.frombuffer(b.column(4 + k)[i].as_py(), t).copy() for k, t in enumerate(kinds)]
-                    continue
-                docs = np.frombuffer(b.column(2)[i].as_py(), np.uint32)
-                known, base, more = np.frombuffer(b.column(3)[i].as_py(), float).reshape(3, -1)
-                whole[4][docs] += known.astype(np.int64)
-                whole[5][docs] += base
-                whole[6][docs] += more
+                    yield scored(whole, answers)
+                now, whole, answers = chunk, [np.frombuffer(b.column(4 + k)[0].as_py(), t) for k, t in enumerate(kinds)], []
+                b = b.slice(1)                                         # the texts come first
+            answers += zip(b.column(2).to_pylist(), b.column(3).to_pylist())
         if whole is not None:
-            yield out()
-
-    done = cut_lineage(rows.select(F.col("doc_id").cast("long"), "held_out", "text").mapInArrow(read, schema))
-    sides = (rest.select("p", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("chunk"), F.col("keys").alias("x"), F.col("base").alias("y"), F.col("more").alias("z"))
-             .union(done.where("p >= 0").select("p", F.lit(1), "chunk", "x", "y", F.lit(None).cast("binary"))))
-    found = sides.repartition("p").sortWithinPartitions("p", "kind").mapInArrow(meet, "chunk long, x binary, y binary")
-    none = [F.lit(None).cast("binary").alias(f) for f in fields]
-    whole = (done.where("p < 0").select("chunk", F.lit(0).alias("kind"), "x", "y", *fields)
-             .union(found.select("chunk", F.lit(1), "x", "y", *none)))
-    out = cut_lineage(whole.repartition("chunk").sortWithinPartitions("chunk", "kind")
-                      .mapInArrow(add, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"))
-    drop_tables(done)
+            yield scored(whole, answers)
+
+    binary = ", ".join(f"{f} binary" for f in fields)
+    chunks = cut_lineage(rows.select(F.col("doc_id").cast("long"), "held_out", "text")
+                         .mapInArrow(read, f"p int, chunk long, seq int, keys binary, {binary}"))
+    none = F.lit(None).cast("binary")
+    sides = (rest.select("p", F.lit(-1).cast("long").alias("chunk"), F.lit(-1).alias("seq"), "keys", "n", "fail")
+             .union(chunks.where("p >= 0").select("p", "chunk", "seq", "keys", none, none)))
+    answers = cut_lineage(sides.repartition("p").sortWithinPartitions("p", "chunk")
+                          .mapInArrow(meet, "chunk long, seq int, n binary, fail binary"))
+    whole = (chunks.where("p < 0").select("chunk", "seq", none.alias("n"), none.alias("fail"), *fields)
+             .union(answers.select("*", *[none] * len(fields))))
+    out = cut_lineage(whole.repartition("chunk").sortWithinPartitions("chunk", "seq").mapInArrow(
+        traverse, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"))
+    drop_tables(chunks, answers)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(m.tokens).cast("long").alias("train_tokens"),
                       "base_score", "score")
 
@@ -428,7 +449,10 @@ def op2_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model and add-one scores of every document, learned from those not held out."""
     rows = table(spark, sf_dir, "documents").select(
         "doc_id", held_out(F.col("doc_id"), 7, 2).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    return score(rows, train(rows.where(~F.col("held_out"))))
+    model = train(rows.where(~F.col("held_out")))
+    out = score(rows, model)
+    drop_tables(model.arcs)
+    return out
 
 
 QUERIES = {"op2_ngram": op2_ngram}

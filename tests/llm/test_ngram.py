@@ -98,3 +98,34 @@ def test_rare_arcs_stay_in_a_large_corpus(spark, monkeypatch):
     for i in expected:
         np.testing.assert_allclose(got[i], expected[i], rtol=0, atol=1e-6)
     assert got[taught[0]][1] > got[taught[0]][0] + 10
+
+
+def test_walk_carries_its_state_from_block_to_block(monkeypatch):
+    rng = np.random.default_rng(3)
+    floor, low, high = -rng.random((3, 400)) - 0.1
+    two = np.where(rng.random(400) < 0.6, -rng.random(400), 0)
+    three = np.where((rng.random(400) < 0.5) & (two < 0) & (np.append(0, two[:-1]) < 0), -rng.random(400), 0)
+    whole = ngram.walk(-0.5, floor, two, three, low, high)
+    total = 0.0
+    for i in range(400):
+        after_pair = i > 0 and two[i - 1] < 0
+        back = low[i - 1] if i else -0.5
+        total += three[i] or (high[i - 1] if after_pair else 0) + (two[i] or back + floor[i])
+    assert abs(whole - total) < 1e-9
+    monkeypatch.setattr(ngram, "BLOCK", 7)
+    assert ngram.walk(-0.5, floor, two, three, low, high) == whole
+
+
+def test_clashing_columns_and_a_very_long_text(spark, docs, clashing):
+    key = lambda r: (repr(r.doc_id), r.n_tokens, round(r.base_score, 6), round(r.score, 6))
+    assert sorted(map(key, scored_rows(clashing))) == sorted(map(key, scored_rows(docs)))
+    rows = [(0, "a bc def " * 120_000), (1, "a bc"), (2, "def a")]        # a megabyte, over several blocks
+    got = {r.doc_id: r for r in scored_rows(frame(spark, rows))}
+    expected = {r[0]: r for r in plain(rows)[0]}
+    assert got[0].n_tokens == 360_001
+    for i in got:
+        np.testing.assert_allclose([got[i].base_score, got[i].score], expected[i][5:7], rtol=1e-9)
+
+
+def scored_rows(df):
+    return scored(df)[1]
