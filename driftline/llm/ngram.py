@@ -27,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,9 @@ HOT_SHARE, HOT_JOIN = 2 ** 20, 2 ** 16
 #: Tokens of a part, bits of the bitmap, n-grams of a packed row.
 PART, MARK_BITS, PACK = 2 ** 21, 27, 512
 #: Bytes of text in a chunk (one text at least), tokens that a walk turns into Python values at once.
-CHUNK, BLOCK = 1 << 21, 1 << 16
+CHUNK, BLOCK = 1 << 22, 1 << 16
+#: Texts are scored in so many slices, one after the other, which bounds what lies on disk.
+SLICES = 3
 #: Distinct keys a counting task holds before it emits them.
 FLUSH = 1 << 20
 END = mix(np.array([0xE2D], np.uint64))[0]
@@ -384,7 +387,7 @@ def score(rows: DataFrame, m: Model) -> DataFrame:
             sizes = pc.binary_length(b.column(3)).to_numpy() >> 3
             at = _find(own[0][:-1], _joined(b.column(3), np.uint64))
             bounds = np.append(0, np.cumsum(sizes))
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), _packed(own[1][at], bounds), _packed(own[2][at], bounds)],
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), _packed(own[1][at].astype(np.int32), bounds), _packed(own[2][at], bounds)],
                                              ["chunk", "seq", "n", "fail"])
 
     def scored(whole: list[np.ndarray], answers: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
@@ -392,7 +395,7 @@ def score(rows: DataFrame, m: Model) -> DataFrame:
         tokens, offs = _tokens(data, offs)
         u, at, third, place, wanted = grams(tokens, offs)
         n, fail = (np.where(place >= 0, x[place], x.dtype.type(0)) if x.size else np.zeros(u.size, x.dtype) for x in hot.value[1:])
-        n[wanted] = np.frombuffer(b"".join(x for x, _ in answers), np.int64)
+        n[wanted] = np.frombuffer(b"".join(x for x, _ in answers), np.int32)
         fail[wanted] = np.frombuffer(b"".join(x for _, x in answers), float)
         t, begin = tokens.size, offs[:-1]
         one, two, low, high = n[at[:t]], n[at[t:2 * t]], fail[at[:t]], fail[at[t:2 * t]]
@@ -428,19 +431,23 @@ def score(rows: DataFrame, m: Model) -> DataFrame:
         if whole is not None:
             yield scored(whole, answers)
 
-    binary = ", ".join(f"{f} binary" for f in fields)
-    chunks = cut_lineage(rows.select(F.col("doc_id").cast("long"), "held_out", "text")
-                         .mapInArrow(read, f"p int, chunk long, seq int, keys binary, {binary}"))
-    none = F.lit(None).cast("binary")
-    sides = (rest.select("p", F.lit(-1).cast("long").alias("chunk"), F.lit(-1).alias("seq"), "keys", "n", "fail")
-             .union(chunks.where("p >= 0").select("p", "chunk", "seq", "keys", none, none)))
-    answers = cut_lineage(sides.repartition("p").sortWithinPartitions("p", "chunk")
-                          .mapInArrow(meet, "chunk long, seq int, n binary, fail binary"))
-    whole = (chunks.where("p < 0").select("chunk", "seq", none.alias("n"), none.alias("fail"), *fields)
-             .union(answers.select("*", *[none] * len(fields))))
-    out = cut_lineage(whole.repartition("chunk").sortWithinPartitions("chunk", "seq").mapInArrow(
-        traverse, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"))
-    drop_tables(chunks, answers)
+    binary, none = ", ".join(f"{f} binary" for f in fields), F.lit(None).cast("binary")
+
+    def sliced(texts: DataFrame) -> DataFrame:
+        chunks = cut_lineage(texts.mapInArrow(read, f"p int, chunk long, seq int, keys binary, {binary}"))
+        sides = (rest.select("p", F.lit(-1).cast("long").alias("chunk"), F.lit(-1).alias("seq"), "keys", "n", "fail")
+                 .union(chunks.where("p >= 0").select("p", "chunk", "seq", "keys", none, none)))
+        answers = cut_lineage(sides.repartition("p").sortWithinPartitions("p", "chunk")
+                              .mapInArrow(meet, "chunk long, seq int, n binary, fail binary"))
+        whole = (chunks.where("p < 0").select("chunk", "seq", none.alias("n"), none.alias("fail"), *fields)
+                 .union(answers.select("*", *[none] * len(fields))))
+        out = cut_lineage(whole.repartition("chunk").sortWithinPartitions("chunk", "seq").mapInArrow(
+            traverse, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"))
+        drop_tables(chunks, answers)
+        return out
+
+    texts = rows.select(F.col("doc_id").cast("long"), "held_out", "text")
+    out = reduce(DataFrame.union, [sliced(texts.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SLICES)) == i)) for i in range(SLICES)])
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(m.tokens).cast("long").alias("train_tokens"),
                       "base_score", "score")
 
