@@ -10,7 +10,7 @@ computed anew from the original components.
 Defined cases: a vector that is null, all zero, or holds null or non-finite components takes no
 part, and neither does one of another length than most; a null id neither asks nor answers;
 repeated rows count once; fewer candidates than asked for are all returned; ties go to the
-smaller id.
+smaller id; an empty table gives no rows; only vec_id and embedding are read, other columns may have any name.
 """
 
 from __future__ import annotations

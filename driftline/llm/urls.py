@@ -11,7 +11,8 @@ The models read the whole URL after its scheme, query and fragment included; rul
 
 Defined cases: a URL without ``://`` has empty host and path and is scored on all of its text; a null URL is
 scored as an empty string; repeated rows are judged alike; without URLs of both verdicts the score is 0 and
-the threshold 0, so that all others are allowed.
+the threshold 0, so that all others are allowed; a score equal to the threshold is allowed; of equally good thresholds the middle is
+taken; a very long URL is scored whole; an empty table gives no rows; only page_id and url are read, other columns may have any name.
 """
 
 from __future__ import annotations
