@@ -1,15 +1,18 @@
 """Zonal statistics: which grid cells have their centre inside which polygon.
 
-Polygons are cut into horizontal runs, one set per grid row: an edge meets only the
-rows it spans, the crossings of a row are paired in order, and the stretches between
-the two of a pair are inside.  The cost of this step depends on the outlines and the number of
-grid rows, not on the number of cells.  A cell then finds its runs by an equality join on
-(row, column tile) and one interval test, and is counted at once.
+Polygons are cut into runs of cells along grid lines, columns or rows, whichever are fewer: an edge
+meets only the lines of its part, the cells where it turns inside to outside are paired in order, and
+the stretches between the two of a pair are inside.  The cost of this step depends on the outlines
+and the lines they span, not on the number of cells on a line.  The runs of a province are merged, so
+that no more are left than the grid has cells, however many parts there are.  A cell then finds its
+runs by an equality join on (line, tile) and one interval test, and is counted at once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.functions import binning, recode
@@ -19,50 +22,92 @@ from driftline.sources.grid import Extent
 TILE = 256
 
 
-def inside_runs(edges: DataFrame, extent: Extent) -> DataFrame:
-    """Runs ``(prov_code, row, x0, x1)``: a centre with x0 <= lon < x1 is inside."""
-    top, bottom = F.greatest("lat1", "lat2"), F.least("lat1", "lat2")
-    first = F.greatest(F.floor((extent.ymax - top) / extent.dy) - 1, F.lit(0))
-    last = F.least(F.ceil((extent.ymax - bottom) / extent.dy) + 1, F.lit(extent.nrow - 1))
-    y = extent.lat(F.col("row"))
-    crossing = F.col("lon1") + ((y - F.col("lat1")) * (F.col("lon2") - F.col("lon1"))
+def _first(low: Column, high: Column, holds: Callable[[Column], Column], steps: int) -> Column:
+    """The first index from ``low`` on that ``holds``, else ``high``; it holds from some index on."""
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.floor((s["lo"] + s["hi"]) / 2)
+        up = (s["lo"] < s["hi"]) & ~holds(middle)
+        return F.struct(F.when(up, middle + 1).otherwise(s["lo"]).alias("lo"),
+                        F.when(up | (s["lo"] >= s["hi"]), s["hi"]).otherwise(middle).alias("hi"))
+
+    start = F.struct(low.cast("long").alias("lo"), high.cast("long").alias("hi"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(steps)), start, halve, lambda s: s["lo"])
+
+
+def by_column(extent: Extent) -> bool:
+    """Whether the lines are the columns of the grid."""
+    return extent.ncol < extent.nrow
+
+
+def _turns(edges: DataFrame, extent: Extent) -> DataFrame:
+    """``(prov_code, part, line, at)``: from cell ``at`` of the line on, inside and outside swap.
+
+    A centre is inside a part if an odd number of its edges lies to the east.  Both the rows an
+    edge spans and the crossing of a row are monotone, also as rounded, so each limit is found by
+    halving with the same comparison that would be made for every cell.
+    """
+    rows, cols = extent.nrow.bit_length(), extent.ncol.bit_length()
+    zero, nrow, ncol = F.lit(0), F.lit(extent.nrow), F.lit(extent.ncol)
+    spans = (edges.filter(F.col("lat1") != F.col("lat2"))
+             .withColumns({"first": _first(zero, nrow, lambda i: extent.lat(i) < F.greatest("lat1", "lat2"), rows),
+                           "last": _first(zero, nrow, lambda i: extent.lat(i) < F.least("lat1", "lat2"), rows)})
+             .filter(F.col("first") < F.col("last")))
+
+    def crossing(row: Column) -> Column:
+        return F.col("lon1") + ((extent.lat(row) - F.col("lat1")) * (F.col("lon2") - F.col("lon1"))
                                 / (F.col("lat2") - F.col("lat1")))
-    points = (edges.filter((F.col("lat1") != F.col("lat2")) & (first <= last))
-              .withColumn("row", F.explode(F.sequence(first, last)))
-              .filter((y >= bottom) & (y < top))
-              .select("prov_code", "part", "row", crossing.alias("x")))
-    order = Window.partitionBy("prov_code", "part", "row").orderBy("x")
-    runs = (points.withColumn("pair", F.floor((F.row_number().over(order) - 1) / 2))
-            .groupBy("prov_code", "part", "row", "pair")
-            .agg(F.min("x").alias("x0"), F.max("x").alias("x1")))
+
+    if not by_column(extent):
+        return (spans.withColumn("line", F.explode(F.sequence(F.col("first"), F.col("last") - 1)))
+                .select("prov_code", "part", "line",
+                        _first(zero, ncol, lambda i: extent.lon(i) >= crossing(F.col("line")), cols).alias("at")))
+    # west of a part every line meets an even number of its edges; one column more on either side is for rounding
+    west = (spans.groupBy("prov_code", "part").agg(F.min(F.least("lon1", "lon2")).alias("west"))
+            .select("prov_code", "part", F.greatest(_first(
+                zero, ncol, lambda i: extent.lon(i) >= F.col("west"), cols) - 1, zero).alias("low")))
+    high = F.least(_first(zero, ncol, lambda i: extent.lon(i) >= F.greatest("lon1", "lon2"), cols), F.lit(extent.ncol - 1))
+    lines = (spans.withColumn("high", high).join(west, ["prov_code", "part"]).filter("low <= high")
+             .withColumn("line", F.explode(F.sequence("low", "high"))))
+    east = (F.col("lon2") > F.col("lon1")) == (F.col("lat2") < F.col("lat1"))     # going south
+    lon = extent.lon(F.col("line"))
+    bound = _first(F.col("first"), F.col("last"), lambda i: (lon < crossing(i)) == F.col("east"), rows)
+    return (lines.withColumn("east", east).withColumn("bound", bound)
+            .select("prov_code", "part", "line", F.explode(F.array(
+                F.when(F.col("east"), F.col("bound")).otherwise(F.col("first")),
+                F.when(F.col("east"), F.col("last")).otherwise(F.col("bound")))).alias("at")))
+
+
+def inside_runs(edges: DataFrame, extent: Extent) -> DataFrame:
+    """Runs ``(prov_code, line, lo, hi)``: the cells lo <= i < hi of a line are inside."""
+    order = Window.partitionBy("prov_code", "part", "line").orderBy("at")
+    runs = (_turns(edges, extent)
+            .withColumn("pair", F.floor((F.row_number().over(order) - 1) / 2))
+            .groupBy("prov_code", "part", "line", "pair")
+            .agg(F.min("at").alias("lo"), F.max("at").alias("hi")).filter("lo < hi")
+            # of runs with one start only the longest counts, whatever part it is of
+            .groupBy("prov_code", "line", "lo").agg(F.max("hi").alias("hi")))
     # parts of one province may overlap; their runs are merged so that a cell counts once
-    sweep = Window.partitionBy("prov_code", "row").orderBy("x0", "x1")
-    reach = F.max("x1").over(sweep.rowsBetween(Window.unboundedPreceding, -1))
-    start = F.when(F.col("x0") <= reach, 0).otherwise(1)
+    sweep = Window.partitionBy("prov_code", "line").orderBy("lo")
+    reach = F.max("hi").over(sweep.rowsBetween(Window.unboundedPreceding, -1))
+    start = F.when(F.col("lo") <= reach, 0).otherwise(1)
     return (runs.withColumn("start", start)
             .withColumn("island", F.sum("start").over(
                 sweep.rowsBetween(Window.unboundedPreceding, 0)))
-            .groupBy("prov_code", "row", "island")
-            .agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"))
-            .select("prov_code", F.col("row").cast("long").alias("row"), "x0", "x1"))
+            .groupBy("prov_code", "line", "island")
+            .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+            .select("prov_code", F.col("line").cast("long").alias("line"), "lo", "hi"))
 
 
 def cells_in_zones(cells: DataFrame, edges: DataFrame, extent: Extent) -> DataFrame:
     """Each cell once per province that contains its centre."""
-    width = extent.dx * TILE
-
-    def tile(x):
-        return F.floor((x - F.lit(extent.xmin)) / F.lit(width)).cast("int")
-
-    last = (extent.ncol - 1) // TILE
+    line, at = ("col", "row") if by_column(extent) else ("row", "col")
     runs = (inside_runs(edges, extent)
-            .withColumn("tile", F.explode(F.sequence(
-                F.least(F.greatest(tile(F.col("x0")), F.lit(0)), F.lit(last)),
-                F.greatest(F.least(tile(F.col("x1")), F.lit(last)), F.lit(0))))))
+            .withColumn("tile", F.explode(F.sequence(F.floor(F.col("lo") / TILE),
+                                                     F.floor((F.col("hi") - 1) / TILE)))))
     runs = cut_lineage(runs)      # the optimizer broadcasts it only if the files are small
-    return (cells.withColumn("tile", F.floor(F.col("col") / TILE).cast("int"))
-            .join(runs, ["row", "tile"])
-            .filter((F.col("lon") >= F.col("x0")) & (F.col("lon") < F.col("x1")))
+    return (cells.withColumns({"line": F.col(line).cast("long"), "tile": F.floor(F.col(at) / TILE)})
+            .join(runs, ["line", "tile"])
+            .filter((F.col(at) >= F.col("lo")) & (F.col(at) < F.col("hi")))
             .select("prov_code", "row", "col", "lon", "lat", "value"))
 
 

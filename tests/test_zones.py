@@ -57,3 +57,27 @@ def test_zonal_matches_brute_force(spark):
             assert got[code]["min_value"] == min(known)
         else:
             assert got[code]["mean_value"] is None
+
+
+def test_tall_grid_is_cut_by_columns(spark):
+    """Runs depend on the columns a part spans, not on the rows, and merge over the parts."""
+    rng = np.random.default_rng(5)
+    extent = Extent(-10.0, 10.0, -10.0, 10.0, 640, 8)
+    wide = spark.createDataFrame([(i, [float(i * 8 + j) for j in range(8)]) for i in range(640)], "r long, v array<double>")
+    parts = []
+    for k in range(24):       # corners on edges and centres of columns, level, upright and slanting edges
+        x, y = (rng.integers(-8, 4, 2) * 1.25).tolist()
+        parts.append([(x, y), (x + 5.0, y), (x + 5.0, y + 2.5), (x + 2.5, y + 2.5), (x + 1.25, y + 6.25), (x, y + 5.0)])
+    vertices = spark.createDataFrame(
+        [("AB"[p % 2], p, 0, s, float(x), float(y)) for p, ring in enumerate(parts) for s, (x, y) in enumerate(ring)],
+        "prov_code string, part int, ring int, seq int, lon double, lat double")
+    edges = edges_from_vertices(vertices)
+    assert zonal.inside_runs(edges, extent).count() < 2 * 8 * 12
+    got = {r["prov_code"]: r for r in zonal.zonal_stats(long_cells(wide, "r", "v", extent), edges, extent).collect()}
+    for code in "AB":
+        found = [i * 8 + j for i in range(extent.nrow) for j in range(extent.ncol)
+                 if any(inside([ring], extent.xmin + (j + .5) * extent.dx, extent.ymax - (i + .5) * extent.dy)
+                        for p, ring in enumerate(parts) if "AB"[p % 2] == code)]
+        assert got[code]["n_cells"] == len(found)
+        assert got[code]["mean_value"] == pytest.approx(np.mean(found))
+        assert (got[code]["min_value"], got[code]["max_value"]) == (min(found), max(found))
