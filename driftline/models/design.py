@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -300,72 +300,118 @@ def evaluate(design: Design, requests: dict[int, Request], family: str) -> dict[
     return out | (_one_pass(design, batch, family) if batch else {})
 
 
+#: Levels from which the largest factor is summed by level instead of in columns of its own.
+MANY_LEVELS = 64
+#: Numbers in a block of rows times requests or column pairs.
+BLOCK = 1 << 20
+
+
 def _one_pass(design: Design, requests: dict[int, Request], family: str) -> dict[int, Sums]:
     """One pass over the design for all requests together.
 
-    Each task adds up the sums of its rows per request; Spark adds the tasks' sums by
-    request and position.  The driver receives one small system per request.
+    Each task adds up the sums of its rows, for all requests at once: a column per request of weights
+    meets a column per pair of model columns in one matrix product.  Spark adds the tasks' sums by
+    request.  The driver receives one small system per request.
 
     Families: ``binomial``; ``gaussian`` (information X'WX, score X'Wy, value y'Wy at any
     coefficients); ``rows`` (X'X over the original rows).
     """
     counts = design.level_counts
     starts = np.concatenate([[0], np.cumsum(counts)]).astype(int)
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[int, np.ndarray] = {}
-        for pdf in batches:
-            if pdf.empty:
+    many = int(np.argmax(counts)) if counts and max(counts) > MANY_LEVELS else None
+    few = [k for k in range(len(counts)) if k != many]
+    used = np.unique(np.concatenate([r.columns for r in requests.values()])).astype(int)
+    base = dict(zip(few, len(used) + np.concatenate([[0], np.cumsum([counts[k] for k in few])]).astype(int)))
+    width = len(used) + sum(counts[k] for k in few)
+    keys, levels = list(requests), counts[many] if many is not None else 0
+    # coefficients per request, and where each stands in the request's own order
+    coef, far, places = np.zeros((width, len(keys))), np.zeros((levels, len(keys))), []
+    for i, key in enumerate(keys):
+        req, m = requests[key], len(requests[key].columns)
+        place = np.concatenate([np.searchsorted(used, req.columns), *[
+            width + np.arange(counts[k]) if k == many else base[k] + np.arange(counts[k]) for k in range(len(counts))]]).astype(int)
+        near = place < width
+        coef[place[near], i] = req.coef[near]
+        if many is not None:
+            far[:, i] = req.coef[m + starts[many]:m + starts[many + 1]]
+        places.append(place)
+    upper = np.triu_indices(width)
+    paired = len(keys) >= 4                 # products of column pairs pay if several requests share them
+    n_keys, step = len(keys), max(64, BLOCK // max(len(keys), len(upper[0]) if len(keys) >= 4 else width))
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        info, score, value = np.zeros((n_keys, len(upper[0]))), np.zeros((n_keys, width)), np.zeros(n_keys)
+        cross = np.zeros((n_keys, levels, width + 2))       # products with the columns, weight, score
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            x_all = np.stack(pdf["x"].to_numpy()).astype(float)
-            g = np.stack(pdf["g"].to_numpy()).astype(int) if counts else None
-            a, n = pdf["a"].to_numpy(float), pdf["n"].to_numpy(float)
-            for key, req in requests.items():
-                x, m = x_all[:, req.columns], len(req.columns)
-                size = m + int(starts[-1])
+            a_all, n_all, yy, rows = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "n", "yy", "rows"))
+            x_all = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(len(a_all), -1)[:, used].astype(float)
+            d_all = np.zeros((len(a_all), width))
+            d_all[:, :len(used)] = x_all
+            if counts:
+                g = batch.column("g").flatten().to_numpy(zero_copy_only=False).reshape(len(a_all), -1).astype(int)
+                for k in few:
+                    d_all[np.arange(len(g)), base[k] + g[:, k]] = 1.0
+            if many is not None:
+                order = np.argsort(g[:, many], kind="stable")
+                d_all, level, a_all, n_all, yy, rows = (v[order] for v in (d_all, g[:, many], a_all, n_all, yy, rows))
+            for lo in range(0, len(a_all), step):
+                d, a, n = d_all[lo:lo + step], a_all[lo:lo + step, None], n_all[lo:lo + step, None]
                 if family == "binomial":
-                    eta = x @ req.coef[:m]
-                    for k in range(len(counts)):
-                        eta = eta + req.coef[m + starts[k]:m + starts[k + 1]][g[:, k]]
-                    mu = 1.0 / (1.0 + np.exp(-np.clip(eta, -40, 40)))
-                    w, r = n * mu * (1.0 - mu), a - n * mu
-                    value = float(np.sum(a * np.log(mu) + (n - a) * np.log1p(-mu)))
+                    eta = d @ coef
+                    if many is not None:
+                        eta += far[level[lo:lo + step]]
+                    odds = np.exp(np.clip(eta, -40, 40, out=eta))
+                    value += a[:, 0] @ eta - n[:, 0] @ np.log1p(odds)
+                    rest = 1.0 / (1.0 + odds)
+                    mean = n * (odds * rest)
+                    w, r = mean * rest, a - mean
                 elif family == "gaussian":
-                    w, r, value = n, a, float(pdf["yy"].sum())
+                    w, r = np.repeat(n, n_keys, 1), np.repeat(a, n_keys, 1)
+                    value += yy[lo:lo + step].sum()
                 else:
-                    w = r = pdf["rows"].to_numpy(float)
-                    value = float(w.sum())
-                acc = total.setdefault(key, np.zeros(size * size + size + 1))
-                info = acc[:size * size].reshape(size, size)
-                score = acc[size * size:-1]
-                wx = w[:, None] * x
-                info[:m, :m] += x.T @ wx
-                score[:m] += x.T @ r
-                for k, q in enumerate(counts):
-                    at = slice(m + starts[k], m + starts[k + 1])
-                    score[at] += np.bincount(g[:, k], r, q)
-                    for j in range(m):
-                        info[j, at] += np.bincount(g[:, k], wx[:, j], q)
-                    diagonal = np.arange(at.start, at.stop)
-                    info[diagonal, diagonal] += np.bincount(g[:, k], w, q)
-                    for l in range(k + 1, len(counts)):
-                        pair = np.bincount(g[:, k] * counts[l] + g[:, l], w, q * counts[l])
-                        info[at, m + starts[l]:m + starts[l + 1]] += pair.reshape(q, counts[l])
-                acc[-1] += value
-        for key, acc in total.items():
-            at = np.flatnonzero(acc)
-            yield pd.DataFrame({"id": np.full(len(at), key, dtype=np.int64), "pos": at,
-                                "v": acc[at]})
-
-    sums = (design.rows.mapInPandas(partial, "id long, pos long, v double")
-            .groupBy("id", "pos").agg(F.sum("v").alias("v")).toArrow())
-    ids, pos, v = (sums.column(c).to_numpy() for c in ("id", "pos", "v"))
+                    w = r = np.repeat(rows[lo:lo + step, None], n_keys, 1)
+                    value += w.sum(axis=0)
+                score += r.T @ d
+                if paired:
+                    info += w.T @ (d[:, upper[0]] * d[:, upper[1]])
+                if many is not None:
+                    here = level[lo:lo + step]
+                    first = np.flatnonzero(np.concatenate([[True], here[1:] != here[:-1]]))
+                for i in range(n_keys if many is not None or not paired else 0):
+                    wd = w[:, i, None] * d
+                    if not paired:
+                        info[i] += (d.T @ wd)[upper]
+                    if many is not None:
+                        cross[i, here[first]] += np.add.reduceat(np.column_stack([wd, w[:, i], r[:, i]]), first, axis=0)
+        flat = np.concatenate([info, score, value[:, None], cross.reshape(n_keys, -1)], axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_keys)), pa.array([v.tobytes() for v in flat], pa.binary())],
+                                         ["id", "v"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for key, v in zip(batch.column(0).to_pylist(), batch.column(1)):
+                part = np.frombuffer(v.as_buffer())
+                total[key] = total[key] + part if key in total else part
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()),
+                                          pa.array([v.tobytes() for v in total.values()], pa.binary())], ["id", "v"])
+
+    sums = (design.rows.mapInArrow(partial, "id long, v binary").repartition("id")
+            .mapInArrow(added, "id long, v binary").toArrow())
     out = {}
-    for key, req in requests.items():
-        size = len(req.columns) + int(starts[-1])
-        acc = np.zeros(size * size + size + 1)
-        mine = ids == key
-        acc[pos[mine]] = v[mine]
-        info = np.triu(acc[:size * size].reshape(size, size))
-        out[key] = Sums(info + np.triu(info, 1).T, acc[size * size:-1], float(acc[-1]))
+    for i, v in zip(sums.column("id").to_pylist(), sums.column("v").to_pylist()):
+        flat, place, size = np.frombuffer(v), places[i], width + levels
+        info, score = np.zeros((size, size)), np.zeros(size)
+        info[upper] = flat[:len(upper[0])]
+        score[:width], value = flat[len(upper[0]):len(upper[0]) + width], flat[len(upper[0]) + width]
+        by_level = flat[len(upper[0]) + width + 1:].reshape(levels, width + 2)
+        info[:width, width:] = by_level[:, :width].T
+        info[np.arange(width, size), np.arange(width, size)] = by_level[:, width]
+        score[width:] = by_level[:, width + 1]
+        info = info + np.triu(info, 1).T
+        out[keys[i]] = Sums(info[np.ix_(place, place)], score[place], float(value))
+    if not out:                             # a design without any partition
+        out = {k: Sums(np.zeros((len(p), len(p))), np.zeros(len(p)), 0.0) for k, p in zip(keys, places)}
     return out

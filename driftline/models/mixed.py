@@ -67,6 +67,17 @@ class _Layout:
     def scaled(self, sd: np.ndarray) -> np.ndarray:
         return self.raw * self.scale(sd)
 
+    def project(self, info: np.ndarray, scale: np.ndarray | None = None) -> np.ndarray:
+        """``info`` in model parameters; levels are parameters as they are, so only the columns need products."""
+        m, p = len(self.columns), self.raw.shape[1] - (self.raw.shape[0] - len(self.columns))
+        top = self.raw[:m, :p]
+        out = np.empty((self.raw.shape[1],) * 2)
+        out[:p, :p] = top.T @ info[:m, :m] @ top
+        out[:p, p:] = top.T @ info[:m, m:]
+        out[p:, :p] = out[:p, p:].T
+        out[p:, p:] = info[m:, m:]
+        return out if scale is None else out * scale[:, None] * scale
+
     def penalty(self) -> np.ndarray:
         p = np.ones(self.raw.shape[1])
         p[:self.n_fixed] = 0.0
@@ -120,7 +131,7 @@ class _Approach:
         penalty = np.zeros(len(self.theta))
         for s, (_, at) in zip(self.sd, self.layout.blocks):
             penalty[at] = 1.0 / s ** 2
-        info = raw.T @ sums.info @ raw + np.diag(penalty)
+        info = self.layout.project(sums.info) + np.diag(penalty)
         info += 1e-10 * np.trace(info[:p, :p]) / p * np.eye(len(info))
         step = np.linalg.solve(info, raw.T @ sums.score - penalty * self.theta)
         self.theta = self.theta + step
@@ -182,7 +193,7 @@ class _Mode:
     """Newton iterations of one model at fixed standard deviations."""
 
     def __init__(self, layout: _Layout, sd: np.ndarray, theta: np.ndarray):
-        self.layout, self.matrix = layout, layout.scaled(sd)
+        self.layout, self.matrix, self.scale = layout, layout.scaled(sd), layout.scale(sd)
         self.penalty, self.theta, self.last = layout.penalty(), theta.copy(), None
         self.done, self.deviance, self.rounds = False, float("inf"), 0
         self.info = None
@@ -196,7 +207,7 @@ class _Mode:
         if self.last is not None and goal < self.last[0] - 1e-8 * abs(goal) and self.rounds < 40:
             self.theta = 0.5 * (self.theta + self.last[1])       # step too long
             return
-        info = self.matrix.T @ sums.info @ self.matrix + np.diag(self.penalty)
+        info = self.layout.project(sums.info, self.scale) + np.diag(self.penalty)
         score = self.matrix.T @ sums.score - self.penalty * self.theta
         ridge = 1e-10 * np.trace(info) / len(info)
         step = np.linalg.solve(info + ridge * np.eye(len(info)), score)

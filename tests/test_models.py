@@ -309,6 +309,28 @@ def test_requests_are_split_by_memory(trials, monkeypatch):
         assert np.allclose(sums.info, whole[i].info) and np.allclose(sums.score, whole[i].score)
 
 
+@pytest.mark.parametrize("n_levels, requests", [(9, 1), (9, 5), (90, 1), (90, 5)])
+def test_pass_equals_dense_sums(spark, n_levels, requests):
+    """One or many requests, few or many levels; at certain outcomes the value stays finite."""
+    rng = np.random.default_rng(3)
+    g, x = np.arange(270) % n_levels, np.round(rng.normal(size=270), 2)
+    n = rng.integers(1, 9, 270)
+    k = rng.integers(0, n + 1)
+    df = spark.createDataFrame([(f"g{a:02d}", float(b), int(c), int(d)) for a, b, c, d in zip(g, x, k, n)],
+                               "g string, x double, NwP long, N long")
+    built = build_design(df, [Numeric("x", scale=False)], ("g",))
+    Z = np.hstack([np.ones((270, 1)), x[:, None], np.eye(n_levels)[g]])
+    asked = {7 + i: Request(np.array([0, 1]), rng.normal(size=2 + n_levels) * (1 + 9 * i)) for i in range(requests)}
+    for key, sums in evaluate(built, asked, "binomial").items():
+        eta = np.clip(Z @ asked[key].coef, -40, 40)
+        mu = 1 / (1 + np.exp(-eta))
+        assert np.allclose(sums.info, Z.T @ ((n * mu * (1 - mu))[:, None] * Z), atol=1e-9)
+        assert np.allclose(sums.score, Z.T @ (k - n * mu))
+        assert sums.value == pytest.approx(np.sum(k * eta - n * np.logaddexp(0, eta)))
+    rows = evaluate(built, {0: Request(np.array([0, 1]), np.zeros(2 + n_levels))}, "rows")[0]
+    assert np.allclose(rows.info, Z.T @ Z)
+
+
 def test_averages(spark):
     coefs = spark.createDataFrame([("m1", "x", 1.0, 0.1), ("m2", "x", 2.0, 0.1),
                                    ("m2", "z", 5.0, 0.2)],
