@@ -30,8 +30,8 @@ def ascii_lower(text: Column) -> Column:
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, label: str, fold: Column,
-                  bound: int, seed: int = 7) -> DataFrame:
-    """At most ``bound`` labelled rows per class outside ``fold``: those of least seeded hash.
+                  bound: int | None, seed: int = 7) -> DataFrame:
+    """Labelled rows outside ``fold``: all, or at most ``bound`` per class, those of least seeded hash.
 
     Ids are labelled by their largest label when the table repeats them; null ids and null
     labels teach nothing.  Returns (doc_id, text, y).
@@ -40,8 +40,10 @@ def training_rows(documents: DataFrame, labels: DataFrame, label: str, fold: Col
              .groupBy("doc_id").agg(F.max("y").alias("y"))
              .where(~fold & F.col("y").isin(0, 1))
              .withColumn("_h", F.xxhash64("doc_id", F.lit(seed))))
-    chosen = [marks.where(F.col("y") == y).orderBy("_h", "doc_id").limit(bound) for y in (0, 1)]
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    if bound is None:
+        return texts.join(marks.drop("_h"), "doc_id")
+    chosen = [marks.where(F.col("y") == y).orderBy("_h", "doc_id").limit(bound) for y in (0, 1)]
     return texts.join(chosen[0].union(chosen[1]).drop("_h"), "doc_id")
 
 

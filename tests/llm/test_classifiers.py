@@ -51,6 +51,17 @@ def test_odd_rows_and_labels(spark, docs, no_docs, clashing):
     assert {r.score for r in quality.score(docs, quality.fit(docs, none)).select("score").collect()} == {0.5}
 
 
+def test_quality_learns_from_every_labelled_row(spark):
+    """One labelled row more or less changes the model, however many there are."""
+    told = spark.range(14000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    texts = told.select("doc_id", F.when(F.col("quality") == 1, "Some plain words, and more.").otherwise("## 77 $$ 3").alias("text"))
+    texts = texts.withColumn("text", F.concat("text", F.repeat(F.lit(" x"), (F.col("doc_id") % 37).cast("int"))))
+    whole = quality.fit(texts, told)
+    taught = told.where(~quality.held_out(F.col("doc_id"), 4, 2)).orderBy("doc_id").limit(20).collect()
+    for row in taught[::9]:
+        assert abs(quality.fit(texts, told.where(F.col("doc_id") != row.doc_id))["mean"] - whole["mean"]).max() > 0
+
+
 def test_training_rows_are_bounded_and_outside_the_fold(spark, docs):
     told = labels(spark, [(i, i % 2, 0) for i in range(40)])
     rows = training_rows(docs, told, "quality", F.col("doc_id") == 5, 3).select("doc_id", "y").distinct().collect()
