@@ -41,8 +41,8 @@ def training_rows(documents: DataFrame, labels: DataFrame, label: str, fold: Col
              .where(~fold & F.col("y").isin(0, 1))
              .withColumn("_h", F.xxhash64("doc_id", F.lit(seed))))
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    if bound is None:
-        return texts.join(marks.drop("_h"), "doc_id")
+    if bound is None:       # merged at every size, so that the labels never have to fit in a task
+        return texts.join(marks.drop("_h").hint("merge"), "doc_id")
     chosen = [marks.where(F.col("y") == y).orderBy("_h", "doc_id").limit(bound) for y in (0, 1)]
     return texts.join(chosen[0].union(chosen[1]).drop("_h"), "doc_id")
 
