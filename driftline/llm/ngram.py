@@ -36,15 +36,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.llm.common import byte_chunks, held_out, mix, pair_hash, table, word_hashes
-from driftline.session import cut_lineage, drop_tables
+from driftline.session import cut_lineage, drop_tables, small_batches
 
 LEAST, DISCOUNT = 2, 0.75
 #: N-grams (histories in a join) of at least one in so many tokens are looked up, not shuffled.
 HOT_SHARE, HOT_JOIN = 2 ** 20, 2 ** 16
 #: Tokens of a part, bits of the bitmap, n-grams of a packed row.
 PART, MARK_BITS, PACK = 2 ** 21, 27, 512
-#: Bytes of text in a chunk (one text at least), tokens that a walk turns into Python values at once.
-CHUNK, BLOCK = 1 << 22, 1 << 16
+#: Bytes of text in a chunk and in a run of a chunk (one text at least), tokens that a walk turns into Python values at once.
+CHUNK, RUN, BLOCK = 1 << 22, 1 << 19, 1 << 16
+#: Rows of an Arrow batch while packed rows travel.
+BATCH = 1 << 10
 #: Texts are scored in so many slices, one after the other, which bounds what lies on disk.
 SLICES = 3
 #: Distinct keys a counting task holds before it emits them.
@@ -73,6 +75,12 @@ def _tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out, np.concatenate([[0], ends + 1])
 
 
+def _runs(data: np.ndarray, offs: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Tokens and offsets of the runs of a chunk of texts."""
+    column = pa.Array.from_buffers(pa.large_binary(), offs.size - 1, [None, pa.py_buffer(offs.tobytes()), pa.py_buffer(data.tobytes())])
+    return [_tokens(*run) for _, _, *run in byte_chunks(column, RUN)]
+
+
 def token_stream(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Tokens and offsets of runs of texts."""
     return (_tokens(data, offs) for _, _, data, offs in byte_chunks(column))
@@ -143,6 +151,17 @@ def _flagged(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)
 
 
+def _summed(a: np.ndarray, b: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Sorted hashes of the distinct pairs (a, b), the pairs, and their counts (sums of ``n``)."""
+    k = pair_hash(a, b)
+    order = np.argsort(k)
+    k = k[order]
+    starts = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+    total = np.diff(np.append(starts, k.size)) if n is None else np.add.reduceat(n[order], starts)
+    k, order = k[starts], order[starts]
+    return k, a[order], b[order], total
+
+
 def _packed(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     """One binary value for each stretch of ``values`` between ``bounds``."""
     values = np.ascontiguousarray(values)
@@ -177,13 +196,10 @@ def count_arcs(texts: DataFrame, order: int, parts: int, marks: np.ndarray | Non
     """
     shared = None if marks is None else texts.sparkSession.sparkContext.broadcast(marks)
 
-    def summed(held):
-        a, b, n = (np.concatenate(x) for x in zip(*held))
-        k, first, inverse = np.unique(pair_hash(a, b), return_index=True, return_inverse=True)
-        return k, a[first], b[first], np.bincount(inverse, n, k.size).astype(np.int64)
-
     def emit(held):
-        k, a, b, n = summed(held)
+        whole = [np.concatenate(x) for x in zip(*held)]
+        held.clear()
+        k, a, b, n = _summed(*whole)
         p = (k >> np.uint64(64 - parts)).astype(np.int32)
         bounds = _stretches(p)
         return pa.RecordBatch.from_arrays(
@@ -199,17 +215,17 @@ def count_arcs(texts: DataFrame, order: int, parts: int, marks: np.ndarray | Non
                     good = _flagged(shared.value, two)
                     third = third[good[third - 1] & good[third]]
                     a, b = two[third - 1], two[third]
-                held.append((a, b, np.ones(a.size, np.int64)))
+                held.append((a, b))
                 size += a.size
                 if size > 2 * FLUSH:
                     yield emit(held)
-                    held, size = [], 0
+                    size = 0
         if size:
             yield emit(held)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out():
-            k, a, b, n = summed(held)
+            k, a, b, n = _summed(*(np.concatenate(x) for x in zip(*held)))
             keep = np.flatnonzero(n >= LEAST)
             for lo in range(0, keep.size, 1 << 16):
                 x = keep[lo:lo + (1 << 16)]
@@ -338,12 +354,14 @@ def score(rows: DataFrame, m: Model) -> DataFrame:
     fields = ["ids", "nulls", "held", "data", "offs"]
     names = ["p", "chunk", "seq", "keys", *fields]
 
-    def grams(tokens: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Distinct n-grams, the place of each token's n-grams among them, and where trigrams end."""
-        _, two, third, three = _grams(tokens, offs)
-        u, at = np.unique(np.concatenate([tokens, two, three]), return_inverse=True)
-        place = _find(hot.value[0], u)
-        return u, at, third, place, (place < 0) & _flagged(marks.value, u)
+    def wanted(runs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Distinct n-grams of some runs of texts that may have an arc in the partitioned table, in ascending order."""
+        found = []
+        for tokens, offs in runs:
+            _, two, _, three = _grams(tokens, offs)
+            u = np.unique(np.concatenate([tokens, two, three]))
+            found.append(u[(_find(hot.value[0], u) < 0) & _flagged(marks.value, u)])
+        return np.unique(np.concatenate(found))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Chunks of texts (p -1), and the n-grams whose arcs each asks for, in ascending order, by part."""
@@ -357,8 +375,7 @@ def score(rows: DataFrame, m: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([-1], pa.int32()), pa.array([chunk]), pa.array([-1], pa.int32()), pa.array([b""]),
                      *(pa.array([x.tobytes()]) for x in whole)], names)
-                u, *_, wanted = grams(*_tokens(data, offs))
-                keys = u[wanted]
+                keys = wanted(_runs(data, offs))
                 bounds = _stretches((keys >> np.uint64(64 - parts)).astype(np.int32))
                 k = bounds.size - 1
                 if keys.size:
@@ -392,11 +409,23 @@ def score(rows: DataFrame, m: Model) -> DataFrame:
 
     def scored(whole: list[np.ndarray], answers: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
         ids, nulls, held, data, offs = whole
-        tokens, offs = _tokens(data, offs)
-        u, at, third, place, wanted = grams(tokens, offs)
-        n, fail = (np.where(place >= 0, x[place], x.dtype.type(0)) if x.size else np.zeros(u.size, x.dtype) for x in hot.value[1:])
-        n[wanted] = np.frombuffer(b"".join(x for x, _ in answers), np.int32)
-        fail[wanted] = np.frombuffer(b"".join(x for _, x in answers), float)
+        runs = _runs(data, offs)
+        keys = wanted(runs)
+        n = np.append(np.frombuffer(b"".join(x for x, _ in answers), np.int32), np.int32(0))       # the last one stands for none
+        fail = np.append(np.frombuffer(b"".join(x for _, x in answers), float), 0.0)
+        out = [np.concatenate(x) for x in zip(*(walked(*run, keys, n, fail) for run in runs))]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ids, mask=nulls.astype(bool)), pa.array(held.astype(bool)), *map(pa.array, out)],
+            ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    def walked(tokens: np.ndarray, offs: np.ndarray, keys: np.ndarray, n: np.ndarray, fail: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Tokens, known tokens, base score and score of each text of a run, given the arcs of its chunk."""
+        _, two, third, three = _grams(tokens, offs)
+        u, at = np.unique(np.concatenate([tokens, two, three]), return_inverse=True)
+        place, often = _find(keys, u), _find(hot.value[0], u)
+        n, fail = n[place].astype(np.int64), fail[place]
+        for x, own in zip((n, fail), hot.value[1:]):
+            x[often >= 0] = own[often[often >= 0]]
         t, begin = tokens.size, offs[:-1]
         one, two, low, high = n[at[:t]], n[at[t:2 * t]], fail[at[:t]], fail[at[t:2 * t]]
         three = np.zeros(t, np.int64)
@@ -412,10 +441,7 @@ def score(rows: DataFrame, m: Model) -> DataFrame:
         before[begin] = one[end]
         arcs = floor, arc(two, before), arc(three, np.append(0, two[:-1])), low, high
         total = [walk(low[end], *(x[lo:hi] for x in arcs)) for lo, hi in zip(begin, offs[1:])]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids, mask=nulls.astype(bool)), pa.array(held.astype(bool)), pa.array(np.diff(offs)),
-             pa.array(np.add.reduceat((one > 0).astype(np.int64), begin)), pa.array(np.add.reduceat(floor, begin)), pa.array(total, pa.float64())],
-            ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+        return np.diff(offs), np.add.reduceat((one > 0).astype(np.int64), begin), np.add.reduceat(floor, begin), np.array(total, float)
 
     def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Walks of the texts of each chunk, once the answers that follow them are there."""
@@ -447,7 +473,8 @@ def score(rows: DataFrame, m: Model) -> DataFrame:
         return out
 
     texts = rows.select(F.col("doc_id").cast("long"), "held_out", "text")
-    out = reduce(DataFrame.union, [sliced(texts.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SLICES)) == i)) for i in range(SLICES)])
+    with small_batches(rows.sparkSession, BATCH):                      # a packed row has up to some KB
+        out = reduce(DataFrame.union, [sliced(texts.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SLICES)) == i)) for i in range(SLICES)])
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(m.tokens).cast("long").alias("train_tokens"),
                       "base_score", "score")
 

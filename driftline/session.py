@@ -6,6 +6,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -91,6 +93,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return table
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Tables written inside pass ``rows`` rows at once to Python, for rows that are large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def drop_tables(*tables: DataFrame) -> None:
     """Delete tables that ``cut_lineage`` wrote, once all that is made of them has been written too."""
     for table in tables:

@@ -1,10 +1,11 @@
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 
-from conftest import documents, frame
+from conftest import documents, frame, words
 from driftline.llm import ngram
 from driftline.llm.common import held_out
 
@@ -129,3 +130,29 @@ def test_clashing_columns_and_a_very_long_text(spark, docs, clashing):
 
 def scored_rows(df):
     return scored(df)[1]
+
+
+def test_a_chunk_is_cut_into_runs():
+    """The tokens of a chunk, in a fraction of the memory that the chunk as one run takes."""
+    texts = [words(k, 400).encode() for k in range(100)] * 10
+    data, offs = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    peaks, tokens = [], []
+    ngram._tokens(data[:5], np.array([0, 5]))
+    for cut in (lambda: [ngram._tokens(data, offs)], lambda: ngram._runs(data, offs)):
+        tracemalloc.start()
+        tokens.append(cut())
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    (whole, at), runs = tokens[0][0], tokens[1]
+    assert len(runs) > 3 and (np.concatenate([t for t, _ in runs]) == whole).all()
+    assert (np.concatenate([np.diff(o) for _, o in runs]) == np.diff(at)).all()
+    assert peaks[1] < peaks[0] / 2
+
+
+def test_rows_of_answers_come_in_small_batches(spark, docs, monkeypatch):
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before, cut = spark.conf.get(key), ngram.cut_lineage
+    monkeypatch.setattr(ngram, "cut_lineage", lambda df: (seen.append((df.columns, int(spark.conf.get(key)))), cut(df))[1])
+    scored(docs)
+    assert spark.conf.get(key) == before
+    assert {rows for columns, rows in seen if "seq" in columns or "score" in columns} == {ngram.BATCH}
