@@ -83,7 +83,7 @@ def _runs(data: np.ndarray, offs: np.ndarray) -> list[tuple[np.ndarray, np.ndarr
 
 def token_stream(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Tokens and offsets of runs of texts."""
-    return (_tokens(data, offs) for _, _, data, offs in byte_chunks(column))
+    return (_tokens(data, offs) for _, _, data, offs in byte_chunks(column, RUN))
 
 
 def _counted(batches: Iterator[pa.RecordBatch], keys, name: str) -> Iterator[pa.RecordBatch]:
@@ -162,6 +162,12 @@ def _summed(a: np.ndarray, b: np.ndarray, n: np.ndarray | None = None) -> tuple[
     return k, a[order], b[order], total
 
 
+def _distinct(*keys: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; a sort is many times faster here than the hashing of ``np.unique``."""
+    k = np.sort(np.concatenate(keys))
+    return k[np.append(True, k[1:] != k[:-1])] if k.size else k
+
+
 def _packed(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     """One binary value for each stretch of ``values`` between ``bounds``."""
     values = np.ascontiguousarray(values)
@@ -251,7 +257,7 @@ def marked(keys: DataFrame, packed: bool) -> np.ndarray:
         seen = np.zeros(1 << MARK_BITS - 3, np.uint8)
         for b in batches:
             k = _joined(b.column(0), np.uint64) if packed else np.asarray(b.column(0)).view(np.uint64)
-            place = np.unique(k >> np.uint64(64 - MARK_BITS)).astype(np.int64)
+            place = _distinct(k >> np.uint64(64 - MARK_BITS)).astype(np.int64)
             np.bitwise_or.at(seen, place >> 3, (128 >> (place & 7)).astype(np.uint8))
         pieces = seen.reshape(-1, _PIECE >> 3)
         for i in np.flatnonzero(pieces.any(1)):
@@ -285,13 +291,15 @@ def train(texts: DataFrame) -> Model:
     hot = F.col("m") * HOT_JOIN >= n
     kept = F.col("n") - DISCOUNT
 
-    floors = counts.select(F.col("w").alias("b"), F.col("n").alias("m"), ((F.col("n") + 1) / F.lit(float(n + kinds + 1))).alias("floor"))
+    often = counts.where(F.col("n") >= LEAST)                          # an n-gram seen LEAST times has no other words
+    floors = often.select(F.col("w").alias("b"), F.col("n").alias("m"), ((F.col("n") + 1) / F.lit(float(n + kinds + 1))).alias("floor"))
     seen = cut_lineage(_lookup(bigrams, "b", floors, hot).select("k", "a", "n", "floor"))
     drop_tables(bigrams)
     sums = seen.groupBy("a").agg(F.sum(kept).alias("s"), F.sum("floor").alias("f"))
-    words = cut_lineage(counts.join(sums, counts["w"] == sums["a"], "left").select(
-        "w", "n", F.coalesce(_failure(F.col("s") / F.col("n"), F.col("f")), F.lit(0.0)).alias("fail")))
-    two = cut_lineage(_lookup(seen, "a", counts.select(F.col("w").alias("a"), F.col("n").alias("m")), hot)
+    words = cut_lineage(often.join(sums, often["w"] == sums["a"], "left").select(
+        "w", "n", F.coalesce(_failure(F.col("s") / F.col("n"), F.col("f")), F.lit(0.0)).alias("fail"))
+        .union(counts.where(F.col("n") < LEAST).select("w", "n", F.lit(0.0))))
+    two = cut_lineage(_lookup(seen, "a", often.select(F.col("w").alias("a"), F.col("n").alias("m")), hot)
                       .select("k", "n", (kept / F.col("m")).alias("p2")))
     drop_tables(seen, counts)
 
@@ -354,14 +362,15 @@ def score(rows: DataFrame, m: Model) -> DataFrame:
     fields = ["ids", "nulls", "held", "data", "offs"]
     names = ["p", "chunk", "seq", "keys", *fields]
 
-    def wanted(runs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Distinct n-grams of some runs of texts that may have an arc in the partitioned table, in ascending order."""
-        found = []
-        for tokens, offs in runs:
-            _, two, _, three = _grams(tokens, offs)
-            u = np.unique(np.concatenate([tokens, two, three]))
-            found.append(u[(_find(hot.value[0], u) < 0) & _flagged(marks.value, u)])
-        return np.unique(np.concatenate(found))
+    def asked(u: np.ndarray, often: np.ndarray) -> np.ndarray:
+        """Those of some distinct n-grams, none of them hot, that may have an arc in the partitioned table."""
+        return u[(often < 0) & _flagged(marks.value, u)]
+
+    def wanted(tokens: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """Distinct n-grams of a run of texts to ask for, in ascending order."""
+        _, two, _, three = _grams(tokens, offs)
+        u = _distinct(tokens, two, three)
+        return asked(u, _find(hot.value[0], u))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Chunks of texts (p -1), and the n-grams whose arcs each asks for, in ascending order, by part."""
@@ -375,7 +384,7 @@ def score(rows: DataFrame, m: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([-1], pa.int32()), pa.array([chunk]), pa.array([-1], pa.int32()), pa.array([b""]),
                      *(pa.array([x.tobytes()]) for x in whole)], names)
-                keys = wanted(_runs(data, offs))
+                keys = _distinct(*(wanted(*run) for run in _runs(data, offs)))
                 bounds = _stretches((keys >> np.uint64(64 - parts)).astype(np.int32))
                 k = bounds.size - 1
                 if keys.size:
@@ -409,8 +418,8 @@ def score(rows: DataFrame, m: Model) -> DataFrame:
 
     def scored(whole: list[np.ndarray], answers: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
         ids, nulls, held, data, offs = whole
-        runs = _runs(data, offs)
-        keys = wanted(runs)
+        runs = [placed(*run) for run in _runs(data, offs)]
+        keys = _distinct(*(asked(u, often) for *_, u, _, often in runs))
         n = np.append(np.frombuffer(b"".join(x for x, _ in answers), np.int32), np.int32(0))       # the last one stands for none
         fail = np.append(np.frombuffer(b"".join(x for _, x in answers), float), 0.0)
         out = [np.concatenate(x) for x in zip(*(walked(*run, keys, n, fail) for run in runs))]
@@ -418,15 +427,20 @@ def score(rows: DataFrame, m: Model) -> DataFrame:
             [pa.array(ids, mask=nulls.astype(bool)), pa.array(held.astype(bool)), *map(pa.array, out)],
             ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    def walked(tokens: np.ndarray, offs: np.ndarray, keys: np.ndarray, n: np.ndarray, fail: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Tokens, known tokens, base score and score of each text of a run, given the arcs of its chunk."""
+    def placed(tokens: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Offsets of the texts of a run, where trigrams end, distinct n-grams, each token's place among them, and that among the hot."""
         _, two, third, three = _grams(tokens, offs)
         u, at = np.unique(np.concatenate([tokens, two, three]), return_inverse=True)
-        place, often = _find(keys, u), _find(hot.value[0], u)
+        return offs, third, u, at.astype(np.int32), _find(hot.value[0], u).astype(np.int32)
+
+    def walked(offs: np.ndarray, third: np.ndarray, u: np.ndarray, at: np.ndarray, often: np.ndarray,
+               keys: np.ndarray, n: np.ndarray, fail: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Tokens, known tokens, base score and score of each text of a run, given the arcs of its chunk."""
+        place = _find(keys, u)
         n, fail = n[place].astype(np.int64), fail[place]
         for x, own in zip((n, fail), hot.value[1:]):
             x[often >= 0] = own[often[often >= 0]]
-        t, begin = tokens.size, offs[:-1]
+        t, begin = int(offs[-1]), offs[:-1]
         one, two, low, high = n[at[:t]], n[at[t:2 * t]], fail[at[:t]], fail[at[t:2 * t]]
         three = np.zeros(t, np.int64)
         three[third] = n[at[2 * t:]]
