@@ -11,8 +11,8 @@ but only at neighbours in other components than the row's own, and confirms all
 two sets share no shingle that only one class has, and no more of the others than the smaller
 count in each of 256 buckets, which bounds their similarity closely.  Both passes name the classes
 that share a prefix with rows they did not meet, for lack of reach or because two tasks share the region.  The
-second pass takes in those of the first, and those of the second meet in an exact join on the
-rarest shingles (``beyond_reach``), so no reach loses a link.  A pair at the threshold of 0.8 shares four places in some tree with a chance of 1 - 5e-8.
+second pass takes in those of the first, and those of the second meet in crowds that share rare
+shingles, block by block (``beyond_reach``), so no reach loses a link.  A pair at the threshold of 0.8 shares four places in some tree with a chance of 1 - 5e-8.
 
 Defined cases: null, empty and blank texts have no shingles and are groups of their own; a text with
 fewer words than a shingle is one shingle; repeated rows are one class; a null id never names
@@ -40,8 +40,10 @@ PLACES = TREES * DEPTH
 #: candidate needs, and candidates of each class, then of each two parts, confirmed in the first pass.
 NEIGHBOURS, FAR_NEIGHBOURS, AGREE, BEST = 6, 256, 18, 2
 BITS, BUCKETS = 23, 256
-#: In place of a candidate: the class did not meet all rows of its prefix.  Rows of a shingle that meet in one block.
-UNSEEN, BLOCK = -1, 1024
+#: In place of a candidate: the class did not meet all rows of its prefix.
+UNSEEN = -1
+#: Classes and shingles of a block of a crowd, shingles in a tile of its matrix, and in a part when they are counted.
+BLOCK, BLOCK_SHINGLES, TILE, PART_SHINGLES = 512, 1 << 18, 1 << 12, 1 << 20
 
 _MULTIPLIERS = counter(PLACES, 3)
 
@@ -226,40 +228,109 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def beyond_reach(classes: DataFrame, sets: DataFrame, near: DataFrame, percent: int) -> DataFrame:
-    """(a, b, agree): all pairs of ``classes`` (uid) between labels of ``near`` that could link; agree bounds what they share.
+    """(a, b, agree): all pairs of ``classes`` (uid) between labels of ``near`` that link, and the shingles they share.
 
     Two linked sets share more than ``percent`` % of each, so they share one of the rarest shingles of
-    each, and only shingles that several labels have can be shared.  With c shared, u and v shingles
-    not shareable, c (100 - percent) >= percent (u + v); so of two partners one has few such, and only
-    those classes look for the others.  Frequent shingles are split into blocks of rows.
+    each, and only shingles that several labels have can be shared.  Classes that share a rare shingle, in one
+    step or several, are a crowd, and links lie within crowds.  A crowd is dealt into blocks of bounded
+    size, and each two blocks are compared in one group, whose matrix products count what all pairs share.
     """
     labels = near.select(F.col("node").alias("uid"), "label")
     rows = cut_lineage(classes.join(sets.select("uid", "s"), "uid").join(labels, "uid", "left")
                        .select("uid", F.coalesce("label", "uid").alias("label"), F.size("s").alias("size"), "s"))
-    held = rows.select("uid", "label", "size", F.explode("s").alias("g"))
-    common = (held.groupBy("g").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-              .where("lo < hi").select("g", "n"))
-    shared = (held.join(common, "g").groupBy("uid", "label", "size")
-              .agg(F.sort_array(F.collect_list(F.struct("n", "g"))).alias("s")).withColumn("v", F.size("s")))
     least = F.ceil(F.col("size") * percent / 100).cast("int")
-    rare = cut_lineage(shared.where(F.col("v") >= least)
-                       .select("uid", "label", "size", "v", F.posexplode(F.slice("s", 1, F.col("v") - least + 1)).alias("at", "t"))
-                       .select("uid", "label", "size", "v", "at", "t.g", "t.n",
-                               (2 * percent * (F.col("size") - F.col("v")) <= (100 - percent) * F.col("v")).alias("few")))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    left = rare.where("few").select(F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "g", F.col("uid").alias("x"),
-                                    F.col("label").alias("lx"), F.col("size").alias("sx"), F.col("v").alias("vx"),
-                                    F.col("at").alias("ax"))
-    right = rare.select(F.pmod(F.xxhash64("uid"), blocks).cast("int").alias("block"), "g", "uid", "label", "size", "v", "at", "few")
-    # shared shingles before and from this one on, in the common order of rarity
-    most = F.least("ax", "at") + F.least(F.col("vx") - F.col("ax"), F.col("v") - F.col("at"))
-    # All but the rare shingles of a set are fewer than it must share, so the rest is to be found among the rare.
-    rest = F.ceil(F.greatest("sx", "size") * percent / 100).cast("int") - 1
-    return (left.join(right, ["g", "block"]).where(F.col("lx") != F.col("label")).where(~F.col("few") | (F.col("x") < F.col("uid")))
-            .where((100 + percent) * most >= percent * (F.col("sx") + F.col("size")))
-            .groupBy(F.least("x", "uid").alias("a"), F.greatest("x", "uid").alias("b"), (F.col("sx") + F.col("size")).alias("both"))
-            .agg(F.least(F.min(most), F.count("*") + F.max(rest)).alias("agree"))
-            .where((100 + percent) * F.col("agree") >= percent * F.col("both")).select("a", "b", F.col("agree").cast("int").alias("agree")))
+    open_ = cut_lineage(_between_labels(rows).withColumn("v", F.size("g")).where(F.col("v") >= least))
+    rare = (open_.select("uid", F.explode(F.slice(F.sort_array(F.arrays_zip("n", "g")), 1, F.col("v") - least + 1)).alias("t"))
+            .select("uid", F.col("t.g").alias("g")))
+    stars = rare.groupBy("g").agg(F.min("uid").alias("a"), F.count("*").alias("n")).where("n > 1").select("g", "a")
+    crowds = components(rare.join(stars, "g").select("a", F.col("uid").alias("b")).distinct())
+    joined = open_.join(crowds.select(F.col("node").alias("uid"), F.col("label").alias("crowd")), "uid")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("v") / BLOCK_SHINGLES)).cast("int")
+    large = joined.groupBy("crowd").agg(blocks.alias("blocks"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+    dealt = (joined.join(large, "crowd").withColumn("own", F.pmod(F.xxhash64("uid"), "blocks").cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select("crowd", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+                     "own", "uid", "label", "size", "g"))
+
+    def linked(group: pa.Table) -> pa.Table:
+        """Links of two blocks, or of one."""
+        own, uid, label, size = (group[c].to_numpy() for c in ("own", "uid", "label", "size"))
+        left, right = (np.flatnonzero(own == group[c][0].as_py()) for c in ("i", "j"))
+        same = left.size == own.size
+        values, row = _flat(group["g"])
+        u, at, n = np.unique(values, return_inverse=True, return_counts=True)
+        often = n > 1
+        place = np.cumsum(often) - 1
+        keep = often[at]
+        at, row = place[at[keep]], row[keep]
+        order = np.argsort(at, kind="stable")
+        at, row = at[order], row[order]
+        both = np.zeros((left.size, right.size), np.float32)
+        for lo in range(0, int(often.sum()), TILE):
+            x = slice(*np.searchsorted(at, [lo, lo + TILE]))
+            has = np.zeros((own.size, TILE), np.float32)
+            has[row[x], at[x] - lo] = 1
+            both += has[left] @ has[right].T
+        close = ((100 + percent) * both.astype(np.int64) >= percent * (size[left][:, None].astype(np.int64) + size[right])) \
+            & (label[left][:, None] != label[right])
+        if same:
+            close = np.triu(close, 1)
+        x, y = np.nonzero(close)
+        a, b = uid[left[x]], uid[right[y]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "agree": both[x, y].astype(np.int32)})
+
+    # Dealt by all three, since a grouping after the join on crowds would leave a crowd in one task.
+    return dealt.repartition("crowd", "i", "j").groupBy("crowd", "i", "j").applyInArrow(linked, "a long, b long, agree int")
+
+
+def _flat(lists: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a column of lists and the row of each."""
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    if isinstance(lists, pa.ChunkedArray):
+        lists = pa.concat_arrays(lists.chunks)
+    return np.asarray(lists.flatten()), np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))
+
+
+def _between_labels(rows: DataFrame) -> DataFrame:
+    """``rows`` (uid, label, size, s) with g, the shingles that several labels have, and n, the rows that have each.
+
+    The shingles of a row travel as packed lists, one for each part of all shingles.
+    """
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    parts = max(8, total // PART_SHINGLES)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values, row = _flat(b.column(2))
+            key = row * parts + (values.view(np.uint64) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            starts = np.flatnonzero(np.diff(key, prepend=-1))
+            row, part = key[starts] // parts, key[starts] % parts
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(part.astype(np.int32)), b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)),
+                 pa.ListArray.from_arrays(pa.array(np.append(starts, key.size).astype(np.int32)), pa.array(values[order]))],
+                ["part", "uid", "label", "s"])
+
+    def count(group: pa.Table) -> pa.Table:
+        values, row = _flat(group["s"])
+        order = np.argsort(values, kind="stable")
+        g, at = values[order], row[order]
+        starts = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+        label, n = group["label"].to_numpy()[at], np.diff(np.append(starts, g.size))
+        several = np.minimum.reduceat(label, starts) < np.maximum.reduceat(label, starts)
+        keep = np.repeat(several, n)
+        g, at, n = g[keep], at[keep], np.repeat(n, n)[keep].astype(np.int32)
+        order = np.argsort(at, kind="stable")
+        which, starts = np.unique(at[order], return_index=True)
+        bounds = pa.array(np.append(starts, at.size).astype(np.int32))
+        return pa.table({"uid": group["uid"].to_numpy()[which], "g": pa.ListArray.from_arrays(bounds, pa.array(g[order])),
+                         "n": pa.ListArray.from_arrays(bounds, pa.array(n[order]))})
+
+    found = (rows.select("uid", "label", "s").mapInArrow(deal, "part int, uid long, label long, s array<long>")
+             .groupBy("part").applyInArrow(count, "uid long, g array<long>, n array<int>")
+             .groupBy("uid").agg(F.collect_list(F.struct("g", "n")).alias("m")))
+    return rows.drop("s").join(found.select("uid", F.flatten("m.g").alias("g"), F.flatten("m.n").alias("n")), "uid")
 
 
 def near_duplicates(rows: DataFrame, width: int, percent: int, reach: int = FAR_NEIGHBOURS) -> DataFrame:
@@ -309,8 +380,7 @@ def near_duplicates(rows: DataFrame, width: int, percent: int, reach: int = FAR_
     open_ = across(near, reach)
     near = _merge(near, _between(confirmed(_met(open_), sets, percent), near))
     rest = cut_lineage(beyond_reach(_unseen(open_), sets, near, percent))
-    near = by_best(rest, near)
-    labels = _merge(near, _between(confirmed(_between(rest, near), sets, percent), near))
+    labels = _merge(near, _between(rest, near))
     grouped = classes.join(labels, classes["uid"] == labels["node"], "left").select(
         "size", "h1", "h2", "first", F.coalesce("label", "uid").alias("label"))
     grouped = cut_lineage(grouped)

@@ -94,3 +94,26 @@ def test_one_row_of_each_group_stays(docs, clashing):
     assert rows.count() == groups.where("n_shingles > 0").select("label").distinct().count() + wordless
     assert forest.without_near_copies(clashing, 5, 80).count() == rows.count()
     assert rows.where("doc_id = 7").count() == 1 and rows.where("text is null").count() == 2
+
+
+@pytest.mark.parametrize("block", [512, 16])
+def test_crowds_give_links_only(spark, monkeypatch, block):
+    """No pair that does not link leaves the exact join, whatever the blocks, parts and tiles; a second crowd and loners are apart."""
+    monkeypatch.setattr(forest, "BLOCK", block)
+    monkeypatch.setattr(forest, "TILE", 64)
+    monkeypatch.setattr(forest, "PART_SHINGLES", 700)
+    texts = [edited(words(6, 100), 500 + k, k % 14) for k in range(120)] + [edited(words(8, 90), k, 4 + k % 9) for k in range(60)]
+    texts += [words(700 + k, 30) for k in range(10)]
+    sets = [{hash(g) for g in zip(t.split(), t.split()[1:])} for t in texts]
+    data = spark.createDataFrame([(k, sorted(s)) for k, s in enumerate(sets)], "uid long, s array<long>")
+    near = spark.createDataFrame([(k, 500 + k % 5) for k in range(0, 150, 2)], "node long, label long")
+    label = {k: 500 + k % 5 for k in range(0, 150, 2)}
+    want = {(a, b, len(sets[a] & sets[b])) for b in range(190) for a in range(b) if label.get(a, a) != label.get(b, b)
+            and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    links = forest.beyond_reach(data.select("uid"), data, near, 80)
+    got = links.collect()
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert ", i#" in plan.split("FlatMapGroupsInArrow")[1].split("hashpartitioning(")[1].split(")")[0]      # not one task per crowd
+    assert len(want) > 100 and len(got) == len(want) and set(map(tuple, got)) == want
+    none = forest.beyond_reach(data.select("uid").limit(0), data, near, 80)
+    assert none.count() == 0
