@@ -42,7 +42,9 @@ LEAST, DISCOUNT = 2, 0.75
 #: N-grams (histories in a join) of at least one in so many tokens are looked up, not shuffled.
 HOT_SHARE, HOT_JOIN = 2 ** 20, 2 ** 16
 #: Tokens of a part, bits of the bitmap, n-grams of a packed row.
-PART, MARK_BITS, PACK = 2 ** 21, 27, 512
+PART, MARK_BITS, PACK = 2 ** 19, 27, 512
+#: log2 of the number of parts in which words are counted.
+WORD_PARTS = 10
 #: Bytes of text in a chunk and in a run of a chunk (one text at least), tokens that a walk turns into Python values at once.
 CHUNK, RUN, BLOCK = 1 << 22, 1 << 19, 1 << 16
 #: Rows of an Arrow batch while packed rows travel.
@@ -61,7 +63,7 @@ class Model:
     tokens: int
     kinds: int
     parts: int              # log2 of the number of parts
-    arcs: DataFrame         # p, keys, n, fail: packed arcs by part, those of hot n-grams with p < 0
+    arcs: DataFrame         # p, keys, n, fail: packed arcs by part (fail null: all 0), those of hot n-grams with p < 0
 
 
 def _tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,44 +88,6 @@ def token_stream(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     return (_tokens(data, offs) for _, _, data, offs in byte_chunks(column, RUN))
 
 
-def _counted(batches: Iterator[pa.RecordBatch], keys, name: str) -> Iterator[pa.RecordBatch]:
-    """Counts of ``keys(column)`` arrays, summed within the task up to FLUSH distinct keys."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    size = 0
-
-    def merged():
-        k, n = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-        u, inverse = np.unique(k, return_inverse=True)
-        return u, np.bincount(inverse, n, u.size).astype(np.int64)
-
-    def batch(u, n):
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(n)], [name, "n"])
-
-    for b in batches:
-        for part in keys(b.column(0)):
-            u, n = np.unique(part, return_counts=True)
-            held.append((u, n))
-            size += u.size
-            if size > 2 * FLUSH:
-                held = [merged()]
-                size = held[0][0].size
-                if size > FLUSH:
-                    for lo in range(0, size, 1 << 16):
-                        yield batch(held[0][0][lo:lo + (1 << 16)], held[0][1][lo:lo + (1 << 16)])
-                    held, size = [], 0
-    if held:
-        u, n = merged()
-        for lo in range(0, u.size, 1 << 16):
-            yield batch(u[lo:lo + (1 << 16)], n[lo:lo + (1 << 16)])
-
-
-def count_words(texts: DataFrame) -> DataFrame:
-    """(w, n): count of each word hash over all rows of ``texts``, end tokens included."""
-    def run(batches):
-        return _counted(batches, lambda c: (t.view(np.int64) for t, _ in token_stream(c)), "w")
-    return texts.select("text").mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
-
-
 def _find(table_: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Place of each key in a sorted table, -1 where absent."""
     if table_.size == 0:
@@ -151,15 +115,15 @@ def _flagged(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)
 
 
-def _summed(a: np.ndarray, b: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """Sorted hashes of the distinct pairs (a, b), the pairs, and their counts (sums of ``n``)."""
-    k = pair_hash(a, b)
-    order = np.argsort(k)
-    k = k[order]
+def _summed(k: np.ndarray, n: np.ndarray | None, *of: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sorted distinct keys, their counts (sums of ``n``), and what ``of`` has for each."""
+    order = np.argsort(k) if of or n is not None else None
+    k = np.sort(k) if order is None else k[order]
     starts = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
     total = np.diff(np.append(starts, k.size)) if n is None else np.add.reduceat(n[order], starts)
-    k, order = k[starts], order[starts]
-    return k, a[order], b[order], total
+    if of:
+        order = order[starts]
+    return k[starts], total, *(x[order] for x in of)
 
 
 def _distinct(*keys: np.ndarray) -> np.ndarray:
@@ -186,6 +150,12 @@ def _joined(column: pa.Array, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
+def _arcs(keys: pa.Array, n: pa.Array, fail: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Packed arcs as arrays; rows without failure weights hold trigrams, which lead to no longer state."""
+    weights = b"".join(bytes(size) if f is None else f for f, size in zip(fail.to_pylist(), pc.binary_length(keys).to_pylist()))
+    return _joined(keys, np.uint64), _joined(n, np.int64), np.frombuffer(weights, float)
+
+
 def _parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
     """The batches cut where their first column, by which rows are sorted, changes."""
     for b in batches:
@@ -195,34 +165,33 @@ def _parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Recor
             yield int(p[lo]), b.slice(lo, hi - lo)
 
 
-def count_arcs(texts: DataFrame, order: int, parts: int, marks: np.ndarray | None = None) -> DataFrame:
-    """(k, a, b, n) of the n-grams seen LEAST times: words a and b, or for trigrams the hashes of their bigrams.
+def _key(columns: list[np.ndarray]) -> np.ndarray:
+    return columns[0] if len(columns) == 1 else pair_hash(*columns)
 
-    ``marks`` has the bigrams seen LEAST times; no other is part of such a trigram.
+
+def _counted(texts: DataFrame, width: int, columns, parts: int, rows, schema: str) -> DataFrame:
+    """Table of the n-grams of all ``texts``, each counted in the part that its key names.
+
+    ``columns(tokens, offs)`` has ``width`` columns that name the n-grams of a run of texts (a word, or a pair);
+    ``rows(key, n, *columns)`` gives the table's batches for the distinct n-grams of a part, sorted by key.
     """
-    shared = None if marks is None else texts.sparkSession.sparkContext.broadcast(marks)
+    names = [*"ab"[:width], "n"]
 
     def emit(held):
         whole = [np.concatenate(x) for x in zip(*held)]
         held.clear()
-        k, a, b, n = _summed(*whole)
+        k, n, *whole = _summed(_key(whole), None, *(whole if width > 1 else ()))
+        whole = whole or [k]
         p = (k >> np.uint64(64 - parts)).astype(np.int32)
         bounds = _stretches(p)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(p[bounds[:-1]]), _packed(a, bounds), _packed(b, bounds), _packed(n, bounds)], ["p", "a", "b", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(p[bounds[:-1]]), *(_packed(x, bounds) for x in (*whole, n))], ["p", *names])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
             for tokens, offs in token_stream(batch.column(0)):
-                before, two, third, _ = _grams(tokens, offs)
-                a, b = before, tokens
-                if order == 3:
-                    good = _flagged(shared.value, two)
-                    third = third[good[third - 1] & good[third]]
-                    a, b = two[third - 1], two[third]
-                held.append((a, b))
-                size += a.size
+                held.append(columns(tokens, offs))
+                size += held[-1][0].size
                 if size > 2 * FLUSH:
                     yield emit(held)
                     size = 0
@@ -231,24 +200,71 @@ def count_arcs(texts: DataFrame, order: int, parts: int, marks: np.ndarray | Non
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out():
-            k, a, b, n = _summed(*(np.concatenate(x) for x in zip(*held)))
-            keep = np.flatnonzero(n >= LEAST)
-            for lo in range(0, keep.size, 1 << 16):
-                x = keep[lo:lo + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(k[x].view(np.int64)), pa.array(a[x].view(np.int64)),
-                                                  pa.array(b[x].view(np.int64)), pa.array(n[x])], ["k", "a", "b", "n"])
+            *whole, n = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            yield from rows(*_summed(_key(whole), n, *whole))
         held, part = [], None
-        for p, rows in _parts_of(batches):
+        for p, b in _parts_of(batches):
             if p != part and held:
                 yield from out()
-                held = []
             part = p
-            held.append((_joined(rows.column(1), np.uint64), _joined(rows.column(2), np.uint64), _joined(rows.column(3), np.int64)))
+            held.append([*(_joined(b.column(1 + i), np.uint64) for i in range(width)), _joined(b.column(1 + width), np.int64)])
         if held:
             yield from out()
 
-    return cut_lineage(texts.select("text").mapInArrow(read, "p int, a binary, b binary, n binary")
-                       .repartition("p").sortWithinPartitions("p").mapInArrow(add, "k long, a long, b long, n long"))
+    with small_batches(texts.sparkSession, BATCH):                     # packed rows have up to some KB, and so have texts
+        return cut_lineage(texts.select("text").mapInArrow(read, ", ".join(["p int", *(f"{x} binary" for x in names)]))
+                           .repartition("p").sortWithinPartitions("p").mapInArrow(add, schema))
+
+
+def _batches(names: list[str], *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for lo in range(0, columns[0].size, 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(x[lo:lo + (1 << 16)].view(np.int64)) for x in columns], names)
+
+
+def count_words(texts: DataFrame) -> DataFrame:
+    """(w, n): count of each word hash over all rows of ``texts``, end tokens included."""
+    return _counted(texts, 1, lambda tokens, offs: (tokens,), WORD_PARTS,
+                    lambda k, n, *_: _batches(["w", "n"], k, n), "w long, n long")
+
+
+def count_bigrams(texts: DataFrame, parts: int) -> DataFrame:
+    """(k, a, b, n) of the bigrams seen LEAST times, which have words a and b."""
+    def rows(k, n, a, b):
+        x = np.flatnonzero(n >= LEAST)
+        return _batches(["k", "a", "b", "n"], k[x], a[x], b[x], n[x])
+    return _counted(texts, 2, lambda tokens, offs: (_grams(tokens, offs)[0], tokens), parts, rows, "k long, a long, b long, n long")
+
+
+def count_trigrams(texts: DataFrame, parts: int, tokens: int, marks: np.ndarray) -> DataFrame:
+    """Trigrams seen LEAST times: as rows (a, b, n) with the hashes of their bigrams, and packed as arcs (p, keys, counts).
+
+    ``marks`` has the bigrams seen LEAST times; no other is part of such a trigram.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(marks)
+
+    def columns(tokens, offs):
+        _, two, third, _ = _grams(tokens, offs)
+        good = _flagged(shared.value, two)
+        third = third[good[third - 1] & good[third]]
+        return two[third - 1], two[third]
+
+    def rows(k, n, a, b):
+        x = np.flatnonzero(n >= LEAST)
+        k, n, a, b = k[x], n[x], a[x], b[x]
+        for batch in _batches(["a", "b", "n"], a, b, n):
+            gone = pa.nulls(batch.num_rows, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int32()), gone, gone, *batch.columns], names)
+        often = n * HOT_SHARE >= tokens
+        for x, p in ((~often, k >> np.uint64(64 - parts)), (often, np.full(k.size, -2))):
+            bounds = _stretches(p[x].astype(np.int32))
+            if bounds.size > 1:
+                none = [pa.nulls(bounds.size - 1, pa.int64())] * 3
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(p[x][bounds[:-1]].astype(np.int32)), _packed(k[x], bounds), _packed(n[x], bounds), *none], names)
+
+    names = ["p", "keys", "counts", "a", "b", "n"]
+    return _counted(texts, 2, columns, parts, rows, "p int, keys binary, counts binary, a long, b long, n long")
 
 
 def marked(keys: DataFrame, packed: bool) -> np.ndarray:
@@ -276,40 +292,37 @@ def _lookup(big: DataFrame, key: str, small: DataFrame, hot: Column) -> DataFram
         big.join(F.broadcast(small.where(hot).select(key)), key, "left_anti").join(small.where(~hot), key))
 
 
-def _failure(left: Column, free: Column) -> Column:
-    return F.log10(F.greatest(1 - left, F.lit(1e-12)) / F.greatest(1 - free, F.lit(1e-12)))
+def _failure(kept: str, n: str, free: str) -> Column:
+    """Failure weight of a state seen ``n`` times, given the sums over its arcs; 0 where it has none."""
+    left = F.greatest(1 - F.col(kept) / F.col(n), F.lit(1e-12))
+    return F.coalesce(F.log10(left / F.greatest(1 - F.col(free), F.lit(1e-12))), F.lit(0.0)).alias("fail")
 
 
 def train(texts: DataFrame) -> Model:
     """Model of all rows of ``texts``.  Tables go as soon as their successors are written."""
-    counts = cut_lineage(count_words(texts))
+    counts = count_words(texts)
     total = counts.agg(F.sum("n"), F.count("*")).first()
     n, kinds = int(total[0] or 0), int(total[1])
     parts = max(4, (n // PART).bit_length())
-    bigrams = count_arcs(texts, 2, parts)
-    trigrams = count_arcs(texts, 3, parts, marked(bigrams.select("k"), False))
+    bigrams = count_bigrams(texts, parts)
+    trigrams = count_trigrams(texts, parts, n, marked(bigrams.select("k"), False))
     hot = F.col("m") * HOT_JOIN >= n
     kept = F.col("n") - DISCOUNT
 
     often = counts.where(F.col("n") >= LEAST)                          # an n-gram seen LEAST times has no other words
     floors = often.select(F.col("w").alias("b"), F.col("n").alias("m"), ((F.col("n") + 1) / F.lit(float(n + kinds + 1))).alias("floor"))
-    seen = cut_lineage(_lookup(bigrams, "b", floors, hot).select("k", "a", "n", "floor"))
-    drop_tables(bigrams)
-    sums = seen.groupBy("a").agg(F.sum(kept).alias("s"), F.sum("floor").alias("f"))
-    words = cut_lineage(often.join(sums, often["w"] == sums["a"], "left").select(
-        "w", "n", F.coalesce(_failure(F.col("s") / F.col("n"), F.col("f")), F.lit(0.0)).alias("fail"))
-        .union(counts.where(F.col("n") < LEAST).select("w", "n", F.lit(0.0))))
-    two = cut_lineage(_lookup(seen, "a", often.select(F.col("w").alias("a"), F.col("n").alias("m")), hot)
+    sums = _lookup(bigrams.select("a", "b", "n"), "b", floors, hot).groupBy("a").agg(F.sum(kept).alias("s"), F.sum("floor").alias("f"))
+    words = cut_lineage(often.join(sums, often["w"] == sums["a"], "left").select("w", "n", _failure("s", "n", "f"))
+                        .union(counts.where(F.col("n") < LEAST).select("w", "n", F.lit(0.0))))
+    two = cut_lineage(_lookup(bigrams.select("k", "a", "n"), "a", often.select(F.col("w").alias("a"), F.col("n").alias("m")), hot)
                       .select("k", "n", (kept / F.col("m")).alias("p2")))
-    drop_tables(seen, counts)
+    drop_tables(bigrams, counts)
 
-    three = _lookup(trigrams.select("a", "b", "n"), "a", two.select(F.col("k").alias("a"), F.col("n").alias("m")), hot)
-    three = _lookup(three.withColumnRenamed("m", "c2"), "b", two.select(F.col("k").alias("b"), F.col("n").alias("m"), "p2"), hot)
-    states = cut_lineage(three.groupBy("a").agg(F.sum(kept / F.col("c2")).alias("s"), F.sum("p2").alias("f"))
-                         .select(F.col("a").alias("k"), _failure(F.col("s"), F.col("f")).alias("fail")))
+    # the count of the history, by which the sum of discounted counts is divided, is there once the sums meet the bigrams
+    three = _lookup(trigrams.where("keys is null").select("a", "b", "n"), "b", two.select(F.col("k").alias("b"), F.col("n").alias("m"), "p2"), hot)
+    sums = cut_lineage(three.groupBy(F.col("a").alias("k")).agg(F.sum(kept).alias("s"), F.sum("p2").alias("f")))
     arcs = (words.withColumnRenamed("w", "k")
-            .union(two.join(states, "k", "left").select("k", "n", F.coalesce("fail", F.lit(0.0))))
-            .union(trigrams.select("k", "n", F.lit(0.0))))
+            .union(two.join(sums, "k", "left").select("k", "n", _failure("s", "n", "f"))))
     arcs = arcs.select(F.when(F.col("n") * HOT_SHARE >= n, -2).otherwise(F.shiftrightunsigned("k", 64 - parts)).cast("int").alias("p"),
                        "k", "n", "fail")
 
@@ -322,14 +335,15 @@ def train(texts: DataFrame) -> Model:
 
     # hot n-grams are dealt by their key: they are one part of the table, not one task
     arcs = cut_lineage(arcs.repartition("p", F.when(F.col("p") < 0, F.col("k") % 64)).sortWithinPartitions("p")
-                       .mapInArrow(pack, "p int, keys binary, n binary, fail binary"))
-    drop_tables(trigrams, states, two, words)
+                       .mapInArrow(pack, "p int, keys binary, n binary, fail binary")
+                       .union(trigrams.where("keys is not null").select("p", "keys", "counts", F.lit(None).cast("binary"))))
+    drop_tables(trigrams, sums, two, words)
     return Model(n, kinds, parts, arcs)
 
 
 def _hot_arcs(arcs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rows = arcs.where("p < 0").select("keys", "n", "fail").toArrow().combine_chunks()        # at most 3 x 2^20 n-grams
-    keys, n, fail = (_joined(rows[c], t) for c, t in (("keys", np.uint64), ("n", np.int64), ("fail", float)))
+    keys, n, fail = _arcs(*(rows[c] for c in ("keys", "n", "fail")))
     order = np.argsort(keys)
     return keys[order], n[order], fail[order]
 
@@ -357,7 +371,8 @@ def score(rows: DataFrame, m: Model) -> DataFrame:
     """``rows`` (doc_id, held_out, text) with n_tokens, n_known, train_tokens, base_score, score."""
     context = rows.sparkSession.sparkContext
     rest = m.arcs.where("p >= 0")
-    hot, marks = context.broadcast(_hot_arcs(m.arcs)), context.broadcast(marked(rest.select("keys"), True))
+    with small_batches(rows.sparkSession, BATCH):
+        hot, marks = context.broadcast(_hot_arcs(m.arcs)), context.broadcast(marked(rest.select("keys"), True))
     size, parts = float(np.log10(m.tokens + m.kinds + 1)), m.parts
     fields = ["ids", "nulls", "held", "data", "offs"]
     names = ["p", "chunk", "seq", "keys", *fields]
@@ -402,7 +417,7 @@ def score(rows: DataFrame, m: Model) -> DataFrame:
             split = int(np.searchsorted(np.asarray(b.column(1)), 0))       # arcs come first
             if split:
                 t = b.slice(0, split)
-                held.append([_joined(t.column(c), k) for c, k in ((3, np.uint64), (4, np.int64), (5, float))])
+                held.append(_arcs(*(t.column(c) for c in (3, 4, 5))))
             b = b.slice(split)
             if b.num_rows == 0:
                 continue

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from conftest import documents, frame, words
 from driftline.llm import ngram
@@ -156,3 +157,31 @@ def test_rows_of_answers_come_in_small_batches(spark, docs, monkeypatch):
     scored(docs)
     assert spark.conf.get(key) == before
     assert {rows for columns, rows in seen if "seq" in columns or "score" in columns} == {ngram.BATCH}
+
+
+def test_counting_takes_texts_and_packed_rows_in_small_batches(spark, docs, monkeypatch):
+    """Tables of words, bigrams and trigrams: few rows at once, and whole counts however often a task emits."""
+    monkeypatch.setattr(ngram, "FLUSH", 40)
+    key, seen, cut = "spark.sql.execution.arrow.maxRecordsPerBatch", [], ngram.cut_lineage
+
+    def noted(df):
+        seen.append((df.columns, int(spark.conf.get(key))))
+        return cut(df)
+    monkeypatch.setattr(ngram, "cut_lineage", noted)
+    m = ngram.train(docs.select("doc_id", "text"))
+    counted = [rows for columns, rows in seen if columns == ["w", "n"] or {"a", "b", "n"} <= set(columns)]
+    assert counted == [ngram.BATCH] * 3
+    texts = [(t or "").encode().lower().split() for _, t in documents()]
+    words = Counter(w for t in texts for w in [*t, None])
+    two = Counter(g for t in texts for g in zip([None, *t], [*t, None]))
+    three = Counter(g for t in texts for g in zip([None, *t], t, [*t[1:], None]))
+    kept = [x for grams in (two, three) for x in grams.values() if x >= ngram.LEAST]
+    arcs = [ngram._joined(pa.array([r.n]), np.int64) for r in m.arcs.collect()]
+    assert sorted(np.concatenate(arcs).tolist()) == sorted([*words.values(), *kept])
+
+
+def test_packed_trigrams_have_no_failure_weights():
+    rows = [np.arange(3, dtype=np.uint64), np.arange(2, dtype=np.uint64)]
+    keys, n, fail = ngram._arcs(*(pa.array(x, pa.binary()) for x in (
+        [k.tobytes() for k in rows], [k.astype(np.int64).tobytes() for k in rows], [None, np.array([0.5, -1]).tobytes()])))
+    assert keys.tolist() == n.tolist() == [0, 1, 2, 0, 1] and fail.tolist() == [0, 0, 0, 0.5, -1]
