@@ -97,16 +97,25 @@ def _find(table_: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(table_[at] == keys, at, -1)
 
 
-def _grams(tokens: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Words before the tokens, bigram hashes, places that end a trigram, and trigram hashes."""
+def _before(tokens: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Words before the tokens; a text begins after an end token."""
     before = np.empty_like(tokens)
     before[1:] = tokens[:-1]
-    before[offs[:-1]] = END                                            # a text begins after an end token
-    two = pair_hash(before, tokens)
+    before[offs[:-1]] = END
+    return before
+
+
+def _thirds(tokens: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Places that end a trigram."""
     inner = np.ones(tokens.size, bool)
     inner[offs[:-1]] = False
-    third = np.flatnonzero(inner)
-    return before, two, third, pair_hash(two[third - 1], two[third])
+    return np.flatnonzero(inner)
+
+
+def _grams(tokens: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Bigram hashes, places that end a trigram, and trigram hashes."""
+    two, third = pair_hash(_before(tokens, offs), tokens), _thirds(tokens, offs)
+    return two, third, pair_hash(two[third - 1], two[third])
 
 
 def _flagged(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -233,7 +242,7 @@ def count_bigrams(texts: DataFrame, parts: int) -> DataFrame:
     def rows(k, n, a, b):
         x = np.flatnonzero(n >= LEAST)
         return _batches(["k", "a", "b", "n"], k[x], a[x], b[x], n[x])
-    return _counted(texts, 2, lambda tokens, offs: (_grams(tokens, offs)[0], tokens), parts, rows, "k long, a long, b long, n long")
+    return _counted(texts, 2, lambda tokens, offs: (_before(tokens, offs), tokens), parts, rows, "k long, a long, b long, n long")
 
 
 def count_trigrams(texts: DataFrame, parts: int, tokens: int, marks: np.ndarray) -> DataFrame:
@@ -244,7 +253,7 @@ def count_trigrams(texts: DataFrame, parts: int, tokens: int, marks: np.ndarray)
     shared = texts.sparkSession.sparkContext.broadcast(marks)
 
     def columns(tokens, offs):
-        _, two, third, _ = _grams(tokens, offs)
+        two, third = pair_hash(_before(tokens, offs), tokens), _thirds(tokens, offs)
         good = _flagged(shared.value, two)
         third = third[good[third - 1] & good[third]]
         return two[third - 1], two[third]
@@ -383,7 +392,7 @@ def score(rows: DataFrame, m: Model) -> DataFrame:
 
     def wanted(tokens: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Distinct n-grams of a run of texts to ask for, in ascending order."""
-        _, two, _, three = _grams(tokens, offs)
+        two, _, three = _grams(tokens, offs)
         u = _distinct(tokens, two, three)
         return asked(u, _find(hot.value[0], u))
 
@@ -444,9 +453,14 @@ def score(rows: DataFrame, m: Model) -> DataFrame:
 
     def placed(tokens: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
         """Offsets of the texts of a run, where trigrams end, distinct n-grams, each token's place among them, and that among the hot."""
-        _, two, third, three = _grams(tokens, offs)
-        u, at = np.unique(np.concatenate([tokens, two, three]), return_inverse=True)
-        return offs, third, u, at.astype(np.int32), _find(hot.value[0], u).astype(np.int32)
+        two, third, three = _grams(tokens, offs)
+        k = np.concatenate([tokens, two, three])
+        order = np.argsort(k)
+        k, at = k[order], np.empty(k.size, np.int32)
+        new = np.append(True, k[1:] != k[:-1])
+        at[order] = np.cumsum(new, dtype=np.int32) - 1
+        u = k[new]
+        return offs, third, u, at, _find(hot.value[0], u).astype(np.int32)
 
     def walked(offs: np.ndarray, third: np.ndarray, u: np.ndarray, at: np.ndarray, often: np.ndarray,
                keys: np.ndarray, n: np.ndarray, fail: np.ndarray) -> tuple[np.ndarray, ...]:
