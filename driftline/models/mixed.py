@@ -196,7 +196,7 @@ class _Mode:
         self.layout, self.matrix, self.scale = layout, layout.scaled(sd), layout.scale(sd)
         self.penalty, self.theta, self.last = layout.penalty(), theta.copy(), None
         self.done, self.deviance, self.rounds = False, float("inf"), 0
-        self.info = None
+        self.info, self.sums = None, None
 
     def request(self) -> Request:
         return Request(self.layout.columns, self.matrix @ self.theta)
@@ -209,19 +209,63 @@ class _Mode:
             return
         info = self.layout.project(sums.info, self.scale) + np.diag(self.penalty)
         score = self.matrix.T @ sums.score - self.penalty * self.theta
-        ridge = 1e-10 * np.trace(info) / len(info)
-        step = np.linalg.solve(info + ridge * np.eye(len(info)), score)
+        step = np.linalg.solve(info + _ridge(info), score)
         self.last = (goal, self.theta.copy())
         self.info = info
         if score @ step < 1e-7 or self.rounds >= 40:
-            self.done = True
-            inner = info[self.layout.n_fixed:, self.layout.n_fixed:]
-            log_det = np.linalg.slogdet(inner)[1] if len(inner) else 0.0
-            self.deviance = -2.0 * goal + log_det
+            self.done, self.sums = True, sums
+            self.deviance = -2.0 * goal + _log_det(info, self.layout.n_fixed)
             return
         self.theta = self.theta + step
 
 
+def _ridge(info: np.ndarray) -> np.ndarray:
+    return 1e-10 * np.trace(info) / len(info) * np.eye(len(info))
+
+
+def _log_det(info: np.ndarray, n_fixed: int) -> float:
+    inner = info[n_fixed:, n_fixed:]
+    return np.linalg.slogdet(inner)[1] if len(inner) else 0.0
+
+
+#: A trial is taken from the expansion at a solved mode if its deviance is surely nearer than this.
+SURE = 3e-5
+
+
+class _Expansion:
+    """The likelihood to second order about a solved mode, for trial values of the deviations close by.
+
+    With many rows the mode hardly moves between trial values, and no pass is needed for them.
+    """
+
+    def __init__(self, design: Design, mode: _Mode):
+        layout = mode.layout
+        self.layout, self.value, self.at = layout, mode.sums.value, mode.theta * mode.scale
+        self.info, self.score = layout.project(mode.sums.info), layout.raw.T @ mode.sums.score
+        self.bounds, self.counts = design.bounds[layout.columns], design.level_counts
+
+    def trial(self, sd: np.ndarray) -> tuple[np.ndarray, float, float]:
+        """Scaled mode, deviance, and a bound of the deviance's error.
+
+        With |row change| <= M every weight changes by a factor within exp(M): the value is off by the third
+        order, the log determinant by M per penalised coefficient at most.
+        """
+        layout, scale, penalty = self.layout, self.layout.scale(sd), self.layout.penalty()
+        info = self.info * scale[:, None] * scale + np.diag(penalty)
+        mode = np.divide(self.at, scale, out=np.zeros(len(scale)), where=scale > 0)
+        score = scale * (self.score + self.info @ (self.at - scale * mode)) - penalty * mode
+        mode = mode + np.linalg.solve(info + _ridge(info), score)
+        move = scale * mode - self.at
+        square = float(move @ self.info @ move)
+        goal = self.value + self.score @ move - 0.5 * square - 0.5 * np.sum(penalty * mode ** 2)
+        raw = np.abs(layout.raw @ move)
+        most, at = float(self.bounds @ raw[:len(self.bounds)]), len(self.bounds)
+        for count in self.counts:
+            most, at = most + raw[at:at + count].max(initial=0.0), at + count
+        wrong = most * math.exp(min(most, 50.0)) * (square / 3 + np.sum(penalty))
+        return mode, -2.0 * goal + _log_det(info, layout.n_fixed), float(wrong)
+
+
 def _solve_modes(design: Design, modes: list[_Mode]) -> None:
     while True:
         active = {i: m for i, m in enumerate(modes) if not m.done}
@@ -236,7 +280,8 @@ def fit_binomial(design: Design, models: dict[str, Sequence[str]]) -> dict[str,
     """Binomial models with random intercepts and/or curves, by Laplace approximation.
 
     ``models`` names the fixed terms of each model.  Fixed effects and conditional modes are
-    found jointly for given standard deviations; those minimise the Laplace deviance.
+    found jointly for given standard deviations; those minimise the Laplace deviance.  Of each batch of
+    trial values the first is solved by passes, and the others that its expansion does not settle.
     """
     if design.absorbed:
         return {k: _fit_absorbed(design, k, terms) for k, terms in models.items()}
@@ -252,121 +297,139 @@ def fit_binomial(design: Design, models: dict[str, Sequence[str]]) -> dict[str,
     searches = {k: _polish(m.sd) for k, m in first.items()}
     asked = {k: next(s) for k, s in searches.items()}
     effects = {k: m.theta for k, m in first.items()}
-    best: dict[str, tuple[np.ndarray, _Mode]] = {}
+    # deviance, deviations, scaled mode; the solved mode if passes were made for it
+    best: dict[str, tuple[float, np.ndarray, np.ndarray, _Mode | None]] = {}
+    about: dict[str, _Expansion] = {}
+
+    def start(k: str, sd: np.ndarray) -> _Mode:
+        theta = effects[k].copy()
+        for s, (_, at) in zip(sd, layouts[k].blocks):
+            theta[at] = theta[at] / s if s > 0 else 0.0
+        return _Mode(layouts[k], sd, about[k].trial(sd)[0] if k in about else theta)
+
     while asked:
-        jobs = []
-        for k, sds in asked.items():
-            for sd in sds:
-                start = effects[k].copy()
-                for s, (_, at) in zip(sd, layouts[k].blocks):
-                    start[at] = start[at] / s if s > 0 else 0.0
-                jobs.append((k, sd, _Mode(layouts[k], sd, start)))
-        _solve_modes(design, [m for _, _, m in jobs])
+        centres = {k: start(k, sds[0]) for k, sds in asked.items()}
+        _solve_modes(design, list(centres.values()))
+        found: dict[str, list[tuple[float, np.ndarray, _Mode | None]]] = {}
+        for k, m in centres.items():
+            about[k] = _Expansion(design, m)
+            m.sums = None
+            found[k] = [(m.deviance, m.theta, m)]
+            for sd in asked[k][1:]:
+                theta, deviance, wrong = about[k].trial(sd)
+                found[k].append((deviance, theta, None) if wrong < SURE else
+                                (math.inf, theta, _Mode(layouts[k], sd, theta)))
+        _solve_modes(design, [m for tried in found.values() for _, _, m in tried[1:] if m is not None])
         following = {}
-        for k in asked:
-            mine = [(sd, m) for key, sd, m in jobs if key == k]
-            for sd, m in mine:
-                if k not in best or m.deviance < best[k][1].deviance:
-                    best[k] = (sd, m)
-                    effects[k] = m.theta * layouts[k].scale(sd)
+        for k, tried in found.items():
+            values = []
+            for sd, (deviance, theta, m) in zip(asked[k], tried):
+                if m is not None:
+                    deviance, theta, m.sums = m.deviance, m.theta, None
+                values.append(deviance)
+                if k not in best or deviance < best[k][0]:
+                    best[k] = (deviance, sd, theta, m)
+                    effects[k] = theta * layouts[k].scale(sd)
             try:
-                following[k] = searches[k].send([m.deviance for _, m in mine])
+                following[k] = searches[k].send(values)
             except StopIteration:
                 pass
         asked = following
+    final = {k: m or _Mode(layouts[k], sd, theta) for k, (_, sd, theta, m) in best.items()}
+    _solve_modes(design, [m for m in final.values()])
     moments = _row_moments(design)
-    return {k: _finish(design, k, tuple(models[k]), layouts[k], sd, m.theta, m.info, 1.0,
+    return {k: _finish(design, k, tuple(models[k]), layouts[k], best[k][1], m.theta, m.info, 1.0,
                        -0.5 * m.deviance + design.log_constant,
-                       layouts[k].n_fixed + len(sd), "binomial", moments)
-            for k, (sd, m) in best.items()}
+                       layouts[k].n_fixed + len(best[k][1]), "binomial", moments)
+            for k, m in final.items()}
 
 
 def _fit_absorbed(design: Design, key: str, terms: Sequence[str]) -> Fit:
     """As above for one model, with the effects of the absorbed factor kept on Spark.
 
-    Trial values are worked through one by one; everything is in unscaled effects.
+    Each pass solves the effects of the absorbed levels at three trial values of their deviation, and returns
+    the likelihood to second order in the other coefficients, with the slope of the log determinant.  All
+    deviations and coefficients move at once to the least deviance that these predict; the prediction is
+    exact to first order where the search ends.
     """
     layout, p = _layout(design, terms), len(design.fixed_columns(terms))
-    blocks = [at for _, at in layout.blocks]
-    sd = np.full(len(blocks) + 1, 0.5)
-    theta = np.zeros(layout.raw.shape[1])
-    effects = absorbed.start(design)
-
-    def newton(sd: np.ndarray, theta: np.ndarray, effects: DataFrame):
-        state = absorbed.level_sums(design, layout.columns, layout.raw @ theta, effects,
-                                    "binomial")
-        cut = absorbed.eliminate(state, sd[-1])
-        penalty = np.zeros(len(theta))
-        for s, at in zip(sd, blocks):
-            penalty[at] = 1.0 / s ** 2
-        info = layout.raw.T @ (state.info - cut.outer) @ layout.raw + np.diag(penalty)
-        score = layout.raw.T @ (state.score - cut.score) - penalty * theta
-        goal = state.value - 0.5 * (np.sum(penalty * theta ** 2) + cut.squares / sd[-1] ** 2)
-        return state, cut, info, score, goal, penalty
+    raw, blocks = layout.raw, [at for _, at in layout.blocks]
+    own = len(blocks) - design.hot              # frequent levels share the deviation of the absorbed factor
+    low, high = math.log(1e-4), math.log(1e3)
+    log_sd, log_h, theta = np.full(own, math.log(0.5)), math.log(0.5), np.zeros(raw.shape[1])
+    reach, cover, last = 0.5, None, None
+
+    def penalty(log_sd: np.ndarray, log_h: float) -> np.ndarray:
+        out = np.zeros(raw.shape[1])
+        for s, at in zip([*log_sd, log_h], blocks):
+            out[at] = math.exp(-2.0 * s)
+        return out
 
-    def step_of(info: np.ndarray, score: np.ndarray) -> np.ndarray:
+    def predict(state: tuple, log_sd: np.ndarray, log_h: float) -> tuple[float, np.ndarray, np.ndarray]:
+        """Deviance, step to the mode, and information of a state at these deviations."""
+        info, score, value, log_det, slope = state
+        pen = penalty(log_sd, log_h)
+        info, score = info + np.diag(pen), score - pen * theta
         ridge = 1e-10 * np.trace(info[:p, :p]) / p
-        return np.linalg.solve(info + ridge * np.eye(len(info)), score)
-
-    for rounds in range(30):
-        state, cut, info, score, _, _ = newton(sd, theta, effects)
-        move = step_of(info, score)
-        effects = absorbed.step(state, sd[-1], layout.raw @ move)
-        theta = theta + move
-        before = sd.copy()
-        if rounds > 1:
-            cover = np.diag(np.linalg.inv(info[p:, p:])) if len(info) > p else np.zeros(0)
-            for k, at in enumerate(blocks):
-                size = at.stop - at.start
-                left = size - cover[at.start - p:at.stop - p].sum() / sd[k] ** 2
-                sd[k] = min(max(math.sqrt(float(theta[at] @ theta[at]) / max(left, 1e-12)), 1e-4),
-                            1e3)
-            rest = layout.raw[:, p:] @ np.linalg.inv(info[p:, p:]) @ layout.raw[:, p:].T \
-                if len(info) > p else np.zeros_like(cut.outer2)
-            covered = cut.inverse + float(np.sum(rest * cut.outer2))
-            left = cut.count - covered / sd[-1] ** 2
-            squares = absorbed.squares(effects)
-            sd[-1] = min(max(math.sqrt(squares / max(left, 1e-12)), 1e-4), 1e3)
-        drift = np.max(np.abs(np.log(sd / before)) * (sd > 0.01))
-        if rounds > 2 and drift < 0.01 and np.max(np.abs(layout.raw @ move)) < 1e-3:
+        move = np.linalg.solve(info + ridge * np.eye(len(info)), score)
+        spread = np.sum(np.log(pen[p:])) if len(pen) > p else 0.0
+        deviance = (-2.0 * (value - 0.5 * np.sum(pen * theta ** 2)) - score @ move
+                    + _log_det(info, p) - spread + log_det + slope @ move)
+        return deviance, move, info
+
+    def within(log_sd: np.ndarray, centre: np.ndarray) -> np.ndarray:
+        return np.clip(np.clip(log_sd, centre - 1.0, centre + 1.0), low, high)
+
+    for _ in range(60):
+        trials = np.clip(log_h + reach * np.array([-1.0, 0.0, 1.0]), low, high)
+        sums = absorbed.profile(design, layout.columns, raw @ theta, np.exp(trials), cover)
+        states = [(layout.project(t.info), raw.T @ t.score, t.value, t.log_det, raw.T @ t.slope) for t in sums]
+        goal = sums[1].value - 0.5 * np.sum(penalty(log_sd, log_h) * theta ** 2)
+        if last is not None and goal < last[0] - 0.05 * abs(last[0]):
+            theta = 0.5 * (theta + last[1])
+            continue
+        last = (goal, theta)
+        deviance, move, info = predict(states[1], log_sd, log_h)
+        gain = float((states[1][1] - penalty(log_sd, log_h) * theta) @ move)
+        values, sds, moves = [], [], []
+        for h, state in zip(trials, states):
+            sd = log_sd
+            if own:
+                zero = predict(state, log_sd, h)[0]
+                sd = within(_nelder_mead(lambda x: predict(state, within(x, log_sd), h)[0] - zero, log_sd,
+                                         step=min(reach, 0.3), tol=1e-11), log_sd)
+            value, step, _ = predict(state, sd, h)
+            values.append(value)
+            sds.append(sd)
+            moves.append(step)
+        bend, tilt = values[0] - 2 * values[1] + values[2], 0.5 * (values[2] - values[0])
+        t = 0.0 if abs(tilt) < 1e-7 else float(np.clip(-tilt / bend, -1.5, 1.5)) if bend > 0 else -1.5 * np.sign(tilt)
+        shares = 0.5 * t * (t - 1), 1 - t * t, 0.5 * t * (t + 1)
+        next_h = float(np.clip(log_h + t * reach, low, high))
+        next_sd = np.clip(sum(c * v for c, v in zip(shares, sds)), low, high)
+        live = next_sd > math.log(0.01)
+        drift = max(np.max(np.abs(next_sd - log_sd) * live, initial=0.0),
+                    abs(next_h - log_h) * (next_h > math.log(0.01)))
+        if gain < 1e-8 and drift < 2e-4 and cover is not None:
             break
-
-    def settle(sd: np.ndarray, theta: np.ndarray, effects: DataFrame):
-        for _ in range(20):
-            state, cut, info, score, goal, _ = newton(sd, theta, effects)
-            move = step_of(info, score)
-            inner = info[p:, p:]
-            deviance = (-2.0 * goal + cut.log_det + 2 * cut.count * math.log(sd[-1])
-                        + (np.linalg.slogdet(inner)[1] if len(inner) else 0.0)
-                        + 2 * sum((at.stop - at.start) * math.log(s)
-                                  for s, at in zip(sd, blocks)))
-            if score @ move + cut.gain < 1e-6:
-                break
-            effects = absorbed.step(state, sd[-1], layout.raw @ move)
-            theta = theta + move
-        return deviance, theta, effects, info
-
-    search = _polish(np.maximum(sd, 0.02), rounds=2)
-    asked, best = next(search), None
-    while asked is not None:
-        values = []
-        for trial in asked:
-            done = settle(np.maximum(trial, 1e-4), theta, effects)
-            values.append(done[0])
-            if best is None or done[0] < best[1][0]:
-                best = (np.maximum(trial, 1e-4), done)
-        theta, effects = best[1][1], best[1][2]
-        try:
-            asked = search.send(values)
-        except StopIteration:
-            asked = None
-    sd, (deviance, theta, effects, info) = best
-    small = _Layout(layout.columns, layout.n_fixed, layout.blocks, layout.raw)
-    fit = _finish(design, key, tuple(terms), small, np.ones(len(blocks)), theta, info, 1.0,
-                  -0.5 * deviance + design.log_constant, p + len(sd), "binomial",
-                  _row_moments(design))
-    fit.spread = {**{name: float(s) for s, (name, _) in zip(sd, layout.blocks)},
-                  design.absorbed: float(sd[-1])}
+        theta = theta + sum(c * v for c, v in zip(shares, moves))
+        log_sd, log_h, reach = next_sd, next_h, float(np.clip(abs(next_h - log_h), 0.01, 0.5))
+        cover = np.zeros((raw.shape[0],) * 2)
+        if gain < 1.0 and len(info) > p:
+            inner = states[1][0][p:, p:] + np.diag(penalty(log_sd, log_h)[p:])
+            cover = raw[:, p:] @ np.linalg.inv(inner) @ raw[:, p:].T
+    sd = np.exp([*log_sd, log_h])
+    scale = layout.scale(sd[:len(blocks)])
+    theta = theta + move
+    fit = _finish(design, key, tuple(terms), layout, sd[:len(blocks)], theta / scale, info * scale[:, None] * scale, 1.0,
+                  -0.5 * deviance + design.log_constant, p + own + 1, "binomial", _row_moments(design))
+    fit.spread[design.absorbed] = float(sd[-1])
+    effects = absorbed.effects(design, layout.columns, raw @ theta, float(sd[-1]))
+    if design.hot:
+        kept = design.rows.sparkSession.createDataFrame(
+            [(h, float(b)) for h, b in zip(design.levels[design.absorbed], fit.effects.pop(design.absorbed))],
+            "h string, b double")
+        effects = effects.unionByName(kept)
     fit.absorbed_effects = effects
     return fit
 
@@ -450,12 +513,11 @@ def fit_gaussian(design: Design, terms: Sequence[str], model_id: str = "model",
     """
     layout = _layout(design, terms)
     zero = Request(layout.columns, np.zeros(layout.raw.shape[0]))
-    if design.absorbed:
-        sums = absorbed.level_sums(design, layout.columns, zero.coef, absorbed.start(design),
-                                   "gaussian")
-    else:
-        sums = evaluate(design, {0: zero}, "gaussian")[0]
-    names = [name for name, _ in layout.blocks] + ([design.absorbed] if design.absorbed else [])
+    sums = evaluate(design, {0: zero}, "gaussian")[0]
+    table = absorbed.level_table(design, layout.columns) if design.absorbed else None
+    names = [name for name, _ in layout.blocks]
+    if design.absorbed and not design.hot:
+        names.append(design.absorbed)
     p, n, penalty = layout.n_fixed, design.n_obs, layout.penalty()
     free = n - p if reml else n
 
@@ -464,7 +526,7 @@ def fit_gaussian(design: Design, terms: Sequence[str], model_id: str = "model",
         matrix, right, value, extra = sums.info, sums.score, sums.value, 0.0
         if design.absorbed:
             big = max(abs(sd[-1]), 1e-6)
-            cut = absorbed.eliminate(sums, big)
+            cut = absorbed.eliminate(table, len(right), big)
             matrix, right, value = matrix - cut.outer, right - cut.score, value - cut.gain
             extra = cut.log_det + 2 * cut.count * math.log(big)
         info = m.T @ matrix @ m + np.diag(penalty)

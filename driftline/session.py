@@ -105,6 +105,21 @@ def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+@contextmanager
+def short_methods(spark: SparkSession) -> Iterator[None]:
+    """Plans run inside are split where a stage's generated method would be too long for the JVM to compile.
+
+    Above 8000 bytes it is interpreted, which made a cohort of all columns ten times slower.
+    """
+    key = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "8000")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def drop_tables(*tables: DataFrame) -> None:
     """Delete tables that ``cut_lineage`` wrote, once all that is made of them has been written too."""
     for table in tables:

@@ -401,6 +401,81 @@ def test_absorbed_factor_gives_the_same_fit(trials):
     assert table == pytest.approx(wanted, abs=2e-2)
 
 
+def test_frequent_levels_of_an_absorbed_factor(trials, monkeypatch):
+    """Levels with many rows are kept with the coefficients; small blocks and pieces change nothing."""
+    from driftline.models import design as designs
+    df, _ = trials
+    terms = [Numeric("x"), Factor("f")]
+    names = [t.name for t in terms]
+    whole = mixed.fit_binomial(build_design(df, terms, ("g", "h"), max_levels=8), {"m": names})["m"]
+    for name, value in (("HOT_ROWS", 24), ("HOT_LEVELS", 1000), ("BLOCK_ROWS", 10)):
+        monkeypatch.setattr(designs, name, value)
+    monkeypatch.setattr(mixed.absorbed, "PIECE_ROWS", 30)
+    design = build_design(df, terms, ("g", "h"), max_levels=8)
+    assert design.hot and 0 < len(design.levels["g"]) < 9
+    fit = mixed.fit_binomial(design, {"m": names})["m"]
+    assert fit.loglik == pytest.approx(whole.loglik, abs=1e-4) and fit.beta == pytest.approx(whole.beta, abs=1e-4)
+    assert fit.spread == pytest.approx(whole.spread, rel=1e-3)
+    got, wanted = ({r["h"]: r["b"] for r in f.absorbed_effects.collect()} for f in (fit, whole))
+    assert len(got) == 9 and got == pytest.approx(wanted, abs=1e-3)
+
+
+def test_absorbed_factor_takes_few_passes(trials, monkeypatch):
+    """All deviations are found together; each trial value used to cost several passes of its own."""
+    df, _ = trials
+    jobs = []
+    for module in (mixed.absorbed, build_design.__globals__["evaluate"].__globals__):
+        names = module if isinstance(module, dict) else vars(module)
+        monkeypatch.setitem(names, "cut_lineage", lambda d, f=names["cut_lineage"]: jobs.append("table") or f(d))
+    monkeypatch.setattr(mixed.absorbed, "_added", lambda d, n, f=getattr(mixed.absorbed, "_added", None): jobs.append("pass") or f(d, n),
+                        raising=False)
+    design = build_design(df, [Numeric("x"), Factor("f")], ("g", "h"), max_levels=8)
+    fit = mixed.fit_binomial(design, {"m": ["scale(x)", "f"]})["m"]
+    assert len(jobs) < 30 and fit.spread["g"] > 0.3
+
+
+def test_trial_values_near_a_solved_mode_need_no_pass(spark, monkeypatch):
+    """With many individuals the mode hardly moves between the trial values of a deviation."""
+    rng = np.random.default_rng(4)
+    g, h, x = rng.integers(0, 6, 200), rng.integers(0, 4, 200), np.round(rng.normal(size=200), 1)
+    eta = -0.5 + 0.3 * x + np.linspace(-.8, .8, 6)[g] + np.array([-.4, .5, .1, -.2])[h]
+    df = spark.createDataFrame([(f"g{a}", f"h{b}", float(c), int(1e6 / (1 + math.exp(-e))), 10 ** 6)
+                                for a, b, c, e in zip(g, h, x, eta)], "g string, h string, x double, NwP long, N long")
+    design, asked = build_design(df, [Numeric("x")], ("g", "h")), []
+    monkeypatch.setattr(mixed, "evaluate", lambda d, r, f: asked.extend(r) or evaluate(d, r, f))
+    fit = mixed.fit_binomial(design, {"m": ["scale(x)"]})["m"]
+    few = len(asked)
+    monkeypatch.setattr(mixed, "SURE", 0.0, raising=False)
+    every = mixed.fit_binomial(design, {"m": ["scale(x)"]})["m"]
+    assert few < 20 and few < len(asked) - few
+    assert fit.loglik == pytest.approx(every.loglik, abs=1e-4) and fit.spread == pytest.approx(every.spread, rel=1e-5)
+    assert fit.beta == pytest.approx(every.beta, rel=1e-6)
+
+
+@pytest.mark.parametrize("requests", [1, 40])
+def test_pass_over_runs_of_factor_levels(spark, requests):
+    """Sums over runs of rows that agree in their factors equal dense ones, interactions and curves included."""
+    rng = np.random.default_rng(5)
+    m = 3000
+    g, f, x, y = rng.integers(0, 3, m), rng.integers(0, 2, m), np.round(rng.normal(size=m), 2), np.round(rng.normal(size=m), 2)
+    n = rng.integers(1, 9, m)
+    k = rng.integers(0, n + 1)
+    df = spark.createDataFrame([("abc"[a], "uv"[b], float(c), float(d), int(i), int(j)) for a, b, c, d, i, j in zip(g, f, x, y, k, n)],
+                               "g string, f string, x double, y double, NwP long, N long")
+    num, fac = Numeric("x", scale=False), Factor("f")
+    built = build_design(df, [num, fac, Interaction(num, fac), Smooth("y", by="f", knots=4)], ("g",))
+    curve = built.curves[0]
+    t, v = (y - curve.low) / (curve.high - curve.low), f.astype(float)
+    knots = np.abs(t[:, None] - curve.knots) ** 3
+    Z = np.column_stack([np.ones(m), x, v, x * v, t * (1 - v), t * v, knots * (1 - v)[:, None], knots * v[:, None], np.eye(3)[g]])
+    columns = np.arange(Z.shape[1] - 3)
+    asked = {i: Request(columns, rng.normal(size=Z.shape[1]) * .2) for i in range(requests)}
+    for key, sums in evaluate(built, asked, "binomial").items():
+        mu = 1 / (1 + np.exp(-Z @ asked[key].coef))
+        assert np.allclose(sums.info, Z.T @ ((n * mu * (1 - mu))[:, None] * Z), rtol=1e-9, atol=1e-7)
+        assert np.allclose(sums.score, Z.T @ (k - n * mu), atol=1e-7)
+
+
 def test_absorbed_gaussian_factor(spark):
     rng = np.random.default_rng(13)
     g, x = rng.integers(0, 12, 120), rng.normal(size=120)
